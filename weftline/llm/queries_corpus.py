@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, shared_dir
 from .mixing import mix_sources
 from .packing import pack_documents
+from .token_files import read_token_files, write_token_files
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back from them."""
+    folder = shared_dir(spark)
+    write_token_files(read(spark, sf_dir, "documents"), folder).agg(F.sum("ids"), F.sum("docs")).collect()
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -55,5 +63,5 @@ SELECT c.doc_id, c.size, c.source_size, c.target, least(c.copies, 2) * c.size AS
 FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.k = best.k
 """
 
-QUERIES = {"op1_packing": op1_packing, "op6_mixing": op6_mixing}
+QUERIES = {"op1_packing": op1_packing, "op6_mixing": op6_mixing, "op10_token_files": op10_token_files}
 ORACLES = {"op6_mixing": OP6_SQL}

@@ -32,7 +32,7 @@ class Encoder:
     for one that drops white space and ends words.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -40,6 +40,7 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.kind, self.limit = kind, limit
         self.memo: dict[str, bytes] = {}
+        self.base: dict[str, bytes] = {}  # the first half of the pieces met, which stays
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         if kind == "byte":
@@ -63,7 +64,9 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces, some hundred in a text; tokens tell where each begins."""
         if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
+            self.memo = dict(self.base)
+        elif not self.base and len(self.memo) > self.limit // 2:
+            self.base = dict(self.memo)
         if self.kind == "byte":
             alone = [w for w in new if not w or w[0] in " \t\n\r\x0b\x0c" or " " in w]
             rest = [w for w in new if w and w[0] not in " \t\n\r\x0b\x0c"]
@@ -87,14 +90,13 @@ class Encoder:
         """Ids of each text; none for null."""
         plain = [t is not None and self.plain(t) for t in texts]
         pieces = [(t.split(" ") if self.kind == "byte" else t.split()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        memo = self.memo
         head = 1 if self.kind == "byte" else 0  # the first piece of a text has no space before it
-        new = {w for q in pieces for w in q[head:] if w not in memo}
-        if new:
-            before = len(memo)
-            self._learn(list(new))
-            if len(memo) < before:  # it was full and was cleared
-                self._learn([w for w in {w for q in pieces for w in q[head:]} if w not in memo])
+        for _ in range(2):  # again if the memory was full and lost pieces of these texts
+            memo = self.memo
+            new = {w for q in pieces for w in q[head:] if w not in memo}
+            if new:
+                self._learn(list(new))
+        memo = self.memo
         whole = iter(self._raw([t for t, p in zip(texts, plain, strict=True) if t is not None and not p]))
         heads = iter(self._raw([q[0] for q, p in zip(pieces, plain, strict=True) if p]) if head else ())
         out = []
