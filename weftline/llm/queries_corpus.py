@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read, shared_dir
 from .mixing import mix_sources
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 
 
@@ -17,6 +18,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated passages."""
+    rows = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the target weights of their sources."""
     rows = mix_sources(read(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -63,5 +70,24 @@ SELECT c.doc_id, c.size, c.source_size, c.target, least(c.copies, 2) * c.size AS
 FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.k = best.k
 """
 
-QUERIES = {"op1_packing": op1_packing, "op6_mixing": op6_mixing, "op10_token_files": op10_token_files}
-ORACLES = {"op6_mixing": OP6_SQL}
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, s AS start, list_slice(w, s, s + 19) AS g FROM d, unnest(range(1, greatest(len(w) - 18, 1))) t(s)
+), dup AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM dup, unnest(range(start, start + 20)) t(p)
+), kept AS (
+  SELECT d.doc_id, len(w) AS n_words, t.p, w[t.p] AS word
+  FROM d LEFT JOIN unnest(range(1, len(w) + 1)) t(p) ON true
+)
+SELECT k.doc_id, any_value(n_words)::BIGINT AS n_words, count(g.p)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY k.p), '')) AS kept_sha256
+FROM kept k LEFT JOIN gone g ON k.doc_id = g.doc_id AND k.p = g.p
+GROUP BY k.doc_id
+"""
+
+QUERIES = {"op1_packing": op1_packing, "op3_substring_dedup": op3_substring_dedup, "op6_mixing": op6_mixing, "op10_token_files": op10_token_files}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
