@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, shared_dir
+from .jaccard_join import jaccard_classes
 from .mixing import mix_sources
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -24,6 +25,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the classes that near-copies link."""
+    rows = jaccard_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("_size").alias("n_shingles"), F.col("_component").alias("component_id"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the target weights of their sources."""
     rows = mix_sources(read(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -89,5 +96,27 @@ FROM kept k LEFT JOIN gone g ON k.doc_id = g.doc_id AND k.p = g.p
 GROUP BY k.doc_id
 """
 
-QUERIES = {"op1_packing": op1_packing, "op3_substring_dedup": op3_substring_dedup, "op6_mixing": op6_mixing, "op10_token_files": op10_token_files}
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, s, s + 4) END, ' ')) AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(s) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY a
+"""
+
+QUERIES = {"op1_packing": op1_packing, "op5_jaccard_join": op5_jaccard_join, "op3_substring_dedup": op3_substring_dedup, "op6_mixing": op6_mixing, "op10_token_files": op10_token_files}
+ORACLES = {"op5_jaccard_join": OP5_SQL, "op3_substring_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
