@@ -32,8 +32,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     before = every.orderBy("_ratio", "_n").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.withColumn("_left", F.sum("source_size").over(every) * share - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
     ranked = ranked.withColumn("_level", F.col("_left") / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    # the level is that of the first source which it does not fill; where it fills all, caps hold
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every)
+    # the level is that of the first source which it does not fill: of those not filled it is the
+    # highest; where it fills all, caps hold
+    level = F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every)
     target = F.least(F.col("_cap"), F.coalesce(F.col("_w") * level, F.col("_cap")))
     return ranked.select("source", "source_size", "source_docs", target.alias("target"))
 

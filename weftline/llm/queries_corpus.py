@@ -59,7 +59,7 @@ WITH d AS (
     ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce(w * (min(CASE WHEN level <= ratio THEN level END) OVER ()), cap)) AS target FROM l
+  SELECT source, source_size, least(cap, coalesce(w * (max(CASE WHEN level <= ratio THEN level END) OVER ()), cap)) AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 8 + ((d.size << 2) >> (length(bin(d.size)) - 1)), d.size, d.h, d.doc_id) AS pos
