@@ -114,7 +114,8 @@ def near_duplicates(
     key: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
-    lists: int = 256,
+    lists: int = 4096,
+    list_rows: int = 2048,
     parts: int = 8,
     codes: int = 64,
     sample: int = 16_384,
@@ -127,8 +128,9 @@ def near_duplicates(
     ``cosine``. Equal vectors of a label are first folded into one with a weight. An index with
     coarse lists and product-quantised residuals is fitted on at most ``sample`` folded vectors (the
     smallest hashes of their keys) and takes in every vector. A vector probes each list whose cell
-    comes nearer to it than the distance that ``cosine`` allows, so no linked vector lies elsewhere; in
-    a list the asymmetric distance, less the stored error of the code, rules vectors out; the rest are
+    comes nearer to it than half the distance that ``cosine`` allows: of two linked vectors one at least
+    is as near to the plane between their lists, so each link is found, from one side or from both,
+    and counted once. In a list the asymmetric distance, less the stored error of the code, rules vectors out; the rest are
     compared exactly. Lists are split into tiles of about ``block`` vectors a side, so a hot list is
     many tasks' work; a tile returns counts and a spanning forest, never all its pairs.
 
@@ -145,13 +147,13 @@ def near_duplicates(
         return vectors.withColumns({"_n_links": F.lit(0).cast("long"), "_component": F.col(key)})
     total, dim = folded.count(), folded.agg(F.max(F.size("_v"))).first()[0]
     x = _unit(_matrix(some.column(0).combine_chunks()), dim)
-    index = Index.fit(x, max(1, min(lists, total // 256)), parts, min(codes, 256), seed)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
+    index = Index.fit(x, max(1, min(lists, sample // 4, total // list_rows)), parts, min(codes, 256), seed)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     shipped = vectors.sparkSession.sparkContext.broadcast(index)  # bounded: lists, parts and codes
     gaps = np.sqrt(((index.centres[:, None, :] - index.centres[None, :, :]) ** 2).sum(-1)) if len(index.centres) <= 64 else None
     gaps_sent = vectors.sparkSession.sparkContext.broadcast(gaps)
 
-    kinds = [("list", pa.int32()), ("stored", pa.bool_()), ("label", pa.string()), ("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("code", pa.binary()), ("err", pa.float64())]
+    kinds = [("list", pa.int32()), ("stored", pa.bool_()), ("label", pa.string()), ("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float64())), ("code", pa.binary()), ("err", pa.float64()), ("own", pa.int32()), ("probes", pa.binary())]
     placed_schema = pa.schema(kinds)
 
     def place(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +170,13 @@ def near_duplicates(
                     between = apart[own]
                 # how far the cell of each other list is: the distance to the plane between the centres
                 away = (d2 - d2[np.arange(len(x)), own][:, None]) / (2 * np.maximum(between, 1e-12))
-                probes = away <= reach + 1e-7
+                probes = away <= reach / 2 + 1e-7
                 probes[np.arange(len(x)), own] = True
                 code, err = ix.encode(x - ix.centres[own])
                 who, to = np.nonzero(probes)
                 take = np.concatenate([np.arange(len(x)), who])
                 cols = {c: b.column(c).take(pa.array(take)) for c in ("_l", "rep", "n", "_v")}
+                mine = [np.flatnonzero(p).astype("<i4").tobytes() for p in probes]
                 codes_ = [c.tobytes() for c in code] + [None] * len(who)
                 yield pa.record_batch(
                     [
@@ -185,11 +188,13 @@ def near_duplicates(
                         cols["_v"].cast(pa.list_(pa.float64())),
                         pa.array(codes_, pa.binary()),
                         pa.array([*err.tolist(), *[0.0] * len(who)]),
+                        pa.array(own[take].astype(np.int32)),
+                        pa.array(mine + [None] * len(who), pa.binary()),
                     ],
                     schema=placed_schema,
                 )
 
-    shape = "list int, stored boolean, label string, rep long, n long, v array<double>, code binary, err double"
+    shape = "list int, stored boolean, label string, rep long, n long, v array<double>, code binary, err double, own int, probes binary"
     placed = saved(folded.mapInArrow(place, shape))
     sides = placed.groupBy("label", "list").agg(
         F.ceil(F.count_if("stored") / block).cast("int").alias("ns"), F.ceil(F.count_if(~F.col("stored")) / block).cast("int").alias("nq")
@@ -216,25 +221,30 @@ def near_duplicates(
         code = np.frombuffer(b"".join(table.column("code").take(pa.array(s)).to_pylist()), np.uint8).reshape(len(s), -1)
         err = table.column("err").to_numpy()[s]
         maybe = ix.distances(x[q] - centre, code) <= reach + err + 1e-6
-        maybe &= reps[q][:, None] != reps[s][None, :]
+        # a pair that either side finds is the business of the one with the smaller key
+        own, probes = table.column("own").to_numpy(), table.column("probes").take(pa.array(s)).to_pylist()
+        back = np.zeros((len(s), len(ix.centres)), bool)
+        for k, p in enumerate(probes):
+            back[k, np.frombuffer(p, "<i4")] = True
+        maybe &= (reps[q][:, None] < reps[s][None, :]) | ~back.T[own[q]]
         a, b = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
         if not len(a):
             return empty
         links = maybe[np.ix_(a, b)] & ((x[q[a]] @ x[s[b]].T) >= cosine)
-        n = links @ weights[s[b]]
-        has = np.flatnonzero(n)
         edges = _forest(links)
         ra, rb = reps[q[a]], reps[s[b]]
+        who, n = np.concatenate([ra, rb]), np.concatenate([links @ weights[s[b]], links.T @ weights[q[a]]])
+        has = np.flatnonzero(n)
         return pa.table(
             [
-                pa.array(np.concatenate([ra[has], ra[[r for r, _ in edges]]]).astype(np.int64)),
+                pa.array(np.concatenate([who[has], ra[[r for r, _ in edges]]]).astype(np.int64)),
                 pa.array([*[None] * len(has), *(int(rb[c]) for _, c in edges)], pa.int64()),
                 pa.array(np.concatenate([n[has], np.zeros(len(edges))]).astype(np.int64)),
             ],
             schema=found_schema,
         )
 
-    columns = ["list", "stored", "rep", "n", "v", "code", "err"]
+    columns = ["list", "stored", "rep", "n", "v", "code", "err", "own", "probes"]
     found = saved(tiles.select("label", "i", "j", *columns).groupBy("label", "list", "i", "j").applyInArrow(tile, "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     parts_ = connected_components(found.where("b is not null"))
