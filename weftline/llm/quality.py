@@ -146,7 +146,8 @@ def fit_quality(
         some = np.flatnonzero(total.any(axis=0)).astype(np.int32)
         yield pa.record_batch([some, total[1, some], total[0, some]], schema=schema)
 
-    counted = texts.join(known, "_k").select("_t", "_y").mapInArrow(count, "feature int, up long, down long")
+    # always a shuffle join: whether labels would fit a broadcast changes with the size of the corpus
+    counted = texts.join(known.hint("merge"), "_k").select("_t", "_y").mapInArrow(count, "feature int, up long, down long")
     told = counted.groupBy("feature").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).toArrow()  # bounded: 2^bits
     counts = np.zeros((2, size))
     at = told.column("feature").to_numpy()
