@@ -1,4 +1,7 @@
 """Queries over the given tables: each applies operators of this package."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analysis, alignment
+
+QUERIES = alignment.QUERIES
+ORACLES = alignment.ORACLES
+__all__ = ["ORACLES", "QUERIES", "alignment", "analysis"]

@@ -1 +1,200 @@
+"""Readers and writers of text formats. Every reader gives rows a place (``row_idx``) where the format's
+order has a meaning: it is counted by file and split, as text files are read."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import functions as W
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str], line_sep: str | None = None) -> DataFrame:
+    """``(row_idx, value)``: the lines (or records) of text files with their places, compressed or not.
+
+    A place is a number within the split plus the lines of all splits before it; the counts by split
+    are the only thing that is summed in one place."""
+    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+    raw = reader.text(paths).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    counts = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return raw.join(counts, ["_f", "_b"]).select((F.col("_i") - F.col("_first") + F.col("_before")).alias("row_idx"), "value")
+
+
+def fields(column: str = "value") -> F.Column:
+    """The fields of a line, at any white space."""
+    return F.split(F.trim(F.regexp_replace(column, "\\s+", " ")), " ")
+
+
+def read_maf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(block_id, score, components)`` of alignment files: records end with an empty line. Lines other
+    than those of components are left out, records without any, too."""
+    records = numbered_lines(spark, paths, "\n\n").withColumn("_l", F.split("value", "\r?\n"))
+    lines = F.filter("_l", lambda x: F.startswith(x, F.lit("s ")) | F.startswith(x, F.lit("s\t")))
+
+    def part(line: F.Column) -> F.Column:
+        f = F.split(F.trim(F.regexp_replace(line, "\\s+", " ")), " ")
+        n = lambda k: f[k].cast("long")
+        return F.struct(f[1].alias("src"), n(2).alias("start"), n(3).alias("size"), f[4].alias("strand"), n(5).alias("src_size"), F.coalesce(F.get(f, F.lit(6)), F.lit("")).alias("text"))
+
+    score = F.regexp_extract("value", "(?m)^a.*\\bscore=([-+0-9.eE]+)", 1)
+    out = records.select(F.col("row_idx").alias("block_id"), F.when(score != "", score.cast("double")).alias("score"), F.transform(lines, part).alias("components"))
+    return out.where(F.size("components") > 0)
+
+
+def maf_text(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``value``, a record of an alignment file."""
+    line = lambda c: F.concat_ws(" ", F.lit("s"), c["src"], c["start"].cast("string"), c["size"].cast("string"), c["strand"], c["src_size"].cast("string"), c["text"])
+    return blocks.withColumn("value", F.concat(F.lit("a\n"), F.array_join(F.transform("components", line), "\n"), F.lit("\n")))
+
+
+def write_maf(blocks: DataFrame, path: str, by_source: bool = False, order: str = "block_id") -> None:
+    """Write blocks; ``by_source`` gives a folder to each source of the first component."""
+    rows = maf_text(blocks).withColumn("ref_src", F.get("components", F.lit(0))["src"])
+    if by_source:
+        rows.repartition("ref_src").sortWithinPartitions("ref_src", order).select("ref_src", "value").write.partitionBy("ref_src").text(path)
+    else:
+        rows.sortWithinPartitions(order).select("value").write.text(path)
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(rec_no, header, seq)``; the lines of a sequence are joined."""
+    records = numbered_lines(spark, paths, "\n>").withColumn("_r", F.regexp_replace("value", "^>", ""))
+    lines = F.split("_r", "\r?\n")
+    return records.where(F.trim("_r") != "").select(F.col("row_idx").alias("rec_no"), lines[0].alias("header"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "").alias("seq"))
+
+
+def read_intervals(spark: SparkSession, paths: str | list[str], tabs: bool = False) -> DataFrame:
+    """``(row_idx, chrom, start, end, label, strand)`` from lines of fields at white space (or at tabs);
+    a label that is not there is empty, a strand ``+``."""
+    lines = numbered_lines(spark, paths).where(F.trim("value") != "").where(~F.startswith("value", F.lit("#")))
+    f = F.split("value", "\t") if tabs else fields()
+    lines = lines.withColumn("_f", f)
+    return lines.select("row_idx", F.col("_f")[0].alias("chrom"), F.col("_f")[1].cast("long").alias("start"), F.col("_f")[2].cast("long").alias("end"), F.coalesce(F.get("_f", F.lit(3)), F.lit("")).alias("label"), F.coalesce(F.get("_f", F.lit(4)), F.lit("+")).alias("strand"))
+
+
+def read_partitions(spark: SparkSession, manifest: str) -> DataFrame:
+    """``(ord, name, score, chrom, start, end)`` of the interval files that a manifest names, one to a
+    line: name, score, file. The manifest is a few lines."""
+    rows = [r["_f"] for r in numbered_lines(spark, manifest).where(F.trim("value") != "").select("row_idx", fields().alias("_f")).orderBy("row_idx").collect()]
+    out = None
+    for k, (name, score, path) in enumerate(rows):
+        one = read_intervals(spark, path).select(F.lit(k).alias("ord"), F.lit(name).alias("name"), F.lit(score).alias("score"), "chrom", "start", "end")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_mapping(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(key, symbol, line_no)``, one row for each key: the last line counts."""
+    rows = numbered_lines(spark, paths).where(F.trim("value") != "").select("row_idx", fields().alias("_f"))
+    rows = rows.select(F.col("_f")[0].alias("key"), F.col("_f")[1].alias("symbol"), F.col("row_idx").alias("line_no"))
+    return rows.groupBy("key").agg(F.max_by("symbol", "line_no").alias("symbol"), F.max("line_no").alias("line_no"))
+
+
+def read_distributions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(row_idx, label, count, p)``; comment lines are left out, and rows are counted without them."""
+    rows = numbered_lines(spark, paths).where((F.trim("value") != "") & ~F.startswith("value", F.lit("#"))).select("row_idx", fields().alias("_f"))
+    return rows.select("row_idx", F.col("_f")[0].alias("label"), F.try_to_number(F.col("_f")[1], F.lit("9999999999999")).cast("long").alias("count"), F.slice("_f", F.lit(3), F.size("_f")).cast("array<double>").alias("p"))
+
+
+def read_matrix(spark: SparkSession, paths: str | list[str], skip_rows: int = 0, skip_columns: int = 0, labelled: bool = False) -> DataFrame:
+    """``(i, j, w)`` of a text matrix; ``labelled`` drops a first field that begins with ``V``."""
+    rows = numbered_lines(spark, paths).where(F.trim("value") != "").where(F.col("row_idx") >= skip_rows).select((F.col("row_idx") - skip_rows).alias("i"), fields().alias("_f"))
+    cells = F.slice("_f", F.lit(skip_columns + 1), F.size("_f"))
+    if labelled:
+        cells = F.when(F.startswith(F.col("_f")[0], F.lit("V")), F.slice("_f", F.lit(2), F.size("_f"))).otherwise(F.col("_f"))
+    return rows.select(F.col("i").cast("int").alias("i"), F.posexplode(cells.cast("array<double>")).alias("j", "w"))
+
+
+def matrix_text(matrix: DataFrame, labelled: bool = True) -> DataFrame:
+    """``(i, value)``: rows of a text matrix, cells with nine decimals at tabs, labels ``V`` and a number."""
+    rows = matrix.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("_c"))
+    cells = F.transform("_c", lambda c: F.format_string("%.9f", c["w"]))
+    return rows.select("i", F.concat_ws("\t", F.format_string("V%d", F.col("i") + 1), cells).alias("value") if labelled else F.array_join(cells, "\t").alias("value"))
+
+
+def read_int_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(seq_id, ints)``: a sequence of whole numbers to a line."""
+    rows = numbered_lines(spark, paths)
+    return rows.select(F.col("row_idx").alias("seq_id"), F.when(F.trim("value") == "", F.array().cast("array<int>")).otherwise(fields().cast("array<int>")).alias("ints"))
+
+
+def read_merges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(stage, n_clusters, left, right, sim)``: a dendrogram, one merge to a line."""
+    f = F.col("_f")
+    rows = numbered_lines(spark, paths).where(F.trim("value") != "").select("row_idx", fields().alias("_f"))
+    return rows.select((F.col("row_idx") + 1).cast("int").alias("stage"), f[0].cast("int").alias("n_clusters"), f[1].cast("int").alias("left"), f[2].cast("int").alias("right"), f[3].cast("double").alias("sim"))
+
+
+def read_scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(row_idx, score)``; ``NA`` is null."""
+    return numbered_lines(spark, paths).select("row_idx", F.when(F.trim("value") != "NA", F.trim("value")).cast("double").alias("score"))
+
+
+def read_labels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(row_idx, label)``: a label to a line."""
+    return numbered_lines(spark, paths).select("row_idx", F.trim("value").alias("label"))
+
+
+def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table with a header, fields at tabs, ``NA`` for null."""
+    return spark.read.csv(path, sep="\t", header=True, nullValue="NA", schema=schema)
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """A table as above, unquoted."""
+    rows.write.csv(path, sep="\t", header=True, quote="", nullValue="NA")
+
+
+def read_chromosomes(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, build, chrom, size, fname)`` from fields at commas."""
+    return spark.read.csv(path, schema="name string, build string, chrom string, size long, fname string")
+
+
+def read_nib(spark: SparkSession, folder: str, tile: int = 65_536) -> DataFrame:
+    """``(chrom, tile_no, seq)`` of packed sequence files ``<chrom>.nib``: an 8-byte head (magic, number of
+    bases), then two bases a byte, the high half first; lower-case (masked) bases are upper-cased."""
+    import numpy as np
+    import pandas as pd
+
+    # fixed values: the magic number and the bases by code
+    magic, letters = 0x6BE93D3A, np.frombuffer(b"TCAGN", np.uint8)
+
+    def run(parts):  # noqa: ANN001, ANN202
+        for pdf in parts:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                head = np.frombuffer(content, "<u4", 2)
+                if head[0] != magic:
+                    raise ValueError(f"{path} is no packed sequence file")
+                chrom = path.rsplit("/", 1)[1].rsplit(".", 1)[0]
+                for at in range(0, int(head[1]), tile):  # a tile has an even number of bases
+                    n = min(tile, int(head[1]) - at)
+                    packed = np.frombuffer(content, np.uint8, (n + 1) // 2, 8 + at // 2)
+                    codes = np.stack([packed >> 4, packed & 15], axis=1).ravel()[:n] & 7
+                    yield pd.DataFrame({"chrom": [chrom], "tile_no": [at // tile], "seq": [letters[np.minimum(codes, 4)].tobytes().decode()]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nib").load(folder).select("path", "content")
+    return files.mapInPandas(run, "chrom string, tile_no long, seq string")
+
+
+def write_lines(rows: DataFrame, path: str, columns: list[str], sep: str = " ", compression: str = "none") -> None:
+    """Rows as lines of text, fields joined by ``sep``; null is ``NA``. ``compression``: gzip, bzip2 or none."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns]
+    rows.select(F.concat_ws(sep, *cells).alias("value")).write.option("compression", compression).text(path)
+
+
+def statistics_text(counts: DataFrame, species: list[str], length: int, alphabet: str = W.ALPHABET) -> DataFrame:
+    """``(ord, value)``: the lines of a file of sufficient statistics: seven head lines, an empty one and
+    the rows ``i key count``."""
+    n = counts.agg(F.count(F.lit(1)).alias("n"))
+    heads = ["NSEQS = %d" % len(species), f"LENGTH = {length}", "TUPLE_SIZE = 1", None, f"NAMES = {','.join(species)}", f"ALPHABET = {alphabet}", "NCATS = -1", ""]
+    table = F.array(*(F.concat(F.lit("NTUPLES = "), F.col("n").cast("string")) if h is None else F.lit(h) for h in heads))
+    head = n.select(F.posexplode(table).alias("k", "value")).select((F.col("k") - len(heads)).cast("long").alias("ord"), "value")
+    return head.unionByName(counts.select(F.col("i").cast("long").alias("ord"), F.concat_ws("\t", "i", "key", "count").alias("value")))
+
+
+def wiggle_text(scores: DataFrame, chrom: str, start: int = 1, step: int = 1) -> DataFrame:
+    """``(ord, value)``: the lines of a track: its head, then a score to a line, in order."""
+    head = scores.sparkSession.range(1).select(F.lit(-1).cast("long").alias("ord"), F.lit(f"fixedStep chrom={chrom} start={start} step={step}").alias("value"))
+    return head.unionByName(scores.select(F.col("row_idx").cast("long").alias("ord"), F.coalesce(F.col("score").cast("string"), F.lit("NA")).alias("value")))
