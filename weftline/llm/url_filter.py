@@ -49,9 +49,9 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(a, b)``: a page's url and the url that it names as its own: a canonical link, a refresh to
-    another url, or an ``og:url``. Only absolute urls count; a null page names none."""
+    another url, or an ``og:url``. Only absolute urls count, on either side; a null page names none."""
     tags = F.regexp_extract_all(F.col(html), F.lit("(?is)<(?:link|meta)\\b[^>]*>"), F.lit(0))
-    tag = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("a"), F.explode(tags).alias("_t"))
+    tag = pages.where(F.col(url).contains("://")).select(F.col(url).alias("a"), F.explode(tags).alias("_t"))
     names = {"rel": "rel", "href": "href", "equiv": "http-equiv", "property": "property", "content": "content"}
     tag = tag.select("a", *(_attribute(F.col("_t"), name).alias(c) for c, name in names.items()))
     refresh = F.regexp_extract("content", "(?i)url\\s*=\\s*['\"]?([^'\"]+)", 1)
