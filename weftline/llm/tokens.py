@@ -1,15 +1,15 @@
-"""Token ids of public tokenizers, remembered for the words met lately."""
+"""Token ids of public tokenizers, remembered for the pieces of text met lately."""
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-_ODD = re.compile(r"\s \s")
-#: A space before white space; only then can a cut at a space matter.
-_AFTER = [" " + c for c in " \t\n\r\x0b\x0c"]
+#: Characters that only some call white space; white space that is rare.
+_UNSURE, _RARE = b"\x00\x1c\x1d\x1e\x1f\x85\xa0", b"\t\r\x0b\x0c"
+_BLANK = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+_LONGEST = 255
 _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -20,94 +20,211 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class PieceTable:
+    """Ids of short pieces of text in arrays: an open-addressed table of 128-bit hashes, by which many
+    pieces are looked up at once, and one run of ids for all of them.
+
+    A hash is a sum of random numbers for each character at its place in the piece.
+    """
+
+    def __init__(self, limit: int = 1_000_000) -> None:
+        rng = np.random.default_rng(20_240_229)
+        self.random = rng.integers(0, 2**64, (2, (_LONGEST + 2) * 256), np.uint64)
+        self.random[:, 32::256] = 0  # the space that ends a piece
+        self.limit, self.slots = limit, 1 << (2 * limit - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros((2, self.slots), np.uint64)
+        self.entry = np.full(self.slots, -1, np.int32)
+        self.at, self.n = np.zeros(self.limit + 1, np.int64), np.zeros(self.limit + 1, np.int32)
+        self.ids, self.used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def hashes(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Hashes of pieces, each from its start up to the space before the next."""
+        place = np.arange(len(chars), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(starts, append=len(chars)))
+        cell = place * 256 + chars
+        return np.stack([np.add.reduceat(r[cell], starts) for r in self.random])
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entries of hashes; -1 where there is none."""
+        out = np.full(h.shape[1], -1, np.int32)
+        left, mask = np.arange(h.shape[1]), np.uint64(self.slots - 1)
+        slot = (h[0] & mask).astype(np.int64)
+        while len(left):
+            e = self.entry[slot]
+            same = (self.keys[0][slot] == h[0][left]) & (self.keys[1][slot] == h[1][left]) & (e >= 0)
+            out[left[same]] = e[same]
+            on = ~same & (e >= 0)
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """New pieces with their ids."""
+        m = len(ids)
+        n = np.fromiter(map(len, ids), np.int64, m) // 4
+        data = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(data) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(data)] = data
+        new = np.arange(self.size, self.size + m)
+        self.at[new], self.n[new] = self.used + np.cumsum(n) - n, n
+        self.used, self.size = self.used + len(data), self.size + m
+        left, slot = np.arange(m), (h[0] & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            free = self.entry[slot] < 0
+            first = np.zeros(len(left), bool)
+            first[np.unique(np.where(free, slot, -1), return_index=True)[1]] = True
+            put = free & first
+            where = slot[put]
+            self.entry[where], self.keys[0][where], self.keys[1][where] = new[left[put]], h[0][left[put]], h[1][left[put]]
+            left, slot = left[~put], (slot[~put] + ~free[~put]) & (self.slots - 1)
+
+    def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, one after the other, and the number of each."""
+        n = self.n[entries].astype(np.int64)
+        ends = np.cumsum(n)
+        where = np.repeat(self.at[entries] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[where], n
+
+
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes, equal to those of the tokenizers library.
 
     All ids come from that library. Texts of plain Latin letters are cut where the tokenizer cannot
-    join anything, at spaces, and each piece is encoded once and remembered (up to ``limit`` pieces);
-    new pieces are encoded many at a time. Any other text is encoded as it is. The strings of special
+    join anything, at spaces and ends of lines; each piece is encoded once, many at a time, and
+    remembered (up to ``limit`` pieces). Any other text is encoded as it is. The strings of special
     tokens in a text are ordinary text.
 
     ``kind``: "byte" for a byte-level vocabulary that keeps spaces at the start of its tokens; "word"
     for one that drops white space and ends words.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, kind: str, limit: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind, self.limit = kind, limit
-        self.memo: dict[str, bytes] = {}
-        self.base: dict[str, bytes] = {}  # the first half of the pieces met, which stays
+        self.kind, self.table = kind, PieceTable(limit)
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.largest = max(vocabulary.values())
+        self.starts = np.zeros(self.largest + 1, bool)
         if kind == "byte":
-            self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+            self.starts[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
         else:
             self.starts[vocabulary["0</w>"]] = True
 
-    def plain(self, text: str) -> bool:
-        """Whether pieces of this text can be encoded one by one."""
+    def plain(self, text: str) -> bytes | None:
+        """The text's pieces with a space after each, in Latin-1; null if it cannot be cut so."""
+        if self.kind == "word":
+            text = text.lower()
         try:
-            text.encode("latin-1")
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        if "<|" in text or any(c in text for c in "\x00\x1c\x1d\x1e\x1f\x85\xa0"):
-            return False
-        return self.kind == "word" or not (any(c in text for c in _AFTER) and _ODD.search(text))
+            return None
+        if b"<|" in raw or raw.translate(None, _UNSURE) != raw:
+            return None
+        if self.kind == "word":
+            return raw.translate(_BLANK) + b" "
+        # runs of white space of which the tokenizer might join some
+        odd = b"   " in raw or b" \n" in raw or b"\n " in raw or b"\n\n\n" in raw or raw.endswith((b"  ", b"\n\n"))
+        if odd or raw.translate(None, _RARE) != raw:
+            return None
+        return raw.replace(b"\n", b" \n") + b" "
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces, some hundred in a text; tokens tell where each begins."""
-        if len(self.memo) + len(new) > self.limit:
-            self.memo = dict(self.base)
-        elif not self.base and len(self.memo) > self.limit // 2:
-            self.base = dict(self.memo)
-        if self.kind == "byte":
-            alone = [w for w in new if not w or w[0] in " \t\n\r\x0b\x0c" or " " in w]
-            rest = [w for w in new if w and w[0] not in " \t\n\r\x0b\x0c"]
-            self.memo.update(zip(alone, self._raw([" " + w for w in alone]), strict=True))
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Encode pieces, some hundred in a text; tokens tell where each begins."""
+        byte = self.kind == "byte"
+        if byte:
+            texts = [w if w[:1] == "\n" else " " + w for w in new]
+            alone = [k for k, w in enumerate(new) if w in ("", "\n")]
         else:
-            alone, rest = [w for w in new if "0" in w], [w for w in new if "0" not in w]
-            self.memo.update(zip(alone, self._raw(alone), strict=True))
+            texts = new
+            alone = [k for k, w in enumerate(new) if not w or "0" in w]
+        apart = set(alone)
+        out: list[bytes] = [b""] * len(new)
+        for k, ids in zip(alone, self._raw([texts[k] for k in alone]), strict=True):
+            out[k] = ids
+        rest = [k for k in range(len(new)) if k not in apart] if apart else list(range(len(new)))
         for at in range(0, len(rest), 256):
-            some = rest[at : at + 256]
-            text = "".join(" " + w for w in some) if self.kind == "byte" else " 0 ".join(some)
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.starts[ids])
-            raw, byte = ids.tobytes(), self.kind == "byte"
-            ends = [*(4 * cuts[byte:]).tolist(), len(raw)]
-            parts: list[bytes] = []
-            if len(ends) == len(some) and (not byte or cuts[0] == 0):
-                parts = [raw[a:b] for a, b in zip([0, *(e + 4 * (not byte) for e in ends[:-1])], ends, strict=True)]
-            self.memo.update(zip(some, parts or self._raw([" " + w for w in some] if byte else some), strict=True))
+            few = rest[at : at + 256]
+            ids = np.array(self.tok.encode_batch_fast([("" if byte else " 0 ").join([texts[k] for k in few])], add_special_tokens=False)[0].ids, "<u4")
+            cuts, data = np.flatnonzero(self.starts[ids]), ids.tobytes()
+            ends = [*(4 * cuts[byte:]).tolist(), len(data)]
+            if len(ends) == len(few) and (not byte or cuts[0] == 0):
+                begins = [0, *ends[:-1]] if byte else [0, *(e + 4 for e in ends[:-1])]
+                parts = [data[a:b] for a, b in zip(begins, ends, strict=True)]
+            else:
+                parts = self._raw([texts[k] for k in few])
+            for k, p in zip(few, parts, strict=True):
+                out[k] = p
+        return out
+
+    def _cut(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of texts in the form of ``plain``, but for their first pieces if the kind is byte; null for
+        a text with a piece too long to be remembered, or with more pieces than there is room for."""
+        buffer = b"".join(texts)
+        chars = np.frombuffer(buffer, np.uint8)
+        ends = np.flatnonzero(chars == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        first = np.searchsorted(starts, np.cumsum([0] + [len(t) for t in texts]))  # each text's first piece
+        long = ends - starts > _LONGEST
+        if long.any():
+            bad = set((np.searchsorted(first, np.flatnonzero(long), side="right") - 1).tolist())
+            good = iter(self._cut([t for k, t in enumerate(texts) if k not in bad]) if len(bad) < len(texts) else [])
+            return [None if k in bad else next(good) for k in range(len(texts))]
+        h = self.table.hashes(chars, starts)
+        found = self.table.find(h)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            _, at = np.unique(h[0][missing], return_index=True)
+            at = missing[at]
+            if self.table.size + len(at) > self.table.limit:
+                self.table.clear()
+                _, at = np.unique(h[0], return_index=True)
+                if len(at) > self.table.limit:
+                    return [None] * len(texts)
+            words = [buffer[a:b].decode("latin-1") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self.table.add(h[:, at], self._learn(words))
+            found = self.table.find(h)
+        if self.kind == "byte":
+            found[first[:-1]] = self.table.limit  # an entry without ids
+        ids, n = self.table.runs(found)
+        data = ids.astype("<u4", copy=False).tobytes()
+        to = np.concatenate([[0], np.cumsum(n)])[first] * 4
+        return [data[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null."""
-        plain = [t is not None and self.plain(t) for t in texts]
-        pieces = [(t.split(" ") if self.kind == "byte" else t.split()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        head = 1 if self.kind == "byte" else 0  # the first piece of a text has no space before it
-        for _ in range(2):  # again if the memory was full and lost pieces of these texts
-            memo = self.memo
-            new = {w for q in pieces for w in q[head:] if w not in memo}
-            if new:
-                self._learn(list(new))
-        memo = self.memo
-        whole = iter(self._raw([t for t, p in zip(texts, plain, strict=True) if t is not None and not p]))
-        heads = iter(self._raw([q[0] for q, p in zip(pieces, plain, strict=True) if p]) if head else ())
-        out = []
-        for t, p, q in zip(texts, plain, pieces, strict=True):
-            if p:
-                ids = b"".join([memo[w] for w in q[head:]])
-                out.append(next(heads) + ids if head else ids)
-            else:
-                out.append(b"" if t is None else next(whole))
+        out: list[bytes | None] = [b"" if t is None else None for t in texts]
+        held, size = [], 0
+        for k, t in enumerate(texts):
+            p = None if t is None or len(t) > 1 << 21 else self.plain(t)
+            if p is not None:
+                held.append((k, p))
+                size += len(p)
+            if held and (size > 1 << 21 or k == len(texts) - 1):
+                self._encode_plain(held, texts, out)
+                held, size = [], 0
+        if held:
+            self._encode_plain(held, texts, out)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._raw([texts[k] for k in rest]), strict=True):
+            out[k] = ids
         return out
 
+    def _encode_plain(self, held: list[tuple[int, bytes]], texts: list[str | None], out: list[bytes | None]) -> None:
+        found = self._cut([p for _, p in held])
+        if self.kind == "byte":  # the first piece of a text has no space before it
+            heads = self._raw([p[: p.index(b" ")].decode("latin-1") for _, p in held])
+            found = [None if ids is None else head + ids for head, ids in zip(heads, found, strict=True)]
+        for (k, _), ids in zip(held, found, strict=True):
+            out[k] = ids
+
 
 def encoder(path: str, kind: str) -> Encoder:
     """The encoder of this process."""
