@@ -112,22 +112,26 @@ def plan_group(sizes: np.ndarray, capacity: int) -> list[tuple[int, int, int, in
 
 def cut_documents(docs: DataFrame, path: str, kind: str, end_id: int, capacity: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Token ids of every document with ``end_id`` after them, cut to pieces of ``capacity`` ids and
-    a rest. A null text is empty: its document is the end id alone."""
+    a rest; ids as little-endian numbers of ``width`` bytes. A null text is empty: its document is
+    the end id alone."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, kind), np.array([end_id], "<u4").tobytes()
+        narrow = max(enc.largest, end_id) < 1 << 16  # then two bytes an id are shuffled, not four
 
         def each() -> Iterator[dict]:
             for part in parts:
-                for at in range(0, part.num_rows, 256):
-                    some = part.slice(at, 256)
+                for at in range(0, part.num_rows, 512):
+                    some = part.slice(at, 512)
                     cols: dict[str, list] = {f.name: [] for f in _CUT}
                     for k, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                         ids += end
-                        n = len(ids) // 4
+                        n, width = len(ids) // 4, 4
+                        if narrow:
+                            ids, width = np.frombuffer(ids, "<u4").astype("<u2").tobytes(), 2
                         for start in range(0, n, capacity):
-                            piece = ids[4 * start : 4 * (start + capacity)]
-                            for name, value in zip(cols, (k, start, len(piece) // 4, n, piece), strict=True):
+                            piece = ids[width * start : width * (start + capacity)]
+                            for name, value in zip(cols, (k, start, len(piece) // width, n, piece), strict=True):
                                 cols[name].append(value)
                     yield cols
 
@@ -174,8 +178,14 @@ def pack_documents(
             cols: dict[str, list] = {f.name: [] for f in _PACKED}
             first = base + (group << 20)
             group += 1
-            for item, at, length, bin_, offset in plan_group(sizes, capacity):
-                row = (doc_id[item], start[item] + at, length, n[item], ids[item][4 * at : 4 * (at + length)], first + bin_, offset)
+            full, rest = np.flatnonzero(sizes == capacity).tolist(), np.flatnonzero(sizes != capacity).tolist()
+            placed = [(item, 0, capacity, bin_, 0) for bin_, item in enumerate(full)]
+            placed += [(rest[k], at, length, len(full) + bin_, offset) for k, at, length, bin_, offset in plan_group(sizes[rest], capacity)]
+            for item, at, length, bin_, offset in placed:
+                width = len(ids[item]) // int(sizes[item])
+                part = ids[item][width * at : width * (at + length)]
+                part = part if width == 4 else np.frombuffer(part, "<u2").astype("<u4").tobytes()
+                row = (doc_id[item], start[item] + at, length, n[item], part, first + bin_, offset)
                 for name, value in zip(cols, row, strict=True):
                     cols[name].append(value)
             return cols
