@@ -164,6 +164,8 @@ def write_token_files(
     are written each. An empty table writes no documents.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
+    store, top = _file_system(folder)
+    store.create_dir(top, recursive=True)  # an empty table has no task that would
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     tie = F.xxhash64("t")
     rows = rows.repartitionByRange(F.col("k").asc_nulls_first(), tie).sortWithinPartitions(F.col("k").asc_nulls_first(), tie, "t")
@@ -178,8 +180,8 @@ def write_token_files(
         with store.open_output_stream(own) as out:
             to = PlaneWriter(out, planes, block_ids)
             for part in parts:
-                for at in range(0, part.num_rows, 256):
-                    some = part.slice(at, 256)
+                for at in range(0, part.num_rows, 512):
+                    some = part.slice(at, 512)
                     for k, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                         to.add(k, ids + end)
             to.close()
