@@ -9,58 +9,106 @@ Sizes are cut into bands, each reaching up to its first size over t, so that lin
 band or in neighbouring ones. A set is indexed for its own band and for the one below. What a band
 spends goes by cost: small sets have few subsets and often an empty segment, so their segments get
 one-deletion neighbourhoods; large sets, whose neighbourhoods would cost a key for each element, get
-equal segments, with some to spare. The spare ones let each set drop its costliest keys (empty
-segments, passages that many documents share) without losing a link.
+equal segments, with some to spare. As linked sets agree in one segment more than there are to spare,
+a set may drop as many: its empty segments, which agree with any other's.
+
+Large sets are first segmented without the shingles that many documents share (sets differ in their
+rare elements no more than in all), so that no key stands for a common passage alone. A set with so few
+rare ones that it has more empty segments than there are to spare is indexed with all its shingles,
+too; of two linked sets either one can do with its rare ones or both have such keys. Which shingles are
+common is told by a sample of documents; that changes only what the index costs, never what it finds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, joined, mixed, saved, word_hashes
+from .common import as_bytes, joined, mixed, saved
 from .components import connected_components
 
 CELLS = 128  # of the sketch that rules out pairs: how many elements hash to each
 
 
+_BLANK = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+_RANDOM: list[np.ndarray] = []
+
+
+def _random() -> np.ndarray:
+    """A random number for each character at each place (modulo 256) of a word; 0 for the space."""
+    if not _RANDOM:
+        table = np.random.default_rng(20_240_229).integers(0, 2**64, 256 * 256, np.uint64)
+        table[32::256] = 0
+        _RANDOM.append(table)
+    return _RANDOM[0]
+
+
+def shingle_sets(texts: list[bytes | None], n: int = 5) -> list[np.ndarray]:
+    """For each whole text the distinct hashed shingles of ``n`` words, ascending; A-Z count as a-z. Of
+    fewer words the whole sequence is one; without words there is none. Words are hashed for all texts
+    at once, as sums of random numbers of their characters."""
+    parts = [(t or b"").lower().translate(_BLANK) + b" " for t in texts]
+    chars = np.frombuffer(b"".join(parts), np.uint8)
+    ink = chars != 32
+    starts = np.flatnonzero(ink & np.concatenate([[True], ~ink[:-1]])) if len(chars) else np.empty(0, np.int64)
+    if not len(starts):
+        return [np.empty(0, np.uint64)] * len(texts)
+    whole = chars[starts[0] :]
+    at = starts - starts[0]
+    span = np.diff(at, append=len(whole))
+    place = np.arange(len(whole), dtype=np.int32) - np.repeat(at.astype(np.int32), span)
+    h = np.add.reduceat(_random()[(place & 255) * 256 + whole], at)
+    size = np.add.reduceat(ink[starts[0] :].astype(np.int32), at)
+    h = mixed(h + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    runs = h
+    for k in range(1, n):
+        runs = joined(runs[: len(h) - k], h[k:], 40 + k) if len(h) > k else runs[:0]
+    ends = np.searchsorted(starts, np.cumsum([len(p) for p in parts])).tolist()
+    out, first = [], 0
+    for end in ends:
+        if end - first >= n:
+            out.append(np.unique(runs[first : end - n + 1]))
+        else:
+            few = h[first:end][:1]
+            for k in range(first + 1, end):
+                few = joined(few, h[k : k + 1], 70)
+            out.append(few)
+        first = end
+    return out
+
+
 def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
-    """The distinct hashed shingles of ``n`` words of a whole text, ascending; A-Z count as a-z. Of
-    fewer words the whole sequence is one; without words there is none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    h = word_hashes(words)
-    out = joined(h[:-1], h[1:], 41)
-    for k in range(2, n):
-        out = joined(out[: len(h) - k], h[k:], 41 + k)
-    return np.unique(out)
+    """The set of one text."""
+    return shingle_sets([text], n)[0]
 
 
 class Band(NamedTuple):
     """Set sizes from ``low`` to ``high``; the differences that two linked sets can have, whose
-    smaller one is of this band; how they are indexed."""
+    smaller one is of this band; how they are indexed: segments, those to spare for empty ones, and
+    whether segments may differ in one element."""
 
     number: int
     low: int
     high: int
     most: int
     segments: int
-    spare: int
+    spare_empty: int
     deletions: bool
 
 
-def bands(percent: int, largest: int, small: int = 48, spare: float = 0.25) -> list[Band]:
+def bands(percent: int, largest: int, small: int = 48, empty: float = 0.3) -> list[Band]:
     """The bands of all sizes up to ``largest``. ``small``: up to which size one-deletion
-    neighbourhoods cost less than equal segments do."""
+    neighbourhoods cost less than equal segments do. ``empty``: segments to spare for empty ones, as a
+    share of the differences; about as many are empty."""
     out: list[Band] = []
     low = 1
     while low <= largest:
@@ -68,24 +116,36 @@ def bands(percent: int, largest: int, small: int = 48, spare: float = 0.25) -> l
         top = high * 100 // percent
         most = (100 - percent) * (high + top) // (100 + percent)
         if high <= small:
-            out.append(Band(len(out), low, high, most, (most + 2) // 2, 0, True))
+            # with one segment more, two of them differ in one element at most
+            out.append(Band(len(out), low, high, most, (most + 2) // 2 + 1, 1, True))
         else:
-            extra = int(spare * most) + 1
+            extra = int(empty * most) + 1
             out.append(Band(len(out), low, high, most, most + 1 + extra, extra, False))
         low = high + 1
     return out
 
 
+HOT_BITS = 24
+
+
+def _hot_slot(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+
+
 class Scheme:
-    """The keys of sets."""
+    """The keys of sets. ``hot``: a bit for each value of the first bits of a hash, set for those of
+    common shingles."""
 
-    def __init__(self, percent: int) -> None:
-        self.percent, self.bands = percent, bands(percent, 1 << 12)
+    def __init__(self, percent: int, hot: bytes | None = None) -> None:
+        self.percent, self.bands = percent, bands(percent, 1 << 20)
+        self.highs = [b.high for b in self.bands]
+        self.hot = None if hot is None else np.unpackbits(np.frombuffer(hot, np.uint8)).view(bool)
 
     def band(self, n: int) -> int:
-        while self.bands[-1].high < n:
-            self.bands = bands(self.percent, 4 * self.bands[-1].high)
-        return int(np.searchsorted([b.high for b in self.bands], n))
+        while self.highs[-1] < n:
+            self.bands = bands(self.percent, 4 * self.highs[-1])
+            self.highs = [b.high for b in self.bands]
+        return bisect_left(self.highs, n)
 
     def keys(self, found: np.ndarray) -> np.ndarray:
         """The keys of a set of hashes: the last 6 bits tell the band."""
@@ -93,18 +153,52 @@ class Scheme:
             return np.empty(0, np.uint64)
         own = self.band(len(found))
         spread = mixed(found + np.uint64(0x51ED2701))
-        return np.concatenate([self._of(spread, self.bands[k]) for k in range(max(0, own - 1), own + 1)])
-
-    def _of(self, spread: np.ndarray, band: Band) -> np.ndarray:
-        segment = ((spread >> np.uint64(20)) % np.uint64(band.segments)).astype(np.int64)
-        sums = np.zeros(band.segments, np.uint64)
-        np.add.at(sums, segment, spread)
-        label = mixed(np.arange(band.segments, dtype=np.uint64) + np.uint64(band.number << 32))
-        keys = joined(label, sums, 51)
-        if band.deletions:
-            keys = np.unique(np.concatenate([keys, joined(label[segment], sums[segment] - spread, 51)]))
+        rare = spread if self.hot is None else spread[~self.hot[_hot_slot(found)]]
+        out = []
+        for band in self.bands[max(0, own - 1) : own + 1]:
+            if band.deletions:
+                out.append(self._neighbourhoods(spread, band))
+                continue
+            keys, n = self._segments(rare, band, 0)
+            enough = int((n == 0).sum()) <= band.spare_empty
+            if enough or self.hot is not None:
+                out.append(keys[n > 0])
+            if not enough:
+                keys, n = self._segments(spread, band, 1)
+                out.append(keys[n > 0] if int((n == 0).sum()) <= band.spare_empty else keys)
+        return np.concatenate(out)
+
+    @staticmethod
+    def _labels(band: Band, family: int) -> np.ndarray:
+        return mixed(np.arange(band.segments, dtype=np.uint64) + np.uint64((2 * band.number + family) << 32))
+
+    @staticmethod
+    def _marked(keys: np.ndarray, band: Band) -> np.ndarray:
         return keys & ~np.uint64(63) | np.uint64(band.number & 63)
 
+    def _segments(self, spread: np.ndarray, band: Band, family: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key for each segment, and the segments' sizes."""
+        _, sums, n = _sums(spread, band.segments)
+        return self._marked(joined(self._labels(band, family), sums, 51), band), n
+
+    def _neighbourhoods(self, spread: np.ndarray, band: Band) -> np.ndarray:
+        """A key for each segment and for each segment less one element. An empty segment, or one of
+        one element less that, agrees with any other such."""
+        segment, sums, n = _sums(spread, band.segments)
+        label = self._labels(band, 0)
+        keep = int((n <= 1).sum()) > band.spare_empty
+        whole = joined(label, sums, 51)[(n > 0) | keep]
+        less = joined(label[segment], sums[segment] - spread, 51)[(n[segment] > 1) | keep]
+        return self._marked(np.unique(np.concatenate([whole, less])), band)
+
+
+def _sums(spread: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each element's segment, and the sums and sizes of the segments."""
+    segment = ((spread >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
+    sums = np.zeros(segments, np.uint64)
+    np.add.at(sums, segment, spread)
+    return segment, sums, np.bincount(segment, minlength=segments)
+
 
 def sketch(found: np.ndarray) -> bytes:
     """How many elements fall in each cell, up to 255; the sums of the differences of two sketches are
@@ -112,44 +206,142 @@ def sketch(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def _document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc, th, size, s1, s2, sketch)`` of ``(doc, th, text)``: two sums of spread hashes stand for a set."""
-    schema = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary())])
+ODD_WORDS = 4  # 64-bit words of parities
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * ODD_WORDS cells, set if an odd number of elements fall in it; two sets
+    differ in at least as many elements as they differ in bits."""
+    cell = (found >> np.uint64(32)).astype(np.int64) % (64 * ODD_WORDS)
+    odd = np.bincount(cell, minlength=64 * ODD_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+# What is known of a set travels as bytes in one column, which the many rows of keys leave null.
+_PACKED = f"<iqqq{CELLS}s{8 * ODD_WORDS}s"
+_SETS = "doc long, th int, size long, s1 long, s2 long, sketch binary, odd array<long>"
+
+
+def _unpacked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        rows = [struct.unpack(_PACKED, s) for s in part.column("set").to_pylist()]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        odd = [np.frombuffer(o, "<i8").tolist() for o in cols[5]]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.record_batch(
+            [part.column("doc").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), pa.array(odd, pa.list_(pa.int64()))],
+            names=["doc", "th", "size", "s1", "s2", "sketch", "odd"],
+        )
+
+
+def _common(docs: DataFrame, n: int, sample: int, least: int) -> bytes:
+    """The bits of the shingles that ``least`` of about ``sample`` documents (chosen by hash) have; of
+    all documents, if there are fewer. One task counts them, in slots, whatever their number."""
+    total = docs.count()
+    share = int(1_000_000 * min(1.0, sample / max(1, total)))
+    some = docs.where(F.pmod(F.xxhash64("doc", "th"), F.lit(1_000_000)) < share).select("text").repartition(1)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << HOT_BITS, np.uint16)
         for part in parts:
-            rows = []
-            for text in as_bytes(part.column(2)):
-                f = shingles(text, n)
-                sums = [mixed(f + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64) for c in (61, 62)]
-                rows.append((len(f), *sums, sketch(f)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True))], schema=schema)
+            for at in range(0, part.num_rows, 256):
+                for found in shingle_sets(as_bytes(part.column(0).slice(at, 256)), n):
+                    slots = np.unique(_hot_slot(found))
+                    counts[slots] += counts[slots] < 60_000
+        yield pa.record_batch([pa.array([np.packbits(counts >= least).tobytes()], pa.binary())], names=["bits"])
+
+    return bytes(some.mapInArrow(run, "bits binary").first()[0])
 
-    return docs.mapInArrow(run, "doc long, th int, size long, s1 long, s2 long, sketch binary")
 
+def _indexed(docs: DataFrame, n: int, percent: int, hot: bytes) -> DataFrame:
+    """``(key, doc, set)`` of ``(doc, th, text)``, in one pass over the texts: the keys of each document,
+    and a row with its set: its size, two sums of spread hashes that stand for it, and a sketch. The
+    latter has a key of its own that spreads it."""
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("set", pa.binary())])
 
-def _document_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(key, doc)`` of ``(doc, text)``."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+    shipped = docs.sparkSession.sparkContext.broadcast(hot)  # bounded: 2^HOT_BITS bits
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent, shipped.value)
+        for part in parts:
+            for at in range(0, part.num_rows, 256):
+                some = part.slice(at, 256)
+                held, rows, docs_ = [], [], some.column(0).to_pylist()
+                for doc, th, f in zip(docs_, some.column(1).to_pylist(), shingle_sets(as_bytes(some.column(2)), n), strict=True):
+                    sums = [int(mixed(f + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (61, 62)]
+                    rows.append(struct.pack(_PACKED, th, len(f), *sums, sketch(f), parities(f).tobytes()))
+                    held.append(scheme.keys(f) if doc is not None else f[:0])
+                own = np.array([xxhash.xxh3_64_intdigest(r) >> 1 for r in rows], np.int64)
+                yield pa.record_batch([own, pa.array(docs_, pa.int64()), pa.array(rows, pa.binary())], schema=schema)
+                sizes = [len(k) for k in held]
+                who = np.repeat(np.array([d or 0 for d in docs_], np.int64), sizes)
+                keys = np.concatenate(held).view(np.int64)
+                for k in range(0, len(keys), 200_000):
+                    few = keys[k : k + 200_000]
+                    yield pa.record_batch([few, who[k : k + 200_000], pa.nulls(len(few), pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "key long, doc long, set binary")
+
+
+def _paired(few: int) -> Callable:
+    """A task that goes through rows ``(key, doc, set)`` sorted by key. Rows with a set pass. Of a group of
+    up to ``few`` documents all pairs come out (without the key), of a larger one each document with
+    one of them (with the key): the smallest of those in the batch that begins it. Only the last, open
+    group is held, and of that at most ``few`` rows."""
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("other", pa.int64()), ("set", pa.binary())])
+
+    def made(key: np.ndarray | None, doc: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        keys = pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key)
+        return pa.record_batch([keys, pa.array(doc), pa.array(other), pa.nulls(len(doc), pa.binary())], schema=schema)
+
+    def settled(key: np.ndarray, doc: np.ndarray, seen: int, first: int) -> Iterator[pa.RecordBatch]:
+        """Whole groups; of the first one ``seen`` rows came before, with ``first`` for each."""
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(starts, append=len(key))
+        lead, total = np.minimum.reduceat(doc, starts), n.copy()
+        if seen:
+            lead[0], total[0] = first, total[0] + seen
+        size = np.repeat(total, n)
+        big = size > few
+        if big.any():
+            yield made(key[big], doc[big], np.repeat(lead, n)[big])
+        small = np.flatnonzero((size > 1) & ~big)
+        for k in range(1, few):
+            a = small[small + k < len(key)]
+            a = a[key[a] == key[a + k]]
+            if len(a):
+                yield made(None, doc[a], doc[a + k])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent)
+        key, doc, seen, first = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
+        last = None
         for part in parts:
-            held, sizes, docs_, rows = [], [], [], 0
-            for doc, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-                keys = scheme.keys(shingles(text, n))
-                held.append(keys)
-                sizes.append(len(keys))
-                docs_.append(doc)
-                rows += len(keys)
-                if rows > 100_000:
-                    yield pa.record_batch([np.concatenate(held).view(np.int64), np.repeat(np.array(docs_, np.int64), sizes)], schema=schema)
-                    held, sizes, docs_, rows = [], [], [], 0
-            if rows:
-                yield pa.record_batch([np.concatenate(held).view(np.int64), np.repeat(np.array(docs_, np.int64), sizes)], schema=schema)
-
-    return docs.mapInArrow(run, "key long, doc long")
+            sets = part.column("set").is_valid()
+            own = part.filter(sets)
+            if own.num_rows:
+                yield pa.record_batch([pa.nulls(own.num_rows, pa.int64()), own.column("doc"), pa.nulls(own.num_rows, pa.int64()), own.column("set")], schema=schema)
+            rest = part.filter(pc.invert(sets))
+            key = np.concatenate([key, rest.column("key").to_numpy(zero_copy_only=False).astype(np.int64)])
+            doc = np.concatenate([doc, rest.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)])
+            if not len(key):
+                continue
+            seen = seen if key[0] == last else 0
+            at = int(np.searchsorted(key, key[-1]))  # where the open group begins
+            before = seen if at == 0 else 0
+            last = key[-1]
+            if len(key) - at + before > few:
+                lead = first if before else int(doc[at:].min())
+                yield from settled(key, doc, seen, first)
+                seen, first = len(key) - at + before, lead
+                key, doc = key[:0], doc[:0]
+            else:
+                yield from settled(key[:at], doc[:at], seen, first)
+                key, doc, seen = key[at:], doc[at:], 0
+        yield from settled(key, doc, seen if len(key) and key[0] == last else 0, first)
+
+    return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -169,13 +361,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent:
 
     @F.arrow_udf("boolean")
     def verify(ta: pa.Array, tb: pa.Array) -> pa.Array:
-        out, last, of_last = [], None, np.empty(0, np.uint64)
-        for x, y in zip(as_bytes(ta), as_bytes(tb), strict=True):
-            if x != last:
-                last, of_last = x, shingles(x, n)
-            other = shingles(y, n)
-            both = len(np.intersect1d(of_last, other, assume_unique=True))
-            out.append(100 * both >= percent * (len(of_last) + len(other) - both) and both > 0)
+        out = []
+        for at in range(0, len(ta), 512):
+            x, y = as_bytes(ta.slice(at, 512)), as_bytes(tb.slice(at, 512))
+            texts = list({*x, *y})
+            sets_ = dict(zip(texts, shingle_sets(texts, n), strict=True))
+            for f, g in ((sets_[a], sets_[b]) for a, b in zip(x, y, strict=True)):
+                both = len(np.intersect1d(f, g, assume_unique=True))
+                out.append(100 * both >= percent * (len(f) + len(g) - both) and both > 0)
         return pa.array(out, pa.bool_())
 
     texts = docs.select("doc", "text")
@@ -186,55 +379,54 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent:
     return found.where("equal").select("a", "b").union(told)
 
 
-def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: str = "text", key: str = "doc_id", few: int = 3) -> DataFrame:
+def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: str = "text", key: str = "doc_id", few: int = 3, sample: int = 10_000, least: int = 5) -> DataFrame:
     """Every row of ``docs`` with ``_size`` (its number of distinct shingles) and ``_component`` (the
     smallest key that links lead to, its own included). Two documents link when the Jaccard similarity
     of their sets of shingles of ``words`` words is at least ``percent`` hundredths.
 
     Documents that share a key of the index are candidates. In groups of up to ``few`` all pairs are;
-    in a larger one first only the pairs with its smallest document. Groups that these links already
-    join are done. Of the rest each document drops as many keys, the costliest first, as its band has
-    to spare; what is left is paired across components. So copies in thousands cost a pair each, and
-    no link between components is lost.
+    in a larger one first only the pairs with one of its documents. Groups that these links already
+    join are done. In the rest, pairs across components are candidates, but for those whose sizes or
+    parities (which of some cells hold an odd number of a set's elements) tell that they differ in too
+    many. So copies in thousands cost a pair each, and
+    no link between components is lost. ``sample`` and ``least`` say from how many documents the common
+    shingles are told, and how many of these have to have one; that changes costs alone.
 
     A null text or one without words has no shingles and links with nothing. A row with a null key has
     no component and links with nothing. Rows that repeat a key are one document, linked by any of
     their texts. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.hash(F.col(text)).alias("th"), F.col(text).alias("text"))
-    sets = saved(_document_sets(rows, words))
     known = rows.where("doc is not null and text is not null").select("doc", "text")
-    by_key = Window.partitionBy("key")
-    indexed = _document_keys(known, words, percent)
-    indexed = indexed.withColumns({"first": F.first("doc").over(by_key.orderBy("doc")), "group": F.count(F.lit(1)).over(by_key.orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    indexed = indexed.where("group > 1")
-    nexts = F.array(*(F.lead("doc", k).over(by_key.orderBy("doc")) for k in range(1, few)))
-    indexed = indexed.withColumn("others", F.when(F.col("group") <= few, nexts).otherwise(F.array("first")))
-    indexed = saved(indexed.select("key", "doc", "group", "others"))
+    found = _indexed(rows, words, percent, _common(rows, words, sample, least))
+    sorted_ = found.repartition("key").sortWithinPartitions("key")
+    found = saved(sorted_.mapInArrow(_paired(few), "key long, doc long, other long, set binary"))
+    sets = saved(found.where("set is not null").select("doc", "set").mapInArrow(_unpacked, _SETS))
+    indexed = found.where("set is null").select("key", "doc", "other")
 
     usable = sets.where("doc is not null and size > 0")
     usable = usable.dropDuplicates(["doc", "s1", "s2"])
-    pairs = indexed.select("doc", F.explode("others").alias("other")).where("other <> doc").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+    pairs = indexed.where("other <> doc").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
     links = saved(_linked(pairs, usable, known, words, percent).distinct())
     parts = connected_components(links)
 
-    big = indexed.where(F.col("group") > few).select("key", "doc")
+    big = indexed.where("key is not null").select("key", "doc")
     of_doc = parts.select(F.col("node").alias("doc"), "component")
     big = big.join(of_doc, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed_keys = big.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("cost")).where("lo <> hi").select("key", "cost")
+    mixed_keys = big.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     big = saved(big.join(mixed_keys, "key"))
     if not big.isEmpty():
-        band = F.col("key").bitwiseAND(F.lit(63))
-        table = bands(percent, 1 << 40)
-        spare = F.element_at(F.array(*(F.lit(b.spare) for b in table[:64])), (band + 1).cast("int"))
-        costly = Window.partitionBy("doc", band).orderBy(F.desc("cost"), "key")
-        asks = big.withColumn("rank", F.row_number().over(costly)).where(F.col("rank") > spare).select("key", "doc", "component")
-        asked = big.select("key", F.col("doc").alias("other"), F.col("component").alias("component2"))
-        more = asks.join(asked, "key").where("doc > other and component <> component2").select(F.col("other").alias("a"), F.col("doc").alias("b")).distinct()
+        odd = usable.select("doc", "size", *(F.col("odd")[k].alias(f"o{k}") for k in range(ODD_WORDS)))
+        rows_ = big.join(odd, "doc").repartition("key")
+        asked = rows_.select("key", *(F.col(c).alias(f"{c}_") for c in ("doc", "component", "size", *(f"o{k}" for k in range(ODD_WORDS)))))
+        differ = sum((F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"o{k}_"))) for k in range(1, ODD_WORDS)), F.bit_count(F.col("o0").bitwiseXOR(F.col("o0_"))))
+        may = (100 * F.least("size", "size_") >= percent * F.greatest("size", "size_")) & ((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_")))
+        more = rows_.join(asked, "key").where((F.col("doc") > F.col("doc_")) & (F.col("component") != F.col("component_")) & may)
+        more = more.select(F.col("doc_").alias("a"), F.col("doc").alias("b")).distinct()
         links2 = _linked(more, usable, known, words, percent)
         parts = connected_components(links.union(links2).distinct())
     own = sets.select(F.col("doc").alias("_doc2"), F.col("th").alias("_th2"), F.col("size").alias("_size")).dropDuplicates(["_doc2", "_th2"])
-    own = own.join(parts.withColumnRenamed("node", "_doc2"), "_doc2", "left")
+    own = own.join(parts.select(F.col("node").alias("_doc2"), F.col("component").alias("_part")), "_doc2", "left")
     out = docs.withColumns({"_doc": F.col(key).cast("long"), "_th": F.hash(F.col(text))})
     out = out.join(own, F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_th") == F.col("_th2")))
-    return out.select(*docs.columns, "_size", F.coalesce("component", "_doc").alias("_component"))
+    return out.select(*docs.columns, "_size", F.coalesce("_part", "_doc").alias("_component"))
