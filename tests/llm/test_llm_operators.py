@@ -280,9 +280,9 @@ def brute_classes(texts, percent=75):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
-@pytest.mark.parametrize("few", [1, 3])
-def test_jaccard_join(spark, hard, few):
-    got = jaccard_join.jaccard_classes(docs_of(spark, [*hard, (None, hard[0][1]), (None, None)], extra=True), few=few).collect()
+@pytest.mark.parametrize(("few", "least"), [(1, 5), (3, 5), (3, 2), (1, 1)])
+def test_jaccard_join(spark, hard, few, least):
+    got = jaccard_join.jaccard_classes(docs_of(spark, [*hard, (None, hard[0][1]), (None, None)], extra=True), few=few, least=least).collect()
     assert len(got) == len(hard) + 2
     assert {r.doc_id: (r._size, r._component) for r in got if r.doc_id is not None} == brute_classes(hard)
     assert all(r._component is None for r in got if r.doc_id is None)
@@ -300,7 +300,13 @@ def test_jaccard_chains(spark):
 def test_bands_find_every_pair():
     """Sets at the very limit share a key, whatever differs."""
     rng = np.random.default_rng(6)
-    scheme = jaccard_join.Scheme(75)
+    some = np.packbits(rng.random(1 << jaccard_join.HOT_BITS) < 0.5).tobytes()
+    most_ = np.packbits(rng.random(1 << jaccard_join.HOT_BITS) < 0.97).tobytes()
+    for scheme in (jaccard_join.Scheme(75), jaccard_join.Scheme(75, some), jaccard_join.Scheme(75, most_)):
+        every_pair(rng, scheme)
+
+
+def every_pair(rng, scheme):
     for s in [*range(1, 60), 100, 333, 1000]:
         for _ in range(4):
             l_ = int(rng.integers(s, s * 4 // 3 + 1))
@@ -317,6 +323,8 @@ def test_bands_find_every_pair():
                 assert len(np.intersect1d(scheme.keys(a), scheme.keys(b)))
                 x, y = (np.frombuffer(jaccard_join.sketch(f), np.uint8).astype(int) for f in (a, b))
                 assert np.abs(x - y).sum() <= len(a) + len(b) - 2 * both
+                odd = (jaccard_join.parities(a) ^ jaccard_join.parities(b)).tolist()
+                assert sum((o & (2**64 - 1)).bit_count() for o in odd) <= len(a) + len(b) - 2 * both
 
 
 # mixing
@@ -364,6 +372,8 @@ def test_mixing(spark, hard):
         assert mine[0]._source_size == n and mine[0]._target == pytest.approx(targets[s])
         assert abs(sum(r._copies * r._size for r in mine) - targets[s]) <= longest
     assert sorted((str(r.doc_id), r._copies) for r in rows) == sorted((str(r.doc_id), r._copies) for r in mixing.mix_sources(df).collect())
+    spread = mixing.mix_sources(df, cell_docs=3).groupBy("source", "_target").agg(F.sum(F.col("_copies") * F.col("_size")).alias("taken"), F.max("_copies").alias("most")).collect()
+    assert all(r.most <= 2 and abs(r.taken - r._target) <= longest for r in spread)
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r._copies for r in rows)
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
