@@ -33,4 +33,40 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_url_filter": op2_url_filter, "op4_quality": op4_quality, "op7_language_id": op7_language_id}
-ORACLES: dict[str, str] = {}
+
+_ATTRIBUTE = r"""trim(trim(regexp_extract(t, '(?is)\b{0}\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1), '"'''))"""
+_HOST = "translate(regexp_extract(substr({0}, strpos({0}, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(substr({0}, strpos({0}, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+_RULE = """CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END"""
+_VERDICT = "CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END"
+_A = {n: _ATTRIBUTE.replace("{0}", n) for n in ("rel", "href", "http-equiv", "property", "content")}
+OP2_SQL = rf"""
+WITH RECURSIVE tags AS (
+  SELECT url AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM pages WHERE url LIKE '%://%'
+), links AS (
+  SELECT a, replace(b, '&amp;', '&') AS b FROM (
+    SELECT a, CASE WHEN list_contains(regexp_split_to_array(lower({_A["rel"]}), '\s+'), 'canonical') THEN {_A["href"]}
+      WHEN lower({_A["http-equiv"]}) = 'refresh' THEN trim(regexp_extract({_A["content"]}, '(?i)url\s*=\s*[''"]?([^''"]+)', 1))
+      WHEN lower({_A["property"]}) = 'og:url' THEN {_A["content"]} END AS b FROM tags
+  ) WHERE b LIKE '%://%'
+), urls AS (
+  SELECT url, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS node, {_RULE} AS rule FROM (
+    SELECT url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path
+    FROM (SELECT url FROM pages WHERE url LIKE '%://%' UNION SELECT a FROM links UNION SELECT b FROM links))
+), edges AS (
+  SELECT DISTINCT x.node AS a, y.node AS b FROM links l JOIN urls x ON x.url = l.a JOIN urls y ON y.url = l.b
+), reach(a, b) AS (
+  SELECT DISTINCT node, node FROM urls
+  UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON r.b = e.a
+), said AS (
+  SELECT r.a AS node, min({_VERDICT}) AS verdict FROM reach r JOIN urls u ON u.node = r.b GROUP BY r.a
+), p AS (
+  SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN {_HOST.format("url")} ELSE '' END AS host, CASE WHEN url LIKE '%://%' THEN {_PATH.format("url")} ELSE '' END AS path FROM pages
+), j AS (SELECT *, {_RULE} AS rule FROM p)
+SELECT page_id, host, path, rule, coalesce({_VERDICT}, said.verdict, 'allow') AS verdict
+FROM j LEFT JOIN (SELECT DISTINCT url, node FROM urls) u ON u.url = j.url LEFT JOIN said ON said.node = u.node
+"""
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
