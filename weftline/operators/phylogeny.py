@@ -82,7 +82,8 @@ class TreeModel(NamedTuple):
 def _likelihood(node: Node, leaves: dict[str, np.ndarray], seen: dict[str, np.ndarray], steps: dict[float, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Likelihoods (columns x states) below a node, and for which columns something is seen there."""
     if not node.children:
-        return leaves[node.label], seen[node.label]
+        some = next(iter(leaves.values()))  # a leaf without a character is not seen
+        return leaves.get(node.label, some), seen.get(node.label, np.zeros(len(some), bool))
     total, known = None, None
     for child in node.children:
         below, some = _likelihood(child, leaves, seen, steps)
