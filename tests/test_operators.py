@@ -178,6 +178,35 @@ def test_hclust_cut_layout(spark):
     assert CL.layout_dendrogram(merges).count() == 6
 
 
+def test_cut_of_a_deep_dendrogram(spark):
+    n = 300
+    merges = spark.createDataFrame([(1, -1, -2, 1.0)] + [(k, k - 1, -(k + 1), 1.0 / k) for k in range(2, n)], "stage int, left int, right int, sim double")
+    got = {r.leaf: r.cluster for r in CL.cut_dendrogram(merges, 1 / 101).collect()}
+    assert got == {leaf: max(0, leaf - 101) for leaf in range(1, n + 1)}
+
+
+def test_profile_distances_of_all_sequences(spark):
+    from oracle import DATA
+    from weftline.plans import QUERIES, fixtures
+
+    weights = {}
+    for r in K.profile_weights(fixtures.sequences(spark, DATA), k=5, runs=100).where("w is not null").collect():
+        weights.setdefault(r.seq_id, {})[r.kmer] = r.w
+    want = {(i, j): sum(w * b[m] for m, w in a.items() if m in b) for i, a in weights.items() for j, b in weights.items()}
+    got = {(r.i, r.j): r.w for r in QUERIES["profile_distances"](spark, DATA).collect()}
+    assert {k: round(w, 9) for k, w in got.items() if w} == {k: round(w, 9) for k, w in want.items() if w}
+
+
+def test_clustering_of_all_sequences(spark):
+    from oracle import DATA
+    from weftline.plans import QUERIES
+
+    folder = DATA.replace("sf0.001", "sf0.01")  # more than 40 sequences
+    n = spark.read.parquet(f"{folder}/events.parquet").select("user_id").distinct().count()
+    assert n > 40 and QUERIES["hclust"](spark, folder).count() == n - 1
+    assert QUERIES["cut_dendrogram"](spark, folder).count() == n
+
+
 def test_entropy_merge(spark):
     rows = spark.createDataFrame([("x", 0, 1, [0.0]), ("x", 1, 1, [0.1]), ("x", 2, 2, [9.0])], "problem string, row_idx int, count long, p array<double>")
     got = CL.entropy_agglomeration(rows, stop=2).collect()

@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -109,27 +112,35 @@ def hierarchical(matrix: DataFrame, by: str = "problem") -> DataFrame:
     return matrix.select(by, "i", "j", "w").groupBy(by).applyInPandas(run, f"{by} string, stage int, n_clusters int, left int, right int, sim double")
 
 
-def _ancestors(merges: DataFrame) -> DataFrame:
-    """``(leaf, stage, path)``: every node above each leaf; ``path`` is the way to it from the top, 0 for
-    left and 1 for right. Nodes are followed up level by level, with a join for each level."""
-    left = merges.select(F.col("left").alias("child"), F.col("stage").alias("parent"), F.lit("0").alias("side"))
-    up = left.unionByName(merges.select(F.col("right").alias("child"), F.col("stage").alias("parent"), F.lit("1").alias("side")))
-    front = up.where("child < 0").select((-F.col("child")).alias("leaf"), F.col("parent").alias("stage"), "side")
-    out = front
-    while not front.isEmpty():
-        over = up.select(F.col("child").alias("stage"), "parent", F.col("side").alias("over"))
-        front = front.join(over, "stage").select("leaf", F.col("parent").alias("stage"), F.concat("over", "side").alias("side"))
-        out = out.unionByName(front)
-    return out.withColumnRenamed("side", "path")
+def _kept(df: DataFrame) -> DataFrame:
+    """Written where all executors can read, and read back: this cuts the lineage."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-")
+    path = f"{top.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _ways(merges: DataFrame, level: float) -> DataFrame:
+    """``(leaf, way, deep)``: the way from the top to each leaf, 0 for left and 1 for right, and how far
+    over the leaf its topmost node over ``level`` is. Each round joins the ways with themselves, so
+    that they reach twice as far up; rounds are as many as the depth has binary digits."""
+    at = F.when(F.col("sim") > level, 1).alias("deep")
+    side = lambda child, way: merges.select(F.col(child).alias("node"), F.col("stage").alias("up"), F.lit(way).alias("way"), at)
+    ways = _kept(side("left", "0").unionByName(side("right", "1")))
+    while True:
+        over = ways.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("way").alias("_way"), F.col("deep").alias("_deep"))
+        if ways.join(over.select("up"), "up", "left_semi").isEmpty():
+            return ways.where("node < 0").select((-F.col("node")).alias("leaf"), "way", "deep")
+        deep = F.coalesce(F.col("_deep") + F.length("way"), F.col("deep")).alias("deep")
+        ways = _kept(ways.join(over, "up", "left").select("node", F.coalesce("_up", "up").alias("up"), F.concat(F.coalesce("_way", F.lit("")), "way").alias("way"), deep))
 
 
 def cut_dendrogram(merges: DataFrame, level: float) -> DataFrame:
     """``(leaf, cluster)``: nodes with a similarity up to ``level`` are split, all below another is one
     cluster; clusters are numbered from 0 in order from left to right."""
-    above = _ancestors(merges).join(merges.select("stage", "sim"), "stage")
-    # the way from the top to a leaf is the longest path; the topmost node over the level holds it
-    ways = above.groupBy("leaf").agg(F.max_by("path", F.length("path")).alias("way"), F.max(F.when(F.col("sim") > level, F.length("path"))).alias("deep"), F.max(F.length("path")).alias("n"))
-    top = ways.withColumn("node", F.when(F.col("deep").isNull(), F.col("way")).otherwise(F.expr("substring(way, 1, n - deep)")))
+    # the way from the top as far as the topmost node over the level names the cluster
+    top = _ways(merges, level).withColumn("node", F.when(F.col("deep").isNull(), F.col("way")).otherwise(F.expr("substring(way, 1, length(way) - deep)")))
     return top.select("leaf", (F.dense_rank().over(Window.orderBy("node")) - 1).alias("cluster"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources as S
 from .. import streaming
+from ..operators import blocks as B
 from ..operators import clustering as CL
 from ..operators import columns as C
 from ..operators import kmers as K
@@ -85,6 +86,29 @@ def _similarity(spark: SparkSession, d: str) -> DataFrame:
     return Y.mirrored(Y.sparse_dot(cohorts))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences numbered from 0 in order of their ids."""
+    sequences = X.sequences(spark, d)
+    places = B.dense_order(sequences.select("seq_id"), "seq_id").select("seq_id", (F.col("_place") - 1).cast("int").alias("item"))
+    return sequences.join(places, "seq_id").select(F.col("item").alias("seq_id"), "ints")
+
+
+def _pairs(sequences: DataFrame) -> DataFrame:
+    """Pairs of sequences (i up to j) by their counts of 3-mers."""
+    return Y.sparse_dot(K.kmer_counts(sequences, 3).withColumn("w", F.col("count").cast("double")))
+
+
+@query(f"WITH {X.PAIRS_SQL} SELECT i, j, w FROM pairs")
+def sequence_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return Y.mirrored(_pairs(X.sequences(spark, d)))
+
+
+@query(f"""WITH {X.PAIRS_SQL}, s AS (SELECT i, sum(w) AS d FROM pairs WHERE i <> j GROUP BY i)
+SELECT m.i, m.j, round(m.w / sqrt(a.d) / sqrt(b.d), 9) AS w FROM pairs m JOIN s a ON a.i = m.i JOIN s b ON b.i = m.j WHERE m.i <> m.j AND m.w <> 0""")
+def sequence_affinity(spark: SparkSession, d: str) -> DataFrame:
+    return Y.affinity_normalize(Y.mirrored(_pairs(X.sequences(spark, d)))).select("i", "j", F.round("w", 9).alias("w"))
+
+
 @query(f"WITH {X.SIM_SQL} SELECT i, j, w FROM sim")
 def profile_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _similarity(spark, d)
@@ -252,7 +276,7 @@ def entropy_agglomeration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merges(spark: SparkSession, d: str) -> DataFrame:
-    return CL.hierarchical(_similarity(spark, d).select(F.lit("all").alias("problem"), "i", "j", "w"))
+    return CL.hierarchical(_pairs(_items(spark, d)).select(F.lit("all").alias("problem"), "i", "j", "w"))
 
 
 @query()
@@ -276,11 +300,9 @@ def dendrogram_layout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def profile_distances(spark: SparkSession, d: str) -> DataFrame:
-    sequences = X.sequences(spark, d)
     folder = shared_folder(spark)
-    K.profile_weights(sequences, k=2, runs=40).where("w is not null").write.parquet(folder)
-    weights = spark.read.parquet(folder).groupBy((F.col("seq_id") % 40).cast("int").alias("seq_id"), "kmer").agg(F.avg("w").alias("w"))
-    return Y.mirrored(Y.sparse_dot(weights))
+    K.profile_weights(X.sequences(spark, d)).where("w is not null").write.parquet(folder)
+    return Y.mirrored(Y.sparse_dot(spark.read.parquet(folder)))
 
 
 @query(f"WITH {X.SIM_SQL} SELECT i, j, round(w, 6) AS w FROM sim")

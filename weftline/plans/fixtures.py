@@ -123,6 +123,9 @@ SIM_SQL = KMERS_SQL + """, cohort AS (
 ), sim AS (
   SELECT a.g AS i, b.g AS j, sum(a.w * b.w) AS w FROM cohort a JOIN cohort b ON a.kmer = b.kmer GROUP BY ALL
 )"""
+PAIRS_SQL = KMERS_SQL + """, pairs AS (
+  SELECT a.seq_id AS i, b.seq_id AS j, sum(a.count * b.count)::DOUBLE AS w FROM kmers a JOIN kmers b ON a.kmer = b.kmer GROUP BY ALL
+)"""
 FEATURES_SQL = """feat AS (
   SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice, nullif(l_discount, 0.05::DOUBLE) AS l_discount, nullif(l_tax, 0.02::DOUBLE) AS l_tax FROM lineitem
 )"""
