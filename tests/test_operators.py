@@ -166,6 +166,33 @@ def test_similarity(spark):
     assert got == sorted([("IN_a", 1.0), ("OUT_a", 2.0), ("OUT_b", 2.0), ("OUT", 2.0), ("OUT_a", 3.0), ("OUT_b", 3.0), ("OUT", 3.0)])
 
 
+def test_pairs_without_a_common_key(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "a", 2.0), (1, "b", 3.0), (2, "a", 1.0), (2, "b", 1.0)], "seq_id int, kmer string, w double")
+    for block in (512, 1):
+        matrix = Y.complete(Y.sparse_dot(rows), rows, block=block)
+        assert {(r.i, r.j): r.w for r in matrix.collect()} == {(0, 0): 4.0, (0, 1): 0.0, (0, 2): 2.0, (1, 1): 9.0, (1, 2): 3.0, (2, 2): 2.0}
+    labels = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "row_idx int, label string")
+    assert {(r.same, r["mean"], r.n) for r in Y.edge_means(matrix, labels).collect()} == {(True, 0.0, 1), (False, 2.5, 2)}
+    assert ("IN_x", 0.0) in {tuple(r) for r in Y.edge_weights(matrix, labels).collect()}
+    S.matrix_text(Y.mirrored(matrix)).orderBy("i").select("value").write.text(str(tmp_path / "m"))
+    assert {tuple(r) for r in S.read_matrix(spark, str(tmp_path / "m"), labelled=True).collect()} == {tuple(r) for r in Y.mirrored(matrix).collect()}
+
+
+def test_queries_fill_in_zeros(spark, tmp_path):
+    from weftline.plans import QUERIES
+
+    kinds = {7: "aaaa", 9: "bbbb", 50: "abab", 51: "a"}  # the first two share nothing, the last has no 3-mer
+    events = [(f"2024-01-01 00:00:{k:02d}", 100 * u + k, u, e) for u, text in kinds.items() for k, e in enumerate(text)]
+    df = spark.createDataFrame(events, "ts string, event_id long, user_id long, event_type string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    means = QUERIES["sequence_edge_means"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in means) == 6
+    assert QUERIES["sequence_matrix_round_trip"](spark, str(tmp_path)).count() == 16
+    assert QUERIES["profile_distances"](spark, str(tmp_path)).count() == 16
+    assert QUERIES["hclust"](spark, str(tmp_path)).count() == 3
+    assert sum(r.n for r in QUERIES["edge_weights_avg"](spark, str(tmp_path)).collect()) == 6
+
+
 def test_hclust_cut_layout(spark):
     sims = spark.createDataFrame([("x", 0, 1, 0.9), ("x", 0, 2, 0.2), ("x", 1, 2, 0.4)], "problem string, i int, j int, w double")
     got = CL.hierarchical(sims).orderBy("stage").collect()

@@ -83,7 +83,7 @@ def transition_cdf(spark: SparkSession, d: str) -> DataFrame:
 def _similarity(spark: SparkSession, d: str) -> DataFrame:
     counts = K.kmer_counts(X.sequences(spark, d), 3)
     cohorts = counts.groupBy((F.col("seq_id") % 40).cast("int").alias("seq_id"), "kmer").agg(F.sum("count").cast("double").alias("w"))
-    return Y.mirrored(Y.sparse_dot(cohorts))
+    return Y.mirrored(Y.complete(Y.sparse_dot(cohorts), _cohort_labels(spark, d), "row_idx"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +109,38 @@ def sequence_affinity(spark: SparkSession, d: str) -> DataFrame:
     return Y.affinity_normalize(Y.mirrored(_pairs(X.sequences(spark, d)))).select("i", "j", F.round("w", 9).alias("w"))
 
 
+def _sequence_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """``_pairs`` with their zeros."""
+    return Y.complete(_pairs(X.sequences(spark, d)), _users(spark, d))
+
+
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    return X.table(spark, d, "events").select(F.col("user_id").alias("seq_id")).distinct()
+
+
+def _sequence_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _users(spark, d).select(F.col("seq_id").alias("row_idx"), F.concat(F.lit("c"), (F.col("seq_id") % 3).cast("string")).alias("label"))
+
+
+@query(f"""WITH {X.MATRIX_SQL} SELECT unnest(CASE WHEN i % 3 = j % 3 THEN ['IN_c' || (i % 3)] ELSE ['OUT_c' || (i % 3), 'OUT_c' || (j % 3), 'OUT'] END) AS name, w FROM matrix WHERE i < j""")
+def sequence_edge_weights(spark: SparkSession, d: str) -> DataFrame:
+    return Y.edge_weights(_sequence_matrix(spark, d), _sequence_labels(spark, d))
+
+
+@query(f"WITH {X.MATRIX_SQL} SELECT i % 3 = j % 3 AS same, round(avg(w), 6) AS mean, count(*) AS n FROM matrix WHERE i < j GROUP BY 1")
+def sequence_edge_means(spark: SparkSession, d: str) -> DataFrame:
+    return Y.edge_means(_sequence_matrix(spark, d), _sequence_labels(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {X.MATRIX_SQL}, places AS (SELECT id, (row_number() OVER (ORDER BY id) - 1)::INTEGER AS place FROM ids)
+SELECT a.place AS i, b.place AS j, round(w, 6) AS w FROM matrix JOIN places a ON a.id = i JOIN places b ON b.id = j""")
+def sequence_matrix_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    folder, items = shared_folder(spark), _items(spark, d)
+    rows = S.matrix_text(Y.mirrored(Y.complete(_pairs(items), items)))
+    rows.orderBy("i").select("value").write.text(folder)
+    return S.read_matrix(spark, folder, labelled=True).select("i", "j", F.round("w", 6).alias("w"))
+
+
 @query(f"WITH {X.SIM_SQL} SELECT i, j, w FROM sim")
 def profile_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _similarity(spark, d)
@@ -276,7 +308,8 @@ def entropy_agglomeration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merges(spark: SparkSession, d: str) -> DataFrame:
-    return CL.hierarchical(_pairs(_items(spark, d)).select(F.lit("all").alias("problem"), "i", "j", "w"))
+    items = _items(spark, d)
+    return CL.hierarchical(Y.complete(_pairs(items), items).select(F.lit("all").alias("problem"), "i", "j", "w"))
 
 
 @query()
@@ -302,7 +335,7 @@ def dendrogram_layout(spark: SparkSession, d: str) -> DataFrame:
 def profile_distances(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark)
     K.profile_weights(X.sequences(spark, d)).where("w is not null").write.parquet(folder)
-    return Y.mirrored(Y.sparse_dot(spark.read.parquet(folder)))
+    return Y.mirrored(Y.complete(Y.sparse_dot(spark.read.parquet(folder)), _users(spark, d)))
 
 
 @query(f"WITH {X.SIM_SQL} SELECT i, j, round(w, 6) AS w FROM sim")

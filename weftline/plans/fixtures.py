@@ -126,6 +126,9 @@ SIM_SQL = KMERS_SQL + """, cohort AS (
 PAIRS_SQL = KMERS_SQL + """, pairs AS (
   SELECT a.seq_id AS i, b.seq_id AS j, sum(a.count * b.count)::DOUBLE AS w FROM kmers a JOIN kmers b ON a.kmer = b.kmer GROUP BY ALL
 )"""
+MATRIX_SQL = PAIRS_SQL + """, ids AS (SELECT DISTINCT user_id AS id FROM events), matrix AS (
+  SELECT a.id AS i, b.id AS j, coalesce(w, 0) AS w FROM ids a CROSS JOIN ids b LEFT JOIN pairs ON i = a.id AND j = b.id
+)"""
 FEATURES_SQL = """feat AS (
   SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice, nullif(l_discount, 0.05::DOUBLE) AS l_discount, nullif(l_tax, 0.02::DOUBLE) AS l_tax FROM lineitem
 )"""

@@ -108,7 +108,8 @@ def read_matrix(spark: SparkSession, paths: str | list[str], skip_rows: int = 0,
 
 
 def matrix_text(matrix: DataFrame, labelled: bool = True) -> DataFrame:
-    """``(i, value)``: rows of a text matrix, cells with nine decimals at tabs, labels ``V`` and a number."""
+    """``(i, value)``: rows of a text matrix, cells with nine decimals at tabs, labels ``V`` and a number.
+    The matrix has its zeros, as a cell is read by its place."""
     rows = matrix.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("_c"))
     cells = F.transform("_c", lambda c: F.format_string("%.9f", c["w"]))
     return rows.select("i", F.concat_ws("\t", F.format_string("V%d", F.col("i") + 1), cells).alias("value") if labelled else F.array_join(cells, "\t").alias("value"))
