@@ -190,6 +190,28 @@ def test_urls(spark):
     assert {r.page_id: r._verdict for r in url_filter.judge_urls(pages, redirects=more).collect()}[11] == "block"
 
 
+def test_relative_aliases(spark):
+    from urllib.parse import urljoin
+
+    targets = ["/de/x", "x.html", "?p=1", "//bad.net/x", "../up/y?z=/../q", "./", "..", "../../../a", "#f", "http://o.org/a", "a/./b/../c#d", "/a/../b"]
+    bases = ["http://h.org/a/b/c.html?q=1#f", "https://h.org", "http://h.org/a/"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "base string, target string")
+    for r in df.withColumn("got", url_filter.resolve_url(F.col("base"), F.col("target"))).collect():
+        if (r.base, r.target) != ("https://h.org", "#f"):
+            assert r.got.replace("h.org/?p", "h.org?p") == urljoin(r.base, r.target).replace("h.org/?p", "h.org?p"), r
+    odd = spark.createDataFrame([("mailto:x@y",), ("javascript:void(0)",), ("",), (None,)], "target string")
+    assert [r.got for r in odd.select(url_filter.resolve_url(F.lit("http://h.org/a"), F.col("target")).alias("got")).collect()] == [None] * 4
+    rows = [
+        (1, "http://example.com/p", '<link rel="canonical" href="/de/x">'), (2, "http://example.com/de", '<meta http-equiv=refresh content="0; url=de/y.html">'), (3, "https://free.org/", '<link rel=canonical href="//bad.net/x">'),
+        (4, "http://a.org/1/2", '<base href="http://example.com/de/"><meta property="og:url" content="z">'), (5, "http://b.org/de/q", '<link rel=canonical href="?p=1">'), (6, "http://b.org/de/q?p=1", '<link rel=canonical href="//bad.net/q">'),
+        (7, "http://c.org/x", '<link rel=canonical href="mailto:a@bad.net">'), (8, "http://d.org/", '<link rel=canonical href="/fr/1">'),
+        (9, "http://d.org", '<link rel=canonical href="//bad.net/r">'), (10, "http://e.org/", '<link rel=canonical href="//bad.net/s">'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r._verdict for r in url_filter.judge_urls(pages).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "block"}
+
+
 def test_components(spark):
     rng = random.Random(4)
     for n, m in ((30, 20), (200, 190), (50, 0)):

@@ -47,21 +47,58 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(F.regexp_replace(value, "^[\"']|[\"']$", ""))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` parts."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    last = F.element_at(parts, -1)
+    drop = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == "..", drop(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolve_url(base: Column, target: Column) -> Column:
+    """``target`` as named on a page at ``base``: one with a scheme stands by itself; ``//`` keeps the
+    scheme of ``base``, ``/`` its host, ``?`` its path, ``#`` its query too, anything else goes into the
+    folder of its path. Null where ``target`` is empty or of a scheme without ``//``."""
+    scheme = F.regexp_extract(base, "^([^:/?#]+:)//", 1)
+    site = F.regexp_extract(base, "^([^:/?#]+://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "^(.*/)", 1))
+    query = F.regexp_extract(base, "^[^?#]*(\\?[^#]*)", 1)
+    own = F.regexp_extract(target, "^[^?#]*", 0)
+    rest = F.substr(target, F.length(own) + 1)
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, _without_dots(own), rest))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, path, target))
+        .when(F.startswith(target, F.lit("#")), F.concat(site, path, query, target))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(a, b)``: a page's url and the url that it names as its own: a canonical link, a refresh to
-    another url, or an ``og:url``. Only absolute urls count, on either side; a null page names none."""
-    tags = F.regexp_extract_all(F.col(html), F.lit("(?is)<(?:link|meta)\\b[^>]*>"), F.lit(0))
-    tag = pages.where(F.col(url).contains("://")).select(F.col(url).alias("a"), F.explode(tags).alias("_t"))
+    another url, or an ``og:url``. Relative ones are resolved against the page's url or its first
+    ``base`` tag; a page whose url is not absolute names none, nor does a null page."""
+    tags = F.regexp_extract_all(F.col(html), F.lit("(?is)<(?:link|meta|base)\\b[^>]*>"), F.lit(0))
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
+    bases = F.filter("_tags", lambda t: t.rlike("(?is)^<base\\b.*\\bhref\\s*="))
+    tag = pages.where(F.col(url).contains("://")).select(F.col(url).alias("a"), tags.alias("_tags"))
+    tag = tag.select("a", F.get(bases, F.lit(0)).alias("_named"), F.explode("_tags").alias("_t")).where(~F.col("_t").rlike("(?i)^<base"))
+    tag = tag.select("a", "_t", F.coalesce(resolve_url(F.col("a"), plain(_attribute(F.col("_named"), "href"))), F.col("a")).alias("_base"))
     names = {"rel": "rel", "href": "href", "equiv": "http-equiv", "property": "property", "content": "content"}
-    tag = tag.select("a", *(_attribute(F.col("_t"), name).alias(c) for c, name in names.items()))
+    tag = tag.select("a", "_base", *(_attribute(F.col("_t"), name).alias(c) for c, name in names.items()))
     refresh = F.regexp_extract("content", "(?i)url\\s*=\\s*['\"]?([^'\"]+)", 1)
     to = (
         F.when(F.array_contains(F.split(F.lower("rel"), "\\s+"), "canonical"), F.col("href"))
         .when(F.lower("equiv") == "refresh", F.trim(refresh))
         .when(F.lower("property") == "og:url", F.col("content"))
     )
-    found = tag.select("a", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("b"))
-    return found.where(F.col("b").contains("://"))
+    return tag.select("a", "_base", plain(to).alias("_to")).select("a", resolve_url(F.col("_base"), F.col("_to")).alias("b")).where("b is not null")
 
 
 def plain_url(url: Column) -> Column:
