@@ -240,6 +240,23 @@ def test_entropy_merge(spark):
     assert [(r.n_clusters, round(r.h_norm * math.log(2), 4), list(r.assign)) for r in got] == [(2, 0.6931, [0, 0, 1])]
 
 
+def test_agglomeration_of_all_species(spark):
+    from collections import Counter
+
+    from oracle import DATA
+    from weftline.plans import QUERIES, fixtures
+
+    counts = Counter()
+    for r in fixtures.blocks(spark, DATA).collect():
+        counts.update("".join(t).ljust(3, "*") for t in zip(*(c["text"].upper() for c in r.components), strict=True))
+    counts = {k: n for k, n in counts.items() if set(k) <= set("ACGT-*") and k != "***"}
+    often = sum(n >= 10 for n in counts.values())
+    assert 35 < often < len(counts)
+    got = QUERIES["entropy_agglomeration"](spark, DATA).collect()
+    assert {len(r.assign) for r in got} == {often} and {r.n_clusters for r in got} == set(range(5, min(100, often)))
+    assert {r.key for r in QUERIES["ancestral_dists_tree"](spark, DATA).collect()} == set(counts)
+
+
 def test_ancestors_match_enumeration(spark):
     model = P.TreeModel("ACGT-", [0.3, 0.2, 0.2, 0.2, 0.1], [[-1.0 if i == j else 0.25 for j in range(5)] for i in range(5)], P.parse_newick("((a:0.1,b:0.2):0.3,c:0.4);"))
     steps = {t: P.expm(np.array(model.matrix) * t) for t in (0.1, 0.2, 0.3, 0.4)}

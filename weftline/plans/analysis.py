@@ -299,12 +299,40 @@ def ancestral_dists(spark: SparkSession, d: str) -> DataFrame:
     return found.select("key", "count", F.explode(F.arrays_zip(states.alias("state"), F.col("p"))).alias("z")).select("key", "count", F.col("z.state").alias("state"), F.round("z.p", 9).alias("p"))
 
 
+def _tree() -> P.TreeModel:
+    return P.TreeModel("ACGT-", [0.2] * 5, _RATE, P.parse_newick("((hg17:0.1,panTro1:0.3):0.2,mm5:0.4);"))
+
+
+def _step(of: str, to: str, t: float) -> str:
+    """SQL: the chance of ``to`` at the end of a branch; 1 for a wildcard."""
+    return f"CASE {to} WHEN '*' THEN 1.0 WHEN {of} THEN 0.2 + 0.8 * exp({-1.25 * t}) ELSE 0.2 - 0.2 * exp({-1.25 * t}) END"
+
+
+def _tree_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of all species, with wildcards for those that a block lacks, and their root's states."""
+    columns = C.sufficient_statistics(X.blocks(spark, d), X.SPECIES).select("key", "count")
+    return P.ancestral_distributions(columns, _tree(), X.SPECIES).where("p is not null")
+
+
+@query(f"""WITH {X.BLOCKS_SQL}, c AS (SELECT rpad(upper(col), 3, '*') AS key FROM cols), n AS (
+  SELECT key, count(*) AS count FROM c WHERE key NOT LIKE '%#%' AND key NOT LIKE '%=%' AND key <> '***' GROUP BY key
+), s(c) AS (VALUES ('A'), ('C'), ('G'), ('T'), ('-')), l AS (
+  SELECT key, count, r.c, sum({_step("r.c", "m.c", 0.2)} * {_step("m.c", "substr(key, 1, 1)", 0.1)} * {_step("m.c", "substr(key, 2, 1)", 0.3)}) * any_value({_step("r.c", "substr(key, 3, 1)", 0.4)}) AS lik
+  FROM n, s r, s m GROUP BY key, count, r.c
+)
+SELECT key, count, c AS state, round(lik / sum(lik) OVER (PARTITION BY key), 9) AS p FROM l""")
+def ancestral_dists_tree(spark: SparkSession, d: str) -> DataFrame:
+    states = F.array(*map(F.lit, "ACGT-"))
+    rows = _tree_distributions(spark, d).select("key", "count", F.explode(F.arrays_zip(states.alias("state"), F.col("p"))).alias("z"))
+    return rows.select("key", "count", F.col("z.state").alias("state"), F.round("z.p", 9).alias("p"))
+
+
 @query()
 def entropy_agglomeration(spark: SparkSession, d: str) -> DataFrame:
-    blocks = X.blocks(spark, d).withColumn("components", F.slice("components", 1, 2))
-    found = P.ancestral_distributions(C.column_counts(blocks), _star(), ["hg17", "panTro1"]).where("p is not null")
-    rows = found.select(F.lit("all").alias("problem"), F.xxhash64("key").alias("row_idx"), "count", "p")
-    return CL.entropy_agglomeration(rows)
+    folder = shared_folder(spark)
+    _tree_distributions(spark, d).withColumnRenamed("key", "label").write.parquet(folder)
+    rows = N.absorb_infrequent(spark.read.parquet(folder), 10)
+    return CL.entropy_agglomeration(rows.select(F.lit("all").alias("problem"), F.xxhash64("label").alias("row_idx"), "count", "p"))
 
 
 def _merges(spark: SparkSession, d: str) -> DataFrame:
