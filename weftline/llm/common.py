@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -23,13 +24,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name in the folder that all executors share.
 
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset, as in tests on one
-    machine, a temporary folder is set.
+    The session's ``spark.checkpoint.dir`` names it. Where that is unset a session on one machine, as in
+    tests, gets a temporary folder; on a cluster there is no such folder, and this raises.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.sparkContext.getCheckpointDir()
         if not top:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
             top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/weftline-{uuid.uuid4().hex}"
@@ -40,7 +43,32 @@ def saved(df: DataFrame) -> DataFrame:
     is used more than once, and a lost executor takes none of it away."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "saved_at", None):
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def packed_row(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``row``, and columns computed from them: whatever the columns of
+    ``docs`` are called, they don't clash with others."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), *(c.alias(name) for name, c in more.items()))
+
+
+def unpacked_row(rows: DataFrame, docs: DataFrame, **added: str | Column) -> DataFrame:
+    """The columns of ``docs`` again, and those added; one of ``docs`` that is called as an added one goes."""
+    new = {name.lower() for name in added}
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in new]
+    return rows.select(*kept, *((F.col(c) if isinstance(c, str) else c).alias(name) for name, c in added.items()))
 
 
 def crc_text(column: str) -> F.Column:
