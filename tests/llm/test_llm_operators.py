@@ -228,7 +228,21 @@ def test_components(spark):
             root[max(ra, rb)] = min(ra, rb)
         df = spark.createDataFrame([*edges, (None, 3), (5, None)], "a long, b long")
         got = {r.node: r.component for r in components.connected_components(df).collect()}
-        assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+        assert got == {x: find(x) for e in edges for x in e}
+
+
+@pytest.mark.parametrize("order", ["up", "down", "shuffled"])
+def test_components_of_a_path(spark, monkeypatch, order):
+    """A path of 1,000 nodes takes few rounds, whatever the order of its names."""
+    names = list(range(1_000))
+    if order == "shuffled":
+        random.Random(1).shuffle(names)
+    path = names if order != "down" else names[::-1]
+    rounds = []
+    monkeypatch.setattr(components, "saved", lambda df, f=components.saved: rounds.append(1) or f(df))
+    got = components.connected_components(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")).collect()
+    assert len(got) == 1_000 and {r.component for r in got} == {0}
+    assert len(rounds) < 40
 
 
 # substring dedup
@@ -302,35 +316,61 @@ def brute_classes(texts, percent=75):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
-@pytest.mark.parametrize(("few", "least"), [(1, 5), (3, 5), (3, 2), (1, 1)])
-def test_jaccard_join(spark, hard, few, least):
-    got = jaccard_join.jaccard_classes(docs_of(spark, [*hard, (None, hard[0][1]), (None, None)], extra=True), few=few, least=least).collect()
+@pytest.mark.parametrize("tile", [1, 2_048])
+def test_jaccard_join(spark, hard, tile, monkeypatch):
+    monkeypatch.setattr(jaccard_join.set_links, "__defaults__", (75, tile))
+    got = jaccard_join.jaccard_classes(docs_of(spark, [*hard, (None, hard[0][1]), (None, None)], extra=True)).collect()
     assert len(got) == len(hard) + 2
     assert {r.doc_id: (r._size, r._component) for r in got if r.doc_id is not None} == brute_classes(hard)
     assert all(r._component is None for r in got if r.doc_id is None)
 
 
 def test_jaccard_chains(spark):
-    """A chain of neighbours that link while its ends don't, in groups larger than the pairs at once."""
+    """A chain of neighbours that link while its ends don't."""
     words = [f"w{k}" for k in range(500)]
     texts = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(40)] + [(100 + k, " ".join(words[300:360])) for k in range(10)]
-    got = jaccard_join.jaccard_classes(docs_of(spark, texts), few=1).collect()
+    got = jaccard_join.jaccard_classes(docs_of(spark, texts)).collect()
     assert {r.doc_id: (r._size, r._component) for r in got} == brute_classes(texts)
     assert jaccard_join.jaccard_classes(docs_of(spark, [])).count() == 0
 
 
-def test_bands_find_every_pair():
-    """Sets at the very limit share a key, whatever differs."""
-    rng = np.random.default_rng(6)
-    some = np.packbits(rng.random(1 << jaccard_join.HOT_BITS) < 0.5).tobytes()
-    most_ = np.packbits(rng.random(1 << jaccard_join.HOT_BITS) < 0.97).tobytes()
-    for scheme in (jaccard_join.Scheme(75), jaccard_join.Scheme(75, some), jaccard_join.Scheme(75, most_)):
-        every_pair(rng, scheme)
+def test_jaccard_long_words(spark):
+    """Words that differ only in places far from their start, or in the order of long stretches."""
+    a, b = "a" * 256, "b" * 256
+    texts = [(1, a + b), (2, b + a), (3, a + b), (4, " ".join([a + b + str(k) for k in range(30)])), (5, " ".join([b + a + str(k) for k in range(30)])), (6, "x" * 300 + "é"), (7, "X" * 300 + "é"), (8, "x" * 300 + "É")]
+    got = {r.doc_id: r._component for r in jaccard_join.jaccard_classes(docs_of(spark, texts)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8}
+
+
+def test_jaccard_repeated_keys(spark):
+    """A key's texts are one document; a text without words links nothing."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    texts = [(1, x), (2, y), (3, x), (3, y), (4, z), (4, z), (5, z), (6, ""), (6, x + " q"), (7, ""), (8, " ")]
+    got = {(r.doc_id, r.text): (r._size, r._component) for r in jaccard_join.jaccard_classes(docs_of(spark, texts)).collect()}
+    assert {k: c for (k, _), (_, c) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 1, 7: 7, 8: 8}
+    assert got[6, ""] == (0, 1) and got[6, x + " q"] == (27, 1)
 
 
-def every_pair(rng, scheme):
+def test_jaccard_large_group_without_links(spark):
+    """5,000 documents that share a passage (more than half of each) and, in twos or more, all their other
+    stretches, of which no two link; two chains of copies hide among them."""
+    rng = random.Random(5)
+    core = " ".join(f"c{k}" for k in range(60))
+    stretches = [" ".join(f"s{j}x{k}" for k in range(12)) for j in range(2_000)]
+    texts = [(k, " ".join([core, *rng.sample(stretches, 4)])) for k in range(5_000)]
+    texts += [(6_000 + k, texts[7][1] + f" end{k}") for k in range(5)] + [(7_000 + k, texts[9][1] + f" end{k % 2}") for k in range(5)]
+    got = {r.doc_id: r._component for r in jaccard_join.jaccard_classes(docs_of(spark, texts)).collect()}
+    want = {k: k for k in range(5_000)} | {6_000 + k: 7 for k in range(5)} | {7_000 + k: 9 for k in range(5)}
+    assert got == want
+
+
+def test_segments_find_every_pair():
+    """Sets at the very limit meet in a key that the smaller one indexes, whatever differs and whichever
+    segments cost least."""
+    rng = np.random.default_rng(6)
+    scheme = jaccard_join.Scheme(75)
     for s in [*range(1, 60), 100, 333, 1000]:
-        for _ in range(4):
+        for _ in range(6):
             l_ = int(rng.integers(s, s * 4 // 3 + 1))
             most = 25 * (s + l_) // 175
             most -= (most - (l_ - s)) % 2  # what sets of these sizes can differ in
@@ -340,13 +380,19 @@ def every_pair(rng, scheme):
             pool = rng.integers(0, 2**63, s + most + 9).astype(np.uint64)
             a = np.unique(pool[:s])
             b = np.unique(np.concatenate([pool[: s - extra], pool[s : s + l_ - s + extra]]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 75 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(scheme.keys(a), scheme.keys(b)))
-                x, y = (np.frombuffer(jaccard_join.sketch(f), np.uint8).astype(int) for f in (a, b))
-                assert np.abs(x - y).sum() <= len(a) + len(b) - 2 * both
-                odd = (jaccard_join.parities(a) ^ jaccard_join.parities(b)).tolist()
-                assert sum((o & (2**64 - 1)).bit_count() for o in odd) <= len(a) + len(b) - 2 * both
+            both = np.intersect1d(a, b)
+            if 100 * len(both) < 75 * (len(a) + len(b) - len(both)):
+                continue
+            odd = (np.array(jaccard_join.parities(a)) ^ np.array(jaccard_join.parities(b))).tolist()
+            assert sum((o & (2**64 - 1)).bit_count() for o in odd) <= len(a) + len(b) - 2 * len(both)
+            # of what only one of them has, some is in no other text
+            for share in (0, 0.5, 1):
+                x, y = (np.unique(np.concatenate([both, (own := np.setdiff1d(c, both))[rng.random(len(own)) >= share]])) for c in (a, b))
+                assert jaccard_join.may_link(len(a), len(b), len(x), len(y), 75)
+                counts = rng.choice([2.0, 3.0, 1e5], len(x)), rng.choice([2.0, 1e6], len(y))
+                keys, roles = scheme.keys(len(a), x, counts[0])
+                asked, roles_b = scheme.keys(len(b), y, counts[1])
+                assert len(np.intersect1d(keys[roles != jaccard_join.ASKS], asked[roles_b != jaccard_join.INDEXES]))
 
 
 # mixing

@@ -2,79 +2,47 @@
 
 The method is a partition of the universe with the pigeonhole principle. Two sets of s and l elements
 whose Jaccard similarity is at least t differ in at most (1 - t) / (1 + t) * (s + l) elements. Hash the
-elements into more segments than that, and linked sets agree in a whole segment; allow one difference
-in each segment (its one-deletion neighbourhood), and half as many segments do.
-
-Sizes are cut into bands, each reaching up to its first size over t, so that linked sets lie in one
-band or in neighbouring ones. A set is indexed for its own band and for the one below. What a band
-spends goes by cost: small sets have few subsets and often an empty segment, so their segments get
-one-deletion neighbourhoods; large sets, whose neighbourhoods would cost a key for each element, get
-equal segments, with some to spare. As linked sets agree in one segment more than there are to spare,
-a set may drop as many: its empty segments, which agree with any other's.
-
-Large sets are first segmented without the shingles that many documents share (sets differ in their
-rare elements no more than in all), so that no key stands for a common passage alone. A set with so few
-rare ones that it has more empty segments than there are to spare is indexed with all its shingles,
-too; of two linked sets either one can do with its rare ones or both have such keys. Which shingles are
-common is told by a sample of documents; that changes only what the index costs, never what it finds.
+elements into segments: if a set is indexed by more segments than the two differ in, the other set
+agrees with it in one of these; a segment whose one-deletion neighbourhood is indexed counts twice.
+
+* **Sizes** are cut into bands, each reaching up to its first size over t, so that linked sets lie in one
+  band or in neighbouring ones. A band has a number of segments, for all its sets the same.
+* **Frequencies.** An element that only one text has can be in no intersection. All elements are
+  counted once (shuffled by hash, packed); such single ones are left out of the segments and taken off the
+  differences that a set may have, and a set that has more of them than any link allows is not indexed.
+* **Allocation by cost.** A set is indexed by the segments, and the neighbourhoods, that meet the fewest
+  other texts by these counts, as many as its differences ask for; which ones is its own choice,
+  as the larger set of a pair looks up all its segments, and all its neighbourhoods where the
+  band has any.
+* **Verification** intersects the sets of each candidate pair. Elements are hashes of 64 bits (the
+  five 64-bit hashes of whole words, mixed), of which at least 56 and the bucket's bits are kept.
 """
 
 from __future__ import annotations
 
-import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, joined, mixed, saved
+from .common import as_bytes, joined, mixed, packed_row, saved, unpacked_row, word_hashes
 from .components import connected_components
 
-CELLS = 128  # of the sketch that rules out pairs: how many elements hash to each
-
-
-_BLANK = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
-_RANDOM: list[np.ndarray] = []
-
-
-def _random() -> np.ndarray:
-    """A random number for each character at each place (modulo 256) of a word; 0 for the space."""
-    if not _RANDOM:
-        table = np.random.default_rng(20_240_229).integers(0, 2**64, 256 * 256, np.uint64)
-        table[32::256] = 0
-        _RANDOM.append(table)
-    return _RANDOM[0]
-
 
 def shingle_sets(texts: list[bytes | None], n: int = 5) -> list[np.ndarray]:
     """For each whole text the distinct hashed shingles of ``n`` words, ascending; A-Z count as a-z. Of
-    fewer words the whole sequence is one; without words there is none. Words are hashed for all texts
-    at once, as sums of random numbers of their characters."""
-    parts = [(t or b"").lower().translate(_BLANK) + b" " for t in texts]
-    chars = np.frombuffer(b"".join(parts), np.uint8)
-    ink = chars != 32
-    starts = np.flatnonzero(ink & np.concatenate([[True], ~ink[:-1]])) if len(chars) else np.empty(0, np.int64)
-    if not len(starts):
-        return [np.empty(0, np.uint64)] * len(texts)
-    whole = chars[starts[0] :]
-    at = starts - starts[0]
-    span = np.diff(at, append=len(whole))
-    place = np.arange(len(whole), dtype=np.int32) - np.repeat(at.astype(np.int32), span)
-    h = np.add.reduceat(_random()[(place & 255) * 256 + whole], at)
-    size = np.add.reduceat(ink[starts[0] :].astype(np.int32), at)
-    h = mixed(h + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    fewer words the whole sequence is one; without words there is none."""
+    words = [(t or b"").lower().split() for t in texts]
+    h = word_hashes([w for ws in words for w in ws])
     runs = h
     for k in range(1, n):
         runs = joined(runs[: len(h) - k], h[k:], 40 + k) if len(h) > k else runs[:0]
-    ends = np.searchsorted(starts, np.cumsum([len(p) for p in parts])).tolist()
     out, first = [], 0
-    for end in ends:
+    for end in np.cumsum([len(ws) for ws in words]).tolist():
         if end - first >= n:
             out.append(np.unique(runs[first : end - n + 1]))
         else:
@@ -91,55 +59,47 @@ def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
     return shingle_sets([text], n)[0]
 
 
+def may_link(size_a, size_b, shared_a, shared_b, percent: int):  # noqa: ANN001, ANN201  numbers or arrays
+    """Whether sets of these sizes, with so many elements that other texts have, can link at all."""
+    return percent * (size_a + size_b) <= (100 + percent) * np.minimum(shared_a, shared_b)
+
+
 class Band(NamedTuple):
-    """Set sizes from ``low`` to ``high``; the differences that two linked sets can have, whose
-    smaller one is of this band; how they are indexed: segments, those to spare for empty ones, and
-    whether segments may differ in one element."""
+    """Set sizes from ``low`` to ``high``, the segments of these sets, and whether a segment's
+    one-deletion neighbourhood may be indexed."""
 
     number: int
     low: int
     high: int
-    most: int
     segments: int
-    spare_empty: int
     deletions: bool
 
 
-def bands(percent: int, largest: int, small: int = 48, empty: float = 0.3) -> list[Band]:
-    """The bands of all sizes up to ``largest``. ``small``: up to which size one-deletion
-    neighbourhoods cost less than equal segments do. ``empty``: segments to spare for empty ones, as a
-    share of the differences; about as many are empty."""
+def bands(percent: int, largest: int, small: int = 48) -> list[Band]:
+    """The bands of all sizes up to ``largest``. A set is indexed by at most one segment more than it may
+    have differences. Up to size ``small`` there are half as many segments, as each can count twice;
+    the larger bands have a third to spare, from which a set chooses."""
     out: list[Band] = []
     low = 1
     while low <= largest:
         high = low * 100 // percent
-        top = high * 100 // percent
-        most = (100 - percent) * (high + top) // (100 + percent)
-        if high <= small:
-            # with one segment more, two of them differ in one element at most
-            out.append(Band(len(out), low, high, most, (most + 2) // 2 + 1, 1, True))
-        else:
-            extra = int(empty * most) + 1
-            out.append(Band(len(out), low, high, most, most + 1 + extra, extra, False))
+        most = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
+        deletions = high <= small
+        out.append(Band(len(out), low, high, most // 2 + 2 if deletions else (most + 1) * 4 // 3, deletions))
         low = high + 1
     return out
 
 
-HOT_BITS = 24
-
-
-def _hot_slot(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+BOTH, INDEXES, ASKS = 0, 1, 2  # what a set does with a key
+_LAST = 1e12  # what the key of an empty segment is taken to cost
 
 
 class Scheme:
-    """The keys of sets. ``hot``: a bit for each value of the first bits of a hash, set for those of
-    common shingles."""
+    """The keys of sets."""
 
-    def __init__(self, percent: int, hot: bytes | None = None) -> None:
+    def __init__(self, percent: int) -> None:
         self.percent, self.bands = percent, bands(percent, 1 << 20)
         self.highs = [b.high for b in self.bands]
-        self.hot = None if hot is None else np.unpackbits(np.frombuffer(hot, np.uint8)).view(bool)
 
     def band(self, n: int) -> int:
         while self.highs[-1] < n:
@@ -147,286 +107,465 @@ class Scheme:
             self.highs = [b.high for b in self.bands]
         return bisect_left(self.highs, n)
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """The keys of a set of hashes: the last 6 bits tell the band."""
-        if not len(found):
-            return np.empty(0, np.uint64)
-        own = self.band(len(found))
+    def needed(self, size: int, shared: int) -> int:
+        """How many segments index a set of this size, of which so many elements are in other texts, for
+        all larger partners; 0 if it has none of its size or more."""
+        p = self.percent
+        largest = min(100 * size // p, shared * (100 + p) // p - size)
+        return 0 if largest < size else (100 - p) * (size + largest) // (100 + p) - (size - shared) + 1
+
+    def keys(self, size: int, found: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a set and what it does with each. ``found``: those of its elements that other texts
+        have, ``count``: in how many texts each is."""
+        own = self.band(size)
         spread = mixed(found + np.uint64(0x51ED2701))
-        rare = spread if self.hot is None else spread[~self.hot[_hot_slot(found)]]
-        out = []
+        keys, roles = [], []
         for band in self.bands[max(0, own - 1) : own + 1]:
+            segment = ((spread >> np.uint64(20)) % np.uint64(band.segments)).astype(np.int64)
+            sums = np.zeros(band.segments, np.uint64)
+            np.add.at(sums, segment, spread)
+            label = mixed(np.arange(band.segments, dtype=np.uint64) + np.uint64(band.number << 32))
+            whole = joined(label, sums, 51)
+            without = sums[segment] - spread
+            chosen = np.zeros(band.segments, np.int64)
+            if band.number == own and (need := self.needed(size, len(found))):
+                chosen = _allocated(segment, count, band, need)
+            role = np.where(chosen > 0, BOTH, ASKS)
+            keys.append(whole)
+            roles.append(role)
             if band.deletions:
-                out.append(self._neighbourhoods(spread, band))
-                continue
-            keys, n = self._segments(rare, band, 0)
-            enough = int((n == 0).sum()) <= band.spare_empty
-            if enough or self.hot is not None:
-                out.append(keys[n > 0])
-            if not enough:
-                keys, n = self._segments(spread, band, 1)
-                out.append(keys[n > 0] if int((n == 0).sum()) <= band.spare_empty else keys)
-        return np.concatenate(out)
-
-    @staticmethod
-    def _labels(band: Band, family: int) -> np.ndarray:
-        return mixed(np.arange(band.segments, dtype=np.uint64) + np.uint64((2 * band.number + family) << 32))
-
-    @staticmethod
-    def _marked(keys: np.ndarray, band: Band) -> np.ndarray:
-        return keys & ~np.uint64(63) | np.uint64(band.number & 63)
-
-    def _segments(self, spread: np.ndarray, band: Band, family: int) -> tuple[np.ndarray, np.ndarray]:
-        """A key for each segment, and the segments' sizes."""
-        _, sums, n = _sums(spread, band.segments)
-        return self._marked(joined(self._labels(band, family), sums, 51), band), n
-
-    def _neighbourhoods(self, spread: np.ndarray, band: Band) -> np.ndarray:
-        """A key for each segment and for each segment less one element. An empty segment, or one of
-        one element less that, agrees with any other such."""
-        segment, sums, n = _sums(spread, band.segments)
-        label = self._labels(band, 0)
-        keep = int((n <= 1).sum()) > band.spare_empty
-        whole = joined(label, sums, 51)[(n > 0) | keep]
-        less = joined(label[segment], sums[segment] - spread, 51)[(n[segment] > 1) | keep]
-        return self._marked(np.unique(np.concatenate([whole, less])), band)
-
-
-def _sums(spread: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each element's segment, and the sums and sizes of the segments."""
-    segment = ((spread >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
-    sums = np.zeros(segments, np.uint64)
-    np.add.at(sums, segment, spread)
-    return segment, sums, np.bincount(segment, minlength=segments)
-
-
-def sketch(found: np.ndarray) -> bytes:
-    """How many elements fall in each cell, up to 255; the sums of the differences of two sketches are
-    never more than the differences of their sets."""
-    return np.minimum(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
-
-
-ODD_WORDS = 4  # 64-bit words of parities
-
-
-def parities(found: np.ndarray) -> np.ndarray:
-    """A bit for each of 64 * ODD_WORDS cells, set if an odd number of elements fall in it; two sets
+                keys.append(np.unique(joined(label[segment], without, 52)))  # asks with an element less
+                roles.append(np.full(len(keys[-1]), ASKS))
+                twice = chosen[segment] == 2
+                less = np.setdiff1d(joined(label[segment[twice]], without[twice], 51), whole)
+                one_more = joined(label, sums, 52)[chosen == 2]
+                keys += [less, one_more]
+                roles += [np.full(len(less), INDEXES), np.full(len(one_more), INDEXES)]
+        return np.concatenate(keys), np.concatenate(roles)
+
+
+def _allocated(segment: np.ndarray, count: np.ndarray, band: Band, need: int) -> np.ndarray:
+    """How often each segment counts (0, 1, or 2 with its one-deletion neighbourhood), so that they count
+    ``need`` times at the least cost. A key costs a row and at most as many meetings as its rarest
+    element has texts."""
+    n = np.bincount(segment, minlength=band.segments)
+    rank = np.lexsort((count, segment))
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    sorted_ = np.concatenate([count[rank], [0.0, 0.0]])
+    least = np.where(n > 0, sorted_[first], _LAST)  # the rarest element of each segment
+    out = np.zeros(band.segments, np.int64)
+    if not band.deletions:
+        out[np.argsort(least, kind="stable")[:need]] = 1
+        return out
+    second = np.where(n > 1, sorted_[first + 1], _LAST)
+    # without the rarest element the second rarest tells; without any other the rarest does
+    more = 1 + n + least + np.where(n > 0, second + np.maximum(n - 1, 0) * least, 0)
+    cost = np.concatenate([least, np.maximum(more, least)])
+    for k in np.argsort(cost, kind="stable")[:need].tolist():
+        out[k % band.segments] += 1
+    return out
+
+
+WORDS_ODD = 4  # 64-bit words of parities
+
+
+def parities(found: np.ndarray) -> list[int]:
+    """A bit for each of 64 * WORDS_ODD cells, set if an odd number of elements fall in it; two sets
     differ in at least as many elements as they differ in bits."""
-    cell = (found >> np.uint64(32)).astype(np.int64) % (64 * ODD_WORDS)
-    odd = np.bincount(cell, minlength=64 * ODD_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    cell = (mixed(found) >> np.uint64(32)).astype(np.int64) % (64 * WORDS_ODD)
+    odd = np.bincount(cell, minlength=64 * WORDS_ODD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-# What is known of a set travels as bytes in one column, which the many rows of keys leave null.
-_PACKED = f"<iqqq{CELLS}s{8 * ODD_WORDS}s"
-_SETS = "doc long, th int, size long, s1 long, s2 long, sketch binary, odd array<long>"
+# ---- how many texts have each element: texts -> buckets of elements -> texts
 
+_PARCEL = "bucket int, th long, size long, held binary, counts binary, elements binary, codes binary"
+_KINDS = [("bucket", pa.int32()), ("th", pa.int64()), ("size", pa.int64()), ("held", pa.binary()), ("counts", pa.binary()), ("elements", pa.binary()), ("codes", pa.binary())]
 
-def _unpacked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        rows = [struct.unpack(_PACKED, s) for s in part.column("set").to_pylist()]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        odd = [np.frombuffer(o, "<i8").tolist() for o in cols[5]]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.record_batch(
-            [part.column("doc").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), pa.array(odd, pa.list_(pa.int64()))],
-            names=["doc", "th", "size", "s1", "s2", "sketch", "odd"],
-        )
 
+def _parcels(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), _KINDS, strict=True)], schema=pa.schema(_KINDS))
 
-def _common(docs: DataFrame, n: int, sample: int, least: int) -> bytes:
-    """The bits of the shingles that ``least`` of about ``sample`` documents (chosen by hash) have; of
-    all documents, if there are fewer. One task counts them, in slots, whatever their number."""
-    total = docs.count()
-    share = int(1_000_000 * min(1.0, sample / max(1, total)))
-    some = docs.where(F.pmod(F.xxhash64("doc", "th"), F.lit(1_000_000)) < share).select("text").repartition(1)
+
+def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values start, and how long they are."""
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+    return starts, np.diff(starts, append=len(of))
+
+
+def _cut(elements: np.ndarray, bits: int) -> bytes:
+    """Seven bytes of each element; its bucket has the first ``bits`` bits."""
+    return (elements << np.uint64(bits) >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _whole(cut: bytes, bucket: int, bits: int) -> np.ndarray:
+    parts = np.zeros((len(cut) // 7, 8), np.uint8)
+    parts[:, :7] = np.frombuffer(cut, np.uint8).reshape(-1, 7)
+    rest = parts.view("<u8")[:, 0] << np.uint64(8) >> np.uint64(bits)
+    return rest | np.uint64(bucket << (64 - bits)) if bits else rest
+
+
+def _dealt(n: int, bits: int, held_elements: int = 2_000_000) -> Callable:
+    """A task that deals the elements of texts ``(th, text)`` to buckets by their first bits: a row for each
+    bucket and some thousand texts, and a row for each text with its size (its bucket is below 0)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << HOT_BITS, np.uint16)
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(f) for f in held.values()], np.int64)
+            names = np.fromiter(held, np.int64, len(held))
+            elements, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            bucket = (elements >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(elements), np.int32)
+            order = np.argsort(bucket, kind="stable")
+            yield _parcels([(-1 - (th & 1023), th, size, None, None, None, None) for th, size in zip(names.tolist(), sizes.tolist(), strict=True)])
+            rows = []
+            for at, m in zip(*(x.tolist() for x in _runs(bucket[order])), strict=True):
+                own = order[at : at + m]
+                starts, counts = _runs(owner[own])
+                rows.append((int(bucket[own[0]]), None, None, names[owner[own[starts]]].tobytes(), counts.astype("<u4").tobytes(), _cut(elements[own], bits), None))
+            yield _parcels(rows)
+
+        total = 0
         for part in parts:
             for at in range(0, part.num_rows, 256):
-                for found in shingle_sets(as_bytes(part.column(0).slice(at, 256)), n):
-                    slots = np.unique(_hot_slot(found))
-                    counts[slots] += counts[slots] < 60_000
-        yield pa.record_batch([pa.array([np.packbits(counts >= least).tobytes()], pa.binary())], names=["bits"])
-
-    return bytes(some.mapInArrow(run, "bits binary").first()[0])
+                few = part.slice(at, 256)
+                for th, found in zip(few.column(0).to_pylist(), shingle_sets(as_bytes(few.column(1)), n), strict=True):
+                    if len(found) and th not in held:
+                        held[th] = found
+                        total += len(found)
+                if total >= held_elements:
+                    yield from out()
+                    held.clear()
+                    total = 0
+        if held:
+            yield from out()
 
+    return run
 
-def _indexed(docs: DataFrame, n: int, percent: int, hot: bytes) -> DataFrame:
-    """``(key, doc, set)`` of ``(doc, th, text)``, in one pass over the texts: the keys of each document,
-    and a row with its set: its size, two sums of spread hashes that stand for it, and a sketch. The
-    latter has a key of its own that spreads it."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("set", pa.binary())])
 
-    shipped = docs.sparkSession.sparkContext.broadcast(hot)  # bounded: 2^HOT_BITS bits
+def _grouped(settle: Callable) -> Callable:
+    """A task over parcels sorted by bucket: ``settle(bucket, sizes, parcels)`` for each bucket in turn, with
+    the rows ``(th, size)`` and ``(held, counts, elements, codes)`` in it."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent, shipped.value)
+        now, sizes, parcels = None, [], []
         for part in parts:
-            for at in range(0, part.num_rows, 256):
-                some = part.slice(at, 256)
-                held, rows, docs_ = [], [], some.column(0).to_pylist()
-                for doc, th, f in zip(docs_, some.column(1).to_pylist(), shingle_sets(as_bytes(some.column(2)), n), strict=True):
-                    sums = [int(mixed(f + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (61, 62)]
-                    rows.append(struct.pack(_PACKED, th, len(f), *sums, sketch(f), parities(f).tobytes()))
-                    held.append(scheme.keys(f) if doc is not None else f[:0])
-                own = np.array([xxhash.xxh3_64_intdigest(r) >> 1 for r in rows], np.int64)
-                yield pa.record_batch([own, pa.array(docs_, pa.int64()), pa.array(rows, pa.binary())], schema=schema)
-                sizes = [len(k) for k in held]
-                who = np.repeat(np.array([d or 0 for d in docs_], np.int64), sizes)
-                keys = np.concatenate(held).view(np.int64)
-                for k in range(0, len(keys), 200_000):
-                    few = keys[k : k + 200_000]
-                    yield pa.record_batch([few, who[k : k + 200_000], pa.nulls(len(few), pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "key long, doc long, set binary")
-
-
-def _paired(few: int) -> Callable:
-    """A task that goes through rows ``(key, doc, set)`` sorted by key. Rows with a set pass. Of a group of
-    up to ``few`` documents all pairs come out (without the key), of a larger one each document with
-    one of them (with the key): the smallest of those in the batch that begins it. Only the last, open
-    group is held, and of that at most ``few`` rows."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("other", pa.int64()), ("set", pa.binary())])
-
-    def made(key: np.ndarray | None, doc: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
-        keys = pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key)
-        return pa.record_batch([keys, pa.array(doc), pa.array(other), pa.nulls(len(doc), pa.binary())], schema=schema)
-
-    def settled(key: np.ndarray, doc: np.ndarray, seen: int, first: int) -> Iterator[pa.RecordBatch]:
-        """Whole groups; of the first one ``seen`` rows came before, with ``first`` for each."""
-        if not len(key):
+            for bucket, th, size, *parcel in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield from settle(now, sizes, parcels)
+                    now, sizes, parcels = bucket, [], []
+                if th is None:
+                    parcels.append(parcel)
+                else:
+                    sizes.append((th, size))
+                    if now < 0 and len(sizes) >= 50_000:
+                        yield from settle(now, sizes, parcels)
+                        sizes = []
+        if now is not None:
+            yield from settle(now, sizes, parcels)
+
+    return run
+
+
+def _counted(bits: int) -> Callable:
+    """Settles a bucket of elements: how many texts have each. Those that several have go back to their
+    texts, in as many parts as there are buckets, with a code for their number. Copies of a text in
+    several parcels are one text."""
+
+    def settle(bucket: int, sizes: list, parcels: list) -> Iterator[pa.RecordBatch]:
+        mask = (1 << bits) - 1
+        if sizes:
+            yield _parcels([(th & mask, th, size, None, None, None, None) for th, size in sizes])
+        if not parcels:
             return
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(starts, append=len(key))
-        lead, total = np.minimum.reduceat(doc, starts), n.copy()
-        if seen:
-            lead[0], total[0] = first, total[0] + seen
-        size = np.repeat(total, n)
-        big = size > few
+        held = np.concatenate([np.frombuffer(p[0], np.int64) for p in parcels])
+        counts = np.concatenate([np.frombuffer(p[1], "<u4") for p in parcels]).astype(np.int64)
+        elements = np.concatenate([_whole(p[2], bucket, bits) for p in parcels])
+        parcels.clear()
+        once = np.zeros(len(held), bool)
+        once[np.unique(held, return_index=True)[1]] = True
+        elements, held, counts = elements[np.repeat(once, counts)], held[once], counts[once]
+        order = np.argsort(elements)
+        starts, n = _runs(elements[order])
+        code = np.empty(len(elements), np.uint8)
+        code[order] = np.repeat(np.minimum(np.round(8 * np.log2(n)), 255).astype(np.uint8), n)
+        owner = np.repeat(np.arange(len(held)), counts)
+        kept = np.flatnonzero(code)
+        kept = kept[np.argsort(held[owner[kept]] & mask, kind="stable")]
+        to = held[owner[kept]] & mask
+        rows = []
+        for at, m in zip(*(x.tolist() for x in _runs(to)), strict=True):
+            own = kept[at : at + m]
+            first, n = _runs(owner[own])
+            rows.append((int(to[at]), None, None, held[owner[own[first]]].tobytes(), n.astype("<u4").tobytes(), elements[own].tobytes(), code[own].tobytes()))
+        if rows:
+            yield _parcels(rows)
+
+    return settle
+
+
+_SET = "th long, size long, shared long, elements binary, codes binary, odd array<long>"
+
+
+def _gathered(percent: int) -> Callable:
+    """Settles a part of the texts: each once, with the elements that other texts have too and their codes,
+    if so many that it may link, and their parities."""
+    schema = pa.schema([("th", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("elements", pa.binary()), ("codes", pa.binary()), ("odd", pa.list_(pa.int64()))])
+
+    def settle(bucket: int, sizes: list, parcels: list) -> Iterator[pa.RecordBatch]:
+        size_of = dict(sizes)
+        empty = {"elements": None, "codes": None, "odd": None}
+        found: dict[int, dict] = {}
+        if parcels:
+            held = np.concatenate([np.frombuffer(p[0], np.int64) for p in parcels])
+            counts = np.concatenate([np.frombuffer(p[1], "<u4") for p in parcels]).astype(np.int64)
+            elements = np.concatenate([np.frombuffer(p[2], np.uint64) for p in parcels])
+            codes = np.concatenate([np.frombuffer(p[3], np.uint8) for p in parcels])
+            owner = np.repeat(held, counts)
+            order = np.lexsort((elements, owner))
+            for at, n in zip(*(x.tolist() for x in _runs(owner[order])), strict=True):
+                own = order[at : at + n]
+                th = int(owner[own[0]])
+                size = size_of[th]
+                found[th] = {"shared": n} | empty
+                if may_link(size, -(-percent * size // 100), n, n, percent):
+                    found[th] |= {"elements": elements[own].tobytes(), "codes": codes[own].tobytes(), "odd": parities(elements[own])}
+        rows = [{"th": th, "size": size, "shared": 0} | empty | found.get(th, {}) for th, size in size_of.items()]
+        for at in range(0, len(rows), 2_000):
+            yield pa.RecordBatch.from_pylist(rows[at : at + 2_000], schema=schema)
+
+    return settle
+
+
+def text_sets(texts: DataFrame, chars: int, n: int = 5, percent: int = 75, bucket_chars: int = 40_000_000) -> DataFrame:
+    """``(th, size, shared, elements, codes, odd)`` for the texts ``(th, text)`` that have words; texts with
+    one ``th`` are one text. ``chars``: about how many characters there are, for the number of buckets."""
+    bits = max(0, int(chars / bucket_chars)).bit_length()
+    sent = texts.mapInArrow(_dealt(n, bits), _PARCEL).repartition("bucket").sortWithinPartitions("bucket")
+    back = sent.mapInArrow(_grouped(_counted(bits)), _PARCEL).repartition("bucket").sortWithinPartitions("bucket")
+    return saved(back.mapInArrow(_grouped(_gathered(percent)), _SET))
+
+
+# ---- candidates
+
+_KEYED = "key long, role int, id long, size long, shared long"
+_KEYED_SCHEMA = pa.schema([("key", pa.int64()), ("role", pa.int32()), ("id", pa.int64()), ("size", pa.int64()), ("shared", pa.int64())])
+
+
+def _indexed(percent: int) -> Callable:
+    """A task that makes the keys of sets ``(id, size, elements, codes)``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
+        for part in parts:
+            held, n = [], 0
+            for at, (id_, size, elements, codes) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
+                found = np.frombuffer(elements, np.uint64)
+                keys, roles = scheme.keys(size, found, np.exp2(np.frombuffer(codes, np.uint8) / 8))
+                m = len(keys)
+                held.append((keys.view(np.int64), roles.astype(np.int32), np.full(m, id_, np.int64), np.full(m, size, np.int64), np.full(m, len(found), np.int64)))
+                n += m
+                if n >= 100_000 or at == part.num_rows - 1:
+                    yield pa.record_batch([np.concatenate(c) for c in zip(*held, strict=True)], schema=_KEYED_SCHEMA)
+                    held, n = [], 0
+
+    return run
+
+
+class _Pairs:
+    """Pairs of ids, each once for as long as they are held."""
+
+    def __init__(self, limit: int = 500_000) -> None:
+        self.held: list[np.ndarray] = []
+        self.n, self.limit = 0, limit
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        self.n += len(a)
+
+    def taken(self, last: bool = False) -> np.ndarray:
+        if not self.n or (self.n < self.limit and not last):
+            return np.empty((0, 2), np.int64)
+        both = np.unique(np.concatenate(self.held), axis=0)
+        self.held, self.n = [], 0
+        if not last and len(both) < self.limit // 2:
+            self.held, self.n = [both], len(both)
+            return both[:0]
+        return both
+
+
+_STARS = f"{_KEYED}, a long, b long"
+
+
+def _stars(percent: int, piece: int = 200_000) -> Callable:
+    """A task over keyed sets, sorted by key and role. Of each group that an indexing set begins come the
+    pairs of that set with all others, and of groups of three and more their rows too. A group is
+    never held whole: of a long one each piece begins with its first rows again."""
+    schema = pa.schema([*_KEYED_SCHEMA, ("a", pa.int64()), ("b", pa.int64())])
+
+    def settled(rows: list[np.ndarray], pairs: _Pairs) -> Iterator[pa.RecordBatch]:
+        key, role, id_, size, shared = rows
+        starts, n = _runs(key)
+        lead = np.repeat(starts, n)
+        ok = role[lead] != ASKS
+        pair = ok & (id_ != id_[lead]) & may_link(size, size[lead], shared, shared[lead], percent)
+        pairs.add(id_[lead[pair]], id_[pair])
+        big = ok & np.repeat(n > 2, n)
         if big.any():
-            yield made(key[big], doc[big], np.repeat(lead, n)[big])
-        small = np.flatnonzero((size > 1) & ~big)
-        for k in range(1, few):
-            a = small[small + k < len(key)]
-            a = a[key[a] == key[a + k]]
-            if len(a):
-                yield made(None, doc[a], doc[a + k])
+            none = pa.nulls(int(big.sum()), pa.int64())
+            yield pa.record_batch([*(c[big] for c in rows), none, none], schema=schema)
+
+    def told(both: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(both):
+            yield pa.record_batch([*(pa.nulls(len(both), f.type) for f in _KEYED_SCHEMA), both[:, 0], both[:, 1]], schema=schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, seen, first = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
-        last = None
+        pairs, carry = _Pairs(), None
         for part in parts:
-            sets = part.column("set").is_valid()
-            own = part.filter(sets)
-            if own.num_rows:
-                yield pa.record_batch([pa.nulls(own.num_rows, pa.int64()), own.column("doc"), pa.nulls(own.num_rows, pa.int64()), own.column("set")], schema=schema)
-            rest = part.filter(pc.invert(sets))
-            key = np.concatenate([key, rest.column("key").to_numpy(zero_copy_only=False).astype(np.int64)])
-            doc = np.concatenate([doc, rest.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)])
-            if not len(key):
+            rows = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+            if carry is not None:
+                rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
+            if not len(rows[0]):
                 continue
-            seen = seen if key[0] == last else 0
-            at = int(np.searchsorted(key, key[-1]))  # where the open group begins
-            before = seen if at == 0 else 0
-            last = key[-1]
-            if len(key) - at + before > few:
-                lead = first if before else int(doc[at:].min())
-                yield from settled(key, doc, seen, first)
-                seen, first = len(key) - at + before, lead
-                key, doc = key[:0], doc[:0]
-            else:
-                yield from settled(key[:at], doc[:at], seen, first)
-                key, doc, seen = key[at:], doc[at:], 0
-        yield from settled(key, doc, seen if len(key) and key[0] == last else 0, first)
+            at = int(np.searchsorted(rows[0], rows[0][-1]))
+            if at:
+                yield from settled([c[:at] for c in rows], pairs)
+            carry = [c[at:] for c in rows]
+            if len(carry[0]) > piece:
+                yield from settled(carry, pairs)
+                carry = [c[:3] for c in carry]
+            yield from told(pairs.taken())
+        if carry is not None and len(carry[0]):
+            yield from settled(carry, pairs)
+        yield from told(pairs.taken(last=True))
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link: sizes and sketches rule out most that don't; equal sets
-    link at once; the others are compared by their whole texts."""
+def _crossing(percent: int) -> Callable:
+    """A task over rows ``(key, tile, asks, id, component, size, shared, o0 ..)`` sorted by the first three: the
+    pairs of indexing and asking sets of a tile that lie in two components and that sizes, shared
+    elements and parities allow. The indexing sets of a tile are held, the others pass by."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def told(both: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(both):
+            yield pa.record_batch([both[:, 0], both[:, 1]], schema=schema)
+
+    def met(index: list[np.ndarray], ask: list[np.ndarray], pairs: _Pairs) -> None:
+        for at in range(0, len(ask[0]), 512):
+            id_, part, size, shared, *odd = (c[at : at + 512][None, :] for c in ask)
+            id1, part1, size1, shared1, *odd1 = (c[:, None] for c in index)
+            ok = (part1 != part) & may_link(size1, size, shared1, shared, percent)
+            i, j = np.nonzero(ok)
+            differ = sum(np.bitwise_count(x[i, 0] ^ y[0, j]).astype(np.int64) for x, y in zip(odd1, odd, strict=True))
+            both = size1[i, 0] + size[0, j]
+            ok = (100 + percent) * (differ + both - shared1[i, 0] - shared[0, j]) <= (100 - percent) * both
+            pairs.add(id1[i, 0][ok], id_[0, j][ok])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, now, index = _Pairs(), None, None
+        for part in parts:
+            key, tile, asks, *rows = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+            step = np.ones(len(key), bool)
+            step[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]) | (asks[1:] != asks[:-1])
+            for a, b in zip(*(lambda s: (s, [*s[1:], len(key)]))(np.flatnonzero(step).tolist()), strict=True):
+                some = [c[a:b] for c in rows]
+                if (key[a], tile[a]) != now:
+                    now, index = (key[a], tile[a]), None
+                if not asks[a]:
+                    index = some if index is None else [np.concatenate(x) for x in zip(index, some, strict=True)]
+                elif index is not None:
+                    met(index, some, pairs)
+                    yield from told(pairs.taken())
+        yield from told(pairs.taken(last=True))
+
+    return run
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of ids whose sets link, by their intersection."""
 
     @F.arrow_udf("boolean")
-    def near(na: pa.Array, nb: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for s in (sa, sb))
-        return pa.array((100 + percent) * np.abs(x - y).sum(axis=1).astype(np.int64) <= (100 - percent) * (na.to_numpy() + nb.to_numpy()))
+    def near(size_a: pa.Array, size_b: pa.Array, set_a: pa.Array, set_b: pa.Array) -> pa.Array:
+        both = np.array(
+            [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(set_a.to_pylist(), set_b.to_pylist(), strict=True)],
+            np.int64,
+        )
+        return pa.array(100 * both >= percent * (size_a.to_numpy() + size_b.to_numpy() - both))
 
-    side = [sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc", "size", "s1", "s2", "sketch"))).withColumnRenamed(f"doc_{x}", x) for x in "ab"]
+    side = [sets.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("elements").alias(f"set_{x}")) for x in "ab"]
     found = pairs.join(side[0], "a").join(side[1], "b")
-    found = found.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    equal = (F.col("size_a") == F.col("size_b")) & (F.col("s1_a") == F.col("s1_b")) & (F.col("s2_a") == F.col("s2_b"))
-    found = saved(found.withColumn("equal", equal).where(F.col("equal") | near("size_a", "size_b", "sketch_a", "sketch_b")).select("a", "b", "equal"))
+    return found.where(near("size_a", "size_b", "set_a", "set_b")).select("a", "b").distinct()
 
-    @F.arrow_udf("boolean")
-    def verify(ta: pa.Array, tb: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(ta), 512):
-            x, y = as_bytes(ta.slice(at, 512)), as_bytes(tb.slice(at, 512))
-            texts = list({*x, *y})
-            sets_ = dict(zip(texts, shingle_sets(texts, n), strict=True))
-            for f, g in ((sets_[a], sets_[b]) for a, b in zip(x, y, strict=True)):
-                both = len(np.intersect1d(f, g, assume_unique=True))
-                out.append(100 * both >= percent * (len(f) + len(g) - both) and both > 0)
-        return pa.array(out, pa.bool_())
-
-    texts = docs.select("doc", "text")
-    open_ = found.where("not equal").select("a", "b")
-    open_ = open_.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-    open_ = open_.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    told = open_.withColumn("ok", verify("ta", "tb")).where("ok").select("a", "b")
-    return found.where("equal").select("a", "b").union(told)
-
-
-def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: str = "text", key: str = "doc_id", few: int = 3, sample: int = 10_000, least: int = 5) -> DataFrame:
+
+def set_links(sets: DataFrame, percent: int = 75, tile: int = 2_048) -> DataFrame:
+    """``(node, component)`` for the sets ``(id, size, shared, elements, codes, odd)`` that link with others:
+    the smallest id that links lead to.
+
+    First each group of sets with a common key is compared with its first indexing set. Where that
+    leaves several components in a group, each indexing set is compared with each asking set of another
+    component, in tiles of at most about ``tile`` indexing sets; so groups of near copies cost a pair each,
+    and no link between components is lost.
+    """
+    keyed = sets.select("id", "size", "elements", "codes").mapInArrow(_indexed(percent), _KEYED)
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "role", "id")
+    found = saved(keyed.mapInArrow(_stars(percent), _STARS))
+    pairs = saved(found.where("a is not null").select("a", "b").distinct())
+    links = saved(_linked(pairs, sets, percent))
+    parts = connected_components(links)
+
+    grouped = found.where("key is not null").drop("a", "b")
+    of_id = parts.select(F.col("node").alias("id"), "component")
+    grouped = grouped.join(of_id, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.when(F.col("role") != ASKS, 1)).alias("n"))
+    open_ = open_.where("lo <> hi").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    grouped = saved(grouped.join(open_, "key"))
+    if grouped.isEmpty():
+        return parts
+    grouped = grouped.join(sets.select("id", "size", *(F.col("odd")[k].alias(f"o{k}") for k in range(WORDS_ODD))), ["id", "size"])
+    rest = ["id", "component", "size", "shared", *(f"o{k}" for k in range(WORDS_ODD))]
+    index = grouped.where(F.col("role") != ASKS).select("key", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.lit(0).alias("asks"), *rest)
+    ask = grouped.where(F.col("role") != INDEXES).select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("asks"), *rest)
+    tiles = index.union(ask).repartition("key", "tile").sortWithinPartitions("key", "tile", "asks")
+    more = tiles.mapInArrow(_crossing(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = saved(_linked(more, sets, percent))
+    return parts if more.isEmpty() else connected_components(links.union(more))
+
+
+def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` with ``_size`` (its number of distinct shingles) and ``_component`` (the
     smallest key that links lead to, its own included). Two documents link when the Jaccard similarity
     of their sets of shingles of ``words`` words is at least ``percent`` hundredths.
 
-    Documents that share a key of the index are candidates. In groups of up to ``few`` all pairs are;
-    in a larger one first only the pairs with one of its documents. Groups that these links already
-    join are done. In the rest, pairs across components are candidates, but for those whose sizes or
-    parities (which of some cells hold an odd number of a set's elements) tell that they differ in too
-    many. So copies in thousands cost a pair each, and
-    no link between components is lost. ``sample`` and ``least`` say from how many documents the common
-    shingles are told, and how many of these have to have one; that changes costs alone.
-
-    A null text or one without words has no shingles and links with nothing. A row with a null key has
-    no component and links with nothing. Rows that repeat a key are one document, linked by any of
-    their texts. An empty table gives no rows.
+    Equal texts are one text, compared once. A null text or one without words has no shingles and links
+    with nothing. A row with a null key has no component and links with nothing. Rows that repeat a key are
+    one document, linked by any of their texts. An empty table gives no rows. Columns of ``docs`` stay,
+    whatever their names; only one that is called as an added one is replaced by it.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.hash(F.col(text)).alias("th"), F.col(text).alias("text"))
-    known = rows.where("doc is not null and text is not null").select("doc", "text")
-    found = _indexed(rows, words, percent, _common(rows, words, sample, least))
-    sorted_ = found.repartition("key").sortWithinPartitions("key")
-    found = saved(sorted_.mapInArrow(_paired(few), "key long, doc long, other long, set binary"))
-    sets = saved(found.where("set is not null").select("doc", "set").mapInArrow(_unpacked, _SETS))
-    indexed = found.where("set is null").select("key", "doc", "other")
-
-    usable = sets.where("doc is not null and size > 0")
-    usable = usable.dropDuplicates(["doc", "s1", "s2"])
-    pairs = indexed.where("other <> doc").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-    links = saved(_linked(pairs, usable, known, words, percent).distinct())
-    parts = connected_components(links)
-
-    big = indexed.where("key is not null").select("key", "doc")
-    of_doc = parts.select(F.col("node").alias("doc"), "component")
-    big = big.join(of_doc, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed_keys = big.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    big = saved(big.join(mixed_keys, "key"))
-    if not big.isEmpty():
-        odd = usable.select("doc", "size", *(F.col("odd")[k].alias(f"o{k}") for k in range(ODD_WORDS)))
-        rows_ = big.join(odd, "doc").repartition("key")
-        asked = rows_.select("key", *(F.col(c).alias(f"{c}_") for c in ("doc", "component", "size", *(f"o{k}" for k in range(ODD_WORDS)))))
-        differ = sum((F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"o{k}_"))) for k in range(1, ODD_WORDS)), F.bit_count(F.col("o0").bitwiseXOR(F.col("o0_"))))
-        may = (100 * F.least("size", "size_") >= percent * F.greatest("size", "size_")) & ((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_")))
-        more = rows_.join(asked, "key").where((F.col("doc") > F.col("doc_")) & (F.col("component") != F.col("component_")) & may)
-        more = more.select(F.col("doc_").alias("a"), F.col("doc").alias("b")).distinct()
-        links2 = _linked(more, usable, known, words, percent)
-        parts = connected_components(links.union(links2).distinct())
-    own = sets.select(F.col("doc").alias("_doc2"), F.col("th").alias("_th2"), F.col("size").alias("_size")).dropDuplicates(["_doc2", "_th2"])
-    own = own.join(parts.select(F.col("node").alias("_doc2"), F.col("component").alias("_part")), "_doc2", "left")
-    out = docs.withColumns({"_doc": F.col(key).cast("long"), "_th": F.hash(F.col(text))})
-    out = out.join(own, F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_th") == F.col("_th2")))
-    return out.select(*docs.columns, "_size", F.coalesce("_part", "_doc").alias("_component"))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    slim = saved(rows.select("doc", "th", F.coalesce(F.length("text"), F.lit(0)).alias("chars")))
+    chars = slim.agg(F.sum("chars")).first()[0] or 0
+    told = text_sets(rows.where("text is not null").select("th", "text"), chars, words, percent)
+
+    # a text is named by the smallest key that has it
+    names = slim.where("doc is not null").groupBy("th").agg(F.min("doc").alias("id"))
+    names = saved(names.join(told.select("th"), "th"))
+    sets = saved(told.where("elements is not null").join(names, "th").drop("th"))
+    named = slim.where("doc is not null").select("doc", "th").join(names, "th").select("doc", "id").distinct()
+    of_doc = saved(named.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")))
+    parts = set_links(sets, percent)
+    several = of_doc.where("a <> z")
+    if not several.isEmpty():  # keys with several texts join these
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = connected_components(links.union(several.join(named, "doc").select("a", F.col("id").alias("b"))))
+    of_doc = of_doc.join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
+    of_doc = of_doc.select("doc", F.coalesce("component", "a").alias("component"))
+
+    own = slim.select("doc", "th").distinct().join(told.select("th", "size"), "th", "left").join(of_doc, "doc", "left")
+    own = own.select(F.col("doc").alias("doc_"), F.col("th").alias("th_"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("component", "doc").alias("component"))
+    out = packed_row(docs, doc=F.col(key).cast("long"), th=F.xxhash64(F.col(text)))
+    out = out.join(own, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_")))
+    return unpacked_row(out, docs, _size="size", _component="component")
