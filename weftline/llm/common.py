@@ -79,7 +79,7 @@ def crc_text(column: str) -> F.Column:
 class WordHash(dict):
     """64-bit hashes of words, kept for the words met lately."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 200_000) -> None:
         super().__init__()
         self.limit = limit
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def _jumped(step: DataFrame) -> DataFrame:
@@ -13,9 +13,11 @@ def _jumped(step: DataFrame) -> DataFrame:
     path of n steps takes log2(n) passes."""
     while True:
         next_ = step.select(F.col("node").alias("to"), F.col("to").alias("on"))
-        step = saved(step.select("node", "to").join(next_, "to", "left").select("node", F.coalesce("on", "to").alias("to"), F.coalesce(F.col("on") != F.col("to"), F.lit(False)).alias("moved")))
+        moved = F.coalesce(F.col("on") != F.col("to"), F.lit(False)).alias("moved")
+        last, step = step, saved(step.select("node", "to").join(next_, "to", "left").select("node", F.coalesce("on", "to").alias("to"), moved))
+        dropped(last)
         if step.where("moved").isEmpty():
-            return step.select("node", "to")
+            return step
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,20 +33,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     nodes = e.where("a = b").select(F.col("a").alias("node"))
     e = saved(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    out = None
+    out, steps = None, []
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         step = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
-        step = _jumped(step)
+        steps.append(_jumped(step))
+        step = steps[-1].select("node", "to")
         if out is None:
             out = step.withColumnRenamed("to", "component")
         else:
             on = step.select(F.col("node").alias("component"), "to")
-            out = saved(out.join(on, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            steps.append(saved(out.join(on, "component", "left").select("node", F.coalesce("to", "component").alias("component"))))
+            out = steps[-1]
         ends = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        steps.append(e)
         e = e.join(ends, "b").join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
         e = saved(e.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     alone = nodes.distinct().select("node", F.col("node").alias("component"))
-    if out is None:
-        return saved(alone)
-    return saved(out.union(alone.join(out.select("node"), "node", "left_anti")))
+    all_ = saved(alone if out is None else out.union(alone.join(out.select("node"), "node", "left_anti")))
+    dropped(e, *steps)
+    return all_

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, joined, mixed, packed_row, saved, unpacked_row, word_hashes
+from .common import as_bytes, dropped, joined, mixed, packed_row, saved, unpacked_row, word_hashes
 from .components import connected_components
 
 
@@ -205,7 +205,7 @@ def _whole(cut: bytes, bucket: int, bits: int) -> np.ndarray:
     return rest | np.uint64(bucket << (64 - bits)) if bits else rest
 
 
-def _dealt(n: int, bits: int, held_elements: int = 2_000_000) -> Callable:
+def _dealt(n: int, bits: int, held_elements: int = 1_000_000) -> Callable:
     """A task that deals the elements of texts ``(th, text)`` to buckets by their first bits: a row for each
     bucket and some thousand texts, and a row for each text with its size (its bucket is below 0)."""
 
@@ -250,8 +250,8 @@ def _grouped(settle: Callable) -> Callable:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sizes, parcels = None, [], []
-        for part in parts:
-            for bucket, th, size, *parcel in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        for few in (part.slice(at, 64) for part in parts for at in range(0, part.num_rows, 64)):
+            for bucket, th, size, *parcel in zip(*(c.to_pylist() for c in few.columns), strict=True):
                 if bucket != now:
                     if now is not None:
                         yield from settle(now, sizes, parcels)
@@ -291,7 +291,7 @@ def _counted(bits: int) -> Callable:
         starts, n = _runs(elements[order])
         code = np.empty(len(elements), np.uint8)
         code[order] = np.repeat(np.minimum(np.round(8 * np.log2(n)), 255).astype(np.uint8), n)
-        owner = np.repeat(np.arange(len(held)), counts)
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), counts)
         kept = np.flatnonzero(code)
         kept = kept[np.argsort(held[owner[kept]] & mask, kind="stable")]
         to = held[owner[kept]] & mask
@@ -339,7 +339,7 @@ def _gathered(percent: int) -> Callable:
     return settle
 
 
-def text_sets(texts: DataFrame, chars: int, n: int = 5, percent: int = 75, bucket_chars: int = 40_000_000) -> DataFrame:
+def text_sets(texts: DataFrame, chars: int, n: int = 5, percent: int = 75, bucket_chars: int = 16_000_000) -> DataFrame:
     """``(th, size, shared, elements, codes, odd)`` for the texts ``(th, text)`` that have words; texts with
     one ``th`` are one text. ``chars``: about how many characters there are, for the number of buckets."""
     bits = max(0, int(chars / bucket_chars)).bit_length()
@@ -524,6 +524,7 @@ def set_links(sets: DataFrame, percent: int = 75, tile: int = 2_048) -> DataFram
     open_ = open_.where("lo <> hi").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     grouped = saved(grouped.join(open_, "key"))
     if grouped.isEmpty():
+        dropped(found, pairs, links, grouped)
         return parts
     grouped = grouped.join(sets.select("id", "size", *(F.col("odd")[k].alias(f"o{k}") for k in range(WORDS_ODD))), ["id", "size"])
     rest = ["id", "component", "size", "shared", *(f"o{k}" for k in range(WORDS_ODD))]
@@ -532,7 +533,9 @@ def set_links(sets: DataFrame, percent: int = 75, tile: int = 2_048) -> DataFram
     tiles = index.union(ask).repartition("key", "tile").sortWithinPartitions("key", "tile", "asks")
     more = tiles.mapInArrow(_crossing(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = saved(_linked(more, sets, percent))
-    return parts if more.isEmpty() else connected_components(links.union(more))
+    parts = parts if more.isEmpty() else connected_components(links.union(more))
+    dropped(found, pairs, links, grouped, more)
+    return parts
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -557,6 +560,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: st
     named = slim.where("doc is not null").select("doc", "th").join(names, "th").select("doc", "id").distinct()
     of_doc = saved(named.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")))
     parts = set_links(sets, percent)
+    dropped(sets)
     several = of_doc.where("a <> z")
     if not several.isEmpty():  # keys with several texts join these
         links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))

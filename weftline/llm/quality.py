@@ -24,7 +24,7 @@ class _Tokens(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         shape = _RUN.sub(rb"\1", word.translate(_KINDS))
         self[word] = value = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape)
