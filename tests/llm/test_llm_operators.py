@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weftline.llm import common, components, embeddings, jaccard_join, language, mixing, packing, quality, substring_dedup, token_files, tokens, url_filter
 
@@ -43,7 +44,7 @@ def hard_texts(seed=0):
         elif kind < 0.6:
             t = t.upper()
         out.append((k, t))
-    out += [(70, None), (71, ""), (72, " \n\t "), (73, "same " * 3000), (74, "same " * 2999), (75, "日本語 のテキスト です 。 " * 8)]
+    out += [(70, None), (71, ""), (72, " \n\t "), (73, "same " * 3000), (74, "same " * 2999), (75, "日本語 のテキスト です 。 " * 8), (76, "<|endoftext|> x <|startoftext|>")]
     return out
 
 
@@ -57,15 +58,17 @@ def hard(spark):
 
 def test_tokens_equal_the_library():
     rng = random.Random(2)
-    texts = ["", None, " ", "a  b", "a   b", "x \n y", "a\n\n\nb", "\nx", "x\n", "x\n\n", "end.\n\nNext it's", "a\tb", "日本 é İ", "don't!'s", "<|endoftext|> x", "thnd*** a.. b!?"]
+    texts = ["", None, " ", "a  b", "a   b", "x \n y", "a\n\n\nb", "\nx", "x\n", "x\n\n", "end.\n\nNext it's", "a\tb", "日本 é İ", "don't!'s", "<|endoftext|> x", "thnd*** a.. b!?", "<|startoftext|>a b<|endoftext|>", "a <|ENDOFTEXT|> b", "x<|endoftext|><|endoftext|>", "<| endoftext |>", "a" * 300 + " b"]
+    texts.append("one more word of a text of over two million letters " * 45_000)
     texts += ["".join(rng.choice(" \n \t.*ab'sA0é!<|中ß") for _ in range(rng.randint(0, 16))) for _ in range(1500)]
     texts += [" ".join(rng.choice(["the", "The", "thnd***", "erinn,", "l'été", "x0y", "A.\nB"]) for _ in range(50)) for _ in range(50)]
     for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        plain = Tokenizer.from_file(tokens.tokenizer_path(name))
         for limit in (600_000, 40):
             enc = tokens.Encoder(tokens.tokenizer_path(name), kind, limit)
             for at in range(0, len(texts), 100):
                 some = texts[at : at + 100]
-                want = [b"" if t is None else np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+                want = [b"" if t is None else np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
                 assert enc.encode(some) == want
 
 
@@ -110,8 +113,8 @@ def check_pieces(rows, lengths, capacity):
 def test_packing(spark, hard):
     path = tokens.tokenizer_path("byte_bpe_50k.json")
     rows = packing.pack_documents(docs_of(spark, hard, extra=True), group_pieces=16).collect()
-    enc = tokens.Encoder(path, "byte")
-    ids = {k: np.append(np.frombuffer(b, "<u4"), 0) for (k, _), b in zip(hard, enc.encode([t for _, t in hard]), strict=True)}
+    plain = Tokenizer.from_file(path)
+    ids = {k: np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for k, t in hard}
     check_pieces([(r.doc_id, r.start, r.length, r.sequence_id, r.offset, r.doc_tokens) for r in rows], {k: len(v) for k, v in ids.items()}, 1024)
     for r in rows:
         assert bytes(r.ids) == ids[r.doc_id][r.start : r.start + r.length].astype("<u4").tobytes()
@@ -153,8 +156,8 @@ def test_token_files(spark, hard, tmp_path):
     folder = str(tmp_path / "a")
     token_files.write_token_files(docs_of(spark, texts, extra=True), folder, planes="bit", block_ids=100).collect()
     got = token_files.read_token_files(spark, folder).collect()
-    enc = tokens.Encoder(tokens.tokenizer_path("word_bpe_49k.json"), "word")
-    want = sorted((-1 if k is None else k, b + np.array([1], "<u4").tobytes()) for (k, _), b in zip(texts, enc.encode([t for _, t in texts]), strict=True))
+    plain = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
+    want = sorted((-1 if k is None else k, np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for k, t in texts)
     assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in got) == want
     at = 0
     for r in sorted(got, key=lambda r: r.start):

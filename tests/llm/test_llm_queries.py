@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import DATA, compare  # noqa: E402
@@ -25,14 +26,14 @@ def test_one_query_of_each_number():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-def ids_of(spark, name, kind, end):
+def ids_of(spark, name, end):
     docs = read(spark, DATA, "documents").select("doc_id", "text").collect()
-    tok = tokens.Encoder(tokens.tokenizer_path(name), kind).tok
+    tok = Tokenizer.from_file(tokens.tokenizer_path(name))
     return {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, end], "<u4") for r in docs}
 
 
 def test_packing(spark):
-    want = ids_of(spark, "byte_bpe_50k.json", "byte", 0)
+    want = ids_of(spark, "byte_bpe_50k.json", 0)
     rows = queries.QUERIES["op1_packing"](spark, DATA).collect()
     assert sum(r.length for r in rows) == sum(map(len, want.values()))
     for r in rows:
@@ -41,7 +42,7 @@ def test_packing(spark):
 
 
 def test_token_files(spark):
-    want, at = ids_of(spark, "word_bpe_49k.json", "word", 1), 0
+    want, at = ids_of(spark, "word_bpe_49k.json", 1), 0
     rows = {r.doc_id: r for r in queries.QUERIES["op10_token_files"](spark, DATA).collect()}
     for k in sorted(want):
         assert (rows[k].start, rows[k].n_tokens, rows[k].ids_crc32) == (at, len(want[k]), zlib.crc32(want[k].tobytes()))

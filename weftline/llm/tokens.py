@@ -93,8 +93,8 @@ class Encoder:
 
     All ids come from that library. Texts of plain Latin letters are cut where the tokenizer cannot
     join anything, at spaces and ends of lines; each piece is encoded once, many at a time, and
-    remembered (up to ``limit`` pieces). Any other text is encoded as it is. The strings of special
-    tokens in a text are ordinary text.
+    remembered (up to ``limit`` pieces). Any other text is encoded as it is, among them all that might hold
+    the string of a special token, which the library by default makes that token.
 
     ``kind``: "byte" for a byte-level vocabulary that keeps spaces at the start of its tokens; "word"
     for one that drops white space and ends words.
@@ -105,7 +105,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.kind, self.table = kind, PieceTable(limit)
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.largest = max(vocabulary.values())
