@@ -155,7 +155,10 @@ def test_token_files(spark, hard, tmp_path):
     texts = [*hard, (None, "no key"), (3, "again")]
     folder = str(tmp_path / "a")
     token_files.write_token_files(docs_of(spark, texts, extra=True), folder, planes="bit", block_ids=100).collect()
-    got = token_files.read_token_files(spark, folder).collect()
+    read = token_files.read_token_files(spark, folder)
+    got = read.collect()
+    files = len(list((tmp_path / "a").glob("*.planes")))
+    assert files > 1 and read.where("length(ids) >= 0").select(F.spark_partition_id()).distinct().count() > 1
     plain = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
     want = sorted((-1 if k is None else k, np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for k, t in texts)
     assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in got) == want

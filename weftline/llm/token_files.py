@@ -236,4 +236,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = found.mapInArrow(indexes, "path string, length long, ids long")
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("path", "length", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
-    return files.repartition(F.col("path")).mapInArrow(chunks, out)
+    # as many partitions as there are files: a number of its own, which is not folded into fewer
+    return files.repartitionByRange(max(1, found.count()), "path").mapInArrow(chunks, out)
