@@ -154,7 +154,7 @@ def test_planes_round_trip(kind, tmp_path):
 def test_token_files(spark, hard, tmp_path):
     texts = [*hard, (None, "no key"), (3, "again")]
     folder = str(tmp_path / "a")
-    token_files.write_token_files(docs_of(spark, texts, extra=True), folder, planes="bit", block_ids=100).collect()
+    token_files.write_token_files(docs_of(spark, texts, extra=True), folder, planes="bit", block_ids=100, files=3).collect()
     read = token_files.read_token_files(spark, folder)
     got = read.collect()
     files = len(list((tmp_path / "a").glob("*.planes")))

@@ -149,13 +149,14 @@ def write_token_files(
     end_id: int = 1,
     planes: str = "byte",
     block_ids: int = 65536,
+    files: int | None = None,
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
     """Encode whole texts and write them to token files in ``folder``, in ascending order of ``key``.
 
     Documents are dealt to ranges of keys (ties by a hash of the text, so that a key with very many
-    rows is split too); each task writes the file of its range under a name of its own try and then
+    rows is split too), ``files`` of them if given, else as Spark sizes its partitions; each task writes the file of its range under a name of its own try and then
     renames it, so that a task that runs again leaves a whole file. ``folder`` has to be a place
     that every executor can write to. Returns one row for each file: ``(file_no, ids, docs)``; it
     runs when it is read, so read it once.
@@ -168,7 +169,8 @@ def write_token_files(
     store.create_dir(top, recursive=True)  # an empty table has no task that would
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     tie = F.xxhash64("t")
-    rows = rows.repartitionByRange(F.col("k").asc_nulls_first(), tie).sortWithinPartitions(F.col("k").asc_nulls_first(), tie, "t")
+    order = [F.col("k").asc_nulls_first(), tie]
+    rows = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(F.col("k").asc_nulls_first(), tie, "t")
     schema = pa.schema([("file_no", pa.int64()), ("ids", pa.int64()), ("docs", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
