@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, saved, unpacked_row
 
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (3, 1, 2)
@@ -41,6 +41,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix_sources(
     docs: DataFrame,
+    columns: list[str] | None = None,
+    **options: object,
+) -> DataFrame:
+    """Every row of ``docs`` (its ``columns``; all of them by default) with ``_size``,
+    ``_source_size``, ``_target`` and ``_copies``, by the options of ``_sampled``, which says how.
+
+    Null texts have size 0; null sources are one source, last in order; null or repeated keys only
+    share a place in the order, which then goes by text and other ties are alike in every respect
+    that counts. An empty table gives no rows. Columns of ``docs`` stay, whatever their names; only one
+    that is called as an added one is replaced by it.
+    """
+    kept = docs if columns is None else docs.select(*columns)
+    return unpacked_row(_sampled(docs, kept.columns, **options), kept, _size="size", _source_size="source_size", _target="target", _copies="copies")
+
+
+def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it was drawn."""
+    rows = _sampled(docs, docs.columns, **options).where("copies > 0")
+    return unpacked_row(rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
+
+
+def _sampled(
+    docs: DataFrame,
+    columns: list[str],
     text: str = "text",
     key: str = "doc_id",
     source: str = "source",
@@ -48,64 +72,41 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 0,
-    offsets: int = 32,
     cell_docs: int = 100_000,
-    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Every row of ``docs`` (its ``columns``; all of them by default) with ``_size``,
-    ``_source_size``, ``_target`` and ``_copies``.
+    """``row`` (the ``columns`` of a row of ``docs``), ``size``, ``source_size``, ``target`` and ``copies``.
 
     Systematic sampling: a document is expected ``target / source_size`` times; the running sum of
     these in its source, from one random offset on, crosses an integer once for each copy. So no
     document comes more often than the rate rounded up, and never more than ``most`` times. The order
-    in a source goes by size class, then by a hash, then by size, so that each stretch holds like
-    documents; the offset is the one of ``offsets`` seeded draws that brings the source's words
-    nearest to its target.
+    in a source goes by size class, then by a hash bucket, then by size, so that each stretch holds like
+    documents and the words taken come near the target whatever the offset, which is one seeded draw
+    for each source; over seeds a document comes as often as it is expected.
 
     Ranks come from counts of small cells (source, size class, hash bucket) and ranks in a cell, so a
-    hot source is never sorted in one task. Documents of size 0 are expected alike and take no words.
-    Null texts have size 0; null sources are one source, last in order; null or repeated keys only
-    share a place in the order, which then goes by text and other ties are alike in every respect
-    that counts. An empty table gives no rows. Columns of ``docs`` stay; those added start with ``_``.
-    """
+    hot source is never sorted in one task. A class is a number of binary digits and the five after the
+    first, so there are 32 for each doubling of the size, however many documents. Documents of size 0 are expected alike and take no words.    """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"_size": size, "_h": _hashed(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))})
-    bits = F.length(F.bin("_size"))  # the class: the number of binary digits and the three first of them
-    rows = rows.withColumn("_class", bits * 8 + F.expr("shiftright(shiftleft(_size, 2), length(bin(_size)) - 1)").cast("int"))
-    columns = docs.columns if columns is None else columns
-    rows = saved(rows.select(*columns, F.col(key).cast("string").alias("_key"), F.col(source).alias("_source"), "_size", "_class", "_h"))
-    slim = rows.select("_source", "_size", "_class", "_h")
+    tie = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    rows = docs.select(row, F.col(key).cast("string").alias("key"), F.col(source).alias("source"), size.alias("size"), _hashed(F.lit(str(seed)), tie).alias("h"))
+    bits = F.length(F.bin("size"))  # with the first digits, counted in 32nds
+    rows = rows.withColumn("class", bits * 32 + F.expr("shiftright(shiftleft(size, 5), length(bin(size)) - 1)").cast("int"))
+    rows = saved(rows)
     # sizes of the sources, and from them targets and the number of hash buckets
-    sizes = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
-    targets = source_targets(sizes, weights, share, most).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.ceil(F.col("source_docs") / cell_docs).cast("long").alias("_buckets")
-    )
-    rows = rows.join(targets.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_bucket", F.col("_h") % F.col("_buckets"))
-    rows = rows.withColumn("_rate", F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0)))
-    cell = ["_source", "_class", "_bucket"]
-    in_cell = Window.partitionBy(*cell).orderBy("_size", "_h", "_key")
-    rows = rows.withColumn("_rank", F.row_number().over(in_cell))
-    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    in_source = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in cell), F.coalesce(F.sum("_n").over(in_source), F.lit(0)).alias("_before"))
-    same = F.col("_source").eqNullSafe(F.col("_source_")) & (F.col("_class") == F.col("_class_")) & (F.col("_bucket") == F.col("_bucket_"))
-    rows = rows.join(counts, same).drop("_source_", "_class_", "_bucket_").withColumn("_at", F.col("_before") + F.col("_rank"))
-
-    def crossed(offset: Column) -> Column:
-        return F.floor(F.col("_at") * F.col("_rate") + offset) - F.floor((F.col("_at") - 1) * F.col("_rate") + offset)
-
-    name = F.coalesce(F.col("_source"), F.lit(""))
-    draw = [_hashed(F.lit(f"{seed}:{k}"), name) / 4294967296.0 for k in range(offsets)]
-    drawn = rows.groupBy("_source", "_target").agg(*(F.sum(F.col("_size") * crossed(d)).alias(f"_t{k}") for k, d in enumerate(draw)))
-    tried = F.array(*(F.struct(F.abs(F.col(f"_t{k}") - F.col("_target")).alias("off"), F.lit(k).alias("k"), d.alias("u")) for k, d in enumerate(draw)))
-    chosen = drawn.select(F.col("_source").alias("_s"), F.array_min(tried)["u"].alias("_u"))
-    rows = rows.join(chosen, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_copies", F.least(crossed(F.col("_u")), F.lit(int(most))).cast("int"))
-    return rows.select(*columns, "_size", "_source_size", "_target", "_copies")
-
-
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it was drawn."""
-    rows = mix_sources(docs, **options)
-    times = rows.where("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return times.select(*docs.columns)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    targets = source_targets(sizes, weights, share, most)
+    targets = targets.select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("source_docs") / cell_docs).cast("long").alias("buckets"))
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.col("h") % F.col("buckets"))
+    rows = rows.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    cell = ["source", "class", "bucket"]
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "h", "key")))
+    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    in_source = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in cell), F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("before"))
+    same = F.col("source").eqNullSafe(F.col("source_")) & (F.col("class") == F.col("class_")) & (F.col("bucket") == F.col("bucket_"))
+    at, rate = F.col("before") + F.col("rank"), F.col("rate")
+    offset = _hashed(F.lit(f"{seed}:0"), F.coalesce(F.col("source"), F.lit(""))) / 4294967296.0
+    copies = F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)
+    rows = rows.join(counts, same).withColumn("copies", F.least(copies, F.lit(int(most))).cast("int"))
+    return rows.select("row", "size", "source_size", "target", "copies")

@@ -65,16 +65,9 @@ WITH d AS (
     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 8 + ((d.size << 2) >> (length(bin(d.size)) - 1)), d.size, d.h, d.doc_id) AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), u AS (
-  SELECT r.*, k, ('0x' || substr(md5('0:' || k || '|' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM r, range(32) x(k)
-), c AS (
-  SELECT *, (floor(pos * rate + u) - floor((pos - 1) * rate + u))::BIGINT AS copies FROM u
-), best AS (
-  SELECT source, arg_min(k, (abs(total - target), k)) AS k
-  FROM (SELECT source, k, any_value(target) AS target, sum(size * copies)::DOUBLE AS total FROM c GROUP BY source, k) GROUP BY source
+  SELECT *, ('0x' || substr(md5('0:0|' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r
 )
-SELECT c.doc_id, c.size, c.source_size, c.target, least(c.copies, 2) * c.size AS taken
-FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.k = best.k
+SELECT doc_id, size, source_size, target, least((floor(pos * rate + u) - floor((pos - 1) * rate + u))::BIGINT, 2) * size AS taken FROM u
 """
 
 OP3_SQL = r"""
