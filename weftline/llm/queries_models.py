@@ -53,7 +53,7 @@ WITH RECURSIVE tags AS (
       WHEN lower({_A["property"]}) = 'og:url' THEN {_A["content"]} END AS b FROM tags
   ) WHERE b LIKE '%://%'
 ), urls AS (
-  SELECT url, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS node, {_RULE} AS rule FROM (
+  SELECT url, url AS node, {_RULE} AS rule FROM (
     SELECT url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path
     FROM (SELECT url FROM pages WHERE url LIKE '%://%' UNION SELECT a FROM links UNION SELECT b FROM links))
 ), edges AS (

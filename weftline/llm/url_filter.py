@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed_row, saved, unpacked_row
 from .components import connected_components
 
 
@@ -118,37 +118,42 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...], field: str
     return out
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
+def judge_urls(
+    pages: DataFrame,
+    rules: tuple[Rule, ...] = RULES,
+    redirects: DataFrame | None = None,
+    url: str = "url",
+    html: str = "html",
+    spellings: bool = False,
+) -> DataFrame:
     """Every row of ``pages`` with ``_host``, ``_path``, ``_rule`` and ``_verdict``.
 
     A url that a rule fits has that rule's verdict. Any other is judged by its aliases: urls that
-    canonical links, refreshes and the table ``redirects`` (``a``, ``b``) join, and spellings of one
-    url (scheme, ``www.``, fragment, a closing slash). Of these connected components one with a url
-    that a rule allows is allowed, else one with a url that a rule blocks is blocked; all else is
-    allowed. Aliases that are no rows of ``pages`` count too.
+    canonical links, refreshes and the table ``redirects`` (``a``, ``b``) join; with ``spellings`` also other
+    spellings of one url (scheme, ``www.``, fragment, a closing slash). Of these connected components
+    one with a url that a rule allows is allowed, else one with a url that a rule blocks is blocked; all
+    else is allowed. Aliases that are no rows of ``pages`` count too.
 
     A null url, or one without ``://``, has an empty host and path, no aliases and is allowed unless
-    a rule fits. Repeated rows are judged each. An empty table gives no rows.
+    a rule fits. Repeated rows are judged each. An empty table gives no rows. Columns of ``pages`` stay,
+    whatever their names; only one that is called as an added one is replaced by it.
     """
-    host, path = F.col("_host"), F.col("_path")
-    judged = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
-    judged = judged.withColumns({"_rule": fitting_rule(host, path, rules, "name"), "_own": fitting_rule(host, path, rules, "verdict")})
+    host, path = F.col("host"), F.col("path")
+    node = plain_url if spellings else lambda u: u
+    judged = packed_row(pages, url=F.col(url), host=host_of(F.col(url)), path=path_of(F.col(url)))
+    judged = judged.withColumns({"rule": fitting_rule(host, path, rules, "name"), "own": fitting_rule(host, path, rules, "verdict"), "node": F.when(F.locate("://", F.col("url")) > 0, node(F.col("url")))})
     links = saved(alias_links(pages, url, html))
     if redirects is not None:
         links = links.unionByName(redirects.select("a", "b").where("a is not null and b is not null"))
-    edges = links.select(plain_url(F.col("a")).alias("a"), plain_url(F.col("b")).alias("b"))
-    parts = connected_components(edges)
-    node = F.when(F.locate("://", F.col(url)) > 0, plain_url(F.col(url)))
-    judged = judged.withColumn("_node", node)
+    parts = connected_components(links.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
     ends = links.select("a").union(links.select("b")).toDF("u").distinct()
-    ends = ends.select(plain_url(F.col("u")).alias("_node"), host_of(F.col("u")).alias("_host"), path_of(F.col("u")).alias("_path"))
-    own = ends.select("_node", fitting_rule(host, path, rules, "verdict").alias("_own"))
-    said = own.unionByName(judged.select("_node", "_own")).where("_own is not null and _node is not null").distinct()
-    named = said.join(parts.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_part", F.coalesce("component", "_node"))
+    ends = ends.select(node(F.col("u")).alias("node"), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
+    own = ends.select("node", fitting_rule(host, path, rules, "verdict").alias("own"))
+    said = own.unionByName(judged.select("node", "own")).where("own is not null and node is not null").distinct()
+    part = F.coalesce("component", "node").alias("part")
     # min: allow comes before block
-    parted = named.groupBy("_part").agg(F.min("_own").alias("_said"))
-    of_node = judged.select("_node").where("_node is not null and _own is null").distinct()
-    of_node = of_node.join(parts.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_part", F.coalesce("component", "_node"))
-    of_node = of_node.join(parted, "_part").select("_node", "_said")
-    judged = judged.join(of_node, "_node", "left").withColumn("_verdict", F.coalesce("_own", "_said", F.lit("allow")))
-    return judged.select(*pages.columns, "_host", "_path", "_rule", "_verdict")
+    parted = said.join(parts, "node", "left").select("own", part).groupBy("part").agg(F.min("own").alias("said"))
+    of_node = judged.select("node").where("node is not null and own is null").distinct()
+    of_node = of_node.join(parts, "node", "left").select("node", part).join(parted, "part").select("node", "said")
+    judged = judged.join(of_node, "node", "left")
+    return unpacked_row(judged, pages, _host="host", _path="path", _rule="rule", _verdict=F.coalesce("own", "said", F.lit("allow")))
