@@ -183,7 +183,7 @@ def test_urls(spark):
         (10, "http://net", ""), (11, "http://free.org/", ""), (12, "http://y.org/z", link("canonical", "http://bad.net/other")), (12, "http://y.org/z", ""), (13, "http://example.com/de/?q", ""), (14, "http://xexample.com/de/", ""),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("a", F.lit(1)).withColumn("b", F.lit(2)).withColumn("component", F.lit(3))
-    got = {r.page_id: (r._host, r._path, r._rule, r._verdict) for r in url_filter.judge_urls(pages).collect()}
+    got = {r.page_id: (r._host, r._path, r._rule, r._verdict) for r in url_filter.judge_urls(pages, spellings=True).collect()}
     assert got[1] == ("a.net", "/x", "net/", "block")
     assert got[2][2:] == (None, "block") and got[3][2:] == (None, "block") and got[4][2:] == (None, "block")
     assert got[5][2:] == ("example.net/en/", "allow") and got[6][2:] == ("org/fr/", "allow")
@@ -191,6 +191,8 @@ def test_urls(spark):
     assert got[8] == ("", "", None, "allow") and got[9] == ("", "", None, "allow")
     assert got[10] == ("net", "", None, "allow") and got[11][3] == "allow"
     assert got[13][2:] == ("example.com/de/", "block") and got[14][2:] == (None, "allow")
+    plain = {r.page_id: r._verdict for r in url_filter.judge_urls(pages).collect()}  # no edge joins spellings
+    assert (plain[2], plain[3], plain[4]) == ("block", "allow", "allow")
     assert url_filter.judge_urls(pages.where("page_id < 0")).count() == 0
     more = spark.createDataFrame([("http://free.org/", "http://bad.net/z"), (None, "x")], "a string, b string")
     assert {r.page_id: r._verdict for r in url_filter.judge_urls(pages, redirects=more).collect()}[11] == "block"
@@ -214,7 +216,7 @@ def test_relative_aliases(spark):
         (9, "http://d.org", '<link rel=canonical href="//bad.net/r">'), (10, "http://e.org/", '<link rel=canonical href="//bad.net/s">'),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r._verdict for r in url_filter.judge_urls(pages).collect()}
+    got = {r.page_id: r._verdict for r in url_filter.judge_urls(pages, spellings=True).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "block"}
 
 
@@ -514,6 +516,93 @@ def test_language(spark):
     assert np.allclose(space.bundle(["Ab!"])[0], want / np.sqrt((want.astype(float) ** 2).sum()))
 
 
+def grams_of(text):
+    """The n-grams of the quality classifier, one by one."""
+    import re
+    import xxhash
+
+    mask, u64 = 2**64 - 1, lambda x: x & (2**64 - 1)
+
+    def mix(x):
+        x ^= x >> 32
+        x = x * 0x9E3779B97F4A7C15 & mask
+        return x ^ x >> 29
+
+    join = lambda a, b, seed: mix(u64(a * (0xD6E8FEB86659FD93 + 2 * seed) + mix(u64(b + 0x2545F4914F6CDD1D + seed))))
+    kind = lambda b: "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "0" if 48 <= b <= 57 else chr(b)
+    words = text.encode().split()
+    w = [xxhash.xxh32_intdigest(x.lower()) for x in words]
+    s = [xxhash.xxh32_intdigest(re.sub(r"(.)\1+", r"\1", "".join(map(kind, x)), flags=re.S).encode("latin-1")) for x in words]
+    two = [join(a, b, 2) for a, b in zip(s, s[1:], strict=False)]
+    return {*map(mix, w), *(join(a, b, 1) for a, b in zip(w, w[1:], strict=False)), *(mix(x + (1 << 40)) for x in s), *two, *(join(a, b, 3) for a, b in zip(two, s[2:], strict=False))}
+
+
+def test_quality_by_brute_force(spark, hard):
+    """Counts, ratios, weights and scores again from each text alone; ties at the threshold are label 1."""
+    bits = 10
+    docs = docs_of(spark, [*hard, (3, hard[3][1]), (None, "x y")])
+    labels = {k: k % 2 for k, _ in hard if k % 5}
+    table = spark.createDataFrame([*labels.items()], "doc_id long, quality int")
+    model = quality.fit_quality(docs, table, F.col("doc_id") % 7 != 0, bits=bits)
+    found = {k: {g >> 64 - bits for g in grams_of(t or "")} for k, t in hard}
+    train = [(k, y) for k, y in labels.items() if k % 7]
+    train += [(3, labels[3])]
+    counts = np.zeros((2, 1 << bits))
+    for k, y in train:
+        counts[y, list(found[k])] += 1
+    share = [(c + 1) / (c + 1).sum() for c in counts]
+    ratios = np.log(share[1] / share[0])
+    assert np.allclose(quality.log_ratios(counts), ratios)
+    assert not model.weights[ratios == 0].any() and model.weights.any()
+    rows = quality.score_quality(docs, model).collect()
+    for r in rows:
+        if r.doc_id is not None:
+            own = sorted(found[r.doc_id])
+            margin = model.bias + (model.weights[own].sum() / len(own) ** 0.5 if own else 0)
+            assert r._score == pytest.approx(1 / (1 + np.exp(-model.slope * margin - model.shift)))
+    assert len({r._score for r in rows if r.doc_id == 3}) == 1
+    tie = quality.Model(bits, np.zeros(1 << bits), 0.0, 1.0, float(np.log(0.3 / 0.7)))
+    score = quality.score_quality(docs, tie, threshold=float(tie.scores([b""])[0])).select("_predicted").distinct().collect()
+    assert [r._predicted for r in score] == [1]
+
+
+def test_language_by_brute_force(spark, hard):
+    """Vectors, prototypes and predictions again, letter by letter; of equal languages the first by name."""
+    space = language.Space(dim=64)
+    texts = [(k, t, "bcda"[k % 4] if k % 9 else None) for k, t in hard if k != 74] + [(5, hard[5][1], "b"), (80, "x" * 70_000, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    profiles = language.fit_languages(docs, F.col("doc_id") % 3 != 0, space=space)
+
+    def vector(text):
+        letters = "".join(c if c.isalpha() else " " for c in text or "")
+        if not letters.strip():
+            return None
+        line = " " + " ".join(letters.split()) + " "
+        line = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in line]
+        known = {p: space.letter(p).astype(int) for p in set(line)}
+        grams = {}
+        for g in zip(line, line[1:], line[2:], strict=False):
+            grams[g] = grams.get(g, 0) + 1
+        total = sum(n * np.roll(known[a], 2) * np.roll(known[b], 1) * known[c] for (a, b, c), n in grams.items())
+        return total / np.sqrt((total**2.0).sum())
+
+    sums = {}
+    for k, t, lang in texts:
+        if k % 3 and lang and (v := vector(t)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    want = {lang: v / np.sqrt((v**2).sum()) for lang, v in sums.items()}
+    assert profiles.names == sorted(want) and np.allclose(profiles.vectors, [want[x] for x in profiles.names], atol=1e-4)
+    for r in language.identify_language(docs, profiles).collect():
+        v = vector(r.text)
+        if v is None:
+            assert (r._lang, r._cosine) == ("und", 0.0)
+            continue
+        near = {x: float(v @ w) for x, w in want.items()}
+        assert r._cosine == pytest.approx(max(0, *near.values()), abs=1e-4) and near[r._lang] == pytest.approx(max(near.values()), abs=1e-4)
+    tied = language.Profiles(space, ["aa", "bb"], np.stack([want["b"], want["b"]]))
+    assert {r._lang for r in language.identify_language(docs, tied).collect()} == {"aa", "und"}
+
+
 # vectors
 
 
@@ -570,5 +659,46 @@ def test_top_k(spark):
     assert embeddings.top_k(vectors_of(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+NAMES = """row doc th at n key a b start length ids size text2 component node rep label2 h score cut url_ host path rule own part said u v l i j bucket class rank before rate s source_
+    class_ target source_size source_docs copies buckets id shared elements codes odd role tile tiles asks held counts lo hi z doc_ th_ k t _doc _th _at _n _size _doc2 _part _key _source
+    _class _h _s _u _target _said _c _l2 _n_links _own _node _v1 _h1 _r _i _p _k _y _t _g _component _copies _source_size _kept _n_words _n_removed _host _path _rule _verdict _score
+    _predicted _lang _cosine""".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Twelve documents with extra columns called as those inside; each holds its own name."""
+    text = " ".join(f"word{k} is" for k in range(30))
+    df = docs_of(spark, [(k, text if k < 3 else f"{text} {k}" if k < 6 else f"alone {k} " * 9) for k in range(12)])
+    return df.withColumns({c: F.lit(c) for c in NAMES})
+
+
+@pytest.mark.parametrize(
+    ("run", "added"),
+    [
+        (jaccard_join.jaccard_classes, ["_size", "_component"]),
+        (substring_dedup.remove_repeats, ["_kept", "_n_words", "_n_removed"]),
+        (mixing.mix_sources, ["_size", "_source_size", "_target", "_copies"]),
+        (mixing.mixed_documents, []),
+        (lambda d: url_filter.judge_urls(d.withColumns({"url": F.concat(F.lit("http://a.net/"), "doc_id"), "html": F.lit("<link rel=canonical href=/x>")})), ["_host", "_path", "_rule", "_verdict"]),
+        (lambda d: embeddings.near_duplicates(d.withColumns({"vec_id": F.col("doc_id"), "embedding": F.array(F.lit(1.0), F.col("doc_id") + 0.5), "label": F.lit(1)})), ["_n_links", "_component"]),
+        (lambda d: quality.score_quality(d, quality.fit_quality(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality")), F.col("doc_id") > 1, bits=10)), ["_score", "_predicted"]),
+        (lambda d: language.identify_language(d, language.fit_languages(d, F.col("doc_id") > 1)), ["_lang", "_cosine"]),
+    ],
+)
+def test_clashing_names(clashing, run, added):
+    rows = run(clashing).collect()
+    assert rows and len({r.doc_id for r in rows}) >= 6
+    for r in rows:
+        assert len(set(r.__fields__)) == len(r.__fields__)
+        assert all(r[c] == c for c in NAMES if c not in added)
+        assert all(r[c] != c for c in added)
+
+
+@pytest.mark.parametrize("run", [packing.pack_documents, lambda d: embeddings.top_k(d.withColumns({"vec_id": F.col("doc_id"), "embedding": F.array(F.lit(1.0), F.col("doc_id") + 0.5)}), F.col("vec_id") % 2 == 0)])
+def test_clashing_names_of_other_rows(clashing, run):
+    assert run(clashing).count() >= 6
+
+
 def test_crc(spark):
     assert spark.range(3).select(common.crc_text("id").alias("c")).collect()[2].c == zlib.crc32(b"2")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed_row, saved, unpacked_row
 from .components import connected_components
 
 
@@ -136,7 +136,8 @@ def near_duplicates(
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     label or key, link with nothing and are their own component. Rows with the same key, label and
-    vector count as copies of each other. An empty table gives no rows.
+    vector count as copies of each other. An empty table gives no rows. Columns of ``vectors`` stay, whatever
+    their names; only one that is called as an added one is replaced by it.
     """
     v = F.col(vector).cast("array<double>")
     usable = _finite(v) & F.exists(v, lambda x: x != 0) & F.col(label).isNotNull() & F.col(key).isNotNull()
@@ -144,7 +145,7 @@ def near_duplicates(
     folded = saved(rows.groupBy("_l", "_v").agg(F.min("_k").alias("rep"), F.count(F.lit(1)).alias("n")))
     some = folded.orderBy(F.xxhash64("rep"), "rep", "_l").limit(sample).select("_v").toArrow()
     if some.num_rows == 0:
-        return vectors.withColumns({"_n_links": F.lit(0).cast("long"), "_component": F.col(key)})
+        return unpacked_row(packed_row(vectors, key=F.col(key)), vectors, _n_links=F.lit(0).cast("long"), _component="key")
     total, dim = folded.count(), folded.agg(F.max(F.size("_v"))).first()[0]
     x = _unit(_matrix(some.column(0).combine_chunks()), dim)
     index = Index.fit(x, max(1, min(lists, sample // 4, total // list_rows)), parts, min(codes, 256), seed)
@@ -251,10 +252,9 @@ def near_duplicates(
     told = folded.select("rep", F.col("n").alias("copies"), F.col("_l").alias("_l2"), F.col("_v").alias("_v2"), F.xxhash64("_v").alias("_h2"))
     told = told.join(links, "rep", "left").join(parts_.withColumnRenamed("node", "rep"), "rep", "left")
     told = told.select("_l2", "_v2", "_h2", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("_n_links"), F.coalesce("component", "rep").alias("_c"))
-    out = vectors.withColumns({"_v1": F.when(usable, v), "_l1": F.when(usable, F.col(label).cast("string"))}).withColumn("_h1", F.xxhash64("_v1"))
-    same = (F.col("_l1") == F.col("_l2")) & (F.col("_h1") == F.col("_h2")) & (F.col("_v1") == F.col("_v2"))
-    out = out.join(told, same, "left").withColumns({"_n_links": F.coalesce("_n_links", F.lit(0).cast("long")), "_component": F.coalesce(F.col("_c"), F.col(key))})
-    return out.select(*vectors.columns, "_n_links", "_component")
+    out = packed_row(vectors, key=F.col(key), v=F.when(usable, v), l=F.when(usable, F.col(label).cast("string"))).withColumn("h", F.xxhash64("v"))
+    same = (F.col("l") == F.col("_l2")) & (F.col("h") == F.col("_h2")) & (F.col("v") == F.col("_v2"))
+    return unpacked_row(out.join(told, same, "left"), vectors, _n_links=F.coalesce("_n_links", F.lit(0).cast("long")), _component=F.coalesce("_c", "key"))
 
 
 def top_k(

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed_row, unpacked_row
+
 _LETTER = np.zeros(0x110000, np.uint32)  # a letter's lower-case code point; 0 for all else
 _SPACE = 32
 
@@ -138,7 +140,8 @@ def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str
 def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``_lang`` (the language whose prototype has the highest cosine with
     the text's vector; of equal ones the first by name; ``und`` for a null text or one without a
-    letter) and ``_cosine`` (0 to 1). An empty table gives no rows; without prototypes all is ``und``."""
+    letter) and ``_cosine`` (0 to 1). Repeated rows are judged each. An empty table gives no rows; without
+    prototypes all is ``und``. Columns of ``docs`` stay; only one called as an added one is replaced."""
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.arrow_udf("struct<lang string, cosine double>")
@@ -150,5 +153,5 @@ def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text") -
             near += c.tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(near, pa.float64())], ["lang", "cosine"])
 
-    out = docs.withColumn("_p", predict(F.col(text)))
-    return out.select(*docs.columns, F.col("_p.lang").alias("_lang"), F.col("_p.cosine").alias("_cosine"))
+    out = packed_row(docs, said=predict(F.col(text)))
+    return unpacked_row(out, docs, _lang="said.lang", _cosine="said.cosine")

@@ -141,8 +141,9 @@ def fit_quality(
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int64)
         for part in parts:
-            for t, y in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), strict=True):
-                total[y, features(t or b"", bits)] += 1
+            for few in (part.slice(at, 512) for at in range(0, part.num_rows, 512)):
+                for t, y in zip(as_bytes(few.column(0)), few.column(1).to_pylist(), strict=True):
+                    total[y, features(t or b"", bits)] += 1
         some = np.flatnonzero(total.any(axis=0)).astype(np.int32)
         yield pa.record_batch([some, total[1, some], total[0, some]], schema=schema)
 
@@ -181,13 +182,15 @@ def fit_quality(
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Every row of ``docs`` with ``_score`` (0 to 1, higher: label 1 is likelier) and ``_predicted``
-    (1 from ``threshold`` on). Only the text counts; a null text is scored as an empty one. An empty
-    table gives no rows."""
+    (1 from ``threshold`` on). Only the text counts; a null text is scored as an empty one, repeated rows
+    are scored each. An empty table gives no rows. Columns of ``docs`` stay; only one called as an added one
+    is replaced."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(shipped.value.scores(as_bytes(column)), pa.float64())
+        scores = [shipped.value.scores(as_bytes(column.slice(at, 512))) for at in range(0, len(column), 512)]
+        return pa.array(np.concatenate(scores) if scores else [], pa.float64())
 
     # asked for once, as a column of its own, so that nothing is scored twice
     scored = docs.withColumn("_score", score(F.col(text)))

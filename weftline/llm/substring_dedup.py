@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, joined, mixed, saved, word_hashes
+from .common import as_bytes, joined, mixed, packed_row, saved, unpacked_row, word_hashes
 
 ANCHOR = 8
 
@@ -189,12 +189,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", key: s
     in the order: it loses nothing and nothing is lost to it. Rows that repeat a key with the same text
     are one document, judged once; with another text each is a document, in an order by a hash of the
     text. Texts of fewer words than a window stay. An empty table gives no rows. Columns of ``docs``
-    stay, whatever their names, unless they are called as those added.
+    stay, whatever their names; only one that is called as an added one is replaced by it.
     """
-    rows = docs.withColumns({"_doc": F.col(key).cast("long"), "_th": F.hash(F.col(text))})
-    judged = rows.where("_doc is not null").where(F.col(text).isNotNull()).select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col(text).alias("text"))
-    spans = repeated_spans(judged, window).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("spans.at").alias("_at"), F.col("spans.n").alias("_n"))
-    rows = rows.join(spans, ["_doc", "_th"], "left")
+    rows = packed_row(docs, doc=F.col(key).cast("long"), th=F.hash(F.col(text)), text=F.col(text))
+    judged = rows.where("doc is not null and text is not null").select("doc", "th", "text")
+    spans = repeated_spans(judged, window).select("doc", "th", F.col("spans.at").alias("at"), F.col("spans.n").alias("n"))
+    rows = rows.join(spans, ["doc", "th"], "left")
 
     @F.arrow_udf("struct<kept string, words long, removed long>")
     def cut(texts: pa.Array, at: pa.Array, n: pa.Array) -> pa.Array:
@@ -207,6 +207,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", key: s
             removed.append(len(before) - len(after))
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], ["kept", "words", "removed"])
 
-    rows = rows.withColumn("_cut", cut(F.col(text), F.col("_at"), F.col("_n")))
-    return rows.select(*docs.columns, F.col("_cut.kept").alias("_kept"), F.col("_cut.words").alias("_n_words"), F.col("_cut.removed").alias("_n_removed"))
+    rows = rows.select("row", cut("text", "at", "n").alias("cut"))
+    return unpacked_row(rows, docs, _kept="cut.kept", _n_words="cut.words", _n_removed="cut.removed")
 
