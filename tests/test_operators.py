@@ -103,7 +103,35 @@ def test_fusing(spark):
         B.require_species(need, ["mm5*"])
 
 
-def mask_brute(text, start, strand, src_size, spans):
+def test_long_blocks(spark):
+    """A block of 100,000 columns: all that reads columns is linear in their number."""
+    rng = np.random.default_rng(2)
+    long = ["".join(rng.choice(list("ACGT-*"), 100_000)) for _ in range(3)]
+    parts = [comp(t, src, size=len(t.replace("-", "")), src_size=200_000) for t, src in zip(long, ("hg17.chr1", "panTro1.chr1", "mm5.chr1"), strict=True)]
+    rows = blocks_of(spark, parts)
+    columns = ["".join(c) for c in zip(*long, strict=True)]
+    assert rows.select(W.text_columns(F.col("components")).alias("c")).first().c == columns
+    good = sum(c.count("*") <= 1 for c in columns)
+    assert B.filter_max_wildcards(rows, good, 1).count() == 1 and B.filter_max_wildcards(rows, good + 1, 1).count() == 0
+    kept = [k for k, c in enumerate(columns) if set(c) - set("-*")]
+    assert texts(B.drop_gap_columns(rows)) == [["".join(t[k] for k in kept) for t in long]]
+    mask = spark.createDataFrame([("chr1", s, s + 70) for s in range(0, 80_000, 900)], "chrom string, start long, end long")
+    masked = mask_brute(long[0], 0, "+", 200_000, [(s, s + 70) for s in range(0, 80_000, 900)])
+    got = texts(B.mask_blocks(rows, mask))[0]
+    assert got[0] == masked and all((a == "X") == (b == "X") for a, b in zip(got[1], masked, strict=True))
+    mapping = spark.createDataFrame([("ACG", "7"), ("---", "0")], "key string, symbol string")
+    want = " ".join({"ACG": "7", "---": "0"}.get(c, "-1") for c in columns)
+    assert [r.symbols for r in B.to_symbols(rows, mapping).collect()] == [want] == [r.symbols for r in B.to_symbols(rows, mapping, sent_keys=1).collect()]
+
+
+def test_ragged_blocks(spark):
+    rows = blocks_of(spark, [comp("AC-T"), comp("A--", "mm5.c")], [], [comp(""), comp("A", "mm5.c")])
+    assert [r.c for r in rows.orderBy("block_id").select(W.text_columns(F.col("components")).alias("c")).collect()] == [["AA", "C-", "--"], [], []]
+    assert texts(B.drop_gap_columns(rows)) == [["ACT", "A-"], [], ["", ""]]
+    assert [r.c for r in rows.where("block_id = 0").select(W.zipped([F.col("components")[k]["text"] for k in (1, 0)]).alias("c")).collect()] == [["AA", "-C", "--"]]
+
+
+def mask_brute(text, start, strand, src_size, spans, literal=False):
     state, at = [], start
     for ch in text:
         if ch == "-":
@@ -116,7 +144,8 @@ def mask_brute(text, start, strand, src_size, spans):
     for i, s in enumerate(state):
         if s is None:
             after = next((x for x in state[i:] if x is not None), None)
-            s = after if after is not None else next((x for x in reversed(state[:i]) if x is not None), False)
+            before = [x for x in state[:i] if x is not None]
+            s = after if after is not None else bool(before) if literal else next(reversed(before), False)
         out.append("X" if s else text[i])
     return "".join(out)
 
@@ -127,7 +156,9 @@ def test_masking(spark):
     rows = [[(c[0], c[1], len(c[5].replace("-", "")), c[3], 100, c[5])] for (c,) in rows] + [[comp("")]]
     spans = [(5, 20), (18, 30), (60, 64), (90, 99)]
     mask = spark.createDataFrame([("chr1", *s) for s in spans], "chrom string, start long, end long")
-    assert texts(B.mask_blocks(blocks_of(spark, *rows), mask)) == [[mask_brute(c[5], c[1], c[3], c[4], spans)] for (c,) in rows]
+    for literal in (False, True):
+        got = texts(B.mask_blocks(blocks_of(spark, *rows), mask, literal=literal))
+        assert got == [[mask_brute(c[5], c[1], c[3], c[4], spans, literal)] for (c,) in rows]
 
 
 def test_column_space_and_statistics(spark):

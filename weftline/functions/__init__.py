@@ -38,11 +38,27 @@ def places(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
+def chars(text: Column) -> Column:
+    """The characters of a text; an empty array for an empty one."""
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+
+
+def zipped(texts: list[Column]) -> Column:
+    """The columns of texts laid above each other, as far as the first goes. Each text is cut into
+    characters once, so the cost is linear in its length."""
+    out = chars(texts[0])
+    for t in texts[1:]:
+        out = F.zip_with(out, chars(t), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.filter(out, lambda c: c.isNotNull())
+
+
 def text_columns(components: Column) -> Column:
-    """The columns of a block as strings: a character of each component, as far as the shortest text."""
+    """The columns of a block as strings: a character of each component, as far as the shortest text.
+    One pass over the components, linear in the length of their texts."""
     texts = F.transform(components, lambda c: c["text"])
-    n = F.array_min(F.transform(texts, F.length))
-    return F.transform(places(F.coalesce(n, F.lit(0))), lambda i: F.array_join(F.transform(texts, lambda t: F.substring(t, i, F.lit(1))), ""))
+    lay = lambda done, t: F.when(done.isNull(), chars(t)).otherwise(F.zip_with(done, chars(t), lambda a, b: F.concat(a, b)))
+    columns = F.aggregate(texts, F.lit(None).cast("array<string>"), lay)
+    return F.coalesce(F.filter(columns, lambda c: c.isNotNull()), F.array().cast("array<string>"))
 
 
 def count_of(text: Column, char: str) -> Column:

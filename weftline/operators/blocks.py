@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +60,14 @@ def _fake(species: str, n: Column) -> Column:
 
 def drop_gap_columns(blocks: DataFrame) -> DataFrame:
     """Blocks without the columns in which no component has more than a gap or wildcard."""
-    texts = F.transform("components", lambda c: c["text"])
-    n = F.coalesce(F.length(F.get(texts, F.lit(0))), F.lit(0))
-    gaps = F.array(*map(F.lit, W.GAP_LIKE))
-    keep = F.filter(W.places(n), lambda i: F.exists(texts, lambda t: ~F.array_contains(gaps, F.substring(t, i, F.lit(1)))))
-    cut = blocks.withColumn("_keep", keep)
-    return cut.withColumn(
-        "components", F.transform("components", lambda c: c.withField("text", F.array_join(F.transform(F.col("_keep"), lambda i: F.substring(c["text"], i, F.lit(1))), "")))
-    ).drop("_keep")
+    base = lambda ch: F.coalesce(~ch.isin(W.GAP_LIKE), F.lit(False))
+    flags = lambda t: F.transform(W.chars(t), base)
+    lay = lambda done, c: F.when(done.isNull(), flags(c["text"])).otherwise(F.slice(F.zip_with(done, W.chars(c["text"]), lambda a, ch: F.coalesce(a, F.lit(False)) | base(ch)), F.lit(1), F.size(done)))
+    keep = F.aggregate("components", F.lit(None).cast("array<boolean>"), lay)
+    # the flags stand beside each component, as an argument is worked out once and a lambda's body is not
+    beside = F.arrays_zip(F.col("components").alias("c"), F.array_repeat(keep, F.size("components")).alias("k"))
+    cut = lambda c, k: c.withField("text", F.array_join(F.zip_with(W.chars(c["text"]), k, lambda ch, x: F.when(x, ch)), ""))
+    return blocks.withColumn("components", F.transform(beside, lambda z: cut(z["c"], z["k"])))
 
 
 def require_species(blocks: DataFrame, species: list[str]) -> DataFrame:
@@ -141,9 +144,26 @@ def block_cpg_density(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", F.when(F.length(c["text"]) > 0, F.try_divide(hits, c["size"])).alias("density"))
 
 
-def to_symbols(blocks: DataFrame, mapping: DataFrame, missing: str = "-1") -> DataFrame:
+def to_symbols(blocks: DataFrame, mapping: DataFrame, missing: str = "-1", sent_keys: int = 500_000) -> DataFrame:
     """``(block_id, symbols)``: each column's symbol by ``mapping`` (``key``, ``symbol``), joined by
-    spaces; columns are upper-cased, those without a symbol get ``missing``."""
+    spaces; columns are upper-cased, those without a symbol get ``missing``; blocks without columns
+    are left out.
+
+    A mapping of up to ``sent_keys`` keys (all columns of seven species are fewer) goes to every task and
+    blocks are coded where they are; a larger one is joined column by column."""
+    known = mapping.select("key", "symbol").limit(sent_keys + 1).toArrow()
+    if known.num_rows <= sent_keys:
+        sent = blocks.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in known.columns), strict=True)))  # bounded: sent_keys
+
+        @F.arrow_udf("string")
+        def coded(columns: pa.Array) -> pa.Array:
+            flat = pc.utf8_upper(columns.flatten()).dictionary_encode()
+            symbols = pa.array([sent.value.get(k) or missing for k in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+            ends = np.concatenate([[0], np.cumsum(columns.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), symbols), " ")
+
+        some = blocks.where(F.array_min(F.transform("components", lambda c: F.length(c["text"]))) > 0)
+        return some.select("block_id", coded(W.text_columns(F.col("components"))).alias("symbols"))
     columns = blocks.select("block_id", F.posexplode(W.text_columns(F.col("components"))).alias("pos", "key")).withColumn("key", F.upper("key"))
     coded = columns.join(mapping.select("key", "symbol"), "key", "left").withColumn("symbol", F.coalesce("symbol", F.lit(missing)))
     lists = coded.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("_s"))
@@ -153,9 +173,7 @@ def to_symbols(blocks: DataFrame, mapping: DataFrame, missing: str = "-1") -> Da
 def sequence_symbols(sequences: DataFrame, text: str = "seq", codes: str = "ACGT-*") -> DataFrame:
     """``sequences`` with ``symbols``: for each character its place in ``codes`` (from 0), else -1."""
     table = F.create_map(*(x for k, c in enumerate(codes) for x in (F.lit(c), F.lit(k))))
-    chars = F.when(F.length(text) > 0, F.split(F.upper(text), "")).otherwise(F.array().cast("array<string>"))
-    chars = F.filter(chars, lambda c: c != "")
-    return sequences.withColumn("symbols", F.transform(chars, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(-1))))
+    return sequences.withColumn("symbols", F.transform(W.chars(F.upper(text)), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(-1))))
 
 
 def mask_blocks(blocks: DataFrame, mask: DataFrame, char: str = "X", literal: bool = False, bin_size: int = 4096) -> DataFrame:
@@ -163,8 +181,10 @@ def mask_blocks(blocks: DataFrame, mask: DataFrame, char: str = "X", literal: bo
 
     ``mask`` is ``(chrom, start, end)``. A column is masked when its base of the first component (on
     the forward strand) lies in the mask; a run of gaps inside when the base after it is; one at the
-    end when the base before it is (``literal``: when it does not start at the first column).
-    Blocks whose mask is empty pass as they are. The mask meets blocks by bins of positions.
+    end when the base before it is (``literal``: when there is a base before it and the mask has the
+    chromosome at all). Blocks without a masked column pass as they are. The mask meets blocks by bins
+    of positions; a cut then is a stretch of bases, and so of columns, and each text is put together
+    from its stretches.
     """
     from .intervals import merge_overlaps
 
@@ -172,34 +192,37 @@ def mask_blocks(blocks: DataFrame, mask: DataFrame, char: str = "X", literal: bo
     rows = blocks.withColumns({"_chrom": W.chrom_of(c0["src"]), "_fs": W.forward_start(c0), "_fe": W.forward_end(c0)})
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor((F.greatest(a + 1, b) - 1) / bin_size)))
     cuts = merge_overlaps(mask).select(F.col("chrom").alias("_chrom"), F.col("start").alias("_ms"), F.col("end").alias("_me"))
-    cuts = cuts.withColumn("_bin", bins(F.col("_ms"), F.col("_me")))
-    hits = rows.select("block_id", "_chrom", "_fs", "_fe").withColumn("_bin", bins(F.col("_fs"), F.col("_fe"))).join(cuts, ["_chrom", "_bin"])
+    binned = cuts.withColumn("_bin", bins(F.col("_ms"), F.col("_me")))
+    hits = rows.select("block_id", "_chrom", "_fs", "_fe").withColumn("_bin", bins(F.col("_fs"), F.col("_fe"))).join(binned, ["_chrom", "_bin"])
     hits = hits.where("_ms < _fe and _fs < _me").groupBy("block_id").agg(F.collect_set(F.struct("_ms", "_me")).alias("_cuts"))
     rows = rows.join(hits, "block_id", "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<_ms:bigint,_me:bigint>>")))
+    if literal:
+        rows = rows.join(cuts.select("_chrom").distinct().withColumn("_any", F.lit(True)), "_chrom", "left")
     text = c0["text"]
-    chars = F.transform(W.places(F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
-
-    def state(i: Column, ch: Column) -> Column:
-        """1: a masked base, 0: another base, null: a gap."""
-        before = F.length(F.replace(F.substring(text, F.lit(1), i), F.lit("-"), F.lit("")))
-        at = F.when(c0["strand"] == "-", c0["src_size"] - 1 - (c0["start"] + before)).otherwise(c0["start"] + before)
-        return F.when(ch != "-", F.exists("_cuts", lambda m: (m["_ms"] <= at) & (at < m["_me"])).cast("int"))
-
-    rows = rows.withColumn("_state", F.transform(chars, lambda ch, i: state(i, ch)))
-    some = lambda a: F.filter(a, lambda x: x.isNotNull())
-    n = F.size("_state")
-
-    def masked(x: Column, i: Column) -> Column:
-        after = F.get(some(F.slice("_state", i + 1, n)), F.lit(0))
-        if literal:
-            ends = F.array_max(F.transform(F.slice("_state", F.lit(1), i + 1), lambda y, k: F.when(y.isNotNull(), k))).isNotNull().cast("int")
-        else:
-            left = some(F.slice("_state", F.lit(1), i + 1))
-            ends = F.when(F.size(left) > 0, F.try_element_at(left, F.lit(-1))).otherwise(F.lit(0))
-        return F.coalesce(x, after, ends) == 1
-
-    rows = rows.withColumn("_mask", F.transform("_state", masked))
-    new = F.transform(
-        "components", lambda c: c.withField("text", F.array_join(F.transform("_mask", lambda m, i: F.when(m, F.lit(char)).otherwise(F.substring(c["text"], i + 1, F.lit(1)))), ""))
-    )
-    return rows.withColumn("components", F.when(F.exists("_mask", lambda m: m), new).otherwise(F.col("components"))).select(*blocks.columns)
+    # the columns of the first component's bases
+    at = F.filter(F.transform(W.chars(text), lambda ch, i: F.when(ch != "-", i)), lambda i: i.isNotNull())
+    rows = rows.withColumns({"_at": at, "_width": F.length(text)})
+    n = F.size("_at")
+
+    def stretch(m: Column) -> Column:
+        """The columns of a cut: its bases from the first on and the gaps before each."""
+        low = F.when(c0["strand"] == "-", c0["src_size"] - c0["start"] - m["_me"]).otherwise(m["_ms"] - c0["start"]).cast("int")
+        high = F.when(c0["strand"] == "-", c0["src_size"] - c0["start"] - m["_ms"]).otherwise(m["_me"] - c0["start"]).cast("int")
+        start = F.when(low <= 0, 0).otherwise(F.try_element_at("_at", low) + 1)
+        end = F.when(high >= n, F.try_element_at("_at", n) + 1 if literal else F.col("_width")).otherwise(F.try_element_at("_at", high) + 1)
+        return F.when((n > 0) & (low < n) & (high > 0), F.struct(start.cast("int").alias("s"), end.cast("int").alias("e")))
+
+    spans = F.sort_array(F.filter(F.transform("_cuts", stretch), lambda x: x.isNotNull()))
+    if literal:
+        last = F.try_element_at("_at", n) + 1
+        spans = F.when(F.col("_any") & (n > 0) & (last < F.col("_width")), F.concat(spans, F.array(F.struct(last.cast("int").alias("s"), F.col("_width").cast("int").alias("e"))))).otherwise(spans)
+    rows = rows.withColumn("_spans", spans)
+
+    def covered(text: Column, spans: Column) -> Column:
+        """A text with its stretches overwritten."""
+        step = lambda x, m: F.struct(F.concat(x["t"], F.substring(text, x["at"] + 1, m["s"] - x["at"]), F.repeat(F.lit(char), m["e"] - m["s"])).alias("t"), m["e"].alias("at"))
+        return F.aggregate(spans, F.struct(F.lit("").alias("t"), F.lit(0).alias("at")), step, lambda x: F.concat(x["t"], F.substring(text, x["at"] + 1, F.length(text))))
+
+    beside = F.arrays_zip(F.col("components").alias("c"), F.array_repeat("_spans", F.size("components")).alias("m"))
+    new = F.transform(beside, lambda z: z["c"].withField("text", covered(z["c"]["text"], z["m"])))
+    return rows.withColumn("components", F.when(F.size("_spans") > 0, new).otherwise(F.col("components"))).select(*blocks.columns)

@@ -44,7 +44,6 @@ def sufficient_statistics(blocks: DataFrame, species: list[str]) -> DataFrame:
         found = F.upper(W.component(F.col("components"), s)["text"])
         missing = F.raise_error(F.lit(f"a block lacks {s}")).cast("string") if k == 0 else F.repeat(F.lit(W.WILDCARD), n)
         texts.append(F.coalesce(found, missing))
-    chars = F.transform(W.places(n), lambda i: F.concat(*(F.substring(t, i, F.lit(1)) for t in texts)))
-    counts = blocks.select(F.explode(chars).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+    counts = blocks.select(F.explode(W.zipped(texts)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("count"))
     # at most one row for each possible column
     return counts.withColumn("i", F.row_number().over(Window.orderBy("key")) - 1)
