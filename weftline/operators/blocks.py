@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as W
+from ..sources import numbered_rows, saved
+
+#: How many places in an order are one task's work.
+STRETCH = 65_536
 
 
 def translate_chars(blocks: DataFrame, raw: str = W.RAW_CHARACTERS, plain: str = W.PLAIN_CHARACTERS) -> DataFrame:
@@ -92,15 +96,17 @@ def fuse_adjacent(blocks: DataFrame, order: str = "block_id", exempt_fakes: bool
     ends, on one source and strand (components of wildcards always do). Texts and sizes add up, all
     else is the first block's.
 
-    Neighbours are rows next to each other among all rows given. Their places are counted by source
-    of the first component only, with the place among all rows beside it: so the window is one for
-    each source, not one for all, and a row of another source in between still breaks a run.
+    Neighbours are rows next to each other among all rows given. Each stretch of ``STRETCH`` places is
+    looked at in a task of its own, with the last row of the stretch before it; a run that begins in an
+    earlier stretch gets its start from the starts of all stretches, of which there is one each. So
+    neither a source nor the whole table is a task's work; a run that is fused is one row.
     """
-    numbered = dense_order(blocks, order)
-    src = F.get("components", F.lit(0))["src"]
-    by_src = Window.partitionBy("_src").orderBy("_place")
-    rows = numbered.withColumn("_src", src)
-    rows = rows.withColumns({"_before": F.lag("components").over(by_src), "_last": F.lag("_place").over(by_src)})
+    rows = numbered_rows(blocks.withColumnRenamed(order, "_order"), ["_order"])
+    stretch = F.floor(F.col("_place") / STRETCH)
+    rows = rows.withColumn("_s", stretch)
+    # the last row of a stretch is looked at in the next one too, to be gone on from
+    rows = rows.withColumn("_at", F.explode(F.when(F.col("_place") % STRETCH == STRETCH - 1, F.array("_s", F.col("_s") + 1)).otherwise(F.array("_s"))))
+    rows = rows.withColumn("_before", F.lag("components").over(Window.partitionBy("_at").orderBy("_place"))).where("_at = _s")
 
     def goes_on(a: Column, b: Column) -> Column:
         touch = (a["strand"] == b["strand"]) & (a["start"] + a["size"] == b["start"])
@@ -109,31 +115,24 @@ def fuse_adjacent(blocks: DataFrame, order: str = "block_id", exempt_fakes: bool
         return (a["src"] == b["src"]) & touch
 
     alike = F.size("_before") == F.size("components")
-    joins = alike & (F.col("_place") == F.col("_last") + 1) & F.forall(F.zip_with("_before", "components", goes_on), lambda x: F.coalesce(x, F.lit(False)))
-    rows = rows.withColumn("_run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(by_src))
-    runs = rows.groupBy("_src", "_run").agg(F.sort_array(F.collect_list(F.struct("_place", order, "components"))).alias("_b"))
+    joins = alike & F.forall(F.zip_with("_before", "components", goes_on), lambda x: F.coalesce(x, F.lit(False)))
+    rows = rows.withColumn("_start", F.when(~F.coalesce(joins, F.lit(False)), F.col("_place"))).drop("_before", "_at")
+    rows = saved(rows.withColumn("_run", F.max("_start").over(Window.partitionBy("_s").orderBy("_place"))))
+    last = rows.groupBy("_s").agg(F.max("_start").alias("_last"))
+    earlier = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("_s", F.max("_last").over(earlier).alias("_open"))  # a row for each stretch
+    rows = rows.join(last, "_s").withColumn("_run", F.coalesce("_run", "_open"))
+    runs = rows.groupBy("_run").agg(F.sort_array(F.collect_list(F.struct("_place", "_order", "components"))).alias("_b"))
     first = F.get("_b", F.lit(0))
-    whole = F.transform(
-        first["components"],
-        lambda c, i: c.withField("text", F.array_join(F.transform("_b", lambda b: F.get(b["components"], i)["text"]), "")).withField(
-            "size", F.aggregate("_b", F.lit(0).cast("long"), lambda x, b: x + F.get(b["components"], i)["size"])
-        ),
-    )
-    return runs.select(first[order].alias(order), F.size("_b").alias("n_blocks"), whole.alias("components"))
+    text = lambda of, i: F.array_join(F.transform(of, lambda b: F.get(b["components"], i)["text"]), "")
+    size = lambda of, i: F.aggregate(of, F.lit(0).cast("long"), lambda x, b: x + F.get(b["components"], i)["size"])
+    whole = F.transform(first["components"], lambda c, i: c.withField("text", text(F.col("_b"), i)).withField("size", size(F.col("_b"), i)))
+    return runs.select(first["_order"].alias(order), F.size("_b").alias("n_blocks"), whole.alias("components"))
 
 
 def dense_order(rows: DataFrame, order: str, place: str = "_place") -> DataFrame:
-    """``rows`` with their places, from 1 on, in ``order``.
-
-    Rows are counted by stretches of the order key, which are numbered by sums over the few rows of
-    counts; only a stretch is sorted in a task. The key has to be a whole number."""
-    stretch = F.floor(F.col(order) / 65_536)
-    rows = rows.withColumn("_s", stretch)
-    counts = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    at = F.row_number().over(Window.partitionBy("_s").orderBy(order))
-    return rows.withColumn("_at", at).join(counts, "_s").withColumn(place, F.col("_first") + F.col("_at")).drop("_s", "_at", "_first")
+    """``rows`` with their places, from 1 on, in ``order``."""
+    return numbered_rows(rows, [order], place)
 
 
 def block_cpg_density(blocks: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import numbered_rows, saved
+from .blocks import STRETCH
+
 BIN = 65_536
 
 
@@ -30,12 +33,21 @@ def merge_overlaps(intervals: DataFrame, by: list[str] | None = None) -> DataFra
     each value of ``by``). Empty intervals cover nothing."""
     keys = [*(by or []), "chrom"]
     rows = intervals.where("start < end").select(*keys, "start", "end")
-    # equal starts meet first, which bounds what the window sorts
+    # equal starts meet first, which bounds what is sorted; then each stretch of the order is a task's work
     rows = rows.groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    order = Window.partitionBy(*keys).orderBy("start")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    return rows.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    rows = numbered_rows(rows, [*keys, "start"]).withColumn("_s", F.floor(F.col("_place") / STRETCH))
+    of_stretch = rows.groupBy("_s", *keys).agg(F.max("end").alias("_to"))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    of_stretch = of_stretch.withColumn("_reach", F.max("_to").over(before)).drop("_to")  # a row for each key and stretch
+    here = Window.partitionBy("_s", *keys).orderBy("_place")
+    rows = rows.join(of_stretch, ["_s", *keys])
+    reach = F.greatest("_reach", F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = saved(rows.withColumn("_start", F.when(F.coalesce(F.col("start") <= reach, F.lit(False)), None).otherwise(F.col("start"))))
+    starts = rows.groupBy("_s", *keys).agg(F.max("_start").alias("_last"))
+    starts = starts.withColumn("_open", F.max("_last").over(before)).drop("_last")
+    rows = rows.withColumn("_run", F.max("_start").over(here)).join(starts, ["_s", *keys])
+    rows = rows.groupBy(*keys, F.coalesce("_run", "_open").alias("start")).agg(F.max("end").alias("end"))
+    return rows.select(*keys, "start", "end")
 
 
 def _bins(start: Column, end: Column, size: int) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from ..operators import blocks as B
 from ..operators import columns as C
 from ..operators import intervals as I
 from ..operators import mappings as M
+from ..sources import shared_folder
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -32,12 +30,6 @@ def query(sql: str | None = None):  # noqa: ANN201
     return put
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name where all executors can write; a temporary one only where none is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-")
-    return f"{top.rstrip('/')}/weftline-{uuid.uuid4().hex}"
-
-
 def _texts(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", F.array_join(F.transform("components", lambda c: c["text"]), "|").alias("text"))
 

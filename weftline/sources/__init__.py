@@ -3,12 +3,53 @@ order has a meaning: it is counted by file and split, as text files are read."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as W
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name in the folder that all executors share, which ``spark.checkpoint.dir`` names. Where
+    that is unset a session on one machine, as in tests, gets a temporary folder; a cluster an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+        top = spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+
+
+def saved(rows: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read from there: its plan ends, and it is there for
+    every later use, whatever executor is lost."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def numbered_rows(rows: DataFrame, order: list[str], place: str = "_place") -> DataFrame:
+    """``rows`` with their places, from 1 on, in ``order`` (any keys that sort).
+
+    Rows are dealt to ranges of the order, whatever its values, sorted there and written; a place is a
+    row's number in its file plus the rows of the files before it, of which there is one count each. So
+    no task gets more than its range."""
+    path = shared_folder(rows.sparkSession)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    read = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    read = read.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = read.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    number = F.regexp_extract("_file", "^part-([0-9]+)", 1).cast("long")
+    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return read.join(counts, "_file").withColumn(place, F.col("_first") + F.col("_row") + 1).drop("_file", "_row", "_first")
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str], line_sep: str | None = None) -> DataFrame:
     """``(row_idx, value)``: the lines (or records) of text files with their places, compressed or not.
 
