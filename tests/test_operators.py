@@ -380,3 +380,72 @@ def test_packed_sequences(spark, tmp_path):
     iv = spark.createDataFrame([(0, "chr1", 2, 9), (1, "chr1", 3, 3)], "row_idx long, chrom string, start long, end long")
     got = {r.row_idx: r.seq for r in I.fetch_sequences(iv, tiles, 4).collect()}
     assert got == {0: text[2:9], 1: None}
+
+
+def test_line_ends_and_fields(spark, tmp_path):
+    """Alignment files with either kind of line ends and any number of empty lines; fields beyond the fifth."""
+    text = "##maf version=1\n\n\na score=1\ns hg17.chr1 0 2 + 9 AC\ns mm5.chr1 0 1 - 9 A-\n\na\ns hg17.chr1 2 1 + 9 G\ns mm5.chr1 1 1 - 9 G\n"
+    want = [(1.0, ["AC", "A-"]), (None, ["G", "G"])]
+    for k, end in enumerate(("\n", "\r\n")):
+        (tmp_path / f"{k}.maf").write_bytes(text.replace("\n", end).encode())
+        got = S.read_maf(spark, str(tmp_path / f"{k}.maf")).orderBy("block_id").collect()
+        assert [(r.score, [c.text for c in r.components]) for r in got] == want
+        (tmp_path / f"{k}.fa").write_bytes(f">one{end}AC{end}GT{end}>two{end}A{end}".encode())
+        assert [(r.header, r.seq) for r in S.read_fasta(spark, str(tmp_path / f"{k}.fa")).orderBy("rec_no").collect()] == [("one", "ACGT"), ("two", "A")]
+    (tmp_path / "x.bed").write_text("chr1\t5\t9\nchr2\t1\t2\ta b\t-\tc\t\td\n")
+    assert [(r.label, r.strand, r.rest) for r in S.read_intervals(spark, str(tmp_path / "x.bed"), tabs=True).orderBy("row_idx").collect()] == [("", "+", None), ("a b", "-", "a b\t-\tc\t\td")]
+
+
+def test_matrix_with_zeros(spark, tmp_path):
+    sparse = spark.createDataFrame([(0, 0, 1.0), (0, 2, 2.5), (2, 1, 3.0)], "i int, j int, w double")
+    lines = [r.value for r in S.matrix_text(sparse).orderBy("i").collect()]
+    assert [x.split("\t")[0] for x in lines] == ["V0", "V1", "V2"]
+    cells = [[float(c) for c in x.split("\t")[1:]] for x in lines]
+    assert cells == [[1.0, 0.0, 2.5], [0.0, 0.0, 0.0], [0.0, 3.0, 0.0]]
+    S.matrix_text(sparse, labelled=False).orderBy("i").select("value").write.text(str(tmp_path / "m"))
+    assert {(r.i, r.j): r.w for r in S.read_matrix(spark, str(tmp_path / "m")).collect()} == {(i, j): cells[i][j] for i in range(3) for j in range(3)}
+
+
+def test_region_classes(spark):
+    # fixed values: names of data sets, supports and their classes
+    known = [("pos_enc_proms_tile", 4, 1), ("pos_enc_proms_tile", 5, 2), ("pos_enc_proms_tile", 14, 2), ("pos_enc_proms_tile", 15, 3), ("enc_distal_loose_2_tile", 1, 4), ("enc_distal_loose_2_tile", 2, 5)]
+    known += [("enc_distal_loose_2_tile", 0, 0), ("enc_ar", 1, 6), ("wang_preCRMs_tile", 9, 7), ("put_enc_proms_tile", 1, 8), ("other", 3, 0), ("reg_tile", 3, 0)]
+    rows = spark.createDataFrame([(d, s, c, 1.0, 2.0) for d, s, c in known] + [("enc_ar", 1, 6, None, 2.0)], "dataset string, support int, want int, x double, y double")
+    got = T.classed_regions(rows, ("x", "y"), most=9).collect()
+    assert len(got) == len(known) - 1 and all(r["class"] == r.want for r in got)
+    assert T.classed_regions(rows, ("x", "y")).where("class > 5").count() == 0
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=101), "b": rng.integers(0, 3, 40).astype(float), "c": np.array([7.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("d", None)], "g string, v double")
+    got = {(r.g, r.share): r.v for r in T.quantiles(rows, "v", [0.0, 0.1, 0.25, 0.9, 1.0], ["g"]).collect()}
+    assert len(got) == 15 and all(v == pytest.approx(np.quantile(values[g], q)) for (g, q), v in got.items())
+    assert T.quantiles(rows.where("g = 'd'"), "v", [0.5]).count() == 0
+
+
+def test_score_vectors_and_lines(spark, tmp_path):
+    for name, text in (("a", "1\nNA\n3\n"), ("b", "4\n5\n")):
+        (tmp_path / name).write_text(text)
+    both = S.zip_scores(a=S.read_scores(spark, str(tmp_path / "a")), b=S.read_scores(spark, str(tmp_path / "b"))).orderBy("row_idx").collect()
+    assert [(r.a, r.b) for r in both] == [(1.0, 4.0), (None, 5.0)]
+    (tmp_path / "l").write_text("pos 1.5\nneg NA\n")
+    assert [(r.label, r.score) for r in S.read_labelled_scores(spark, str(tmp_path / "l")).orderBy("row_idx").collect()] == [("pos", 1.5), ("neg", None)]
+    lines = spark.createDataFrame([("x 1",), ("NA 2",), ("y NANO",)], "value string")
+    assert [r.value for r in S.prefix_lines(S.without_missing(lines), "hg17.").collect()] == ["hg17.x 1"]
+    assert S.last_path(spark, str(tmp_path), "?").endswith("/l")
+    curves = spark.createDataFrame([("m", 2.0, 1), ("m", 0.0, 0), ("m", 1.0, 0), ("p", 0.0, 0), ("p", 1.0, 1)], "source string, s double, y int")
+    got = {(r.source, r.k): (r.tpr, r.fpr) for r in T.roc_curves(curves, "source", "s", F.col("y") == 1, 2, above_zero=("m",)).collect()}
+    assert got == {("m", 0): (1.0, 1.0), ("m", 1): (1.0, 0.0), ("p", 0): (1.0, 1.0), ("p", 1): (1.0, 0.0)}
+
+
+def test_blocks_for_intervals(spark):
+    two = lambda s, a, b, strand="+": [comp(a, start=s, strand=strand), comp(b, "mm5.chr9", start=s + 100, strand=strand)]
+    rows = blocks_of(spark, two(0, "AC", "GG"), two(2, "T", "A"), two(9, "CC", "-A"), two(40, "G", "G", "-"))
+    asks = spark.createDataFrame([(0, "hg17.chr1", 0, 3), (1, "hg17.chr1", 1, 12), (2, "hg17.chr1", 20, 30), (3, "hg17.chr1", 40, 41), (4, "x", 0, 9)], "row_idx int, chrom string, start long, end long")
+    got = {r.row_idx: [tuple(c) for c in r.components] for r in I.blocks_for_intervals(asks, rows, ["hg17", "mm5"], spacer=3).collect()}
+    assert got[0] == [("hg17.chr1", 0, 3, "+", 1000, "ACT"), ("mm5.chr9", 100, 3, "+", 1000, "GGA")]
+    assert got[1] == [("hg17.fake", 0, 5, "?", 5, "ACT---CC"), ("mm5.fake", 0, 4, "?", 4, "GGA----A")]
+    assert got[2] == got[4] == [("hg17.fake", 0, 0, "?", 0, ""), ("mm5.fake", 0, 0, "?", 0, "")]
+    assert got[3] == [("hg17.chr1", 40, 1, "-", 1000, "G"), ("mm5.chr9", 140, 1, "-", 1000, "G")]

@@ -3,14 +3,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import saved
+
 #: Rows of one problem: its distance matrix is held in one task.
 MOST_ROWS = 5_000
 
@@ -112,28 +111,19 @@ def hierarchical(matrix: DataFrame, by: str = "problem") -> DataFrame:
     return matrix.select(by, "i", "j", "w").groupBy(by).applyInPandas(run, f"{by} string, stage int, n_clusters int, left int, right int, sim double")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written where all executors can read, and read back: this cuts the lineage."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-")
-    path = f"{top.rstrip('/')}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _ways(merges: DataFrame, level: float) -> DataFrame:
     """``(leaf, way, deep)``: the way from the top to each leaf, 0 for left and 1 for right, and how far
     over the leaf its topmost node over ``level`` is. Each round joins the ways with themselves, so
     that they reach twice as far up; rounds are as many as the depth has binary digits."""
     at = F.when(F.col("sim") > level, 1).alias("deep")
     side = lambda child, way: merges.select(F.col(child).alias("node"), F.col("stage").alias("up"), F.lit(way).alias("way"), at)
-    ways = _kept(side("left", "0").unionByName(side("right", "1")))
+    ways = saved(side("left", "0").unionByName(side("right", "1")))
     while True:
         over = ways.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("way").alias("_way"), F.col("deep").alias("_deep"))
         if ways.join(over.select("up"), "up", "left_semi").isEmpty():
             return ways.where("node < 0").select((-F.col("node")).alias("leaf"), "way", "deep")
         deep = F.coalesce(F.col("_deep") + F.length("way"), F.col("deep")).alias("deep")
-        ways = _kept(ways.join(over, "up", "left").select("node", F.coalesce("_up", "up").alias("up"), F.concat(F.coalesce("_way", F.lit("")), "way").alias("way"), deep))
+        ways = saved(ways.join(over, "up", "left").select("node", F.coalesce("_up", "up").alias("up"), F.concat(F.coalesce("_way", F.lit("")), "way").alias("way"), deep))
 
 
 def cut_dendrogram(merges: DataFrame, level: float) -> DataFrame:

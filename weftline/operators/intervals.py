@@ -96,6 +96,40 @@ def fuse_for_intervals(intervals: DataFrame, pieces: DataFrame, spacer: int = 10
     return out.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
 
 
+def blocks_for_intervals(intervals: DataFrame, blocks: DataFrame, species: list[str], spacer: int = 10, key: str = "row_idx") -> DataFrame:
+    """``(row_idx, components)``: one block for each interval ``(chrom, start, end)``, ``chrom`` being the source
+    of blocks' first components, and places those on the component's own strand.
+
+    The blocks that an interval meets are put in order and neighbours that go on (on one source and
+    strand, in all components) are fused. If one block is left it is the result; of several the texts are
+    joined with ``spacer`` gaps, as components without a place; without any their texts are empty.
+    """
+    c = F.get("components", F.lit(0))
+    pieces = blocks.select(c["src"].alias("chrom"), c["start"].alias("start"), (c["start"] + c["size"]).alias("end"), "components")
+    hits = overlap_join(intervals.select(key, "chrom", "start", "end"), pieces)
+    lists = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("r_start", "r_end", F.col("r_components").alias("b")))).alias("_p"))
+    on = lambda a, b: (a["src"] == b["src"]) & (a["strand"] == b["strand"]) & (a["start"] + a["size"] == b["start"])
+    grown = lambda a, b: a.withField("text", F.concat(a["text"], b["text"])).withField("size", a["size"] + b["size"])
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = (F.size(last) == F.size(p["b"])) & F.forall(F.zip_with(last, p["b"], on), lambda x: F.coalesce(x, F.lit(False)))
+        fused = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.zip_with(last, p["b"], grown)))
+        return F.when(F.coalesce(joins, F.lit(False)), fused).otherwise(F.concat(done, F.array(p["b"])))
+
+    kind = blocks.schema["components"].dataType.simpleString()
+    runs = lists.select(key, F.aggregate("_p", F.array().cast(f"array<{kind}>"), step).alias("_r"))
+    runs = intervals.select(key).join(runs, key, "left").withColumn("_r", F.coalesce("_r", F.array().cast(f"array<{kind}>")))
+
+    def fake(name: Column, i: Column) -> Column:
+        text = F.array_join(F.transform("_r", lambda b: F.get(b, i)["text"]), "-" * spacer)
+        size = F.length(F.replace(text, F.lit("-"), F.lit(""))).cast("long")
+        return F.struct(F.concat(name, F.lit(".fake")).alias("src"), F.lit(0).cast("long").alias("start"), size.alias("size"), F.lit("?").alias("strand"), size.alias("src_size"), text.alias("text"))
+
+    fakes = F.transform(F.array(*map(F.lit, species)), fake)
+    return runs.select(key, F.when(F.size("_r") == 1, F.get("_r", F.lit(0))).otherwise(fakes).alias("components"))
+
+
 def fetch_sequences(intervals: DataFrame, tiles: DataFrame, tile: int, key: str = "row_idx") -> DataFrame:
     """Intervals with ``seq``, from a store cut into tiles ``(chrom, tile_no, seq)`` of one length."""
     asks = intervals.where("start < end").select(key, "chrom", "start", "end").withColumn("tile_no", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))))

@@ -35,7 +35,11 @@ def convert_missing(mapping: DataFrame, most: int, replace: bool = False) -> Dat
 def from_clusters(distributions: DataFrame, trace: DataFrame, clusters: int) -> DataFrame:
     """``(key, symbol)``: the clusters of the trace's row for ``clusters``, given to the names of the
     distributions ``(row_idx, key)`` by place. Both have to be of one length."""
-    assigned = trace.where(F.col("n_clusters") == clusters).limit(1).select(F.size("assign").alias("_n"), F.posexplode("assign").alias("row_idx", "symbol"))
+    return from_assignments(distributions, trace.where(F.col("n_clusters") == clusters).limit(1).select(F.posexplode("assign").alias("row_idx", "symbol")))
+
+
+def from_assignments(distributions: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The same for clusters in long form, ``(row_idx, symbol)``."""
     rows = distributions.select("row_idx", "key").join(assigned, "row_idx", "full")
     bad = F.raise_error(F.lit("as many clusters as names are asked for")).cast("string")
     return rows.select("key", F.when(F.col("key").isNull() | F.col("symbol").isNull(), bad).otherwise(F.col("symbol").cast("string")).alias("symbol"))

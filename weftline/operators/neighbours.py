@@ -30,23 +30,23 @@ def nearest(queries: DataFrame, points: DataFrame, query: str = "label", blocks:
 
 
 def augment_mapping(mapping: DataFrame, known: DataFrame, new: DataFrame) -> DataFrame:
-    """``(key, symbol)`` for each of the ``new`` distributions: the symbol of the nearest known one that
+    """``(key, symbol)``, by key, for each of the ``new`` distributions: the symbol of the nearest known one that
     is mapped. Two known ones may not be equal."""
     same = known.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label"))
     one = F.when(F.col("n") > 1, F.raise_error(F.lit("two known distributions are equal")).cast("string")).otherwise(F.col("label"))
     mapped = same.select(one.alias("label"), "p").join(mapping.select(F.col("key").alias("label"), "symbol"), "label")
     found = nearest(new, mapped.select("label", "p"))
-    return found.select(F.col("label").alias("key"), "nearest").join(mapping.select(F.col("key").alias("nearest"), "symbol"), "nearest").select("key", "symbol")
+    return found.select(F.col("label").alias("key"), "nearest").join(mapping.select(F.col("key").alias("nearest"), "symbol"), "nearest").select("key", "symbol").orderBy("key")
 
 
 def wildcard_to_certain(mapping: DataFrame, distributions: DataFrame) -> DataFrame:
-    """``(key, nearest, symbol)``: distributions of columns with wildcards take the symbol of the nearest
+    """``(key, nearest, symbol)``, by key: distributions of columns with wildcards take the symbol of the nearest
     one without; the mapping itself follows with no ``nearest``."""
     wild = F.col("label").contains("*")
     last = distributions.where(~wild).groupBy("p").agg(F.max_by("label", "row_idx").alias("label"))
     found = nearest(distributions.where(wild).select("label", "p"), last)
     found = found.join(mapping.select(F.col("key").alias("nearest"), "symbol"), "nearest").select(F.col("label").alias("key"), "nearest", "symbol")
-    return found.unionByName(mapping.select("key", F.lit(None).cast("string").alias("nearest"), "symbol"))
+    return found.unionByName(mapping.select("key", F.lit(None).cast("string").alias("nearest"), "symbol")).orderBy("key")
 
 
 def weighted_centroids(rows: DataFrame, by: str, weight: str = "w") -> DataFrame:

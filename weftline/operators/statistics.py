@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import numbered_rows
+
 
 def correlations(rows: DataFrame, columns: list[str], by: str | None = None, complete: bool = False) -> DataFrame:
     """``(x, y, r)`` for all pairs of columns: over rows in which both are there, or with ``complete``
@@ -82,6 +84,21 @@ def roc_curve(rows: DataFrame, score: str, positive: Column, breaks: int = 2048)
     return rows_.select("k", "threshold", F.try_divide(F.sum("p").over(up), F.sum("p").over(every)).alias("tpr"), F.try_divide(F.sum("n").over(up), F.sum("n").over(every)).alias("fpr"))
 
 
+def roc_curves(rows: DataFrame, by: str, score: str, positive: Column, breaks: int = 2048, above_zero: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, k, threshold, tpr, fpr)``: a curve as ``roc_curve`` has it for each score source in ``by``, to be
+    laid over each other. Of the sources in ``above_zero`` only scores over 0 count."""
+    scored = rows.where(F.col(score).isNotNull()).where(~F.col(by).isin(*above_zero) | (F.col(score) > 0)) if above_zero else rows.where(F.col(score).isNotNull())
+    scored = scored.select(F.col(by).alias("g"), F.col(score).cast("double").alias("s"), positive.cast("int").alias("y"))
+    ends = scored.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))  # a row for each source
+    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (breaks - 1))).otherwise(F.lit(breaks - 1))
+    counts = scored.join(ends, "g").groupBy("g", at.cast("int").alias("k")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(breaks - 1)))).join(counts, ["g", "k"], "left").na.fill(0, ["p", "n"])
+    up = Window.partitionBy("g").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy("g")
+    rate = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(every))
+    return grid.select(F.col("g").alias(by), "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (breaks - 1)).alias("threshold"), rate("p").alias("tpr"), rate("n").alias("fpr"))
+
+
 def ecdf_grid(rows: DataFrame, value: str, by: str, span: list[str], steps: int = 1000) -> DataFrame:
     """``(by, k, x, cdf)``: the share of a group's values up to each of ``steps + 1`` even points between
     the smallest and largest values of the groups in ``span``. Nulls don't count."""
@@ -98,33 +115,52 @@ def ecdf_grid(rows: DataFrame, value: str, by: str, span: list[str], steps: int
 
 def box_statistics(rows: DataFrame, value: str, by: str) -> DataFrame:
     """``(by, low, q1, median, q3, high)`` of each group."""
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    out = rows.where(F.col(value).isNotNull()).groupBy(by).agg(q.alias("q"))
-    return out.select(by, *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))))
+    names = {0.0: "low", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "high"}
+    found = quantiles(rows, value, list(names), [by])
+    return found.groupBy(by).agg(*(F.max(F.when(F.col("share") == q, F.col("v"))).alias(n) for q, n in names.items()))
 
 
 def dataset_class(dataset: Column, support: Column) -> Column:
     """The class of a region by its data set and support."""
-    # fixed values: classes by data set and support
-    return (
-        F.when(dataset == "put_enc", 8)
-        .when(dataset == "preCRM", 7)
-        .when(dataset == "ar", 6)
-        .when((dataset == "distal_loose_2") & (support > 1), 5)
-        .when((dataset == "distal_loose_2") & (support == 1), 4)
-        .when((dataset == "prom") & (support >= 15), 3)
-        .when((dataset == "prom") & (support >= 5), 2)
-        .when((dataset == "prom") & (support < 5), 1)
-        .otherwise(0)
-    )
+    # fixed values: the names of the data sets
+    promoters, distal, repeats, modules, putative = "pos_enc_proms_tile", "enc_distal_loose_2_tile", "enc_ar", "wang_preCRMs_tile", "put_enc_proms_tile"
+    by_support = lambda *steps: F.coalesce(*(F.when(support >= least, k) for least, k in steps))
+    kind = F.when(dataset == promoters, by_support((15, 3), (5, 2), (float("-inf"), 1)))
+    kind = kind.when(dataset == distal, F.when(support == 1, 4).when(support > 1, 5))
+    kind = kind.when(dataset == repeats, 6).when(dataset == modules, 7).when(dataset == putative, 8)
+    return F.coalesce(kind, F.lit(0))
+
+
+def classed_regions(rows: DataFrame, columns: tuple[str, ...], dataset: str = "dataset", support: str = "support", most: int = 5) -> DataFrame:
+    """``rows`` that have all ``columns`` and are of no regulatory tile, with their ``class``, up to ``most``."""
+    # fixed value: the data set that is left out
+    full = rows.dropna(subset=list(columns)).where(F.col(dataset) != "reg_tile")
+    return full.withColumn("class", dataset_class(F.col(dataset), F.col(support))).where(F.col("class") <= most)
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """``by``, ``share`` and ``v``: exact quantiles, between two values by their distance; nulls don't count.
+
+    Values are sorted in ranges (``numbered_rows``) and the two rows on either side of a quantile are
+    picked by their places, so that no task holds all values or all distinct ones."""
+    keys = by or []
+    placed = numbered_rows(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), [*keys, "_v"])
+    ends = placed.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    at = F.explode(F.array(*map(F.lit, shares))).alias("share")
+    asked = ends.select(*keys, "_first", "_n", at).withColumn("_pos", F.col("_first") + F.col("share") * (F.col("_n") - 1))
+    near = F.explode(F.sequence(F.floor("_pos"), F.ceil("_pos"))).alias("_place")
+    found = asked.select(*keys, "share", "_pos", near).join(placed.select("_place", "_v"), "_place")
+    part = F.max(F.col("_pos") - F.floor("_pos"))
+    return found.groupBy(*keys, "share").agg((F.min("_v") + (F.max("_v") - F.min("_v")) * part).alias("v"))
 
 
 def quantile_split(rows: DataFrame, columns: tuple[str, str, str], q: float = 0.9) -> DataFrame:
     """``rows`` with ``region``: which of the three columns lie above their ``q`` quantile, the others
     strictly below theirs (``high_`` and the names, joined by ``_and_``; ``none``); a value equal to its
     quantile, or missing, puts a row in no region (null)."""
-    cuts = rows.agg(*(F.percentile(c, F.lit(q)).alias(f"_q_{c}") for c in columns))
-    out = rows.crossJoin(F.broadcast(cuts))  # one row
+    out = rows
+    for c in columns:
+        out = out.crossJoin(F.broadcast(quantiles(rows, c, [q]).select(F.col("v").alias(f"_q_{c}"))))  # one row
     high = {c: F.col(c) > F.col(f"_q_{c}") for c in columns}
     low = {c: F.col(c) < F.col(f"_q_{c}") for c in columns}
     region = F.when(low[columns[0]] & low[columns[1]] & low[columns[2]], F.lit("none"))

@@ -1,7 +1,7 @@
 """Queries over the given tables: each applies operators of this package."""
 
-from . import analysis, alignment
+from . import alignment, analysis, formats
 
 QUERIES = alignment.QUERIES
 ORACLES = alignment.ORACLES
-__all__ = ["ORACLES", "QUERIES", "alignment", "analysis"]
+__all__ = ["ORACLES", "QUERIES", "alignment", "analysis", "formats"]

@@ -210,10 +210,8 @@ def convert_missing(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT s_name AS key, (s_nationkey % 5)::VARCHAR AS symbol FROM supplier")
 def mapping_from_clusters(spark: SparkSession, d: str) -> DataFrame:
     s = X.table(spark, d, "supplier").select((F.col("s_suppkey")).alias("k"), F.col("s_name").alias("key"), (F.col("s_nationkey") % 5).alias("c"))
-    lists = s.agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("_a"))
-    trace = lists.select(F.lit(5).alias("n_clusters"), F.transform("_a", lambda x: x["c"]).alias("assign"))
-    rows = B.dense_order(s, "k").select((F.col("_place") - 1).alias("row_idx"), "key")
-    return M.from_clusters(rows, trace, 5)
+    rows = B.dense_order(s, "k").withColumn("row_idx", F.col("_place") - 1)
+    return M.from_assignments(rows.select("row_idx", "key"), rows.select("row_idx", F.col("c").alias("symbol")))
 
 
 @query("WITH r AS (SELECT max(p_size) + 1 AS n FROM part) SELECT i AS row, (i % n) || ' ' || (i // n % n) || ' ' || (i // (n * n)) AS word FROM r, unnest(range(0, (n * n * n)::BIGINT)) t(i)")
@@ -266,6 +264,32 @@ def fuse_for_intervals(spark: SparkSession, d: str) -> DataFrame:
     return I.fuse_for_intervals(asks, pieces)
 
 
+@query(f"""WITH {X.BLOCKS_SQL}, asks AS (
+  SELECT c_custkey AS row_idx, 'hg17.chr' || (c_custkey % 22 + 1) AS chrom, c_custkey * 311 % 480000 AS start, c_custkey * 311 % 480000 + 96 AS "end" FROM customer
+), three AS (
+  SELECT block_id, any_value(src) FILTER (WHERE ci = 0) AS src, any_value(start) AS start, string_agg(strand, '' ORDER BY ci) AS strands, list(text ORDER BY ci) AS texts FROM comp GROUP BY block_id HAVING count(*) = 3
+), hit AS (
+  SELECT a.row_idx, t.*, CASE WHEN lag(t.start + 32) OVER w = t.start AND lag(strands) OVER w = strands THEN 0 ELSE 1 END AS new
+  FROM asks a JOIN three t ON t.src = a.chrom AND a.start < t.start + 32 AND t.start < a."end" WINDOW w AS (PARTITION BY a.row_idx ORDER BY t.start)
+), runs AS (
+  SELECT row_idx, run, min(start) AS start, any_value(strands) AS strands, any_value(src) AS src, string_agg(texts[1], '' ORDER BY start) AS t0, string_agg(texts[2], '' ORDER BY start) AS t1, string_agg(texts[3], '' ORDER BY start) AS t2, count(*) AS n
+  FROM (SELECT *, sum(new) OVER (PARTITION BY row_idx ORDER BY start) AS run FROM hit) GROUP BY row_idx, run
+), one AS (
+  SELECT row_idx, count(*) AS runs, any_value(src) AS src, any_value(start) AS start, any_value(strands) AS strands, sum(n) AS n,
+    string_agg(t0, '----------' ORDER BY start) AS t0, string_agg(t1, '----------' ORDER BY start) AS t1, string_agg(t2, '----------' ORDER BY start) AS t2 FROM runs GROUP BY row_idx
+), c AS (
+  SELECT a.row_idx, s.i, CASE WHEN runs = 1 THEN replace(src, 'hg17', s.sp) ELSE s.sp || '.fake' END AS src, CASE WHEN runs = 1 THEN one.start ELSE 0 END AS start, runs, n,
+    CASE WHEN runs = 1 THEN substr(strands, s.i + 1, 1) ELSE '?' END AS strand, coalesce(CASE s.i WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END, '') AS text
+  FROM asks a CROSS JOIN (VALUES (0, 'hg17'), (1, 'panTro1'), (2, 'mm5')) s(i, sp) LEFT JOIN one USING (row_idx)
+)
+SELECT row_idx, src, start, CASE WHEN runs = 1 THEN (32 * n)::BIGINT ELSE length(replace(text, '-', '')) END AS size, strand, text FROM c""")
+def blocks_for_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of all species, on either strand, for each interval; made up ones where there are none."""
+    k = F.col("c_custkey")
+    asks = X.table(spark, d, "customer").select(k.alias("row_idx"), F.concat(F.lit("hg17.chr"), (k % 22 + 1).cast("string")).alias("chrom"), (k * 311 % 480_000).alias("start"), (k * 311 % 480_000 + 96).alias("end"))
+    return I.blocks_for_intervals(asks, _full(spark, d), X.SPECIES).select("row_idx", F.inline("components")).drop("src_size")
+
+
 @query(f"""WITH {X.BLOCKS_SQL}, {X.INTERVALS_SQL} SELECT split_part(src, '.', 2) AS chrom, CASE WHEN strand = '-' THEN src_size - start - size ELSE start END AS start,
   CASE WHEN strand = '-' THEN src_size - start ELSE start + size END AS "end" FROM comp WHERE ci = 0 UNION ALL SELECT chrom, start, "end" FROM iv""")
 def union_all(spark: SparkSession, d: str) -> DataFrame:

@@ -249,8 +249,9 @@ SELECT l_orderkey, l_linenumber, class, CASE WHEN l_quantity = a OR l_extendedpr
   WHEN l_quantity < a AND l_extendedprice < b AND l_tax < t THEN 'none'
   ELSE 'high_' || concat_ws('_and_', CASE WHEN l_quantity > a THEN 'l_quantity' END, CASE WHEN l_extendedprice > b THEN 'l_extendedprice' END, CASE WHEN l_tax > t THEN 'l_tax' END) END AS region FROM k, q""")
 def quantile_split(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("l_returnflag") == "A", "prom").when(F.col("l_returnflag") == "N", "distal_loose_2").otherwise("ar")
-    rows = X.table(spark, d, "lineitem").withColumn("class", T.dataset_class(kind, F.col("l_linenumber"))).where("class <= 5")
+    kind = F.when(F.col("l_returnflag") == "A", "pos_enc_proms_tile").when(F.col("l_returnflag") == "N", "enc_distal_loose_2_tile").otherwise("enc_ar")
+    rows = X.table(spark, d, "lineitem").withColumn("dataset", kind)
+    rows = T.classed_regions(rows, ("l_quantity", "l_extendedprice", "l_tax"), support="l_linenumber")
     return T.quantile_split(rows, ("l_quantity", "l_extendedprice", "l_tax")).select("l_orderkey", "l_linenumber", "class", "region")
 
 

@@ -69,9 +69,10 @@ def fields(column: str = "value") -> F.Column:
 
 
 def read_maf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(block_id, score, components)`` of alignment files: records end with an empty line. Lines other
-    than those of components are left out, records without any, too."""
-    records = numbered_lines(spark, paths, "\n\n").withColumn("_l", F.split("value", "\r?\n"))
+    """``(block_id, score, components)`` of alignment files: a record begins with a line that begins with
+    ``a``, so it does not matter how lines end and how many empty ones stand between. Lines other than
+    those of components are left out, records without any, too."""
+    records = numbered_lines(spark, paths, "\na").withColumn("_l", F.split("value", "\r?\n"))
     lines = F.filter("_l", lambda x: F.startswith(x, F.lit("s ")) | F.startswith(x, F.lit("s\t")))
 
     def part(line: F.Column) -> F.Column:
@@ -79,7 +80,7 @@ def read_maf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         n = lambda k: f[k].cast("long")
         return F.struct(f[1].alias("src"), n(2).alias("start"), n(3).alias("size"), f[4].alias("strand"), n(5).alias("src_size"), F.coalesce(F.get(f, F.lit(6)), F.lit("")).alias("text"))
 
-    score = F.regexp_extract("value", "(?m)^a.*\\bscore=([-+0-9.eE]+)", 1)
+    score = F.regexp_extract(F.col("_l")[0], "\\bscore=([-+0-9.eE]+)", 1)
     out = records.select(F.col("row_idx").alias("block_id"), F.when(score != "", score.cast("double")).alias("score"), F.transform(lines, part).alias("components"))
     return out.where(F.size("components") > 0)
 
@@ -101,18 +102,20 @@ def write_maf(blocks: DataFrame, path: str, by_source: bool = False, order: str
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(rec_no, header, seq)``; the lines of a sequence are joined."""
-    records = numbered_lines(spark, paths, "\n>").withColumn("_r", F.regexp_replace("value", "^>", ""))
+    records = numbered_lines(spark, paths, "\n>").withColumn("_r", F.regexp_replace("value", "^>|\\r$", ""))
     lines = F.split("_r", "\r?\n")
     return records.where(F.trim("_r") != "").select(F.col("row_idx").alias("rec_no"), lines[0].alias("header"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "").alias("seq"))
 
 
 def read_intervals(spark: SparkSession, paths: str | list[str], tabs: bool = False) -> DataFrame:
     """``(row_idx, chrom, start, end, label, strand)`` from lines of fields at white space (or at tabs);
-    a label that is not there is empty, a strand ``+``."""
+    a label that is not there is empty, a strand ``+``. With ``tabs`` there is also ``rest``: the fields after
+    the third as they stand, joined by tabs (null without any), so that a line can be written again whole."""
     lines = numbered_lines(spark, paths).where(F.trim("value") != "").where(~F.startswith("value", F.lit("#")))
     f = F.split("value", "\t") if tabs else fields()
     lines = lines.withColumn("_f", f)
-    return lines.select("row_idx", F.col("_f")[0].alias("chrom"), F.col("_f")[1].cast("long").alias("start"), F.col("_f")[2].cast("long").alias("end"), F.coalesce(F.get("_f", F.lit(3)), F.lit("")).alias("label"), F.coalesce(F.get("_f", F.lit(4)), F.lit("+")).alias("strand"))
+    rest = [F.when(F.size("_f") > 3, F.array_join(F.slice("_f", F.lit(4), F.size("_f")), "\t")).alias("rest")] if tabs else []
+    return lines.select("row_idx", F.col("_f")[0].alias("chrom"), F.col("_f")[1].cast("long").alias("start"), F.col("_f")[2].cast("long").alias("end"), F.coalesce(F.get("_f", F.lit(3)), F.lit("")).alias("label"), F.coalesce(F.get("_f", F.lit(4)), F.lit("+")).alias("strand"), *rest)
 
 
 def read_partitions(spark: SparkSession, manifest: str) -> DataFrame:
@@ -149,11 +152,19 @@ def read_matrix(spark: SparkSession, paths: str | list[str], skip_rows: int = 0,
 
 
 def matrix_text(matrix: DataFrame, labelled: bool = True) -> DataFrame:
-    """``(i, value)``: rows of a text matrix, cells with nine decimals at tabs, labels ``V`` and a number.
-    The matrix has its zeros, as a cell is read by its place."""
+    """``(i, value)``: rows of a square text matrix, cells with nine decimals at tabs, labels ``V`` and a
+    number from 0 on. Cells that the matrix, in long form, does not have are 0, and so are whole rows, as a
+    cell is read by its place."""
+    n = matrix.agg((F.greatest(F.max("i"), F.max("j")) + 1).cast("int").alias("_n"))
     rows = matrix.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("_c"))
-    cells = F.transform("_c", lambda c: F.format_string("%.9f", c["w"]))
-    return rows.select("i", F.concat_ws("\t", F.format_string("V%d", F.col("i") + 1), cells).alias("value") if labelled else F.array_join(cells, "\t").alias("value"))
+    every = n.select(F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"), "_n")
+    rows = every.join(rows, "i", "left").withColumn("_c", F.coalesce("_c", F.array().cast(rows.schema["_c"].dataType)))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    last = lambda k: F.coalesce(F.try_element_at("_c", k)["j"], F.lit(-1))
+    some = F.flatten(F.transform("_c", lambda c, k: F.concat(zeros(c["j"] - F.when(k > 0, last(k)).otherwise(-1) - 1), F.array(c["w"]))))
+    whole = F.concat(some, zeros(F.col("_n") - 1 - F.when(F.size("_c") > 0, last(F.size("_c"))).otherwise(-1)))
+    cells = F.transform(whole, lambda w: F.format_string("%.9f", w))
+    return rows.select("i", F.concat_ws("\t", F.format_string("V%d", "i"), cells).alias("value") if labelled else F.array_join(cells, "\t").alias("value"))
 
 
 def read_int_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -174,6 +185,39 @@ def read_scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered_lines(spark, paths).select("row_idx", F.when(F.trim("value") != "NA", F.trim("value")).cast("double").alias("score"))
 
 
+def read_labelled_scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(row_idx, label, score)`` from lines of two fields; ``NA`` is null."""
+    rows = numbered_lines(spark, paths).where(F.trim("value") != "").select("row_idx", fields().alias("_f"))
+    return rows.select("row_idx", F.col("_f")[0].alias("label"), F.when(F.col("_f")[1] != "NA", F.col("_f")[1]).cast("double").alias("score"))
+
+
+def zip_scores(**columns: DataFrame) -> DataFrame:
+    """``row_idx`` and a column for each of the score vectors ``(row_idx, score)``, by place; as far as the
+    shortest goes."""
+    out = None
+    for name, scores in columns.items():
+        one = scores.select("row_idx", F.col("score").alias(name))
+        out = one if out is None else out.join(one, "row_idx")
+    return out
+
+
+def prefix_lines(lines: DataFrame, prefix: str, column: str = "value") -> DataFrame:
+    """Lines with ``prefix`` before each."""
+    return lines.withColumn(column, F.concat(F.lit(prefix), column))
+
+
+def without_missing(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines in which ``NA`` stands nowhere."""
+    return lines.where(~F.contains(column, F.lit("NA")))
+
+
+def last_path(spark: SparkSession, folder: str, pattern: str = "*") -> str | None:
+    """Of the files of a folder whose names match, the one that comes last by name (of numbered results
+    the best); none of none. Only names are looked at."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.agg(F.max("path")).first()[0]
+
+
 def read_labels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(row_idx, label)``: a label to a line."""
     return numbered_lines(spark, paths).select("row_idx", F.trim("value").alias("label"))
