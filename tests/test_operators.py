@@ -1,6 +1,7 @@
 """Miniatures whose results are worked out by hand, and properties."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -261,6 +262,74 @@ def test_hclust_cut_layout(spark):
     assert CL.layout_dendrogram(merges).count() == 6
 
 
+def test_linkage_equals_one_pair_at_a_time(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for name, n in (("x", 2), ("y", 17), ("z", 40)):
+        sim = np.triu(rng.random((n, n)).round(6), 1)
+        rows += [(name, i, j, float(sim[i, j])) for i in range(n) for j in range(i + 1, n)]
+        groups, merges = {k: ([k], -(k + 1)) for k in range(n)}, []
+        for stage in range(1, n):
+            mean = lambda a, b: np.mean([sim[min(i, j), max(i, j)] for i in groups[a][0] for j in groups[b][0]])  # noqa: B023, E731
+            w, a, b = max((mean(a, b), a, b) for a in groups for b in groups if a < b)
+            merges.append((stage, n - stage, groups[a][1], groups[b][1], round(float(w), 9)))
+            groups[a] = (groups[a][0] + groups.pop(b)[0], stage)
+        want[name] = merges
+    got = {}
+    for r in CL.hierarchical(spark.createDataFrame(rows, "problem string, i int, j int, w double")).collect():
+        got.setdefault(r.problem, []).append((r.stage, r.n_clusters, r.left, r.right, round(r.sim, 9)))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    flat = spark.createDataFrame([("t", i, j, 0.0) for i in range(60) for j in range(i)], "problem string, i int, j int, w double")
+    tied = CL.hierarchical(flat).collect()
+    assert sorted(r.stage for r in tied) == list(range(1, 60)) and all(max(r.left, r.right) < r.stage for r in tied)
+
+
+def test_layout_equals_recursion(spark):
+    rng = random.Random(3)
+    for deep in (False, True):
+        n, nodes, merges = 120, [-(k + 1) for k in range(120)], []
+        for stage in range(1, n):
+            a = nodes.pop() if deep else nodes.pop(rng.randrange(len(nodes)))
+            b = nodes.pop(rng.randrange(len(nodes)))
+            merges.append((stage, a, b, 1.0 - stage / 200))
+            nodes.append(stage)
+        at, leaves = {}, []
+
+        def order(node):
+            if node < 0:
+                leaves.append(node)
+            else:
+                order(merges[node - 1][1])
+                order(merges[node - 1][2])
+
+        order(n - 1)
+        at = {leaf: (float(k), 0.0) for k, leaf in enumerate(leaves)}
+        want = set()
+        for stage, a, b, sim in merges:
+            y = 0.001 - sim
+            at[stage] = ((at[a][0] + at[b][0]) / 2, y)
+            (lx, ly), (rx, ry) = at[a], at[b]
+            want |= {(stage, *(round(v, 9) for v in line)) for line in ((lx, ly, lx, y), (rx, ry, rx, y), (lx, y, rx, y))}
+        got = CL.layout_dendrogram(spark.createDataFrame(merges, "stage int, left int, right int, sim double")).collect()
+        assert {(r.stage, *(round(v, 9) for v in (r.x0, r.y0, r.x1, r.y1))) for r in got} == want
+
+
+def test_agglomeration_without_a_matrix():
+    rng = np.random.default_rng(5)
+    for n in (7, 60):
+        mass, points = rng.integers(1, 30, n).astype(float), rng.integers(0, 4, (n, 3)).astype(float)
+        got = CL._agglomerate(mass, points, 3, 1_000)
+        groups = [[[k], m, p] for k, (m, p) in enumerate(zip(mass / mass.sum(), points, strict=True))]
+        for size, h, assign in got:
+            far = lambda a, b: np.sqrt(((a[2] - b[2]) ** 2).sum())
+            near = [min((far(a, b), j) for j, b in enumerate(groups) if j != i)[1] for i, a in enumerate(groups)]
+            score = lambda parts: -sum(m * np.log(m) for m in parts)
+            tried = {i: score([g[1] for k, g in enumerate(groups) if k not in (i, j)] + [groups[i][1] + groups[j][1]]) for i, j in enumerate(near) if i < j}
+            assert h * np.log(size) == pytest.approx(max(tried.values()))
+            new = [sorted(np.flatnonzero(np.array(assign) == c).tolist()) for c in range(size)]
+            groups = [[g, sum(mass[k] for k in g) / mass.sum(), (points[g] * mass[g, None]).sum(0) / mass[g].sum()] for g in new]
+
+
 def test_cut_of_a_deep_dendrogram(spark):
     n = 300
     merges = spark.createDataFrame([(1, -1, -2, 1.0)] + [(k, k - 1, -(k + 1), 1.0 / k) for k in range(2, n)], "stage int, left int, right int, sim double")

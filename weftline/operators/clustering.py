@@ -1,17 +1,17 @@
-"""Clusterings. A clustering is sequential by nature, so each independent problem is a group of its own
-(``applyInPandas``); what surrounds it (distances, infrequent rows, cuts) is a DataFrame plan."""
+"""Clusterings, each of many independent problems at once.
+
+Average linkage is a plan of joins: all pairs of clusters that are each other's nearest merge in one
+round, which gives the tree that merging one pair at a time does. Agglomeration by entropy compares all
+clusters at each step, so it is sequential by nature: each problem is a group (``applyInPandas``)."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import saved
-
-#: Rows of one problem: its distance matrix is held in one task.
-MOST_ROWS = 5_000
+from ..sources import numbered_rows, saved
 
 
 def _plogp(x: float | np.ndarray) -> float | np.ndarray:
@@ -19,17 +19,29 @@ def _plogp(x: float | np.ndarray) -> float | np.ndarray:
     return np.asarray(x) * np.log(safe)
 
 
+def _nearest(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest other point of each of ``rows`` (of equally near ones the first) and its distance."""
+    best, off = np.empty(len(rows), np.int64), np.empty(len(rows))
+    size = max(1, 4_000_000 // max(1, points.size))
+    for at in range(0, len(rows), size):
+        some = rows[at : at + size]
+        far = np.sqrt(((points[some][:, None] - points[None]) ** 2).sum(-1))
+        far[np.arange(len(some)), some] = np.inf
+        best[at : at + size] = far.argmin(axis=1)
+        off[at : at + size] = far[np.arange(len(some)), best[at : at + size]]
+    return best, off
+
+
 def _agglomerate(mass: np.ndarray, points: np.ndarray, stop: int, report: int) -> list[tuple[int, float, list[int]]]:
     """Merge, time and again, the pair (a row and its nearest, the row first) after which entropy is
-    highest; list the clusterings of fewer than ``report`` clusters."""
+    highest; list the clusterings of fewer than ``report`` clusters. Only each row's nearest is held, no
+    matrix; rows whose nearest changes look again."""
     mass, points = mass / mass.sum(), points.astype(float).copy()
     assign = np.arange(len(mass))
-    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    np.fill_diagonal(far, np.inf)
+    nearest, off = _nearest(points, np.arange(len(mass)))
     entropy = float(-_plogp(mass).sum())
     out = []
     while len(mass) > stop:
-        nearest = far.argmin(axis=1)
         rows = np.flatnonzero(np.arange(len(mass)) < nearest)
         both = mass[rows] + mass[nearest[rows]]
         after = entropy + _plogp(mass[rows]) + _plogp(mass[nearest[rows]]) - _plogp(both)
@@ -41,14 +53,19 @@ def _agglomerate(mass: np.ndarray, points: np.ndarray, stop: int, report: int) -
         mass[i] = total
         assign[assign == j] = i
         assign[assign == last] = j
-        mass[j], points[j] = mass[last], points[last]
-        mass, points = mass[:-1], points[:-1]
-        far[j, :], far[:, j] = far[last, :], far[:, last]
-        far = far[:-1, :-1]
-        for k in {i, j} - {last}:
+        stale = (nearest == i) | (nearest == j) | (nearest == last)
+        for x in (mass, points, nearest, off, stale):
+            x[j] = x[last]
+        mass, points, nearest, off, stale = mass[:-1], points[:-1], nearest[:-1], off[:-1], stale[:-1]
+        for k in {i, j} - {last}:  # the joint one, and the one that has moved
+            stale[k] = True
             d = np.sqrt(((points - points[k]) ** 2).sum(-1))
-            far[k, :], far[:, k] = d, d
-        np.fill_diagonal(far, np.inf)
+            d[k] = np.inf
+            closer = (d < off) | ((d == off) & (k < nearest))
+            nearest[closer], off[closer] = k, d[closer]
+        again = np.flatnonzero(stale)
+        if len(mass) > 1:
+            nearest[again], off[again] = _nearest(points, again)
         if len(mass) < report:
             out.append((len(mass), entropy / np.log(len(mass)), assign.tolist()))
     return out
@@ -56,11 +73,10 @@ def _agglomerate(mass: np.ndarray, points: np.ndarray, stop: int, report: int) -
 
 def entropy_agglomeration(rows: DataFrame, stop: int = 5, report: int = 100, by: str = "problem") -> DataFrame:
     """``(problem, n_clusters, h_norm, assign)`` for ``(problem, row_idx, count, p)``: clusterings of each
-    problem's rows down to ``stop``; ``assign`` gives each row's cluster in order of ``row_idx``."""
+    problem's rows down to ``stop``; ``assign`` gives each row's cluster in order of ``row_idx``. A problem's
+    rows are one task's work (their number, not its square, is held), different problems are different tasks'."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_ROWS:
-            raise ValueError(f"a problem of {len(pdf)} rows; absorb infrequent ones first")
         pdf = pdf.sort_values("row_idx")
         trace = _agglomerate(pdf["count"].to_numpy(float), np.stack(pdf["p"].to_numpy()), stop, report)
         return pd.DataFrame([(pdf[by].iloc[0], *t) for t in trace], columns=[by, "n_clusters", "h_norm", "assign"])
@@ -68,47 +84,52 @@ def entropy_agglomeration(rows: DataFrame, stop: int = 5, report: int = 100, by:
     return rows.select(by, "row_idx", "count", "p").groupBy(by).applyInPandas(run, f"{by} string, n_clusters int, h_norm double, assign array<int>")
 
 
-def _link(sim: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """Average linkage on similarities: ``(stage, n_clusters, left, right, sim)``; leaves count from -1
-    down, clusters from 1 up by their stage."""
-    sim = sim.astype(float).copy()
-    if (sim[~np.eye(len(sim), dtype=bool)] < 0).any():
-        raise ValueError("similarities are not negative")
-    np.fill_diagonal(sim, -1)
-    name, size = [-(k + 1) for k in range(len(sim))], np.ones(len(sim))
-    out = []
-    for stage in range(1, len(sim)):
-        i, j = np.unravel_index(int(sim.argmax()), sim.shape)
-        i, j = int(i), int(j)
-        out.append((stage, len(sim) - stage, name[i], name[j], float(sim[i, j])))
-        joint = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
-        dead = sim[i] < 0
-        dead[[i, j]] = True
-        joint[dead & (sim[j] < 0) | (np.arange(len(sim)) == i) | (np.arange(len(sim)) == j)] = -1
-        sim[i], sim[:, i] = joint, joint
-        sim[j], sim[:, j] = -1, -1
-        sim[i, i] = -1
-        size[i] += size[j]
-        name[i] = stage
-    return out
-
-
 def hierarchical(matrix: DataFrame, by: str = "problem") -> DataFrame:
-    """``(problem, stage, n_clusters, left, right, sim)`` for similarities ``(problem, i, j, w)`` in long
-    form, items counted from 0; pairs that are not given are 0."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(pdf["i"].max(), pdf["j"].max())) + 1
-        if n > MOST_ROWS:
-            raise ValueError(f"a problem of {n} items")
-        sim = np.zeros((n, n))
-        sim[pdf["i"], pdf["j"]] = pdf["w"]
-        sim[pdf["j"], pdf["i"]] = pdf["w"]
-        out = pd.DataFrame(_link(sim), columns=["stage", "n_clusters", "left", "right", "sim"])
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
-
-    return matrix.select(by, "i", "j", "w").groupBy(by).applyInPandas(run, f"{by} string, stage int, n_clusters int, left int, right int, sim double")
+    """``(problem, stage, n_clusters, left, right, sim)``: average linkage on similarities ``(problem, i, j, w)``
+    in long form, items counted from 0, each pair in either order or both; pairs that are not given are not
+    joined before all given ones (``complete`` gives zeros). Leaves are -1, -2 and so on, clusters the
+    stages that make them; the left one has the smaller item.
+
+    In a round each cluster picks the most similar other one (of equal ones by a hash of the pair), and
+    pairs that pick each other merge; similarities to a merged one are means by the numbers of items. No
+    similarity to a merged cluster exceeds those to both parts, so merges by decreasing similarity are
+    the stages. A round leaves a fraction of the clusters, so rounds grow with the log of their number.
+    """
+    pair = matrix.where("i <> j").select(by, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("w").cast("double").alias("w"))
+    pair = pair.withColumn("w", F.when(F.col("w") < 0, F.raise_error(F.lit("similarities are not negative")).cast("double")).otherwise(F.col("w")))
+    pair = saved(pair.groupBy(by, "a", "b").agg(F.max("w").alias("w")))
+    items = pair.select(by, F.col("a").alias("c")).union(pair.select(by, "b")).distinct()
+    whole = saved(items.select(by, "c", F.lit(1).alias("n"), F.lit(0).alias("born"), F.lit(float("inf")).alias("h")))
+    merges, round_ = None, 0
+    while not pair.isEmpty():
+        round_ += 1
+        near = F.struct("w", F.xxhash64("a", "b").alias("tie"), F.col("a").alias("x"), F.col("b").alias("y"))
+        ends = pair.select(by, F.col("a").alias("c"), near.alias("p")).union(pair.select(by, F.col("b").alias("c"), near.alias("p")))
+        best = ends.groupBy(by, "c").agg(F.max("p").alias("p")).select(by, "c", F.col("p.x").alias("a"), F.col("p.y").alias("b"), F.col("p.w").alias("sim"))
+        both = best.groupBy(by, "a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("sim").alias("sim")).where("_n = 2").drop("_n")
+        side = lambda x: whole.select(by, F.col("c").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", "born", "h")))  # noqa: B023, E731
+        done = both.join(side("a"), [by, "a"]).join(side("b"), [by, "b"])
+        done = saved(done.select(by, F.lit(round_).alias("round"), "a", "b", "born_a", "born_b", "n_a", "n_b", "sim", F.least("sim", "h_a", "h_b").alias("h")))
+        merges = done if merges is None else merges.union(done)
+        # each cluster's new name, number of items and share in it
+        joint = done.select(by, "a", (F.col("n_a") + F.col("n_b")).alias("n"), "round", "h")
+        to = done.select(by, F.col("b").alias("c"), F.col("a").alias("to"))
+        kept = whole.join(done.select(by, F.col("a").alias("c")).union(done.select(by, "b")), [by, "c"], "left_anti")
+        named = whole.select(by, "c", "n").join(to, [by, "c"], "left").select(by, "c", "n", F.coalesce("to", "c").alias("to"))
+        whole = saved(kept.union(joint.select(by, "a", F.col("n").cast("int"), "round", "h")))
+        move = lambda x: named.select(by, F.col("c").alias(x), F.col("to").alias(f"to_{x}"), F.col("n").alias(f"n_{x}"))  # noqa: B023, E731
+        moved = pair.join(move("a"), [by, "a"]).join(move("b"), [by, "b"]).where("to_a <> to_b")
+        moved = moved.select(by, F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"), (F.col("n_a") * F.col("n_b")).alias("m"), "w")
+        pair = saved(moved.groupBy(by, "a", "b").agg((F.sum(F.col("m") * F.col("w")) / F.sum("m")).alias("w")))
+    if merges is None:
+        return matrix.sparkSession.createDataFrame([], f"{by} string, stage int, n_clusters int, left int, right int, sim double")
+    placed = numbered_rows(merges.withColumn("_low", -F.col("h")), [by, "_low", "round", "a"])
+    first = placed.groupBy(by).agg((F.min("_place") - 1).alias("_first"), F.count(F.lit(1)).alias("_merges"))
+    placed = saved(placed.join(first, by).withColumn("stage", (F.col("_place") - F.col("_first")).cast("int")))
+    made = lambda x: placed.select(by, F.col("a").alias(x), F.col("round").alias(f"born_{x}"), F.col("stage").alias(f"at_{x}"))
+    out = placed.join(made("a"), [by, "a", "born_a"], "left").join(made("b"), [by, "b", "born_b"], "left")
+    name = lambda x: F.coalesce(F.col(f"at_{x}"), -F.col(x) - 1).cast("int")
+    return out.select(by, "stage", (F.col("_merges") + 1 - F.col("stage")).cast("int").alias("n_clusters"), name("a").alias("left"), name("b").alias("right"), "sim")
 
 
 def _ways(merges: DataFrame, level: float) -> DataFrame:
@@ -131,31 +152,39 @@ def cut_dendrogram(merges: DataFrame, level: float) -> DataFrame:
     cluster; clusters are numbered from 0 in order from left to right."""
     # the way from the top as far as the topmost node over the level names the cluster
     top = _ways(merges, level).withColumn("node", F.when(F.col("deep").isNull(), F.col("way")).otherwise(F.expr("substring(way, 1, length(way) - deep)")))
-    return top.select("leaf", (F.dense_rank().over(Window.orderBy("node")) - 1).alias("cluster"))
+    top = saved(top.select("leaf", "node"))
+    numbers = numbered_rows(top.select("node").distinct(), ["node"])
+    return top.join(numbers, "node").select("leaf", (F.col("_place") - 1).cast("int").alias("cluster"))
+
+
+#: Descendants this many steps below weigh less in a mean of means than a double can tell.
+_DEEPEST = 64
 
 
 def layout_dendrogram(merges: DataFrame) -> DataFrame:
     """``(stage, x0, y0, x1, y1)``: the three lines of each node: leaves stand in order from left to right
-    at height 0, a node at the mean of its children, at 0.001 less its similarity."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {int(r.stage): r for r in pdf.itertuples()}
-        at: dict[int, tuple[float, float]] = {}
-        stack, leaves = [(max(rows), False)], 0
-        while stack:
-            node, done = stack.pop()
-            if node < 0:
-                at[node], leaves = (float(leaves), 0.0), leaves + 1
-            elif done:
-                r = rows[node]
-                at[node] = ((at[r.left][0] + at[r.right][0]) / 2, 0.001 - r.sim)
-            else:
-                r = rows[node]
-                stack += [(node, True), (int(r.right), False), (int(r.left), False)]
-        out = []
-        for stage, r in rows.items():
-            (lx, ly), (rx, ry), y = at[r.left], at[r.right], at[stage][1]
-            out += [(stage, lx, ly, lx, y), (stage, rx, ry, rx, y), (stage, lx, y, rx, y)]
-        return pd.DataFrame(out, columns=["stage", "x0", "y0", "x1", "y1"])
-
-    return merges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda p: run(p), "stage int, x0 double, y0 double, x1 double, y1 double")
+    at height 0, a node at the mean of its children, at 0.001 less its similarity.
+
+    A mean of means weighs each leaf by a half for each step down to it. The steps are found by
+    joining pairs of nodes and descendants with themselves, up to 64 at most, so there are no more than
+    64 rows for each node."""
+    merges = saved(merges.select("stage", "left", "right", "sim"))
+    leaves = numbered_rows(_ways(merges, float("inf")).select("leaf", "way"), ["way"])
+    x_of = leaves.select((-F.col("leaf")).alias("node"), (F.col("_place") - 1).cast("double").alias("x"))
+    below = saved(merges.select("stage", "left").union(merges.select("stage", "right")).toDF("stage", "node").withColumn("steps", F.lit(1)))
+    reach = 1
+    while reach < _DEEPEST:
+        more = below.select(F.col("stage").alias("node"), F.col("node").alias("_node"), F.col("steps").alias("_steps"))
+        ends = below.where((F.col("steps") == reach) & (F.col("node") > 0)).join(more, "node")
+        if ends.isEmpty():
+            break
+        below = saved(below.union(ends.select("stage", "_node", F.col("steps") + F.col("_steps"))))
+        reach *= 2
+    inner = below.join(x_of, "node").groupBy("stage").agg(F.sum(F.col("x") * F.pow(F.lit(0.5), "steps")).alias("x"))
+    at = merges.select(F.col("stage").alias("node"), (0.001 - F.col("sim")).alias("y")).join(inner.withColumnRenamed("stage", "node"), "node")
+    at = saved(at.select("node", "x", "y").union(x_of.withColumn("y", F.lit(0.0))))
+    side = lambda c: at.select(F.col("node").alias(c), F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}"))
+    rows = merges.join(side("left"), "left").join(side("right"), "right").withColumn("y", 0.001 - F.col("sim"))
+    line = lambda *c: F.struct(*(F.col(x).alias(n) for x, n in zip(c, ("x0", "y0", "x1", "y1"), strict=True)))
+    lines = F.array(line("x_left", "y_left", "x_left", "y"), line("x_right", "y_right", "x_right", "y"), line("x_left", "y", "x_right", "y"))
+    return rows.select("stage", F.inline(lines))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions as W
 from .. import sources as S
 from .. import streaming
 from ..operators import blocks as B
@@ -16,6 +17,7 @@ from ..operators import phylogeny as P
 from ..operators import sampling as R
 from ..operators import similarity as Y
 from ..operators import statistics as T
+from ..sources import saved
 from . import fixtures as X
 from .alignment import ORACLES, QUERIES, query, shared_folder
 
@@ -336,6 +338,17 @@ def entropy_agglomeration(spark: SparkSession, d: str) -> DataFrame:
     return CL.entropy_agglomeration(rows.select(F.lit("all").alias("problem"), F.xxhash64("label").alias("row_idx"), "count", "p"))
 
 
+@query()
+def entropy_agglomeration_by_chrom(spark: SparkSession, d: str) -> DataFrame:
+    """A problem for each chromosome: its columns, those seen fewer than three times left to the others."""
+    chrom = W.chrom_of(F.get("components", F.lit(0))["src"])
+    columns = X.blocks(spark, d).where(F.size("components") == 3).select(chrom.alias("problem"), F.explode(W.text_columns(F.col("components"))).alias("key"))
+    counts = saved(columns.groupBy("problem", F.upper("key").alias("key")).agg(F.count(F.lit(1)).alias("count")).where("count >= 3"))
+    states = P.ancestral_distributions(counts.select("key").distinct(), _tree(), X.SPECIES).where("p is not null")
+    rows = counts.join(states.select("key", "p"), "key")
+    return CL.entropy_agglomeration(rows.select("problem", F.xxhash64("key").alias("row_idx"), "count", "p"))
+
+
 def _merges(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
     return CL.hierarchical(Y.complete(_pairs(items), items).select(F.lit("all").alias("problem"), "i", "j", "w"))
@@ -351,7 +364,7 @@ def cut_dendrogram(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark)
     _merges(spark, d).write.parquet(folder)
     merges = spark.read.parquet(folder)
-    level = merges.agg(F.percentile("sim", F.lit(0.3))).first()[0]
+    level = T.quantiles(merges, "sim", [0.3]).first().v
     return CL.cut_dendrogram(merges, level)
 
 
