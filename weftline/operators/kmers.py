@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +41,16 @@ def _chain(ints: np.ndarray) -> np.ndarray:
     return np.cumsum(np.divide(counts, sums, out=np.zeros_like(counts), where=sums > 0), axis=1)
 
 
+def _stretches(rows: np.ndarray, k: int, radix: int) -> np.ndarray:
+    """All stretches of ``k`` symbols (from 0, below ``radix``) of each row, as numbers (Python's own, however
+    large, where 62 bits do not do)."""
+    n = rows.shape[1] - k + 1
+    out = np.zeros((len(rows), n), np.int64 if radix**k < 2**62 else object)
+    for j in range(k):
+        out = out * radix + rows[:, j : j + n]
+    return out
+
+
 def profile_weights(sequences: DataFrame, k: int = 5, runs: int = 100, quantile: float = 0.75, seed: int = 0) -> DataFrame:
     """``(seq_id, kmer, w)``: how often a sequence holds a stretch over how often simulations of its own
     Markov chain do (the order statistic at ``quantile``); null where that is 0.
@@ -56,7 +65,9 @@ def profile_weights(sequences: DataFrame, k: int = 5, runs: int = 100, quantile:
                 ints = np.asarray(ints, np.int64)
                 if len(ints) < k or ints.max() < 0:
                     continue
-                seen = Counter(tuple(ints[i : i + k].tolist()) for i in range(len(ints) - k + 1))
+                low = min(0, int(ints.min()))  # simulated states count from 0
+                own = _stretches(ints[None] - low, k, int(ints.max()) - low + 1)[0]
+                kinds, first, seen = np.unique(own, return_index=True, return_counts=True)
                 cdf = _chain(ints)
                 rng = np.random.default_rng((seed, int(seq_id) & 0xFFFFFFFF))
                 state, paths = np.zeros(runs, np.int64), np.empty((runs, len(ints)), np.int64)
@@ -64,15 +75,14 @@ def profile_weights(sequences: DataFrame, k: int = 5, runs: int = 100, quantile:
                     over = cdf[state] > rng.random(runs)[:, None]
                     state = np.where(over.any(axis=1), over.argmax(axis=1), cdf.shape[0] - 1)
                     paths[:, step] = state
-                made = {m: np.zeros(runs, np.int64) for m in seen}
-                for r in range(runs):
-                    for i in range(len(ints) - k + 1):
-                        m = tuple(paths[r, i : i + k].tolist())
-                        if m in made:
-                            made[m][r] += 1
-                for m, n in seen.items():
-                    base = int(np.sort(made[m])[int(quantile * runs)])
-                    rows.append((seq_id, " ".join(map(str, m)), n / base if base else None))
+                codes = _stretches(paths - low, k, int(ints.max()) - low + 1)
+                at = np.searchsorted(kinds, codes)
+                hit = (at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == codes)
+                run = np.broadcast_to(np.arange(runs)[:, None], codes.shape)
+                made = np.bincount((run * len(kinds) + at)[hit], minlength=runs * len(kinds)).reshape(runs, len(kinds))
+                base = np.sort(made, axis=0)[int(quantile * runs)]
+                for m, count, b in zip(first.tolist(), seen.tolist(), base.tolist(), strict=True):
+                    rows.append((seq_id, " ".join(map(str, ints[m : m + k].tolist())), count / b if b else None))
             yield pd.DataFrame(rows, columns=["seq_id", "kmer", "w"]).astype({"w": "float64"})
 
     return sequences.select("seq_id", "ints").mapInPandas(run, "seq_id long, kmer string, w double").withColumn("w", F.when(F.isnan("w"), None).otherwise(F.col("w")))

@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A broadcast of points stops at so many rows; beyond, queries and points meet in blocks.
-BROADCAST_POINTS = 50_000
-
-
 def distance2(a: Column, b: Column) -> Column:
     """The square of the Euclidean distance."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def nearest(queries: DataFrame, points: DataFrame, query: str = "label", blocks: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, query: str = "label", block: int = 4_096) -> DataFrame:
     """Each query with ``nearest`` (the label of the closest point, of equally close ones the smallest
-    point) and ``d2``. A few points go to every task; many are cut into blocks, each of which meets
-    all queries, and the minima are merged."""
-    pts = points.select(F.col("label").alias("_l"), F.col("p").alias("_p"))
-    asks = queries.select(F.col(query).alias("_q"), F.col("p").alias("_x"))
-    if points.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS:
-        pts, asks = F.broadcast(pts.withColumn("_b", F.lit(0))), asks.withColumn("_b", F.lit(0))
-    else:
-        pts = pts.withColumn("_b", F.pmod(F.xxhash64("_l", "_p"), F.lit(blocks)))
-        asks = asks.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    best = asks.join(pts, "_b").groupBy("_q").agg(F.min(F.struct(distance2(F.col("_x"), F.col("_p")).alias("d2"), F.col("_p"), F.col("_l"))).alias("_m"))
-    return queries.join(best.select(F.col("_q").alias(query), F.col("_m._l").alias("nearest"), F.col("_m.d2").alias("d2")), query)
+    point) and ``d2``.
+
+    Queries and points are dealt to blocks of about ``block`` rows, as many as their numbers ask for; each
+    pair of blocks is a tile, which compares all at once and gives the best of each query; the best of
+    all tiles is the minimum. Points of a length other than the query's are not compared."""
+    kinds = {"q": queries.schema[query].dataType.simpleString(), "l": points.schema["label"].dataType.simpleString()}
+    counts = [max(1, -(-df.count() // block)) for df in (queries, points)]
+    ask = queries.select(F.col(query).alias("q"), F.lit(None).cast(kinds["l"]).alias("l"), F.col("p").cast("array<double>").alias("p"))
+    ask = ask.withColumns({"a": F.pmod(F.xxhash64("q", "p"), F.lit(counts[0])), "b": F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1)).cast("array<bigint>")), "asks": F.lit(True)})
+    held = points.select(F.lit(None).cast(kinds["q"]).alias("q"), F.col("label").alias("l"), F.col("p").cast("array<double>").alias("p"))
+    held = held.withColumns({"a": F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1)).cast("array<bigint>")), "b": F.pmod(F.xxhash64("l", "p"), F.lit(counts[1])), "asks": F.lit(False)})
+
+    def tile(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        some, known = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        length = lambda t: pc.list_value_length(t.column("p")).to_numpy()
+        rows = []
+        for n in sorted(set(length(some).tolist()) & set(length(known).tolist())):
+            x, y = (t.filter(pa.array(length(t) == n)) for t in (some, known))
+            matrix = lambda t: pc.list_flatten(t.column("p")).to_numpy().reshape(len(t), n)  # noqa: B023, E731
+            xs, ys, labels = matrix(x), matrix(y), y.column("l").to_pylist()
+            step = max(1, 2_000_000 // max(1, ys.size))
+            for at in range(0, len(xs), step):
+                far = ((xs[at : at + step, None] - ys[None]) ** 2).sum(-1)
+                for k, (near, row) in enumerate(zip(far.min(axis=1), far, strict=True), at):
+                    best = min(np.flatnonzero(row == near).tolist(), key=lambda j: (ys[j].tolist(), labels[j])) if near == near else None
+                    if best is not None:
+                        rows.append((x.column("q")[k].as_py(), float(near), ys[best].tolist(), labels[best]))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        types = [table.schema.field("q").type, pa.float64(), pa.list_(pa.float64()), table.schema.field("l").type]
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["q", "d2", "p", "l"])
+
+    tiles = ask.unionByName(held).groupBy("a", "b").applyInArrow(tile, f"q {kinds['q']}, d2 double, p array<double>, l {kinds['l']}")
+    best = tiles.groupBy("q").agg(F.min(F.struct("d2", "p", "l")).alias("m"))
+    return queries.join(best.select(F.col("q").alias(query), F.col("m.l").alias("nearest"), F.col("m.d2").alias("d2")), query)
 
 
 def augment_mapping(mapping: DataFrame, known: DataFrame, new: DataFrame) -> DataFrame:
