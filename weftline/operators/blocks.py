@@ -64,9 +64,10 @@ def _fake(species: str, n: Column) -> Column:
 
 def drop_gap_columns(blocks: DataFrame) -> DataFrame:
     """Blocks without the columns in which no component has more than a gap or wildcard."""
-    base = lambda ch: F.coalesce(~ch.isin(W.GAP_LIKE), F.lit(False))
-    flags = lambda t: F.transform(W.chars(t), base)
-    lay = lambda done, c: F.when(done.isNull(), flags(c["text"])).otherwise(F.slice(F.zip_with(done, W.chars(c["text"]), lambda a, ch: F.coalesce(a, F.lit(False)) | base(ch)), F.lit(1), F.size(done)))
+    gaps = "".join(W.GAP_LIKE)
+    plain = lambda c: W.chars(F.translate(c["text"], gaps, "-" * len(gaps)))
+    over = lambda done, t: F.zip_with(done, t, lambda a, ch: a | F.coalesce(ch != "-", F.lit(False)))
+    lay = lambda done, c: F.when(done.isNull(), F.transform(plain(c), lambda ch: ch != "-")).otherwise(F.slice(over(done, plain(c)), F.lit(1), F.size(done)))
     keep = F.aggregate("components", F.lit(None).cast("array<boolean>"), lay)
     # the flags stand beside each component, as an argument is worked out once and a lambda's body is not
     beside = F.arrays_zip(F.col("components").alias("c"), F.array_repeat(keep, F.size("components")).alias("k"))
@@ -101,27 +102,31 @@ def fuse_adjacent(blocks: DataFrame, order: str = "block_id", exempt_fakes: bool
     earlier stretch gets its start from the starts of all stretches, of which there is one each. So
     neither a source nor the whole table is a task's work; a run that is fused is one row.
     """
-    rows = numbered_rows(blocks.withColumnRenamed(order, "_order"), ["_order"])
-    stretch = F.floor(F.col("_place") / STRETCH)
-    rows = rows.withColumn("_s", stretch)
-    # the last row of a stretch is looked at in the next one too, to be gone on from
-    rows = rows.withColumn("_at", F.explode(F.when(F.col("_place") % STRETCH == STRETCH - 1, F.array("_s", F.col("_s") + 1)).otherwise(F.array("_s"))))
-    rows = rows.withColumn("_before", F.lag("components").over(Window.partitionBy("_at").orderBy("_place"))).where("_at = _s")
+    heads = F.transform("components", lambda c: F.struct(c["src"].alias("src"), c["strand"].alias("strand"), c["start"].alias("start"), (c["start"] + c["size"]).alias("end")))
+    blocks = saved(blocks)  # as it is read to find the ranges, and again to deal it to them
+    placed = numbered_rows(blocks.withColumnRenamed(order, "_order").withColumn("_h", heads), ["_order"])
 
     def goes_on(a: Column, b: Column) -> Column:
-        touch = (a["strand"] == b["strand"]) & (a["start"] + a["size"] == b["start"])
+        touch = (a["strand"] == b["strand"]) & (a["end"] == b["start"])
         if exempt_fakes:
             touch = touch | (F.endswith(a["src"], F.lit(".fake")) & F.endswith(b["src"], F.lit(".fake")))
         return (a["src"] == b["src"]) & touch
 
-    alike = F.size("_before") == F.size("components")
-    joins = alike & F.forall(F.zip_with("_before", "components", goes_on), lambda x: F.coalesce(x, F.lit(False)))
-    rows = rows.withColumn("_start", F.when(~F.coalesce(joins, F.lit(False)), F.col("_place"))).drop("_before", "_at")
-    rows = saved(rows.withColumn("_run", F.max("_start").over(Window.partitionBy("_s").orderBy("_place"))))
-    last = rows.groupBy("_s").agg(F.max("_start").alias("_last"))
+    def started(rows: DataFrame) -> DataFrame:
+        """Rows with the start of their run, where it lies in their stretch."""
+        here, next_ = F.floor(F.col("_place") / STRETCH), F.floor(F.col("_place") / STRETCH) + 1
+        # the last row of a stretch is looked at in the next one too, to be gone on from
+        at = F.explode(F.when(F.col("_place") % STRETCH == STRETCH - 1, F.array(here, next_)).otherwise(F.array(here)))
+        order_ = Window.partitionBy("_s").orderBy("_place")
+        rows = rows.withColumn("_s", at).withColumn("_before", F.lag("_h").over(order_)).where(here == F.col("_s"))
+        joins = (F.size("_before") == F.size("_h")) & F.forall(F.zip_with("_before", "_h", goes_on), lambda x: F.coalesce(x, F.lit(False)))
+        rows = rows.withColumn("_start", F.when(~F.coalesce(joins, F.lit(False)), F.col("_place"))).drop("_before", "_h")
+        return rows.withColumn("_run", F.max("_start").over(order_))
+
+    last = started(placed.select("_place", "_h")).groupBy("_s").agg(F.max("_start").alias("_last"))
     earlier = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     last = last.select("_s", F.max("_last").over(earlier).alias("_open"))  # a row for each stretch
-    rows = rows.join(last, "_s").withColumn("_run", F.coalesce("_run", "_open"))
+    rows = started(placed.select("_place", "_order", "_h", "components")).join(last, "_s").withColumn("_run", F.coalesce("_run", "_open"))
     runs = rows.groupBy("_run").agg(F.sort_array(F.collect_list(F.struct("_place", "_order", "components"))).alias("_b"))
     first = F.get("_b", F.lit(0))
     text = lambda of, i: F.array_join(F.transform(of, lambda b: F.get(b["components"], i)["text"]), "")
