@@ -282,6 +282,15 @@ def test_substring_dedup(spark, hard):
             assert (r._n_words, r._n_removed, r._kept) == (0, 0, "")
         else:
             assert (r._n_words, r._n_removed, r._kept) == want[r.doc_id]
+    words = {k: (t or "").encode().split() for k, t in hard}
+    for r in got:
+        covered = set()
+        for f in r._factors:
+            assert f.n >= 20 and (f.src, f["from"]) < (r.doc_id, f.at)
+            assert words[r.doc_id][f.at : f.at + f.n] == words[f.src][f["from"] : f["from"] + f.n]
+            covered |= set(range(f.at, f.at + f.n))
+        assert len(covered) == r._n_removed
+    assert max(f.n for r in got for f in r._factors) > 32  # longer than a block
     assert substring_dedup.remove_repeats(docs_of(spark, [])).count() == 0
     long = " ".join(str(k % 97) for k in range(40))
     again = substring_dedup.remove_repeats(docs_of(spark, [(1, long), (1, long), (2, long), (2, "x " + long)])).collect()
@@ -677,7 +686,7 @@ def clashing(spark):
     ("run", "added"),
     [
         (jaccard_join.jaccard_classes, ["_size", "_component"]),
-        (substring_dedup.remove_repeats, ["_kept", "_n_words", "_n_removed"]),
+        (substring_dedup.remove_repeats, ["_kept", "_n_words", "_n_removed", "_factors"]),
         (mixing.mix_sources, ["_size", "_source_size", "_target", "_copies"]),
         (mixing.mixed_documents, []),
         (lambda d: url_filter.judge_urls(d.withColumns({"url": F.concat(F.lit("http://a.net/"), "doc_id"), "html": F.lit("<link rel=canonical href=/x>")})), ["_host", "_path", "_rule", "_verdict"]),

@@ -2,16 +2,21 @@
 
 The reference is the corpus itself, indexed in blocks. A block is a stretch of 20 to 32 words around
 an anchor: the smallest hash of 8 words among those in a window of 20. Any two equal windows
-have the same anchor at the same place, so equal text is cut into equal blocks wherever it stands.
-
-1. Each document is parsed into blocks from left to right, and each block is looked up among all
-   blocks of the corpus: one with an earlier equal is covered by a factor of earlier text, and
-   runs of such blocks join to the long factors.
-2. At the ends of factors a block is the first of its kind but may still hold windows that another
-   block has too (its anchor then stands in several kinds of blocks). The windows of just these
-   blocks are looked up one by one.
-
-Together this finds every window of 20 words that starts anywhere earlier, and nothing else.
+have the same anchor at the same place, so equal text is cut into equal blocks wherever it stands, and
+an anchor is a seed that leads from a document to the places of the reference.
+
+1. **Index.** Each block of each document is looked up among all blocks of the corpus by its anchor and
+   its words; one with an earlier equal gets the first place where it stands.
+2. **Boundaries.** A block that is the first of its kind is where factors begin or end. If its anchor
+   stands in other blocks too, a factor may still reach into it: its windows are looked up one by one,
+   among those of all such blocks, and get their first places.
+3. **Factors.** Each document is then parsed from left to right: a factor copies words from one place of the
+   reference and goes on as long as the next block or window stands right there, too. Factors of
+   at least a window's words are the duplicate spans.
+
+Together this finds every window of 20 words that starts anywhere earlier, and nothing else: every window
+lies in one block, which either has an earlier equal, or has its windows looked up, or has an anchor that
+stands nowhere else.
 """
 
 from __future__ import annotations
@@ -79,25 +84,28 @@ def parse(words: np.ndarray, window: int = 20) -> tuple[np.ndarray, ...]:
     return anchors[place[first]], *ids, first, last - first + 1
 
 
-def _firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
-    """Which rows are the first of their key, by ``order``; rows equal in both are first together."""
+def _firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the first of their key, by ``order`` (rows equal in both are first together), and a
+    first row for each."""
     rank = np.lexsort([*order[::-1], *keys[::-1]])
     new = np.ones(len(rank), bool)
     if len(rank) > 1:
         new[1:] = np.any([k[rank][1:] != k[rank][:-1] for k in keys], axis=0)
     lead = rank[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    out = np.zeros(len(rank), bool)
+    out, first = np.zeros(len(rank), bool), np.zeros(len(rank), np.int64)
     out[rank] = np.all([o[rank] == o[lead] for o in order], axis=0)
-    return out
+    first[rank] = lead
+    return out, first
 
 
-_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("known", pa.bool_())]
-_SHAPE = "key long, h1 long, h2 long, doc long, th int, at int, n int, known boolean"
+_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("src", pa.int64()), ("from", pa.int32())]
+_SHAPE = "key long, h1 long, h2 long, doc long, th int, at int, n int, known boolean, src long, from int"
 
 
 def _folded(found: Callable, held_rows: int = 1_000_000) -> Callable:
     """A task that gathers rows and settles, before anything is shuffled, which of them repeat an
-    earlier row of the same task: those are known, and get a key of their own that spreads them."""
+    earlier row of the same task: those are known, with its place, and get a key of their own that
+    spreads them."""
     schema = pa.schema(_ROW)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +114,9 @@ def _folded(found: Callable, held_rows: int = 1_000_000) -> Callable:
 
         def settle() -> Iterator[pa.RecordBatch]:
             key, h1, h2, doc, th, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
-            first = _firsts([h1, h2], [doc, th, at])
+            first, lead = _firsts([h1, h2], [doc, th, at])
             key = np.where(first, key.view(np.int64), mixed(doc.view(np.uint64) * np.uint64(31) + at.astype(np.uint64)).view(np.int64))
-            columns = (key, h1.view(np.int64), h2.view(np.int64), doc, th, at.astype(np.int32), size.astype(np.int32), ~first)
+            columns = (key, h1.view(np.int64), h2.view(np.int64), doc, th, at.astype(np.int32), size.astype(np.int32), ~first, doc[lead], at[lead].astype(np.int32))
             for k in range(0, len(key), 50_000):
                 yield pa.record_batch([pa.array(c[k : k + 50_000]) for c in columns], schema=schema)
 
@@ -128,16 +136,17 @@ def _folded(found: Callable, held_rows: int = 1_000_000) -> Callable:
 
 
 def _first_of(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``repeat``: whether an earlier row has the same hashes."""
+    """``rows`` with ``repeat``: whether an earlier row has the same hashes, and its place (``src``, ``from``)."""
     same = Window.partitionBy("key", "h1", "h2").orderBy("doc", "th", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lead = F.first(F.struct("doc", "th", "at")).over(same)
-    return rows.withColumn("repeat", F.col("known") | (lead != F.struct("doc", "th", "at")))
+    rows = rows.withColumn("lead", F.first(F.struct("doc", "th", "at")).over(same))
+    place = {"src": F.when(F.col("known"), F.col("src")).otherwise(F.col("lead.doc")), "from": F.when(F.col("known"), F.col("from")).otherwise(F.col("lead.at"))}
+    return rows.withColumns({"repeat": F.col("known") | (F.col("lead") != F.struct("doc", "th", "at")), **place}).drop("lead")
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """``(doc, th, spans)`` for the documents ``(doc, th, text)``: ``spans`` are ``(at, n)``, word
-    numbers and lengths, of the passages whose every window of ``window`` words starts earlier, too.
-    They may overlap."""
+    """``(doc, th, spans)`` for the documents ``(doc, th, text)``: ``spans`` are ``(at, n, src, from)``, word
+    numbers and lengths of the passages whose every window of ``window`` words starts earlier, too, and where
+    the first of them starts. They overlap and are not joined yet (``factors``)."""
 
     def blocks(part: pa.RecordBatch) -> Iterator[tuple]:
         for doc, th, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2)), strict=True):
@@ -148,7 +157,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     found = _first_of(found.repartition("key"))
     every = Window.partitionBy("key")
     several = (F.min("h1").over(every) != F.max("h1").over(every)) | (F.min("h2").over(every) != F.max("h2").over(every))
-    found = found.withColumn("several", several).where("repeat or several").select("doc", "th", "at", "n", "repeat")
+    found = found.withColumn("several", several).where("repeat or several").select("doc", "th", "at", "n", "repeat", "src", "from")
     found = saved(found)
 
     lists = found.where("not repeat").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
@@ -161,25 +170,39 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             want = np.unique(np.concatenate([np.arange(a, a + m) for a, m in zip(at, n, strict=True)]))
             yield h1[want], h1[want], h2[want], np.full(len(want), doc, np.int64), np.full(len(want), th, np.int32), want, np.ones(len(want), np.int64)
 
-    single = _first_of(open_.mapInArrow(_folded(windows), _SHAPE).repartition("key")).where("repeat").select("doc", "th", "at", "n")
-    spans = found.where("repeat").select("doc", "th", "at", "n").unionByName(single)
-    return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("at", (F.col("n") + window - 1).alias("n"))).alias("spans"))
+    single = _first_of(open_.mapInArrow(_folded(windows), _SHAPE).repartition("key")).where("repeat").select("doc", "th", "at", "n", "src", "from")
+    spans = found.where("repeat").select("doc", "th", "at", "n", "src", "from").unionByName(single)
+    return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("at", (F.col("n") + window - 1).alias("n"), "src", "from")).alias("spans"))
+
 
+def factors(at: np.ndarray, n: np.ndarray, src: np.ndarray, from_: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The greedy parse of a document: from left to right, spans that follow each other in the document and in
+    one place of the reference are one factor ``(at, n, src, from)``."""
+    order = np.lexsort((n, at))
+    at, n, src, from_ = (x[order] for x in (at, n, src, from_))
+    if not len(at):
+        return at, n, src, from_
+    goes_on = (src[1:] == src[:-1]) & (from_[1:] - at[1:] == from_[:-1] - at[:-1]) & (at[1:] <= at[:-1] + n[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    ends = np.maximum.reduceat(at + n, first)
+    return at[first], ends - at[first], src[first], from_[first]
 
-def kept_words(words: list[bytes], at: list[int], n: list[int]) -> list[bytes]:
-    """The words that no span covers."""
-    if not at:
+
+def kept_words(words: list[bytes], at: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The words that no factor covers."""
+    if not len(at):
         return words
     edges = np.zeros(len(words) + 1, np.int64)
     np.add.at(edges, at, 1)
-    np.add.at(edges, np.add(at, n), -1)
+    np.add.at(edges, at + n, -1)
     covered = np.cumsum(edges[:-1]) > 0
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` with ``_kept`` (the words left of its text, joined by single spaces),
-    ``_n_words`` and ``_n_removed``.
+    ``_n_words``, ``_n_removed`` and ``_factors``: the repeated passages ``(at, n, src, from)``, ``n`` words
+    from word ``at`` on, which also stand in document ``src`` from its word ``from`` on.
 
     Words are runs of anything but ASCII white space. A word goes when some window of ``window`` words
     around it starts earlier, too: in a document with a smaller key, or earlier in its own. All windows
@@ -193,20 +216,27 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", key: s
     """
     rows = packed_row(docs, doc=F.col(key).cast("long"), th=F.hash(F.col(text)), text=F.col(text))
     judged = rows.where("doc is not null and text is not null").select("doc", "th", "text")
-    spans = repeated_spans(judged, window).select("doc", "th", F.col("spans.at").alias("at"), F.col("spans.n").alias("n"))
+    spans = repeated_spans(judged, window).select("doc", "th", *(F.col(f"spans.{c}").alias(c) for c in ("at", "n", "src", "from")))
     rows = rows.join(spans, ["doc", "th"], "left")
+    kinds = {"at": pa.int64(), "n": pa.int64(), "src": pa.int64(), "from": pa.int64()}
 
-    @F.arrow_udf("struct<kept string, words long, removed long>")
-    def cut(texts: pa.Array, at: pa.Array, n: pa.Array) -> pa.Array:
-        kept, words, removed = [], [], []
-        for t, a, m in zip(as_bytes(texts), at.to_pylist(), n.to_pylist(), strict=True):
+    @F.arrow_udf("struct<kept string, words long, removed long, factors array<struct<at long, n long, src long, from long>>>")
+    def cut(texts: pa.Array, *lists: pa.Array) -> pa.Array:
+        kept, words, removed, found, ends = [], [], [], [], [0]
+        spans = [c.cast(pa.list_(pa.int64())) for c in lists]
+        for k, t in enumerate(as_bytes(texts)):
             before = (t or b"").split()
-            after = kept_words(before, a or [], m or [])
+            own = factors(*(np.array(c[k].values, np.int64) if c[k].is_valid else np.empty(0, np.int64) for c in spans))
+            after = kept_words(before, own[0], own[1])
             kept.append(b" ".join(after))
             words.append(len(before))
             removed.append(len(before) - len(after))
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], ["kept", "words", "removed"])
-
-    rows = rows.select("row", cut("text", "at", "n").alias("cut"))
-    return unpacked_row(rows, docs, _kept="cut.kept", _n_words="cut.words", _n_removed="cut.removed")
-
+            found.append(own)
+            ends.append(ends[-1] + len(own[0]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
+        parts = pa.StructArray.from_arrays([pa.array(c, kinds[n]) for n, c in zip(kinds, columns, strict=True)], list(kinds))
+        lists_ = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), lists_], ["kept", "words", "removed", "factors"])
+
+    rows = rows.select("row", cut("text", "at", "n", "src", "from").alias("cut"))
+    return unpacked_row(rows, docs, _kept="cut.kept", _n_words="cut.words", _n_removed="cut.removed", _factors="cut.factors")
