@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -38,14 +39,19 @@ def _unit(x: np.ndarray, dim: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, dim - x.shape[1]))) if x.shape[1] < dim else x
 
 
+def _closest(x: np.ndarray, centres: np.ndarray, rows: int = 1_024) -> np.ndarray:
+    """The nearest centre of each row, some rows at a time."""
+    length = (centres**2).sum(1)
+    return np.concatenate([np.argmin(length - 2 * (x[at : at + rows] @ centres.T), axis=1) for at in range(0, max(1, len(x)), rows)])
+
+
 def _cells(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Centres by Lloyd's rounds from seeded rows."""
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmin((centres**2).sum(1) - 2 * (x @ centres.T), axis=1)
-        n = np.bincount(near, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
+        own = _closest(x, centres)
+        sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, x)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
@@ -61,7 +67,7 @@ class Index(NamedTuple):
     def fit(cls, x: np.ndarray, lists: int, parts: int, codes: int, seed: int) -> "Index":
         rng = np.random.default_rng(seed)
         centres = _cells(x, lists, rng)
-        rest = x - centres[np.argmin((centres**2).sum(1) - 2 * (x @ centres.T), axis=1)]
+        rest = x - centres[_closest(x, centres)]
         return cls(x.shape[1], centres, [_cells(p, codes, rng) for p in np.array_split(rest, min(parts, x.shape[1]), axis=1)])
 
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +120,6 @@ def near_duplicates(
     key: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
-    lists: int = 4096,
     list_rows: int = 2048,
     parts: int = 8,
     codes: int = 64,
@@ -126,8 +131,10 @@ def near_duplicates(
 
     Two vectors link when their labels are equal and their cosine, in double precision, is at least
     ``cosine``. Equal vectors of a label are first folded into one with a weight. An index with
-    coarse lists and product-quantised residuals is fitted on at most ``sample`` folded vectors (the
-    smallest hashes of their keys) and takes in every vector. A vector probes each list whose cell
+    coarse lists and product-quantised residuals is fitted, in one task, on at most ``sample`` folded
+    vectors or eight for each list (the smallest hashes of their keys), and takes in every vector. There is a
+    list for each ``list_rows`` vectors, but no more than the root of their number, so that what is sent
+    to the tasks grows with that root. A vector probes each list whose cell
     comes nearer to it than half the distance that ``cosine`` allows: of two linked vectors one at least
     is as near to the plane between their lists, so each link is found, from one side or from both,
     and counted once. In a list the asymmetric distance, less the stored error of the code, rules vectors out; the rest are
@@ -143,12 +150,20 @@ def near_duplicates(
     usable = _finite(v) & F.exists(v, lambda x: x != 0) & F.col(label).isNotNull() & F.col(key).isNotNull()
     rows = vectors.select(F.col(key).alias("_k"), F.col(label).cast("string").alias("_l"), v.alias("_v")).where(usable)
     folded = saved(rows.groupBy("_l", "_v").agg(F.min("_k").alias("rep"), F.count(F.lit(1)).alias("n")))
-    some = folded.orderBy(F.xxhash64("rep"), "rep", "_l").limit(sample).select("_v").toArrow()
-    if some.num_rows == 0:
+    total = folded.count()
+    if total == 0:
         return unpacked_row(packed_row(vectors, key=F.col(key)), vectors, _n_links=F.lit(0).cast("long"), _component="key")
-    total, dim = folded.count(), folded.agg(F.max(F.size("_v"))).first()[0]
-    x = _unit(_matrix(some.column(0).combine_chunks()), dim)
-    index = Index.fit(x, max(1, min(lists, sample // 4, total // list_rows)), parts, min(codes, 256), seed)
+    dim, lists = folded.agg(F.max(F.size("_v"))).first()[0], max(1, min(total // list_rows, isqrt(total)))
+
+    def fit(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([_unit(_matrix(b.column(0)), dim) for b in batches_ if b.num_rows])
+        ix = Index.fit(x, lists, parts, min(codes, 256), seed)
+        tables = [ix.centres, *ix.books]
+        yield pa.record_batch([pa.array([t.tobytes() for t in tables], pa.binary()), pa.array([t.shape[1] for t in tables], pa.int32())], names=["cells", "wide"])
+
+    some = folded.orderBy(F.xxhash64("rep"), "rep", "_l").limit(max(sample, 8 * lists)).select("_v")
+    told = [np.frombuffer(r.cells).reshape(-1, r.wide) for r in some.repartition(1).mapInArrow(fit, "cells binary, wide int").collect()]  # bounded: lists and codes
+    index = Index(dim, told[0], told[1:])
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     shipped = vectors.sparkSession.sparkContext.broadcast(index)  # bounded: lists, parts and codes
     gaps = np.sqrt(((index.centres[:, None, :] - index.centres[None, :, :]) ** 2).sum(-1)) if len(index.centres) <= 64 else None
