@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 from oracle import DATA, compare  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
@@ -77,3 +77,52 @@ def test_pipeline(spark):
     bad = read(spark, DATA, "labels").where("quality = 1").join(kept[0].select("doc_id"), "doc_id", "left_anti")
     assert bad.count() == 0
     assert kept[4].agg(F.countDistinct("doc_id")).first()[0] == kept[3].select("doc_id").distinct().count()
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on all that the one before kept, against brute force; null keys and texts, empty and
+    long texts, repeated rows and keys."""
+    from test_llm_operators import brute_classes, brute_repeats, docs_of, hard_texts
+
+    hard = hard_texts(1)
+    docs = docs_of(spark, [*hard, hard[3], (None, None), (None, hard[5][1]), (None, hard[5][1])])
+    scored = corpus_pipeline.quality(spark, docs, DATA)
+    assert scored.columns == docs.columns and scored.where("doc_id is null").count() in (0, 1, 2, 3)
+    from weftline.llm.quality import fit_quality, score_quality
+
+    model = fit_quality(docs, read(spark, DATA, "labels"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    good = sorted(str(r.doc_id) for r in score_quality(docs, model).where("_score >= 0.3").collect())
+    assert sorted(str(r.doc_id) for r in scored.collect()) == good
+
+    kept = corpus_pipeline.near_copies(spark, docs, DATA).collect()
+    want = sorted(k for k, (_, c) in brute_classes(hard).items() if c == k)
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == want and sum(r.doc_id is None for r in kept) == 3
+
+    some = [(r.doc_id, r.text) for r in kept]
+    left = corpus_pipeline.repeated_passages(spark, docs_of(spark, some), DATA).collect()
+    words = brute_repeats(some)
+    assert len(left) == len(some)
+    for r in left:
+        if r.doc_id is not None:
+            assert r.text == (None if r.doc_id not in words else words[r.doc_id][2]) and r.n_chars == (None if r.text is None else len(r.text))
+
+    from weftline.llm.mixing import mix_sources
+
+    before = docs_of(spark, [(r.doc_id, r.text) for r in left])
+    copies = {(r.doc_id, r.text): r._copies for r in mix_sources(before).collect() if r.doc_id is not None}
+    mix = corpus_pipeline.mixed_sources(spark, before, DATA)
+    got: dict = {}
+    for r in mix.collect():
+        got[r.doc_id, r.text] = got.get((r.doc_id, r.text), 0) + 1
+    assert {k: n for k, n in got.items() if k[0] is not None} == {k: n for k, n in copies.items() if n}
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
+    packed = corpus_pipeline.packed(spark, mix, DATA).collect()
+    assert sum(r.length for r in packed) == sum(len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mix.collect())
+
+
+def test_pipeline_of_an_empty_table(spark):
+    docs = read(spark, DATA, "documents").where("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert out.count() == 0, name
