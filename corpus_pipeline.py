@@ -60,8 +60,8 @@ STAGES = [
     ("mixing sources to target weights", mixed_sources),
     ("packing", packed),
 ]
-#: A learned classifier and token ids are nothing that SQL expresses; tests check counts of the stages and that no labelled
-#: good document goes. Single operators are compared with brute force, the chain is not.
+#: A learned classifier and token ids are nothing that SQL expresses; tests compare each stage, on the rows that the one
+#: before kept, with brute force, and check that no labelled good document goes.
 ORACLE_SQL = None
 
 
