@@ -297,6 +297,30 @@ def test_substring_dedup(spark, hard):
     assert sorted((r.doc_id, r._n_removed) for r in again if not r.text.startswith("x")) == [(1, 0), (1, 0), (2, 40)]
 
 
+def test_hot_anchors(spark):
+    """A phrase in every text, with other words around it: its anchor is hot, and whichever anchors are
+    taken for hot, the same words go."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    phrase, passage = words(14), words(30)
+    texts = [(k, f"{words(15)} {phrase} {words(15)}" + (f" {passage}" if k % 9 == 0 else "")) for k in range(60)]
+    docs = docs_of(spark, texts)
+    judged = docs.select(F.col("doc_id").alias("doc"), F.hash("text").alias("th"), "text")
+    hot = substring_dedup.hot_anchors(judged, len(texts))
+    anchors = [substring_dedup.parse(common.word_hashes(t.encode().split()))[0] for _, t in texts]
+    keys, n = np.unique(np.concatenate([np.unique(a) for a in anchors]), return_counts=True)
+    assert len(hot) and hot.tolist() == keys[n > 10].tolist()
+    assert substring_dedup.hot_anchors(judged.where("doc < 0"), 0).tolist() == []
+    want = sorted((k, n, kept) for k, (_, n, kept) in brute_repeats(texts).items())
+    assert sum(n for _, n, _ in want) == 6 * 30
+    for chosen in (hot, keys, keys[:0]):
+        spans = substring_dedup.repeated_spans(judged, hot=chosen).collect()
+        gone = {r.doc: {p for s in r.spans for p in range(s.at, s.at + s.n)} for r in spans}
+        assert {k: len(v) for k, v in gone.items()} == {k: n for k, n, _ in want if n}
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, r._n_removed, r._kept) for r in got) == want
+
+
 def test_parse_covers_windows():
     rng = np.random.default_rng(3)
     for n in (0, 19, 20, 21, 33, 400):

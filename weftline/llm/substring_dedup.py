@@ -9,7 +9,8 @@ an anchor is a seed that leads from a document to the places of the reference.
    its words; one with an earlier equal gets the first place where it stands.
 2. **Boundaries.** A block that is the first of its kind is where factors begin or end. If its anchor
    stands in other blocks too, a factor may still reach into it: its windows are looked up one by one,
-   among those of all such blocks, and get their first places.
+   among those of all such blocks, and get their first places. Anchors in many texts (``hot_anchors``)
+   are taken to stand in others, so that no task gets all blocks of a common phrase.
 3. **Factors.** Each document is then parsed from left to right: a factor copies words from one place of the
    reference and goes on as long as the next block or window stands right there, too. Factors of
    at least a window's words are the duplicate spans.
@@ -98,15 +99,17 @@ def _firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray
     return out, first
 
 
-_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("src", pa.int64()), ("from", pa.int32())]
-_SHAPE = "key long, h1 long, h2 long, doc long, th int, at int, n int, known boolean, src long, from int"
+_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("src", pa.int64()), ("from", pa.int32()), ("hot", pa.bool_())]
+_SHAPE = "key long, h1 long, h2 long, doc long, th int, at int, n int, known boolean, src long, from int, hot boolean"
 
 
-def _folded(found: Callable, held_rows: int = 1_000_000) -> Callable:
+def _folded(found: Callable, hot: np.ndarray | None = None, held_rows: int = 1_000_000) -> Callable:
     """A task that gathers rows and settles, before anything is shuffled, which of them repeat an
     earlier row of the same task: those are known, with its place, and get a key of their own that
-    spreads them."""
+    spreads them. Rows with a key of ``hot`` (sorted) are marked and spread by their first hash, by which equal
+    rows still meet."""
     schema = pa.schema(_ROW)
+    hot = np.empty(0, np.uint64) if hot is None else hot
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -115,8 +118,10 @@ def _folded(found: Callable, held_rows: int = 1_000_000) -> Callable:
         def settle() -> Iterator[pa.RecordBatch]:
             key, h1, h2, doc, th, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
             first, lead = _firsts([h1, h2], [doc, th, at])
+            is_hot = np.isin(key, hot)
+            key = np.where(is_hot, mixed(h1), key)
             key = np.where(first, key.view(np.int64), mixed(doc.view(np.uint64) * np.uint64(31) + at.astype(np.uint64)).view(np.int64))
-            columns = (key, h1.view(np.int64), h2.view(np.int64), doc, th, at.astype(np.int32), size.astype(np.int32), ~first, doc[lead], at[lead].astype(np.int32))
+            columns = (key, h1.view(np.int64), h2.view(np.int64), doc, th, at.astype(np.int32), size.astype(np.int32), ~first, doc[lead], at[lead].astype(np.int32), is_hot)
             for k in range(0, len(key), 50_000):
                 yield pa.record_batch([pa.array(c[k : k + 50_000]) for c in columns], schema=schema)
 
@@ -143,21 +148,41 @@ def _first_of(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"repeat": F.col("known") | (F.col("lead") != F.struct("doc", "th", "at")), **place}).drop("lead")
 
 
-def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
+def hot_anchors(docs: DataFrame, total: int, window: int = 20, sample: int = 20_000, share: float = 1e-3) -> np.ndarray:
+    """Anchors, sorted, that stand in more than ``share`` of the texts: of ``total`` about ``sample`` are
+    looked at (all, if they are fewer). There are no more of them than blocks in a thousand texts. They only say how
+    work is spread; what is found is the same whichever anchors are taken for hot."""
+    part = min(1.0, sample / max(1, total))
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in parts:
+            each = [np.unique(parse(word_hashes(t.split()), window)[0]) for t in as_bytes(few.column(0))]
+            keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+            yield pa.record_batch([keys.view(np.int64), n.astype(np.int64)], schema=schema)
+
+    some = docs.select("text").sample(part, seed=0)
+    counts = some.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    told = counts.where(F.col("n") > max(10.0, share * part * total)).select("key").toArrow()  # bounded: share
+    return np.sort(told.column("key").to_numpy().view(np.uint64))
+
+
+def repeated_spans(docs: DataFrame, window: int = 20, hot: np.ndarray | None = None) -> DataFrame:
     """``(doc, th, spans)`` for the documents ``(doc, th, text)``: ``spans`` are ``(at, n, src, from)``, word
     numbers and lengths of the passages whose every window of ``window`` words starts earlier, too, and where
-    the first of them starts. They overlap and are not joined yet (``factors``)."""
+    the first of them starts. They overlap and are not joined yet (``factors``). The windows of a block with an
+    anchor of ``hot`` (``hot_anchors``) are looked up in any case, so that such blocks need not meet in one task."""
 
     def blocks(part: pa.RecordBatch) -> Iterator[tuple]:
         for doc, th, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2)), strict=True):
             key, h1, h2, at, n = parse(word_hashes(text.split()), window)
             yield key, h1, h2, np.full(len(at), doc, np.int64), np.full(len(at), th, np.int32), at, n
 
-    found = docs.mapInArrow(_folded(blocks), _SHAPE)
+    found = docs.mapInArrow(_folded(blocks, hot), _SHAPE)
     found = _first_of(found.repartition("key"))
     every = Window.partitionBy("key")
     several = (F.min("h1").over(every) != F.max("h1").over(every)) | (F.min("h2").over(every) != F.max("h2").over(every))
-    found = found.withColumn("several", several).where("repeat or several").select("doc", "th", "at", "n", "repeat", "src", "from")
+    found = found.withColumn("several", F.col("hot") | several).where("repeat or several").select("doc", "th", "at", "n", "repeat", "src", "from")
     found = saved(found)
 
     lists = found.where("not repeat").groupBy("doc", "th").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
@@ -216,7 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", key: s
     """
     rows = packed_row(docs, doc=F.col(key).cast("long"), th=F.hash(F.col(text)), text=F.col(text))
     judged = rows.where("doc is not null and text is not null").select("doc", "th", "text")
-    spans = repeated_spans(judged, window).select("doc", "th", *(F.col(f"spans.{c}").alias(c) for c in ("at", "n", "src", "from")))
+    spans = repeated_spans(judged, window, hot_anchors(judged, docs.count(), window)).select("doc", "th", *(F.col(f"spans.{c}").alias(c) for c in ("at", "n", "src", "from")))
     rows = rows.join(spans, ["doc", "th"], "left")
     kinds = {"at": pa.int64(), "n": pa.int64(), "src": pa.int64(), "from": pa.int64()}
 
