@@ -85,7 +85,8 @@ def _sampled(
 
     Ranks come from counts of small cells (source, size class, hash bucket) and ranks in a cell, so a
     hot source is never sorted in one task. A class is a number of binary digits and the five after the
-    first, so there are 32 for each doubling of the size, however many documents. Documents of size 0 are expected alike and take no words.    """
+    first, so there are 32 for each doubling of the size, however many documents. Documents of size 0 are expected alike
+    and take no words."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     tie = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
@@ -102,8 +103,14 @@ def _sampled(
     cell = ["source", "class", "bucket"]
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "h", "key")))
     counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    in_source = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in cell), F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("before"))
+    # what stands before a cell: the classes before, of which a source has some thousand at most, and the buckets before
+    # in its class; so no task gets all cells of a source
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    classes = classes.select(F.col("source").alias("of"), F.col("class").alias("in"), earlier(["source"], "class").alias("lower"))
+    counts = counts.withColumn("before", earlier(["source", "class"], "bucket"))
+    counts = counts.join(classes, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("in")))
+    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in cell), (F.col("lower") + F.col("before")).alias("before"))
     same = F.col("source").eqNullSafe(F.col("source_")) & (F.col("class") == F.col("class_")) & (F.col("bucket") == F.col("bucket_"))
     at, rate = F.col("before") + F.col("rank"), F.col("rate")
     offset = _hashed(F.lit(f"{seed}:0"), F.coalesce(F.col("source"), F.lit(""))) / 4294967296.0
