@@ -2,6 +2,7 @@
 long texts, ties, repeated rows, empty tables and clashing names."""
 
 import random
+import pathlib
 import zlib
 
 import numpy as np
@@ -735,3 +736,18 @@ def test_clashing_names_of_other_rows(clashing, run):
 
 def test_crc(spark):
     assert spark.range(3).select(common.crc_text("id").alias("c")).collect()[2].c == zlib.crc32(b"2")
+
+
+def test_settled(spark):
+    """The result stays, tables on the way go."""
+    inner = []
+
+    def make():
+        inner.append(common.saved(spark.range(9)))
+        return inner[0].where("id > 3")
+
+    exists = lambda t: pathlib.Path(t.saved_at.removeprefix("file:")).exists()
+    out = common.settled(make)
+    assert out.count() == 5 and exists(out) and not exists(inner[0])
+    common.dropped(out)
+    assert not exists(out)

@@ -14,7 +14,7 @@ from oracle import DATA, compare  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from weftline.llm import queries, tokens  # noqa: E402
-from weftline.llm.common import read  # noqa: E402
+from weftline.llm.common import read, saved  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -68,7 +68,7 @@ def test_pipeline(spark):
     docs, kept = read(spark, DATA, "documents"), []
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
-        path = corpus_pipeline.saved(docs)
+        path = saved(docs)
         docs = path
         kept.append(docs)
     assert all(d.columns == read(spark, DATA, "documents").columns for d in kept[:-1])
@@ -126,3 +126,28 @@ def test_pipeline_of_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         assert out.count() == 0, name
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns called as those that the operators add come out of every stage as they went in."""
+    from test_llm_operators import NAMES
+
+    docs = read(spark, DATA, "documents").withColumns({c: F.lit(c) for c in [*NAMES, "column3"]})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        rows = out.limit(20).collect()
+        assert rows and all(r[c] == c for r in rows for c in [*NAMES, "column3"]), name
+    assert corpus_pipeline.packed(spark, docs, DATA).count() > 0
+
+
+def test_pipeline_run_deletes_its_tables(spark):
+    """Of all tables that a run saves only its result is left."""
+    import pathlib
+
+    from weftline.llm.common import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.count() > 0 and {str(p) for p in set(folder.iterdir()) - before} == {out.saved_at.removeprefix("file:")}

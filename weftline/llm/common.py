@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
+#: The tables saved within ``settled``.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: this cuts lineage and keeps a result that
     is used more than once, and a lost executor takes none of it away."""
@@ -45,6 +50,9 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    made = _MADE.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
@@ -57,6 +65,17 @@ def dropped(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` describes, saved; what was saved on the way to it is deleted."""
+    outer = _MADE.set([])
+    try:
+        out = saved(make())
+        dropped(*(t for t in _MADE.get() if t is not out))
+    finally:
+        _MADE.reset(outer)
+    return out
+
+
 def packed_row(docs: DataFrame, **more: Column) -> DataFrame:
     """The rows of ``docs`` as one column ``row``, and columns computed from them: whatever the columns of
     ``docs`` are called, they don't clash with others."""
