@@ -8,10 +8,13 @@ then come twice), and what is left is packed into token sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_text, read, saved
+from weftline.llm.common import crc_text, dropped, read, settled
 from weftline.llm.jaccard_join import jaccard_classes
 from weftline.llm.mixing import mixed_documents
 from weftline.llm.packing import pack_documents
@@ -19,6 +22,22 @@ from weftline.llm.quality import fit_quality, score_quality
 from weftline.llm.substring_dedup import remove_repeats
 
 
+_USED = ("doc_id", "text", "source", "n_chars")
+
+
+def _apart(stage: Callable) -> Callable:
+    """A stage that sees the columns it does not use under names that no operator adds, so that they come out
+    as they went in, whatever they are called."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c.lower() in _USED else f"column{k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    return run_stage
+
+
+@_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts; it learns from the labelled ones that the query of
     the classifier learns from, too."""
@@ -26,6 +45,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).where("_predicted = 1").select(*docs.columns)
 
 
+@_apart
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest key. Of rows that repeat a key
     one stays; documents without a key all stay."""
@@ -34,6 +54,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("_n", first).where("_n = 1 or doc_id is null").select(*docs.columns)
 
 
+@_apart
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that stand earlier, too; null texts stay null. Documents of
     which nothing is left stay, with an empty text."""
@@ -66,8 +87,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn."""
+    """All stages in turn. A stage's own tables are deleted when it ends, its result when the next one does."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        before = docs
+        docs = settled(lambda: stage(spark, before, sf_dir))  # noqa: B023
+        dropped(before)
     return docs
