@@ -1,6 +1,8 @@
 """The training-data operators against brute force, round trips and held-out rows, with nulls, empty and
 long texts, ties, repeated rows, empty tables and clashing names."""
 
+import hashlib
+import math
 import random
 import pathlib
 import zlib
@@ -482,7 +484,7 @@ def test_mixing(spark, hard):
         assert mine[0]._source_size == n and mine[0]._target == pytest.approx(targets[s])
         assert abs(sum(r._copies * r._size for r in mine) - targets[s]) <= longest
     assert sorted((str(r.doc_id), r._copies) for r in rows) == sorted((str(r.doc_id), r._copies) for r in mixing.mix_sources(df).collect())
-    spread = mixing.mix_sources(df, cell_docs=3).groupBy("source", "_target").agg(F.sum(F.col("_copies") * F.col("_size")).alias("taken"), F.max("_copies").alias("most")).collect()
+    spread = mixing.mix_sources(df, buckets=3).groupBy("source", "_target").agg(F.sum(F.col("_copies") * F.col("_size")).alias("taken"), F.max("_copies").alias("most")).collect()
     assert all(r.most <= 2 and abs(r.taken - r._target) <= longest for r in spread)
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r._copies for r in rows)
@@ -490,6 +492,38 @@ def test_mixing(spark, hard):
     assert mixing.mix_sources(docs_of(spark, [(1, None), (2, "")])).where("_copies <> 0").count() == 0
 
 
+def drawn_in_order(rows, buckets, share=1.5):
+    """Copies by (source, key) from one sorted list for each source; ``rows`` are (key, text, source)."""
+    h32 = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    own: dict = {}
+    for key, text, source in rows:
+        size = len((text or "").split())
+        h = h32(f"0|{key if key is not None else hashlib.md5((text or '').encode()).hexdigest()}")
+        digits = max(1, size.bit_length())
+        own.setdefault(source, []).append((digits * 32 + ((size << 5) >> (digits - 1)), h % buckets, size, h, str(key) if key is not None else ""))
+    targets = dealt_targets({s: sum(r[2] for r in mine) for s, mine in own.items()}, share=share)
+    out: dict = {}
+    for s, mine in own.items():
+        rate, offset = targets[s] / max(1, sum(r[2] for r in mine)), h32(f"0:0|{s or ''}") / 2**32
+        for place, r in enumerate(sorted(mine), 1):
+            n = min(2, math.floor(place * rate + offset) - math.floor((place - 1) * rate + offset))
+            out[s, r[4], r[2]] = out.get((s, r[4], r[2]), 0) + n
+    return out
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 256])
+def test_mixing_draws_by_the_order_of_its_buckets(spark, buckets):
+    rng = random.Random(11)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 7, 40, 41, 300])), f"s{k % 3}" if k % 10 else None) for k in range(300)]
+    rows += [(7, "the same row again", "s1")] * 90 + [(None, "no key at all", "s2")] * 90  # groups of a fifth of all rows each
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got: dict = {}
+    for r in mixing.mix_sources(df, buckets=buckets).collect():
+        at = (r.source, "" if r.doc_id is None else str(r.doc_id), r._size)
+        got[at] = got.get(at, 0) + r._copies
+    assert got == drawn_in_order(rows, buckets)
+
+
 # models
 
 

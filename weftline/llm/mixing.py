@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +61,14 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it was drawn."""
-    rows = _sampled(docs, docs.columns, **options).where("copies > 0")
+    rows = _sampled(docs, docs.columns, all_rows=False, **options)
     return unpacked_row(rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
 
 def _sampled(
     docs: DataFrame,
     columns: list[str],
+    all_rows: bool = True,
     text: str = "text",
     key: str = "doc_id",
     source: str = "source",
@@ -72,48 +76,56 @@ def _sampled(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 0,
-    cell_docs: int = 100_000,
+    buckets: int = 256,
 ) -> DataFrame:
     """``row`` (the ``columns`` of a row of ``docs``), ``size``, ``source_size``, ``target`` and ``copies``.
 
     Systematic sampling: a document is expected ``target / source_size`` times; the running sum of
     these in its source, from one random offset on, crosses an integer once for each copy. So no
     document comes more often than the rate rounded up, and never more than ``most`` times. The order
-    in a source goes by size class, then by a hash bucket, then by size, so that each stretch holds like
-    documents and the words taken come near the target whatever the offset, which is one seeded draw
-    for each source; over seeds a document comes as often as it is expected.
+    in a source goes by size class, then by one of ``buckets`` hash buckets, then by size, hash and key, so that each
+    stretch holds like documents and the words taken come near the target whatever the offset, which is one seeded
+    draw for each source; over seeds a document comes as often as it is expected. The order is the same at every
+    size of the table: neither classes nor buckets depend on how many rows there are.
 
     Ranks come from counts of small cells (source, size class, hash bucket) and ranks in a cell, so a
     hot source is never sorted in one task. A class is a number of binary digits and the five after the
-    first, so there are 32 for each doubling of the size, however many documents. Documents of size 0 are expected alike
-    and take no words."""
+    first, so there are 32 for each doubling of the size. Rows that repeat a key (or have none, and the same text)
+    are counted by file first and numbered file by file, so they are not one task's work either. Documents of size 0
+    are expected alike and take no words. Rows with their texts are written once; what is ranked is a few numbers
+    of each, and texts are joined again once, by their place in the files."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     tie = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
-    rows = docs.select(row, F.col(key).cast("string").alias("key"), F.col(source).alias("source"), size.alias("size"), _hashed(F.lit(str(seed)), tie).alias("h"))
+    rows = saved(docs.select(row, F.col(key).cast("string").alias("key"), F.col(source).alias("source"), size.alias("size"), _hashed(F.lit(str(seed)), tie).alias("h")))
+    at = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("line")]
     bits = F.length(F.bin("size"))  # with the first digits, counted in 32nds
-    rows = rows.withColumn("class", bits * 32 + F.expr("shiftright(shiftleft(size, 5), length(bin(size)) - 1)").cast("int"))
-    rows = saved(rows)
-    # sizes of the sources, and from them targets and the number of hash buckets
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
-    targets = source_targets(sizes, weights, share, most)
-    targets = targets.select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("source_docs") / cell_docs).cast("long").alias("buckets"))
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.col("h") % F.col("buckets"))
-    rows = rows.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    cell = ["source", "class", "bucket"]
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "h", "key")))
-    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    digits = F.expr("shiftright(shiftleft(size, 5), length(bin(size)) - 1)").cast("int")
+    slim = rows.select(*at, "key", "source", "size", "h", (bits * 32 + digits).alias("class"), (F.col("h") % buckets).alias("bucket"))
+    # sizes of the sources, and from them targets
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    targets = source_targets(sizes, weights, share, most).select(F.col("source").alias("source_"), "source_size", "target")
+    # equal rows of a file are counted, and what stands before them in their cell is summed
+    cell, alike = ["source", "class", "bucket"], ["source", "class", "bucket", "size", "h", "key", "file"]
+    counts = slim.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+    in_cell = F.sum("n").over(Window.partitionBy(*cell).orderBy("size", "h", "key", "file").rowsBetween(Window.unboundedPreceding, -1))
+    counts = saved(counts.withColumn("inner", F.coalesce(in_cell, F.lit(0))))
     # what stands before a cell: the classes before, of which a source has some thousand at most, and the buckets before
     # in its class; so no task gets all cells of a source
     earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n"))
-    classes = classes.select(F.col("source").alias("of"), F.col("class").alias("in"), earlier(["source"], "class").alias("lower"))
-    counts = counts.withColumn("before", earlier(["source", "class"], "bucket"))
-    counts = counts.join(classes, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("in")))
-    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in cell), (F.col("lower") + F.col("before")).alias("before"))
-    same = F.col("source").eqNullSafe(F.col("source_")) & (F.col("class") == F.col("class_")) & (F.col("bucket") == F.col("bucket_"))
-    at, rate = F.col("before") + F.col("rank"), F.col("rate")
+    same = lambda names: reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names))
+    cells = counts.groupBy(*cell).agg(F.sum("n").alias("n"))
+    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    classes = classes.select(F.col("source").alias("source_"), F.col("class").alias("class_"), earlier(["source"], "class").alias("lower"))
+    cells = cells.withColumn("before", earlier(["source", "class"], "bucket")).join(classes, same(["source", "class"]))
+    cells = cells.join(targets.withColumnRenamed("source_", "of"), F.col("source").eqNullSafe(F.col("of")))
+    cells = cells.select(*(F.col(c).alias(f"{c}_") for c in cell), (F.col("lower") + F.col("before")).alias("before"), "source_size", "target")
+    counts = counts.join(cells, same(cell)).select(*(F.col(c).alias(f"{c}_") for c in alike), (F.col("before") + F.col("inner")).alias("before"), "source_size", "target")
+    numbered = slim.withColumn("rank", F.row_number().over(Window.partitionBy(*alike).orderBy("line"))).join(counts, same(alike))
+    place = F.col("before") + F.col("rank")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _hashed(F.lit(f"{seed}:0"), F.coalesce(F.col("source"), F.lit(""))) / 4294967296.0
-    copies = F.floor(at * rate + offset) - F.floor((at - 1) * rate + offset)
-    rows = rows.join(counts, same).withColumn("copies", F.least(copies, F.lit(int(most))).cast("int"))
-    return rows.select("row", "size", "source_size", "target", "copies")
+    copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
+    drawn = numbered.select("file", "line", "size", "source_size", "target", F.least(copies, F.lit(int(most))).cast("int").alias("copies"))
+    drawn = drawn if all_rows else drawn.where("copies > 0")
+    return rows.select(*at, "row").join(drawn, ["file", "line"]).select("row", "size", "source_size", "target", "copies")

@@ -62,7 +62,7 @@ WITH d AS (
   SELECT source, source_size, least(cap, coalesce(w * (max(CASE WHEN level <= ratio THEN level END) OVER ()), cap)) AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 8 + ((d.size << 2) >> (length(bin(d.size)) - 1)), d.size, d.h, d.doc_id) AS pos
+    row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 32 + ((d.size << 5) >> (length(bin(d.size)) - 1)), d.h % 256, d.size, d.h, d.doc_id) AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), u AS (
   SELECT *, ('0x' || substr(md5('0:0|' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r
