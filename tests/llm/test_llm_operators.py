@@ -6,6 +6,7 @@ import math
 import random
 import pathlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -785,3 +786,15 @@ def test_settled(spark):
     assert out.count() == 5 and exists(out) and not exists(inner[0])
     common.dropped(out)
     assert not exists(out)
+
+
+def test_copies_of_a_page_are_packed_in_many_groups(spark):
+    text = " ".join(f"word{k}" for k in range(900))
+    df = spark.createDataFrame([(k, text) for k in range(300)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = packing.pack_documents(df).where("length = 1024").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = list(Counter(r.sequence_id >> 40 for r in rows).values())
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)

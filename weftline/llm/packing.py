@@ -154,7 +154,8 @@ def pack_documents(
 
     Every id of every document (its text's ids by the tokenizers library, then ``end_id``) lies in one
     piece; the pieces of a sequence are gapless from offset 0 and hold at most ``capacity`` ids.
-    Pieces are dealt at random (by a hash of key and start, so that reruns agree) and packed in groups
+    Pieces are dealt at random (by a hash of key, start and ids, so that reruns agree, copies of a page under many keys
+    part and so do many pages of one key) and packed in groups
     of at most ``group_pieces``, each on its own: full pieces are sequences as they are, the rest goes
     by first-fit decreasing over a tournament tree. A task holds one group at a time, however many
     pieces it gets, so a key that has very many rows only adds groups.
@@ -163,9 +164,8 @@ def pack_documents(
     packed each. An empty table gives no rows. ``docs`` may have any other columns; they are not read.
     """
     pieces = cut_documents(docs, path or tokenizer_path("byte_bpe_50k.json"), kind, end_id, capacity, text, key)
-    dealt = pieces.withColumn("_r", F.xxhash64("doc_id", "start", "doc_tokens"))
-    spread = F.when(F.col("doc_id").isNull() | (F.col("length") == capacity), F.crc32("ids")).otherwise(F.col("_r"))
-    dealt = dealt.withColumn("_r", spread).repartition(F.col("_r")).sortWithinPartitions("_r", "doc_id", "start", "ids").drop("_r")
+    dealt = pieces.withColumn("_r", F.xxhash64("doc_id", "start", "doc_tokens", F.crc32("ids")))
+    dealt = dealt.repartition(F.col("_r")).sortWithinPartitions("_r", "doc_id", "start", "ids").drop("_r")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, group = TaskContext.get().partitionId() << 40, 0
