@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .embeddings import near_duplicates, top_k
+from .hard_negatives import hard_negatives
+from .whitening import whiten
 
 
 def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,20 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; each seventh vector is of the next label."""
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on their four principal components, whitened."""
+    rows = whiten(read(spark, sf_dir, "embeddings"))
+    named = {c: f"_{c}" for c in ("component", "n", "whitened", "explained", "identity_error")}
+    return rows.select("vec_id", *(F.col(c).alias(n) for n, c in named.items()), F.expr("try_cast(_deviation as bigint)").alias("deviation"))
+
+
 OP8_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -55,5 +71,22 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op8_embedding_near_dup": op8_embedding_near_dup, "op9_exact_top_k": op9_exact_top_k}
-ORACLES = {"op8_embedding_near_dup": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5
+), r AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {"op8_embedding_near_dup": op8_embedding_near_dup, "op9_exact_top_k": op9_exact_top_k, "op11_hard_negatives": op11_hard_negatives, "op12_whitening": op12_whitening}
+ORACLES = {"op8_embedding_near_dup": OP8_SQL, "op9_exact_top_k": OP9_SQL, "op11_hard_negatives": OP11_SQL}
