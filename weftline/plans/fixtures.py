@@ -33,6 +33,21 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("block_id"), F.when(k % 3 == 0, two).otherwise(every).alias("components"))
 
 
+def scored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that overlap, up to four at a base, with a score; a component's size is the number of its bases."""
+    k = F.col("block_id")
+    size = lambda c: F.length(F.replace(c["text"], F.lit("-"), F.lit(""))).cast("long")
+    parts = F.transform("components", lambda c: c.withField("start", F.col("block_id") * 8).withField("size", size(c)))
+    return blocks(spark, sf_dir).select("block_id", (k % 7).cast("double").alias("score"), parts.alias("components"))
+
+
+def asked_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stretch of 120 bases for each customer, on either strand."""
+    k = F.col("c_custkey")
+    strand = F.when(k % 2 == 0, "-").otherwise("+")
+    return table(spark, sf_dir, "customer").select(k.alias("row_idx"), F.concat(F.lit("chr"), (k % 22 + 1).cast("string")).alias("chrom"), (k * 53 % 100_000).alias("start"), (k * 53 % 100_000 + 120).alias("end"), strand.alias("strand"))
+
+
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval for each order."""
     k = F.col("o_orderkey")
@@ -95,6 +110,15 @@ BLOCKS_SQL = """comp AS (
 ), cols AS (
   SELECT block_id, x.i, string_agg(substr(text, x.i, 1), '' ORDER BY ci) AS col FROM comp, range(1, 33) x(i) GROUP BY block_id, x.i
 )"""
+SCORED_SQL = BLOCKS_SQL + """, sc AS (
+  SELECT block_id, ci, sp, src, split_part(src, '.', 2) AS chrom, block_id * 8 AS start, length(replace(text, '-', ''))::BIGINT AS size, strand, src_size, text, (block_id % 7)::DOUBLE AS score FROM comp
+), ref AS (
+  SELECT *, CASE WHEN strand = '-' THEN src_size - start - size ELSE start END AS fs, CASE WHEN strand = '-' THEN src_size - start ELSE start + size END AS fe,
+    list_filter(range(1, 33), lambda i: substr(text, i::INTEGER, 1) <> '-') AS bc FROM sc WHERE ci = 0
+)"""
+ASKED_SQL = """asks AS (
+  SELECT c_custkey AS row_idx, 'chr' || (c_custkey % 22 + 1) AS chrom, c_custkey * 53 % 100000 AS start, c_custkey * 53 % 100000 + 120 AS "end", CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE '+' END AS strand FROM customer
+)"""
 INTERVALS_SQL = """iv AS (
   SELECT o_orderkey AS row_idx, 'chr' || (o_custkey % 22 + 1) AS chrom, o_orderkey * 7919 % 5000000 AS start, o_orderkey * 7919 % 5000000 + o_custkey % 400 + 50 AS "end" FROM orders
 )"""
