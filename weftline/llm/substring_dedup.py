@@ -99,8 +99,11 @@ def _firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray
     return out, first
 
 
-_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("known", pa.bool_()), ("src", pa.int64()), ("from", pa.int32()), ("hot", pa.bool_())]
-_SHAPE = "key long, h1 long, h2 long, doc long, th int, at int, n int, known boolean, src long, from int, hot boolean"
+_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("mark", pa.int32()), ("src", pa.int64()), ("from", pa.int32())]
+#: What is shuffled of a block: ``place`` is the hash of the text, then the word where the block begins; ``mark`` its number of
+#: windows (a block has no more than a window has words), and two bits; ``src`` and ``from`` are 0 where nothing is known yet.
+_SHAPE = "key long, h1 long, h2 long, doc long, place long, mark int, src long, from int"
+_KNOWN, _HOT = 1 << 30, 1 << 29
 
 
 def _folded(found: Callable, hot: np.ndarray | None = None, held_rows: int = 1_000_000) -> Callable:
@@ -117,11 +120,14 @@ def _folded(found: Callable, hot: np.ndarray | None = None, held_rows: int = 1_0
 
         def settle() -> Iterator[pa.RecordBatch]:
             key, h1, h2, doc, th, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
-            first, lead = _firsts([h1, h2], [doc, th, at])
+            place = (th.astype(np.int64) << 32) | at.astype(np.int64)
+            first, lead = _firsts([h1, h2], [doc, place])
             is_hot = np.isin(key, hot)
             key = np.where(is_hot, mixed(h1), key)
             key = np.where(first, key.view(np.int64), mixed(doc.view(np.uint64) * np.uint64(31) + at.astype(np.uint64)).view(np.int64))
-            columns = (key, h1.view(np.int64), h2.view(np.int64), doc, th, at.astype(np.int32), size.astype(np.int32), ~first, doc[lead], at[lead].astype(np.int32), is_hot)
+            mark = size.astype(np.int64) + np.where(first, 0, _KNOWN) + np.where(is_hot, _HOT, 0)
+            src, from_ = np.where(first, 0, doc[lead]), np.where(first, 0, at[lead])
+            columns = (key, h1.view(np.int64), h2.view(np.int64), doc, place, mark.astype(np.int32), src, from_.astype(np.int32))
             for k in range(0, len(key), 50_000):
                 yield pa.record_batch([pa.array(c[k : k + 50_000]) for c in columns], schema=schema)
 
@@ -141,11 +147,17 @@ def _folded(found: Callable, hot: np.ndarray | None = None, held_rows: int = 1_0
 
 
 def _first_of(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``repeat``: whether an earlier row has the same hashes, and its place (``src``, ``from``)."""
-    same = Window.partitionBy("key", "h1", "h2").orderBy("doc", "th", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("lead", F.first(F.struct("doc", "th", "at")).over(same))
-    place = {"src": F.when(F.col("known"), F.col("src")).otherwise(F.col("lead.doc")), "from": F.when(F.col("known"), F.col("from")).otherwise(F.col("lead.at"))}
-    return rows.withColumns({"repeat": F.col("known") | (F.col("lead") != F.struct("doc", "th", "at")), **place}).drop("lead")
+    """``(key, h1, h2, doc, th, at, n, hot, repeat, src, from)``: whether an earlier row has the same hashes (``repeat``), and its place (``src``, ``from``)."""
+    same = Window.partitionBy("key", "h1", "h2").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("lead", F.first(F.struct("doc", "place")).over(same))
+    bit = lambda b: F.col("mark").bitwiseAND(b) != 0
+    word = lambda place: place.bitwiseAND(0x7FFFFFFF).cast("int")
+    known = bit(_KNOWN)
+    return rows.select(
+        "key", "h1", "h2", "doc", F.shiftright("place", 32).cast("int").alias("th"), word(F.col("place")).alias("at"), F.col("mark").bitwiseAND(_HOT - 1).alias("n"), bit(_HOT).alias("hot"),
+        (known | (F.col("lead") != F.struct("doc", "place"))).alias("repeat"), F.when(known, F.col("src")).otherwise(F.col("lead.doc")).alias("src"),
+        F.when(known, F.col("from")).otherwise(word(F.col("lead.place"))).alias("from"),
+    )
 
 
 def hot_anchors(docs: DataFrame, total: int, window: int = 20, sample: int = 20_000, share: float = 1e-3) -> np.ndarray:
