@@ -518,3 +518,67 @@ def test_blocks_for_intervals(spark):
     assert got[1] == [("hg17.fake", 0, 5, "?", 5, "ACT---CC"), ("mm5.fake", 0, 4, "?", 4, "GGA----A")]
     assert got[2] == got[4] == [("hg17.fake", 0, 0, "?", 0, ""), ("mm5.fake", 0, 0, "?", 0, "")]
     assert got[3] == [("hg17.chr1", 40, 1, "-", 1000, "G"), ("mm5.chr9", 140, 1, "-", 1000, "G")]
+
+
+def brute_nearest(queries, points):
+    """``(label, nearest, d2)`` of ``(label, group, p)`` by comparing all."""
+    out = {}
+    for q, g, p in queries:
+        fits = [(sum((a - b) ** 2 for a, b in zip(p, v)), v, l) for l, h, v in points if h == g and len(v) == len(p)]
+        if fits:
+            d2, _, l = min(fits)
+            out[q] = (l, d2)
+    return out
+
+
+@pytest.mark.parametrize(("cell_rows", "most_cells"), [(10_000, 1), (40, 1024), (7, 5), (1, 1024)])
+def test_nearest_by_cells_is_nearest(spark, cell_rows, most_cells):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 4)) * 5
+    points = [(k, "ab"[k % 2], np.round(centres[k % 9] + rng.normal(size=4), 2).tolist()) for k in range(300)]
+    points += [(1000 + k, "a", points[4][2]) for k in range(5)] + [(2000, "a", [1.0, 2.0]), (2001, "b", [])]  # ties, other lengths
+    queries = [(k, "abc"[k % 3], np.round(centres[k % 9] + 2 * rng.normal(size=4), 2).tolist()) for k in range(90)]
+    queries += [(200, "a", points[4][2]), (201, "a", [1.0, 1.0]), (202, "b", []), (203, "a", [1.0, 2.0, 3.0])]
+    schema = "label long, g string, p array<double>"
+    q, p = spark.createDataFrame(queries, schema), spark.createDataFrame(points, schema)
+    got = {r.label: (r.nearest, r.d2) for r in N.nearest(q, p, by="g", cell_rows=cell_rows, most_cells=most_cells).collect()}
+    want = brute_nearest(queries, points)
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    plain = {r.label: r.nearest for r in N.nearest(q, p, cell_rows=cell_rows, most_cells=most_cells).collect()}
+    assert plain == {k: v[0] for k, v in brute_nearest([(a, "", c) for a, _, c in queries], [(a, "", c) for a, _, c in points]).items()}
+
+
+def test_fewer_cells_are_looked_into_as_points_grow(spark):
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (400, 4_000):
+        points = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(n)], "label long, p array<double>")
+        seen = N.nearest(points.where("label < 50"), points, cell_rows=20, reported=True).collect()
+        assert all(r.nearest == r.label and r.d2 == 0 for r in seen)
+        shares.append(sum(r.cells for r in seen) / sum(r.all_cells for r in seen))
+    assert shares[1] < shares[0] / 2 < 0.25
+
+
+def test_infrequent_rows_are_absorbed_in_their_problem(spark):
+    rows = [("x", "a", 10, [0.0]), ("x", "b", 20, [10.0]), ("x", "c", 1, [1.0]), ("y", "a", 10, [1.0]), ("y", "d", 2, [9.0]), ("z", "e", 1, [5.0]), ("z", "f", 2, [6.0])]
+    df = spark.createDataFrame(rows, "problem string, label string, count long, p array<double>")
+    got = sorted((r.problem, r.label, r["count"], round(r.p[0], 6)) for r in N.absorb_infrequent(df, 3, by="problem").collect())
+    assert got == [("x", "a", 11, round(1 / 11, 6)), ("x", "b", 20, 10.0), ("y", "a", 12, round(28 / 12, 6)), ("z", "e", 1, 5.0), ("z", "f", 2, 6.0)]
+
+
+@pytest.mark.parametrize("sent_keys", [500_000, 1])
+def test_symbols_mean_the_same_at_every_size_of_the_mapping(spark, sent_keys):
+    mapping = spark.createDataFrame([("A", "1"), ("A", "2"), ("C", ""), ("G", None), (None, "9"), ("T", "7")], "key string, symbol string")
+    blocks = blocks_of(spark, [comp("aCGTA-")], [comp("")])
+    got = B.to_symbols(blocks, mapping, sent_keys=sent_keys).collect()
+    assert [tuple(r) for r in got] == [(0, "2 -1 -1 7 2 -1")]
+
+
+def test_mappings_from_traces_and_lines(spark):
+    names = spark.createDataFrame([(0, "AA"), (1, "AC"), (2, "AG")], "row_idx long, key string")
+    trace = spark.createDataFrame([(3, [0, 1, 2]), (2, [0, 1, 0]), (2, [0, 0, 1])], "n_clusters int, assign array<int>")
+    assert {r.key: r.symbol for r in M.from_clusters(names, trace.coalesce(1), 2).collect()} == {"AA": "0", "AC": "1", "AG": "0"}
+    with pytest.raises(Exception, match="as many clusters"):
+        M.from_clusters(names.where("row_idx < 2"), trace, 3).collect()
+    lines = spark.createDataFrame([("a", "1", 0), ("b", "2", 1), ("a", "3", 2)], "key string, symbol string, line_no long")
+    assert {r.key: r.symbol for r in M.last_wins(lines).collect()} == {"a": "3", "b": "2"}

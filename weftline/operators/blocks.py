@@ -150,26 +150,27 @@ def block_cpg_density(blocks: DataFrame) -> DataFrame:
 
 def to_symbols(blocks: DataFrame, mapping: DataFrame, missing: str = "-1", sent_keys: int = 500_000) -> DataFrame:
     """``(block_id, symbols)``: each column's symbol by ``mapping`` (``key``, ``symbol``), joined by
-    spaces; columns are upper-cased, those without a symbol get ``missing``; blocks without columns
-    are left out.
+    spaces; columns are upper-cased, those without a symbol (null or empty, too) get ``missing``; blocks without columns
+    are left out. Of the symbols of a key that repeats the greatest counts (``read_mapping`` has one for each key, that of its last line).
 
     A mapping of up to ``sent_keys`` keys (all columns of seven species are fewer) goes to every task and
     blocks are coded where they are; a larger one is joined column by column."""
-    known = mapping.select("key", "symbol").limit(sent_keys + 1).toArrow()
+    mapping = mapping.where("key is not null and symbol <> ''").groupBy("key").agg(F.max(F.col("symbol").cast("string")).alias("symbol"))
+    known = mapping.limit(sent_keys + 1).toArrow()
     if known.num_rows <= sent_keys:
         sent = blocks.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in known.columns), strict=True)))  # bounded: sent_keys
 
         @F.arrow_udf("string")
         def coded(columns: pa.Array) -> pa.Array:
             flat = pc.utf8_upper(columns.flatten()).dictionary_encode()
-            symbols = pa.array([sent.value.get(k) or missing for k in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+            symbols = pa.array([sent.value.get(k, missing) for k in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
             ends = np.concatenate([[0], np.cumsum(columns.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
             return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), symbols), " ")
 
         some = blocks.where(F.array_min(F.transform("components", lambda c: F.length(c["text"]))) > 0)
         return some.select("block_id", coded(W.text_columns(F.col("components"))).alias("symbols"))
     columns = blocks.select("block_id", F.posexplode(W.text_columns(F.col("components"))).alias("pos", "key")).withColumn("key", F.upper("key"))
-    coded = columns.join(mapping.select("key", "symbol"), "key", "left").withColumn("symbol", F.coalesce("symbol", F.lit(missing)))
+    coded = columns.join(mapping, "key", "left").withColumn("symbol", F.coalesce("symbol", F.lit(missing)))
     lists = coded.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("_s"))
     return lists.select("block_id", F.array_join(F.transform("_s", lambda s: s["symbol"]), " ").alias("symbols"))
 

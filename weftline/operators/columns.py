@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as W
+from ..sources import numbered_rows
 
 
 def column_space(spark, width: int, alphabet: str = W.ALPHABET, wildcards: int | None = 0) -> DataFrame:  # noqa: ANN001
@@ -45,5 +46,5 @@ def sufficient_statistics(blocks: DataFrame, species: list[str]) -> DataFrame:
         missing = F.raise_error(F.lit(f"a block lacks {s}")).cast("string") if k == 0 else F.repeat(F.lit(W.WILDCARD), n)
         texts.append(F.coalesce(found, missing))
     counts = blocks.select(F.explode(W.zipped(texts)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("count"))
-    # at most one row for each possible column
-    return counts.withColumn("i", F.row_number().over(Window.orderBy("key")) - 1)
+    # raw texts of many species can have any number of different columns
+    return numbered_rows(counts, ["key"], "i").select((F.col("i") - 1).cast("int").alias("i"), "key", "count")

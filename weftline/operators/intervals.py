@@ -64,7 +64,7 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = BIN) -> Data
     return pairs.where(F.floor(F.greatest("start", "r_start") / bin_size) == F.col("_bin")).drop("_bin")
 
 
-def first_partition(intervals: DataFrame, partitions: DataFrame, key: str = "row_idx", literal: bool = False) -> DataFrame:
+def first_partition(intervals: DataFrame, partitions: DataFrame, key: str = "row_idx") -> DataFrame:
     """Each interval with the ``name`` and ``score`` of the first partition (by ``ord``) that it shares a
     base with, and ``frac_overlap``, the share of its bases there; without one ``OTHER``, -1 and 1.
 

@@ -2,54 +2,156 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import saved
+
+
 def distance2(a: Column, b: Column) -> Column:
     """The square of the Euclidean distance."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def nearest(queries: DataFrame, points: DataFrame, query: str = "label", block: int = 4_096) -> DataFrame:
-    """Each query with ``nearest`` (the label of the closest point, of equally close ones the smallest
-    point) and ``d2``.
+def _rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Lists of ``n`` numbers as rows."""
+    return pc.list_flatten(column).to_numpy().reshape(len(column), n)
 
-    Queries and points are dealt to blocks of about ``block`` rows, as many as their numbers ask for; each
-    pair of blocks is a tile, which compares all at once and gives the best of each query; the best of
-    all tiles is the minimum. Points of a length other than the query's are not compared."""
-    kinds = {"q": queries.schema[query].dataType.simpleString(), "l": points.schema["label"].dataType.simpleString()}
-    counts = [max(1, -(-df.count() // block)) for df in (queries, points)]
-    ask = queries.select(F.col(query).alias("q"), F.lit(None).cast(kinds["l"]).alias("l"), F.col("p").cast("array<double>").alias("p"))
-    ask = ask.withColumns({"a": F.pmod(F.xxhash64("q", "p"), F.lit(counts[0])), "b": F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1)).cast("array<bigint>")), "asks": F.lit(True)})
-    held = points.select(F.lit(None).cast(kinds["q"]).alias("q"), F.col("label").alias("l"), F.col("p").cast("array<double>").alias("p"))
-    held = held.withColumns({"a": F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1)).cast("array<bigint>")), "b": F.pmod(F.xxhash64("l", "p"), F.lit(counts[1])), "asks": F.lit(False)})
+
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy()
+
+
+def _compared(asks: DataFrame, held: DataFrame, kinds: dict[str, str], block: int) -> DataFrame:
+    """``(q, d2, p, l)``: of queries ``(q, g, p, cell)`` and points ``(l, g, p, cell)`` the best point of each query among those in its
+    cell and group. A cell of many rows is cut, on both sides, to blocks of about ``block``; each pair of blocks is a tile that compares all at once."""
+    number = lambda df, to: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(to))
+    sides = number(asks, "na").join(number(held, "nb"), "cell")  # a row for each cell
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = asks.join(sides, "cell").select("q", F.lit(None).cast(kinds["l"]).alias("l"), "g", "p", "cell", F.pmod(F.xxhash64("q", "p"), F.col("na")).cast("int").alias("a"), every("nb").alias("b"), F.lit(True).alias("asks"))
+    other = held.join(sides, "cell").select(F.lit(None).cast(kinds["q"]).alias("q"), "l", "g", "p", "cell", every("na").alias("a"), F.pmod(F.xxhash64("l", "p"), F.col("nb")).cast("int").alias("b"), F.lit(False).alias("asks"))
 
     def tile(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        some, known = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-        length = lambda t: pc.list_value_length(t.column("p")).to_numpy()
+        known = ~table.column("asks").to_numpy()
+        some, known = table.filter(pa.array(~known)), table.filter(pa.array(known))
         rows = []
-        for n in sorted(set(length(some).tolist()) & set(length(known).tolist())):
-            x, y = (t.filter(pa.array(length(t) == n)) for t in (some, known))
-            matrix = lambda t: pc.list_flatten(t.column("p")).to_numpy().reshape(len(t), n)  # noqa: B023, E731
-            xs, ys, labels = matrix(x), matrix(y), y.column("l").to_pylist()
+        groups = {g: k for k, g in enumerate(set(some.column("g").to_pylist()))}
+        for n in sorted(set(_lengths(some.column("p")).tolist()) & set(_lengths(known.column("p")).tolist())):
+            x, y = (t.filter(pa.array(_lengths(t.column("p")) == n)) for t in (some, known))
+            xs, ys, labels = _rows(x.column("p"), n), _rows(y.column("p"), n), y.column("l").to_pylist()
+            gx, gy = (np.array([groups.get(g, -1) for g in t.column("g").to_pylist()]) for t in (x, y))
             step = max(1, 2_000_000 // max(1, ys.size))
             for at in range(0, len(xs), step):
                 far = ((xs[at : at + step, None] - ys[None]) ** 2).sum(-1)
-                for k, (near, row) in enumerate(zip(far.min(axis=1), far, strict=True), at):
-                    best = min(np.flatnonzero(row == near).tolist(), key=lambda j: (ys[j].tolist(), labels[j])) if near == near else None
-                    if best is not None:
+                far[gx[at : at + step, None] != gy[None]] = np.nan
+                for k, row in enumerate(far, at):
+                    there = np.flatnonzero(row == row)
+                    if len(there):
+                        near = row[there].min()
+                        best = min(there[row[there] == near].tolist(), key=lambda j: (ys[j].tolist(), labels[j]))
                         rows.append((x.column("q")[k].as_py(), float(near), ys[best].tolist(), labels[best]))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         types = [table.schema.field("q").type, pa.float64(), pa.list_(pa.float64()), table.schema.field("l").type]
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["q", "d2", "p", "l"])
 
-    tiles = ask.unionByName(held).groupBy("a", "b").applyInArrow(tile, f"q {kinds['q']}, d2 double, p array<double>, l {kinds['l']}")
-    best = tiles.groupBy("q").agg(F.min(F.struct("d2", "p", "l")).alias("m"))
-    return queries.join(best.select(F.col("q").alias(query), F.col("m.l").alias("nearest"), F.col("m.d2").alias("d2")), query)
+    tiles = one.unionByName(other).groupBy("cell", "a", "b").applyInArrow(tile, f"q {kinds['q']}, d2 double, p array<double>, l {kinds['l']}")
+    return tiles.groupBy("q").agg(F.min(F.struct("d2", "p", "l")).alias("m")).select("q", "m.d2", "m.p", "m.l")
+
+
+class Cells(NamedTuple):
+    """Pivots, and of the cell of each how far its nearest and farthest point lie from it; cells without points have none."""
+
+    pivots: list[np.ndarray]
+    low: np.ndarray
+    high: np.ndarray
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """From each row to each pivot, as far as the shorter of the two goes."""
+        n = x.shape[1]
+        to = np.stack([np.pad(p[:n], (0, max(0, n - len(p)))) for p in self.pivots])
+        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] - 2 * (x @ to.T) + (to**2).sum(1)))
+
+    def within(self, away: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Which cells can hold a point as near as ``bound`` (triangle inequality, with room for rounding)."""
+        room = bound[:, None] + 1e-6 * (1 + away)
+        return (away - self.high <= room) & (self.low - away <= room)
+
+
+def _dealt(rows: DataFrame, cells: Cells, columns: list[str], kinds: str, bounds: bool = False) -> DataFrame:
+    """``rows`` with the ``cell`` of the nearest pivot and the distance ``r`` to it; with ``bounds`` a row for each cell, but that (``cell``), that can hold a
+    point nearer than the row's ``d2``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            table = pa.Table.from_batches([part])
+            length = _lengths(table.column("p"))
+            for n in sorted(set(length.tolist())):
+                for at in range(0, len(table), 4_096):
+                    some = table.slice(at, 4_096)
+                    some = some.filter(pa.array(length[at : at + 4_096] == n))
+                    if not len(some):
+                        continue
+                    away = cells.distances(_rows(some.column("p"), n))
+                    away[:, np.isnan(cells.high)] = np.inf if not bounds else np.nan
+                    if bounds:
+                        d2 = some.column("d2").to_numpy()
+                        own = some.column("cell").to_numpy()
+                        near = cells.within(away, np.sqrt(np.where(np.isnan(d2), np.inf, d2)))
+                        near[np.arange(len(own)), own] = False
+                        who, cell = np.nonzero(near)
+                    else:
+                        who, cell = np.arange(len(some)), away.argmin(axis=1)
+                    out = some.select(columns).take(pa.array(who))
+                    out = out.append_column("cell", pa.array(cell.astype(np.int32))).append_column("r", pa.array(away[who, cell]))
+                    yield from out.combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, f"{kinds}, cell int, r double")
+
+
+def nearest(queries: DataFrame, points: DataFrame, query: str = "label", by: str | None = None, cell_rows: int = 4_096, most_cells: int = 1_024, reported: bool = False) -> DataFrame:
+    """Each query with ``nearest`` (the label of the closest point, of equally close ones the smallest
+    point) and ``d2``; with ``by``, among the points with the same value of that column. Queries without such a point are left out.
+
+    Points are dealt to cells around pivots (some of the points, one for ``cell_rows`` of them, at most ``most_cells``). A query first looks into the cell of its
+    own nearest pivot; how near a point it finds there rules out, by the triangle inequality, cells that lie farther away or nearer
+    to their pivot; it looks into the others. Cells are compared in tiles. All points are in cells, and a cell that can hold a nearer point, or
+    an equally near one, is never left out. Points of a length other than the query's are not compared.
+    ``reported``: ``cells``, how many cells a query looked into, and ``all_cells``, too."""
+    kinds = {"q": queries.schema[query].dataType.simpleString(), "l": points.schema["label"].dataType.simpleString()}
+    group = (lambda df: F.col(by).cast("string")) if by else (lambda df: F.lit(""))
+    ask = queries.select(F.col(query).alias("q"), group(queries).alias("g"), F.col("p").cast("array<double>").alias("p"))
+    held = points.select(F.col("label").alias("l"), group(points).alias("g"), F.col("p").cast("array<double>").alias("p"))
+    count = held.count()
+    k = min(most_cells, max(1, -(-count // cell_rows)))
+    if k > 1:
+        pivots = [np.array(r.p) for r in held.select("p").distinct().orderBy(F.xxhash64("p"), "p").limit(k).collect()]  # bounded: most_cells
+        unknown = Cells(pivots, np.zeros(len(pivots)), np.zeros(len(pivots)))
+        held = saved(_dealt(held, unknown, ["l", "g", "p"], f"l {kinds['l']}, g string, p array<double>"))
+        told = {r.cell: r for r in held.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high")).collect()}  # a row for each cell
+        ends = [np.array([getattr(told[c], e) if c in told else np.nan for c in range(len(pivots))]) for e in ("low", "high")]
+        cells = Cells(pivots, *ends)
+        shape = f"q {kinds['q']}, g string, p array<double>"
+        ask = saved(_dealt(ask, cells, ["q", "g", "p"], shape))
+        first = saved(_compared(ask, held, kinds, cell_rows))
+        ask = ask.join(first.select(F.col("q").alias("_q"), "d2"), F.col("q") == F.col("_q"), "left").select("q", "g", "p", "cell", F.coalesce("d2", F.lit(float("nan"))).alias("d2"))
+        more = saved(_dealt(ask, cells, ["q", "g", "p"], shape, bounds=True))
+        best = first.unionByName(_compared(more, held, kinds, cell_rows)).groupBy("q").agg(F.min(F.struct("d2", "p", "l")).alias("m")).select("q", "m.d2", "m.l")
+        seen = more.groupBy("q").agg((F.count(F.lit(1)) + 1).alias("cells"))
+    else:
+        told = {0: None}
+        one = F.lit(0).alias("cell")
+        best = _compared(ask.select("*", one), held.select("*", one), kinds, cell_rows)
+    out = queries.join(best.select(F.col("q").alias(query), F.col("l").alias("nearest"), "d2"), query)
+    if not reported:
+        return out
+    counts = seen.select(F.col("q").alias(query), "cells") if k > 1 else queries.select(query, F.lit(1).cast("long").alias("cells"))
+    return out.join(counts, query, "left").withColumns({"cells": F.coalesce("cells", F.lit(1)), "all_cells": F.lit(len(told))})
 
 
 def augment_mapping(mapping: DataFrame, known: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,19 +174,28 @@ def wildcard_to_certain(mapping: DataFrame, distributions: DataFrame) -> DataFra
     return found.unionByName(mapping.select("key", F.lit(None).cast("string").alias("nearest"), "symbol")).orderBy("key")
 
 
-def weighted_centroids(rows: DataFrame, by: str, weight: str = "w") -> DataFrame:
+def weighted_centroids(rows: DataFrame, by: str | list[str], weight: str = "w") -> DataFrame:
     """``(by, mass, p)``: the centre of mass of each group's points."""
-    parts = rows.select(by, weight, F.posexplode("p").alias("d", "x"))
-    sums = parts.groupBy(by, "d").agg(F.sum(F.col(weight) * F.col("x")).alias("s"), F.sum(weight).alias("mass"))
-    lists = sums.groupBy(by).agg(F.max("mass").alias("mass"), F.sort_array(F.collect_list(F.struct("d", (F.col("s") / F.col("mass")).alias("x")))).alias("_p"))
-    return lists.select(by, "mass", F.transform("_p", lambda v: v["x"]).alias("p"))
+    keys = [by] if isinstance(by, str) else by
+    parts = rows.select(*keys, weight, F.posexplode("p").alias("d", "x"))
+    sums = parts.groupBy(*keys, "d").agg(F.sum(F.col(weight) * F.col("x")).alias("s"), F.sum(weight).alias("mass"))
+    lists = sums.groupBy(*keys).agg(F.max("mass").alias("mass"), F.sort_array(F.collect_list(F.struct("d", (F.col("s") / F.col("mass")).alias("x")))).alias("_p"))
+    return lists.select(*keys, "mass", F.transform("_p", lambda v: v["x"]).alias("p"))
 
 
-def absorb_infrequent(rows: DataFrame, least: int) -> DataFrame:
+def absorb_infrequent(rows: DataFrame, least: int, by: str | None = None) -> DataFrame:
     """``(label, count, p)`` rows with a count below ``least`` join the nearest of the others (as they
-    were at first); returns ``(label, count, p)`` of these, counts added up, points by mass."""
-    often = rows.where(F.col("count") >= least)
-    seldom = nearest(rows.where(F.col("count") < least).select("label", "count", "p"), often.select("label", "p"))
-    members = often.select(F.col("label").alias("to"), "count", "p").unionByName(seldom.select(F.col("nearest").alias("to"), "count", "p"))
-    centres = weighted_centroids(members.withColumn("w", F.col("count").cast("double")), "to")
-    return centres.select(F.col("to").alias("label"), F.col("mass").cast("long").alias("count"), "p")
+    were at first); returns ``(label, count, p)`` of these, counts added up, points by mass. With ``by`` each
+    value of that column is a problem of its own; one without any other row keeps its rows as they are."""
+    keys = [by] if by else []
+    often, rare = rows.where(F.col("count") >= least), rows.where(F.col("count") < least)
+    if by:
+        rare = rare.withColumn("_q", F.struct(by, "label"))
+        seldom = nearest(rare.select("_q", by, "count", "p"), often.select(by, "label", "p"), "_q", by).select(by, F.col("nearest").alias("to"), "count", "p")
+        alone = rare.join(often.select(by).distinct(), by, "left_anti").select(by, F.col("label").alias("to"), "count", "p")
+        seldom = seldom.unionByName(alone)
+    else:
+        seldom = nearest(rare.select("label", "count", "p"), often.select("label", "p")).select(F.col("nearest").alias("to"), "count", "p")
+    members = often.select(*keys, F.col("label").alias("to"), "count", "p").unionByName(seldom)
+    centres = weighted_centroids(members.withColumn("w", F.col("count").cast("double")), [*keys, "to"])
+    return centres.select(*keys, F.col("to").alias("label"), F.col("mass").cast("long").alias("count"), "p")

@@ -340,13 +340,14 @@ def entropy_agglomeration(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def entropy_agglomeration_by_chrom(spark: SparkSession, d: str) -> DataFrame:
-    """A problem for each chromosome: its columns, those seen fewer than three times left to the others."""
+    """A problem for each chromosome: its columns, those seen fewer than three times absorbed by the nearest of the others."""
     chrom = W.chrom_of(F.get("components", F.lit(0))["src"])
     columns = X.blocks(spark, d).where(F.size("components") == 3).select(chrom.alias("problem"), F.explode(W.text_columns(F.col("components"))).alias("key"))
-    counts = saved(columns.groupBy("problem", F.upper("key").alias("key")).agg(F.count(F.lit(1)).alias("count")).where("count >= 3"))
+    counts = saved(columns.groupBy("problem", F.upper("key").alias("key")).agg(F.count(F.lit(1)).alias("count")))
     states = P.ancestral_distributions(counts.select("key").distinct(), _tree(), X.SPECIES).where("p is not null")
-    rows = counts.join(states.select("key", "p"), "key")
-    return CL.entropy_agglomeration(rows.select("problem", F.xxhash64("key").alias("row_idx"), "count", "p"))
+    rows = saved(counts.join(states.select("key", "p"), "key").select("problem", F.col("key").alias("label"), "count", "p"))
+    rows = N.absorb_infrequent(rows, 3, by="problem")
+    return CL.entropy_agglomeration(rows.select("problem", F.xxhash64("label").alias("row_idx"), "count", "p"))
 
 
 def _merges(spark: SparkSession, d: str) -> DataFrame:
