@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions as W
 from .. import sources as S
 from ..operators import blocks as B
 from ..operators import columns as C
+from ..operators import mappings as M
 from ..operators import phylogeny as P
 from ..operators import statistics as T
+from ..sources import packed as P8
 from ..sources import shared_folder
 from . import fixtures as X
 from .alignment import _SS_SQL, query
@@ -169,3 +172,82 @@ def all_tree_columns(spark: SparkSession, d: str) -> DataFrame:
     keys = P.all_columns(spark, model, ["hg17", "mm5"]).select("key")
     keys = keys.join(F.broadcast(first), F.substring("key", 1, 1) == F.col("c"), "left")  # a few characters
     return keys.select("key", F.coalesce(F.col("_s"), F.lit(0)).cast("long").alias("seen"))
+
+
+_TILES = "tiles AS (SELECT 'chr' || ((p_partkey - 1) % 22 + 1) AS chrom, (p_partkey - 1) // 22 AS tile_no, translate(md5('p' || p_partkey), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM part)"
+
+
+def _packed(spark: SparkSession, d: str) -> str:
+    """A folder of packed sequence files: a chromosome's bases, 32 from each part."""
+    k = F.col("p_partkey")
+    seq = F.translate(F.md5(F.concat(F.lit("p"), k.cast("string")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGN")
+    tiles = X.table(spark, d, "part").select(F.concat(F.lit("chr"), ((k - 1) % 22 + 1).cast("string")).alias("chrom"), F.floor((k - 1) / 22).alias("tile_no"), seq.alias("seq"))
+    folder = shared_folder(spark)
+    P8.write_packed(tiles, folder)
+    return folder
+
+
+@query(f"WITH {_TILES} SELECT chrom, tile_no, seq FROM tiles")
+def packed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Packed sequence files written, and read by tiles of 32 bases."""
+    return P8.read_packed(spark, _packed(spark, d), tile=32)
+
+
+@query(f"""WITH {_TILES}, whole AS (SELECT chrom, string_agg(seq, '' ORDER BY tile_no) AS seq FROM tiles GROUP BY chrom), iv AS (
+  SELECT c_custkey AS row_idx, 'chr' || (c_custkey % 23 + 1) AS chrom, c_custkey * 37 % 2800 AS start, c_custkey * 37 % 2800 + c_custkey % 90 AS "end" FROM customer
+), f AS (SELECT row_idx, whole.chrom AS there, CASE WHEN start < "end" THEN substr(seq, (start + 1)::INTEGER, ("end" - start)::INTEGER) ELSE '' END AS seq FROM iv LEFT JOIN whole USING (chrom))
+SELECT row_idx, CASE WHEN there IS NOT NULL THEN seq END AS seq, round(CASE WHEN length(seq) > 0 THEN len(regexp_extract_all(seq, '[CG]')) / length(seq)::DOUBLE END, 9) AS density FROM f""")
+def packed_gc_density(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of packed sequences, read one by one, and their share of C and G."""
+    k = F.col("c_custkey")
+    asks = X.table(spark, d, "customer").select(k.alias("row_idx"), F.concat(F.lit("chr"), (k % 23 + 1).cast("string")).alias("chrom"), (k * 37 % 2800).alias("start"), (k * 37 % 2800 + k % 90).alias("end"))
+    return P8.fetch_packed(asks, _packed(spark, d)).select("row_idx", "seq", F.round(W.density(F.col("seq"), "[CG]"), 9).alias("density"))
+
+
+@query(_SS_SQL + """, head AS (
+  SELECT unnest(range(-8, 0)) AS ord, unnest(['NSEQS = 3', 'LENGTH = 1000', 'TUPLE_SIZE = 1', 'NTUPLES = ' || (SELECT count(*) FROM n), 'NAMES = hg17,panTro1,mm5', 'ALPHABET = ACGT-', 'NCATS = -1', '']) AS value
+), l AS (SELECT * FROM head UNION ALL SELECT row_number() OVER (ORDER BY key) - 1, (row_number() OVER (ORDER BY key) - 1) || chr(9) || key || chr(9) || count FROM n)
+SELECT 'columns.ss' AS file, sha256(string_agg(value || chr(10), '' ORDER BY ord)) AS sha256 FROM l""")
+def statistics_one_file(spark: SparkSession, d: str) -> DataFrame:
+    """A file of sufficient statistics; its bytes."""
+    folder = shared_folder(spark)
+    S.write_statistics(C.sufficient_statistics(X.blocks(spark, d), X.SPECIES), X.SPECIES, 1000, folder, "columns.ss")
+    return _digests(spark, folder)
+
+
+def _digests(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"""WITH {X.ITEMS_SQL}, p AS (SELECT chrom, start // 100 AS pos, max("end" - start)::DOUBLE AS score FROM items GROUP BY ALL), q AS (SELECT * FROM p WHERE score <> 300), l AS (
+  SELECT chrom, pos, 1 AS k, score::VARCHAR AS value FROM q
+  UNION ALL SELECT chrom, pos, 0, 'fixedStep chrom=' || chrom || ' start=' || (pos + 1) || ' step=1' FROM q WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.chrom = q.chrom AND b.pos = q.pos - 1)
+  UNION ALL SELECT DISTINCT chrom, -1, 0, 'track type=wiggle_0 name=items.' || chrom FROM q
+)
+SELECT chrom || '.wig' AS file, sha256(string_agg(value || chr(10), '' ORDER BY pos, k)) AS sha256 FROM l GROUP BY chrom""")
+def track_files(spark: SparkSession, d: str) -> DataFrame:
+    """A track file for each chromosome, gaps where scores are missing; their bytes."""
+    folder = shared_folder(spark)
+    rows = X.item_intervals(spark, d).groupBy("chrom", F.floor(F.col("start") / 100).alias("pos")).agg(F.max(F.col("end") - F.col("start")).cast("double").alias("score"))
+    S.write_tracks(rows.withColumn("score", F.expr("nullif(score, 300D)")), folder, "items")
+    return _digests(spark, folder)
+
+
+@query("SELECT doc_id::VARCHAR AS label, lang FROM documents WHERE doc_id % 3 <> 0")
+def commented_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of which each third is a comment; the others, by their place without comments."""
+    docs = X.table(spark, d, "documents").select("doc_id", "lang", F.concat(F.when(F.col("doc_id") % 3 == 0, "#").otherwise(""), F.col("doc_id").cast("string"), F.lit(" 1 0.5")).alias("value"))
+    folder = _lines(docs.select("doc_id", "value"), ["value"], order="doc_id")
+    back = S.read_distributions(spark, folder)
+    return back.join(docs.select(F.col("doc_id").cast("string").alias("label"), "lang"), "label").select("label", "lang")
+
+
+@query("SELECT s_name AS key, (s_suppkey % 9)::VARCHAR AS symbol FROM supplier")
+def mapping_from_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The row of a trace of clusterings that has nine clusters, given to names by their places."""
+    s = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("key"))
+    names = B.dense_order(s, "k").withColumn("row_idx", F.col("_place") - 1)
+    every = names.agg(F.sort_array(F.collect_list(F.struct("row_idx", "k"))).alias("_a"))  # a clustering is a row of its trace, as the format has it
+    trace = every.select(F.explode(F.array(*map(F.lit, (7, 9, 12)))).alias("n_clusters"), "_a").withColumn("assign", F.transform("_a", lambda x: (x["k"] % F.col("n_clusters")).cast("int")))
+    return M.from_clusters(names.select("row_idx", "key"), trace.select("n_clusters", "assign"), 9)

@@ -239,29 +239,10 @@ def read_chromosomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_nib(spark: SparkSession, folder: str, tile: int = 65_536) -> DataFrame:
-    """``(chrom, tile_no, seq)`` of packed sequence files ``<chrom>.nib``: an 8-byte head (magic, number of
-    bases), then two bases a byte, the high half first; lower-case (masked) bases are upper-cased."""
-    import numpy as np
-    import pandas as pd
-
-    # fixed values: the magic number and the bases by code
-    magic, letters = 0x6BE93D3A, np.frombuffer(b"TCAGN", np.uint8)
-
-    def run(parts):  # noqa: ANN001, ANN202
-        for pdf in parts:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                head = np.frombuffer(content, "<u4", 2)
-                if head[0] != magic:
-                    raise ValueError(f"{path} is no packed sequence file")
-                chrom = path.rsplit("/", 1)[1].rsplit(".", 1)[0]
-                for at in range(0, int(head[1]), tile):  # a tile has an even number of bases
-                    n = min(tile, int(head[1]) - at)
-                    packed = np.frombuffer(content, np.uint8, (n + 1) // 2, 8 + at // 2)
-                    codes = np.stack([packed >> 4, packed & 15], axis=1).ravel()[:n] & 7
-                    yield pd.DataFrame({"chrom": [chrom], "tile_no": [at // tile], "seq": [letters[np.minimum(codes, 4)].tobytes().decode()]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nib").load(folder).select("path", "content")
-    return files.mapInPandas(run, "chrom string, tile_no long, seq string")
+    """``(chrom, tile_no, seq)`` of packed sequence files ``<chrom>.nib``; see ``packed`` for readers of ranges and the writer."""
+    from .packed import read_packed
+
+    return read_packed(spark, folder, tile)
 
 
 def write_lines(rows: DataFrame, path: str, columns: list[str], sep: str = " ", compression: str = "none") -> None:
@@ -280,6 +261,28 @@ def statistics_text(counts: DataFrame, species: list[str], length: int, alphabet
     return head.unionByName(counts.select(F.col("i").cast("long").alias("ord"), F.concat_ws("\t", "i", "key", "count").alias("value")))
 
 
+def write_statistics(counts: DataFrame, species: list[str], length: int, folder: str, name: str, alphabet: str = W.ALPHABET) -> None:
+    """The lines of ``statistics_text`` as one file ``name`` in ``folder``."""
+    from .files import write_whole
+
+    write_whole(statistics_text(counts, species, length, alphabet).withColumn("file", F.lit(name)), folder)
+
+
+def write_tracks(scores: DataFrame, folder: str, name: str, step: int = 1) -> None:
+    """A wiggle file for each chromosome of ``(chrom, pos, score)``, called as it, with ``.wig`` behind: a line that describes the track, then, for each stretch of
+    positions next to each other (``step`` apart), a line that says where it begins (from 1 on) and its scores. Null scores end a stretch."""
+    from .files import Part, write_whole
+
+    rows = scores.where("score is not null").select("chrom", F.col("pos").cast("long").alias("pos"), F.col("score").cast("double").alias("score"))
+    # a stretch begins where the position before is not there; each position looks one step back
+    before = rows.select("chrom", (F.col("pos") + step).alias("pos"), F.lit(True).alias("_on")).distinct()
+    rows = rows.join(before, ["chrom", "pos"], "left")
+    begins = F.concat(F.lit("fixedStep chrom="), "chrom", F.lit(" start="), (F.col("pos") + 1).cast("string"), F.lit(f" step={step}"))
+    lines = rows.select("chrom", "pos", F.lit(1).alias("k"), F.col("score").cast("string").alias("value")).unionByName(rows.where("_on is null").select("chrom", "pos", F.lit(0).alias("k"), begins.alias("value")))
+    heads = rows.select("chrom").distinct().select("chrom", F.lit(None).cast("long").alias("pos"), F.lit(0).alias("k"), F.concat(F.lit(f"track type=wiggle_0 name={name}."), "chrom").alias("value"))
+    write_whole(heads.unionByName(lines).withColumn("file", F.concat("chrom", F.lit(".wig"))), folder, Part(order=("pos", "k")))
+
+
 def wiggle_text(scores: DataFrame, chrom: str, start: int = 1, step: int = 1) -> DataFrame:
     """``(ord, value)``: the lines of a track: its head, then a score to a line, in order."""
     head = scores.sparkSession.range(1).select(F.lit(-1).cast("long").alias("ord"), F.lit(f"fixedStep chrom={chrom} start={start} step={step}").alias("value"))
