@@ -1,12 +1,16 @@
 """Miniatures whose results are worked out by hand, and properties."""
 
 import math
+import pathlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
+
 from weftline import functions as W
 from weftline import sources as S
 from weftline.operators import blocks as B
@@ -19,6 +23,8 @@ from weftline.operators import neighbours as N
 from weftline.operators import phylogeny as P
 from weftline.operators import similarity as Y
 from weftline.operators import statistics as T
+from weftline.sources import packed
+from weftline.sources.files import FilesWriter, write_whole
 
 PART = "array<struct<src:string,start:bigint,size:bigint,strand:string,src_size:bigint,text:string>>"
 
@@ -582,3 +588,70 @@ def test_mappings_from_traces_and_lines(spark):
         M.from_clusters(names.where("row_idx < 2"), trace, 3).collect()
     lines = spark.createDataFrame([("a", "1", 0), ("b", "2", 1), ("a", "3", 2)], "key string, symbol string, line_no long")
     assert {r.key: r.symbol for r in M.last_wins(lines).collect()} == {"a": "3", "b": "2"}
+
+
+# whole files and packed sequences
+
+
+def files_in(folder):
+    return {p.name: p.read_bytes() for p in pathlib.Path(folder).iterdir()} if pathlib.Path(folder).exists() else {}
+
+
+def test_whole_files_are_there_or_not(spark, tmp_path):
+    rows = spark.createDataFrame([("b", k, f"line {k}") for k in range(500)] + [("a", 1, None), ("a", 0, "one")], "file string, ord long, value string").repartition(4)
+    folder = f"{tmp_path}/out"
+    write_whole(rows, folder)
+    assert files_in(folder) == {"a": b"one\n", "b": b"".join(b"line %d\n" % k for k in range(500))}
+    write_whole(rows.where("file = 'a'").withColumn("value", F.lit(b"\x00raw")), folder)  # bytes as they are, in place of the file
+    assert files_in(folder)["a"] == b"\x00raw\x00raw"
+    for bad in (F.when(F.col("ord") == 499, F.raise_error(F.lit("no"))).otherwise(F.col("value")), F.col("value")):
+        named = rows.withColumn("value", bad).withColumn("file", F.when(F.col("ord") == 400, "x/y").otherwise("c"))
+        with pytest.raises(Exception, match=r"no|x/y"):
+            write_whole(named, f"{tmp_path}/bad")
+        assert files_in(f"{tmp_path}/bad") == {}
+    write_whole(rows.where("false"), f"{tmp_path}/none")
+    assert files_in(f"{tmp_path}/none") == {}
+
+
+def test_a_failed_run_deletes_what_its_tasks_wrote(tmp_path):
+    writer = FilesWriter(str(tmp_path))
+    batch = pa.record_batch([["a", "a", "b"], [b"1", b"2", b"3"]], names=["file", "value"])
+    told = [writer.write(iter([batch])), writer.write(iter([batch.slice(2)]))]
+    assert len(files_in(tmp_path)) == 3 and all(n.startswith(".") for n in files_in(tmp_path))
+    with pytest.raises(ValueError, match="two tasks"):
+        writer.commit(told)
+    assert files_in(tmp_path) == {}
+    writer.commit([writer.write(iter([batch]))])
+    assert files_in(tmp_path) == {"a": b"12", "b": b"3"}
+
+
+def test_packed_sequences_are_read_by_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    whole = {f"chr{k}": "".join(rng.choice("ACGTNacgtn-") for _ in range(n)) for k, n in enumerate((0, 1, 2, 4000, 4001))}
+    rows = [(c, k, s[k * 100 : k * 100 + 100]) for c, s in whole.items() for k in range(max(1, -(-len(s) // 100)))]
+    packed.write_packed(spark.createDataFrame(rows, "chrom string, tile_no long, seq string").repartition(3), str(tmp_path))
+    plain = {c: s.upper().replace("-", "N") for c, s in whole.items()}
+    for chrom, data in files_in(tmp_path).items():
+        assert len(data) == 8 + (len(whole[chrom.removesuffix(".nib")]) + 1) // 2
+    back: dict = {}
+    for r in packed.read_packed(spark, str(tmp_path), tile=64, run=7).orderBy("chrom", "tile_no").collect():
+        back[r.chrom] = back.get(r.chrom, "") + r.seq
+    assert back == {c: s for c, s in plain.items() if s}
+    asks = [(k, f"chr{rng.randrange(6)}", a := rng.randrange(-5, 4100), a + rng.randrange(-2, 60)) for k in range(300)] + [(900, None, 1, 2), (901, "chr3", None, 4)]
+    got = {r.row_idx: r for r in packed.fetch_packed(spark.createDataFrame(asks, "row_idx long, chrom string, start long, end long"), str(tmp_path)).collect()}
+    for k, chrom, start, end in asks:
+        want = plain[chrom][max(0, start) : max(0, end)] if chrom in plain and start is not None else None
+        assert got[k].seq == want and got[k].bytes <= 8 + len(want or "") // 2 + 2
+    assert sum(r.bytes for r in got.values()) < sum(len(r.seq or "") for r in got.values()) / 2 + 2 * len(asks) + 8 * 5 * 8
+    with pytest.raises(ValueError, match="odd number"):
+        packed.write_packed(spark.createDataFrame([("c", 0, "ACG"), ("c", 1, "A")], "chrom string, tile_no long, seq string"), str(tmp_path))
+
+
+def test_conditions_reach_packed_files(spark, tmp_path):
+    packed.write_packed(spark.createDataFrame([(f"chr{c}", k, "ACGT" * 5) for c in range(3) for k in range(10)], "chrom string, tile_no long, seq string"), str(tmp_path))
+    rows = packed.read_packed(spark, str(tmp_path), tile=20)
+    assert sorted((r.chrom, r.tile_no) for r in rows.where("chrom in ('chr1', 'chr9') and tile_no >= 3 and tile_no < 5").collect()) == [("chr1", 3), ("chr1", 4)]
+    reader = packed.PackedReader(str(tmp_path), 20, 64)
+    left = list(reader.pushFilters([EqualTo(("chrom",), "chr2"), GreaterThan(("tile_no",), 7), StringContains(("seq",), "A")]))
+    assert left == [StringContains(("seq",), "A")]
+    assert [(p.chrom, p.first, p.last) for p in reader.partitions()] == [("chr2", 8, 10)]

@@ -69,7 +69,7 @@ def extract_ranges(intervals: DataFrame, blocks: DataFrame, chop: bool = True, b
         # the column of each base: where the texts before it end
         columns = F.filter(F.transform(W.chars(c0["text"]), lambda ch, i: F.when(ch != "-", i)), lambda i: i.isNotNull())
         hits = hits.withColumns({"_columns": columns, "_first": first, "_n": n})
-        start, last = F.try_element_at("_columns", F.col("_first") + 1), F.try_element_at("_columns", F.col("_first") + F.col("_n"))
+        start, last = F.get("_columns", F.col("_first")), F.get("_columns", F.col("_first") + F.col("_n") - 1)
         hits = hits.withColumns({"_at": start, "_wide": last - start + 1}).where("_wide > 0")
         components = cut_columns(F.col("r_components"), F.col("_at"), F.col("_wide"))
     else:
@@ -175,7 +175,7 @@ def tile_blocks(intervals: DataFrame, blocks: DataFrame, species: list[str], by_
     first = F.when(c0["strand"] == "-", fe - F.col("end")).otherwise(F.col("start") - fs).cast("int")
     columns = F.filter(F.transform(W.chars(c0["text"]), lambda ch, i: F.when(ch != "-", i)), lambda i: i.isNotNull())
     asked = asked.withColumns({"_columns": columns, "_first": first, "_n": (F.col("end") - F.col("start")).cast("int")})
-    at, last = F.try_element_at("_columns", F.col("_first") + 1), F.try_element_at("_columns", F.col("_first") + F.col("_n"))
+    at, last = F.get("_columns", F.col("_first")), F.get("_columns", F.col("_first") + F.col("_n") - 1)
     asked = asked.withColumn("_cut", cut_columns(F.col("components"), at, last - at + 1))
     forward = F.when(F.get("_cut", F.lit(0))["strand"] == "-", reverse_complement(F.col("_cut"))).otherwise(F.col("_cut"))
     asked = asked.withColumn("_cut", forward)
