@@ -655,3 +655,38 @@ def test_conditions_reach_packed_files(spark, tmp_path):
     left = list(reader.pushFilters([EqualTo(("chrom",), "chr2"), GreaterThan(("tile_no",), 7), StringContains(("seq",), "A")]))
     assert left == [StringContains(("seq",), "A")]
     assert [(p.chrom, p.first, p.last) for p in reader.partitions()] == [("chr2", 8, 10)]
+
+
+@pytest.mark.parametrize(("bins", "sorted_rows"), [(4096, 65_536), (3, 4), (2, 1)])
+def test_quantiles_by_narrowing(spark, bins, sorted_rows):
+    rng = random.Random(bins)
+    rows = [("a", float(rng.choice([1, 2, 2, 2, 5]))) for _ in range(60)] + [("b", rng.gauss(0, 1) * 10 ** rng.randrange(-8, 9)) for _ in range(101)] + [("c", 7.0), ("d", None), (None, 3.0), (None, 5.0)]
+    rows += [("e", v) for v in (0.0, 5e-324, 1.7e308, -1.7e308, -0.0)]
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r.g, r.share): r.v for r in T.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(3), "v", shares, ["g"], bins=bins, sorted_rows=sorted_rows).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        values = sorted(v for h, v in rows if h == g and v is not None)
+        for s in shares:
+            at = s * (len(values) - 1)
+            a, b = values[math.floor(at)], values[math.ceil(at)]
+            assert got.pop((g, s)) == pytest.approx(a + (b - a) * (at - math.floor(at)) if a != b else a)
+    assert not got
+    inf = spark.createDataFrame([("x", v) for v in (1.0, float("inf"), float("nan"))], "g string, v double")
+    assert [r.v for r in T.quantiles(inf, "v", [0.0, 0.5], ["g"]).orderBy("share").collect()] == [1.0, math.inf]
+    assert [r.v for r in T.quantiles(spark.createDataFrame(rows[:60], "g string, v double"), "v", [0.5], bins=bins, sorted_rows=sorted_rows).collect()] == [2.0]
+
+
+@pytest.mark.parametrize(("block", "keys"), [(512, 4096), (3, 2), (1, 1)])
+def test_sparse_dot_by_tiles(spark, block, keys):
+    rng = random.Random(block)
+    rows = [(f"s{i}" if i % 2 else f"t{i}", f"k{k}", rng.choice([-1.0, 0.0, 0.5, 2.0])) for i in range(11) for k in range(9) if rng.random() < 0.5]
+    rows += [("s1", "k0", 1.0), ("lone", "only", 3.0), ("x", None, 1.0), (None, "k1", 1.0), ("y", "k1", None)] + [(f"h{i}", "hot", 1.0) for i in range(12)]
+    vectors: dict = {}
+    for i, k, w in rows:
+        if i is not None and k is not None and w is not None:
+            vectors.setdefault(i, {}).setdefault(k, 0.0)
+            vectors[i][k] += w
+    want = {(i, j): sum(vectors[i][k] * vectors[j][k] for k in vectors[i].keys() & vectors[j].keys()) for i in vectors for j in vectors if i <= j and vectors[i].keys() & vectors[j].keys()}
+    got = Y.sparse_dot(spark.createDataFrame(rows, "seq_id string, kmer string, w double").repartition(3), block=block, keys=keys).collect()
+    assert len(got) == len(want) and {(r.i, r.j): round(r.w, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert Y.sparse_dot(spark.createDataFrame([], "seq_id string, kmer string, w double")).count() == 0

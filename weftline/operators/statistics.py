@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import numbered_rows
+from ..sources import numbered_rows, saved
 
 
 def correlations(rows: DataFrame, columns: list[str], by: str | None = None, complete: bool = False) -> DataFrame:
@@ -138,29 +138,73 @@ def classed_regions(rows: DataFrame, columns: tuple[str, ...], dataset: str = "d
     return full.withColumn("class", dataset_class(F.col(dataset), F.col(support))).where(F.col("class") <= most)
 
 
-def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None, bins: int = 4_096, sorted_rows: int = 65_536) -> DataFrame:
     """``by``, ``share`` and ``v``: exact quantiles, between two values by their distance; nulls don't count.
 
-    Values are sorted in ranges (``numbered_rows``) and the two rows on either side of a quantile are
-    picked by their places, so that no task holds all values or all distinct ones."""
+    The two ranks on either side of a quantile are looked for by narrowing: a histogram of a group's values says in which bin a rank is, and what that bin's
+    smallest and largest values are; a bin of more than ``sorted_rows`` rows (unless all are equal) is cut to ``bins`` bins again, and only what is left is
+    sorted. So nothing but counts is shuffled, and no task sorts more than a bin. Values that are infinite or no number have no bins; where
+    there are any, all are sorted by ranges (``numbered_rows``)."""
     keys = by or []
-    placed = numbered_rows(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), [*keys, "_v"])
+    base = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_one"))
+    base = base.withColumn("_g", group)
+    odd = F.isnan("_v") | (F.abs("_v") == float("inf"))
+    ends = saved(base.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.max(odd).alias("_odd")))
+    if ends.where("_odd").limit(1).count():
+        return _sorted_quantiles(base.drop("_g"), shares, keys)
+    pos = F.col("share") * (F.col("_n") - 1)
+    asked = ends.select("_g", "_lo", "_hi", "_n", F.explode(F.array(*map(F.lit, shares))).alias("share"))
+    asked = asked.select("_g", "_lo", "_hi", "_n", "share", F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))).alias("_rank"))
+    # where each rank is: between two values, so many rows before, so many there
+    found = saved(asked.select("_g", "_rank", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), "_n").distinct())
+    while found.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > sorted_rows)).limit(1).count():
+        spans = found.select("_g", "_lo", "_hi", "_before").distinct()  # a row for each rank asked for, at most
+        inside = base.join(spans, "_g").where("_v >= _lo and _v <= _hi")
+        # halves, so that the distance of two values of opposite signs is a number, too
+        place = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        span = ["_g", "_lo", "_hi", "_before"]
+        counts = inside.groupBy(*span, F.floor(F.when(F.col("_v") == F.col("_lo"), 0.0).otherwise(F.coalesce(place, F.lit(1.0))) * bins).alias("_bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        first = F.coalesce(F.sum("n").over(Window.partitionBy(*span).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", F.col("_before") + first)
+        found = found.join(counts, span).where("_rank >= before and _rank < before + n")
+        found = saved(found.select("_g", "_rank", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("before").alias("_before"), F.col("n").alias("_n")))
+    spans = found.where("_lo < _hi").select("_g", "_lo", "_hi", "_before").distinct()
+    inside = base.join(spans, "_g").where("_v >= _lo and _v <= _hi")
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_g", "_before").orderBy("_v")) - 1
+    values = inside.select("_g", "_v", rank.alias("_rank")).join(found.select("_g", "_rank"), ["_g", "_rank"], "left_semi")
+    values = values.unionByName(found.where("_lo = _hi").select("_g", F.col("_lo").alias("_v"), "_rank"))
+    near = asked.join(values, ["_g", "_rank"])
+    part = F.max(pos - F.floor(pos))
+    out = near.groupBy("_g", "share").agg(_between(part).alias("v"))
+    return out.select(*(F.col("_g").getField(k).alias(k) for k in keys), "share", "v")
+
+
+def _between(part: Column) -> Column:
+    """Between the smaller and the larger of a group's values (infinite ones, too)."""
+    low, high = F.min("_v"), F.max("_v")
+    return F.when(low == high, low).otherwise(low + (high - low) * part)
+
+
+def _sorted_quantiles(base: DataFrame, shares: list[float], keys: list[str]) -> DataFrame:
+    """The same for any values ``_v``: they are sorted in ranges and the two rows on either side of a quantile picked by their places."""
+    placed = numbered_rows(base.select(*keys, "_v"), [*keys, "_v"])
     ends = placed.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     at = F.explode(F.array(*map(F.lit, shares))).alias("share")
     asked = ends.select(*keys, "_first", "_n", at).withColumn("_pos", F.col("_first") + F.col("share") * (F.col("_n") - 1))
     near = F.explode(F.sequence(F.floor("_pos"), F.ceil("_pos"))).alias("_place")
     found = asked.select(*keys, "share", "_pos", near).join(placed.select("_place", "_v"), "_place")
     part = F.max(F.col("_pos") - F.floor("_pos"))
-    return found.groupBy(*keys, "share").agg((F.min("_v") + (F.max("_v") - F.min("_v")) * part).alias("v"))
+    return found.groupBy(*keys, "share").agg(_between(part).alias("v"))
 
 
 def quantile_split(rows: DataFrame, columns: tuple[str, str, str], q: float = 0.9) -> DataFrame:
     """``rows`` with ``region``: which of the three columns lie above their ``q`` quantile, the others
     strictly below theirs (``high_`` and the names, joined by ``_and_``; ``none``); a value equal to its
     quantile, or missing, puts a row in no region (null)."""
-    out = rows
-    for c in columns:
-        out = out.crossJoin(F.broadcast(quantiles(rows, c, [q]).select(F.col("v").alias(f"_q_{c}"))))  # one row
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns))).alias("x")).select("x._c", "x._v")
+    told = quantiles(long, "_v", [q], ["_c"]).agg(*(F.max(F.when(F.col("_c") == c, F.col("v"))).alias(f"_q_{c}") for c in columns))
+    out = rows.crossJoin(F.broadcast(told))  # one row
     high = {c: F.col(c) > F.col(f"_q_{c}") for c in columns}
     low = {c: F.col(c) < F.col(f"_q_{c}") for c in columns}
     region = F.when(low[columns[0]] & low[columns[1]] & low[columns[2]], F.lit("none"))
