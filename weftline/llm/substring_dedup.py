@@ -99,10 +99,11 @@ def _firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray
     return out, first
 
 
-_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("mark", pa.int32()), ("src", pa.int64()), ("from", pa.int32())]
+_ROW = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("place", pa.int64()), ("mark", pa.int32()), ("src", pa.int64()), ("from", pa.int32())]
 #: What is shuffled of a block: ``place`` is the hash of the text, then the word where the block begins; ``mark`` its number of
-#: windows (a block has no more than a window has words), and two bits; ``src`` and ``from`` are 0 where nothing is known yet.
-_SHAPE = "key long, h1 long, h2 long, doc long, place long, mark int, src long, from int"
+#: windows (a block has no more than a window has words), and two bits; ``src`` and ``from`` are 0 where nothing is known yet. Of the second
+#: hash 32 bits go along: with the first one's 64 and an anchor in common, of 1e12 blocks two different ones are taken for one with a chance of about 1e-5.
+_SHAPE = "key long, h1 long, h2 int, doc long, place long, mark int, src long, from int"
 _KNOWN, _HOT = 1 << 30, 1 << 29
 
 
@@ -121,13 +122,14 @@ def _folded(found: Callable, hot: np.ndarray | None = None, held_rows: int = 1_0
         def settle() -> Iterator[pa.RecordBatch]:
             key, h1, h2, doc, th, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
             place = (th.astype(np.int64) << 32) | at.astype(np.int64)
+            h2 = (h2 >> np.uint64(32)).astype(np.uint32)
             first, lead = _firsts([h1, h2], [doc, place])
             is_hot = np.isin(key, hot)
             key = np.where(is_hot, mixed(h1), key)
             key = np.where(first, key.view(np.int64), mixed(doc.view(np.uint64) * np.uint64(31) + at.astype(np.uint64)).view(np.int64))
             mark = size.astype(np.int64) + np.where(first, 0, _KNOWN) + np.where(is_hot, _HOT, 0)
             src, from_ = np.where(first, 0, doc[lead]), np.where(first, 0, at[lead])
-            columns = (key, h1.view(np.int64), h2.view(np.int64), doc, place, mark.astype(np.int32), src, from_.astype(np.int32))
+            columns = (key, h1.view(np.int64), h2.view(np.int32), doc, place, mark.astype(np.int32), src, from_.astype(np.int32))
             for k in range(0, len(key), 50_000):
                 yield pa.record_batch([pa.array(c[k : k + 50_000]) for c in columns], schema=schema)
 
