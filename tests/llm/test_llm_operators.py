@@ -798,3 +798,35 @@ def test_copies_of_a_page_are_packed_in_many_groups(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = list(Counter(r.sequence_id >> 40 for r in rows).values())
     assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+def test_a_phrase_in_every_text_is_no_bucket_of_its_own(spark, monkeypatch):
+    rng = random.Random(3)
+    phrase = "this very common phrase stands in each and every text there is"
+    texts = [(k, f"{phrase} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([0, 3, 30])))) for k in range(200)]
+    texts += [(200 + k, f"{t} end") for k, t in texts[:40] if len(t.split()) > 30] + [(400 + k, texts[0][1]) for k in range(5)]
+    frequent = jaccard_join.frequent_elements(docs_of(spark, texts).select(F.xxhash64("text").alias("th"), "text"), 5, len(texts))
+    assert len(frequent[0]) >= 8 and (frequent[1] >= 8).all()
+    want = brute_classes(texts)
+    for share in (1e-3, 0.2, 2.0):  # many, some and no elements are taken for frequent
+        plain = jaccard_join.frequent_elements
+        monkeypatch.setattr(jaccard_join, "frequent_elements", lambda t, n, total, share=share: plain(t, n, total, share=share) if share < 1 else (np.empty(0, np.uint64), np.empty(0, np.uint8)))
+        got = {r.doc_id: (r._size, r._component) for r in jaccard_join.jaccard_classes(docs_of(spark, texts).select("doc_id", "text").repartition(3)).collect()}
+        monkeypatch.setattr(jaccard_join, "frequent_elements", plain)
+        assert got == want
+
+
+def test_texts_with_one_hash_are_two_texts(spark, monkeypatch):
+    class Few:
+        """Functions whose first hash of a text has two values only."""
+
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, *columns):
+            return F.pmod(F.xxhash64(*columns), F.lit(2)) if len(columns) == 1 else F.xxhash64(*columns)
+
+    texts = [(k, f"word{k} " * 9) for k in range(8)] + [(20, "word3 " * 9), (30, None), (40, "")]
+    monkeypatch.setattr(jaccard_join, "F", Few())
+    got = {r.doc_id: (r._size, r._component) for r in jaccard_join.jaccard_classes(docs_of(spark, texts).select("doc_id", "text")).collect()}
+    assert got == brute_classes(texts)

@@ -14,6 +14,8 @@ agrees with it in one of these; a segment whose one-deletion neighbourhood is in
   other texts by these counts, as many as its differences ask for; which ones is its own choice,
   as the larger set of a pair looks up all its segments, and all its neighbourhoods where the
   band has any.
+* **Frequent elements**, of more than a thousandth of a sample of texts, are not counted at all: they stand in several texts, and go along with
+  their texts, with the number that the sample tells, which only says what a segment costs.
 * **Verification** intersects the sets of each candidate pair. Elements are hashes of 64 bits (the
   five 64-bit hashes of whole words, mixed), of which at least 56 and the bucket's bits are kept.
 """
@@ -205,9 +207,35 @@ def _whole(cut: bytes, bucket: int, bits: int) -> np.ndarray:
     return rest | np.uint64(bucket << (64 - bits)) if bits else rest
 
 
-def _dealt(n: int, bits: int, held_elements: int = 1_000_000) -> Callable:
+def frequent_elements(texts: DataFrame, n: int, total: int, sample: int = 20_000, share: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Elements, sorted, that more than ``share`` of the texts have, and codes for their number: of ``total`` texts about ``sample`` are looked
+    at (all, if they are fewer), so there are no more of them than elements in a thousand texts. They only say how work is spread and what
+    a segment costs: an element that is taken for one of several texts, and is not, is in no intersection, so what links is the same whichever are taken for frequent."""
+    part = min(1.0, sample / max(1, total))
+    schema = pa.schema([("e", pa.int64()), ("n", pa.int64())])
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text in a task are one text; bounded: sample
+        for few in parts:
+            for at in range(0, few.num_rows, 1_000):
+                some = few.slice(at, 1_000)
+                new = {th: k for k, th in enumerate(some.column(0).to_pylist()) if th not in seen}
+                seen.update(new)
+                found = shingle_sets(as_bytes(some.column(1).take(pa.array(list(new.values()), pa.int64()))), n)
+                e, m = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+                yield pa.record_batch([e.view(np.int64), m.astype(np.int64)], schema=schema)
+
+    counts = texts.sample(part, seed=0).mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    told = counts.where(F.col("n") > max(10.0, share * part * total)).toArrow()  # bounded: share
+    elements, number = told.column("e").to_numpy().view(np.uint64), told.column("n").to_numpy() / part
+    order = np.argsort(elements)
+    return elements[order], np.minimum(np.round(8 * np.log2(np.maximum(number[order], 2))), 255).astype(np.uint8)
+
+
+def _dealt(n: int, bits: int, frequent: tuple[np.ndarray, np.ndarray], held_elements: int = 1_000_000) -> Callable:
     """A task that deals the elements of texts ``(th, text)`` to buckets by their first bits: a row for each
-    bucket and some thousand texts, and a row for each text with its size (its bucket is below 0)."""
+    bucket and some thousand texts, and a row for each text with its size (its bucket is below 0). Elements of ``frequent`` need no count; they go
+    along with the sizes, whole, with their codes, so that no bucket gets an entry of each text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -216,10 +244,23 @@ def _dealt(n: int, bits: int, held_elements: int = 1_000_000) -> Callable:
             sizes = np.array([len(f) for f in held.values()], np.int64)
             names = np.fromiter(held, np.int64, len(held))
             elements, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            rows = []
+            if len(frequent[0]):
+                at = np.minimum(np.searchsorted(frequent[0], elements), len(frequent[0]) - 1)
+                often = np.flatnonzero(frequent[0][at] == elements)
+                to = (names.view(np.uint64) & np.uint64(1023)).astype(np.int64)[owner[often]]
+                often = often[np.argsort(to, kind="stable")]
+                to = np.sort(to)
+                for first, m in zip(*(x.tolist() for x in _runs(to)), strict=True):
+                    own = often[first : first + m]
+                    starts, counts = _runs(owner[own])
+                    rows.append((-1 - int(to[first]), None, None, names[owner[own[starts]]].tobytes(), counts.astype("<u4").tobytes(), elements[own].tobytes(), frequent[1][at[own]].tobytes()))
+                seldom = np.ones(len(elements), bool)
+                seldom[often] = False
+                elements, owner = elements[seldom], owner[seldom]
             bucket = (elements >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(elements), np.int32)
             order = np.argsort(bucket, kind="stable")
             yield _parcels([(-1 - (th & 1023), th, size, None, None, None, None) for th, size in zip(names.tolist(), sizes.tolist(), strict=True)])
-            rows = []
             for at, m in zip(*(x.tolist() for x in _runs(bucket[order])), strict=True):
                 own = order[at : at + m]
                 starts, counts = _runs(owner[own])
@@ -260,9 +301,10 @@ def _grouped(settle: Callable) -> Callable:
                     parcels.append(parcel)
                 else:
                     sizes.append((th, size))
-                    if now < 0 and len(sizes) >= 50_000:
-                        yield from settle(now, sizes, parcels)
-                        sizes = []
+                # what is below 0 passes by: it is not held until its bucket ends
+                if now < 0 and (len(sizes) >= 50_000 or len(parcels) >= 64):
+                    yield from settle(now, sizes, parcels)
+                    sizes, parcels = [], []
         if now is not None:
             yield from settle(now, sizes, parcels)
 
@@ -278,6 +320,19 @@ def _counted(bits: int) -> Callable:
         mask = (1 << bits) - 1
         if sizes:
             yield _parcels([(th & mask, th, size, None, None, None, None) for th, size in sizes])
+        if bucket < 0:  # elements with a code: on to the parts of their texts
+            if parcels:
+                names, n, elements, codes = (np.concatenate([np.frombuffer(p[k], t) for p in parcels]) for k, t in enumerate((np.int64, "<u4", np.uint64, np.uint8)))
+                order = np.argsort(names & mask, kind="stable")
+                own = np.argsort(np.repeat(names & mask, n), kind="stable")
+                names, n, elements, codes = names[order], n[order], elements[own], codes[own]
+                ends = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
+                rows = []
+                for at, m in zip(*(x.tolist() for x in _runs(names & mask)), strict=True):
+                    few, all_ = slice(at, at + m), slice(ends[at], ends[at + m])
+                    rows.append((int(names[at] & mask), None, None, names[few].tobytes(), n[few].astype("<u4").tobytes(), elements[all_].tobytes(), codes[all_].tobytes()))
+                yield _parcels(rows)
+            return
         if not parcels:
             return
         held = np.concatenate([np.frombuffer(p[0], np.int64) for p in parcels])
@@ -325,6 +380,10 @@ def _gathered(percent: int) -> Callable:
             codes = np.concatenate([np.frombuffer(p[3], np.uint8) for p in parcels])
             owner = np.repeat(held, counts)
             order = np.lexsort((elements, owner))
+            # a text that came from several tasks has its frequent elements as many times
+            new = np.ones(len(order), bool)
+            new[1:] = (owner[order][1:] != owner[order][:-1]) | (elements[order][1:] != elements[order][:-1])
+            order = order[new]
             for at, n in zip(*(x.tolist() for x in _runs(owner[order])), strict=True):
                 own = order[at : at + n]
                 th = int(owner[own[0]])
@@ -339,11 +398,12 @@ def _gathered(percent: int) -> Callable:
     return settle
 
 
-def text_sets(texts: DataFrame, chars: int, n: int = 5, percent: int = 75, bucket_chars: int = 16_000_000) -> DataFrame:
+def text_sets(texts: DataFrame, chars: int, total: int, n: int = 5, percent: int = 75, bucket_chars: int = 16_000_000) -> DataFrame:
     """``(th, size, shared, elements, codes, odd)`` for the texts ``(th, text)`` that have words; texts with
-    one ``th`` are one text. ``chars``: about how many characters there are, for the number of buckets."""
+    one ``th`` are one text. ``chars`` and ``total``: about how many characters and texts there are, for the number of buckets and a sample."""
+    frequent = frequent_elements(texts, n, total)
     bits = max(0, int(chars / bucket_chars)).bit_length()
-    sent = texts.mapInArrow(_dealt(n, bits), _PARCEL).repartition("bucket").sortWithinPartitions("bucket")
+    sent = texts.mapInArrow(_dealt(n, bits, frequent), _PARCEL).repartition("bucket").sortWithinPartitions("bucket")
     back = sent.mapInArrow(_grouped(_counted(bits)), _PARCEL).repartition("bucket").sortWithinPartitions("bucket")
     return saved(back.mapInArrow(_grouped(_gathered(percent)), _SET))
 
@@ -548,10 +608,16 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: st
     one document, linked by any of their texts. An empty table gives no rows. Columns of ``docs`` stay,
     whatever their names; only one that is called as an added one is replaced by it.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    slim = saved(rows.select("doc", "th", F.coalesce(F.length("text"), F.lit(0)).alias("chars")))
-    chars = slim.agg(F.sum("chars")).first()[0] or 0
-    told = text_sets(rows.where("text is not null").select("th", "text"), chars, words, percent)
+    first, second = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
+    slim = saved(docs.select(F.col(key).cast("long").alias("doc"), first.alias("th"), second.alias("th2"), F.coalesce(F.length(text), F.lit(0)).alias("chars")))
+    # a text is named by 64 bits; where two texts of different 128 bits have the same, they are named by all of these
+    twice = [r.th for r in slim.groupBy("th").agg(F.min("th2").alias("a"), F.max("th2").alias("z")).where("a <> z").select("th").collect()]  # chance: n^2 / 2^65 of n texts
+    named = (lambda a, b: F.when(a.isin(twice), F.xxhash64(a, b)).otherwise(a)) if twice else (lambda a, b: a)
+    name = named(first, second)
+    rows = docs.select(F.col(key).cast("long").alias("doc"), name.alias("th"), F.col(text).alias("text"))
+    slim = slim.select("doc", named(F.col("th"), F.col("th2")).alias("th"), "chars")
+    sums = slim.agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).first()
+    told = text_sets(rows.where("text is not null").select("th", "text"), sums.chars or 0, sums.n, words, percent)
 
     # a text is named by the smallest key that has it
     names = slim.where("doc is not null").groupBy("th").agg(F.min("doc").alias("id"))
@@ -570,6 +636,6 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, words: int = 5, text: st
 
     own = slim.select("doc", "th").distinct().join(told.select("th", "size"), "th", "left").join(of_doc, "doc", "left")
     own = own.select(F.col("doc").alias("doc_"), F.col("th").alias("th_"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("component", "doc").alias("component"))
-    out = packed_row(docs, doc=F.col(key).cast("long"), th=F.xxhash64(F.col(text)))
+    out = packed_row(docs, doc=F.col(key).cast("long"), th=name)
     out = out.join(own, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_")))
     return unpacked_row(out, docs, _size="size", _component="component")
