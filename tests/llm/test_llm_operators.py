@@ -830,3 +830,55 @@ def test_texts_with_one_hash_are_two_texts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "F", Few())
     got = {r.doc_id: (r._size, r._component) for r in jaccard_join.jaccard_classes(docs_of(spark, texts).select("doc_id", "text")).collect()}
     assert got == brute_classes(texts)
+
+
+def test_planted_links_between_the_given_pages(spark):
+    """Canonical links, refreshes and addresses, absolute and relative, and redirects, planted in the given pages; verdicts
+    against components by union-find over urls resolved by the standard library."""
+    from urllib.parse import urljoin
+
+    rng = random.Random(6)
+    pages = [(r.page_id, r.url, r.html or "") for r in common.read(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html").collect()]
+    urls = [u for _, u, _ in pages if u and "://" in u]
+    rows, links = [], []
+    for k, url, html in pages:
+        if url and "://" in url and rng.random() < 0.7:
+            to = rng.choice([rng.choice(urls), rng.choice(urls[:5]), "/fr/moved", "//sub.example.com/de/x", "next.html", "http://quiet.example/"])
+            html += rng.choice(['<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="5; URL=%s">', '<meta property="og:url" content="%s">']) % to.replace("&", "&amp;")
+            links.append((url, urljoin(url, to)))
+        rows.append((k, url, html))
+    redirects = [(rng.choice(urls), rng.choice(urls)) for _ in range(20)]
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links + redirects:
+        root[find(a)] = find(b)
+    rule = lambda u: url_rule(u)
+    said: dict = {}
+    for u in list(root):
+        if rule(u):
+            said.setdefault(find(u), set()).add(rule(u))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r._verdict for r in url_filter.judge_urls(df, redirects=spark.createDataFrame(redirects, "a string, b string")).collect()}
+    for k, url, _ in rows:
+        kinds = said.get(find(url), set()) if url else set()
+        want = (rule(url) if url else None) or ("allow" if "allow" in kinds or not kinds else "block")
+        assert got[k] == want, (k, url)
+    assert sum(v == "block" for v in got.values()) > 5 and sum(not rule(u) and got[k] == "block" for k, u, _ in rows if u) > 2
+
+
+def url_rule(url):
+    """The verdict of the longest rule that fits a url."""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = rest
+    for c in "/?#":
+        host = host.split(c)[0]
+    path = rest[len(host) :].split("?")[0].split("#")[0]
+    host = host.lower()
+    fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return min(fits, key=lambda r: (-len(r.name), r.verdict)).verdict if fits else None

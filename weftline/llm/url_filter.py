@@ -147,13 +147,21 @@ def judge_urls(
         links = links.unionByName(redirects.select("a", "b").where("a is not null and b is not null"))
     parts = connected_components(links.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
     ends = links.select("a").union(links.select("b")).toDF("u").distinct()
-    ends = ends.select(node(F.col("u")).alias("node"), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
-    own = ends.select("node", fitting_rule(host, path, rules, "verdict").alias("own"))
-    said = own.unionByName(judged.select("node", "own")).where("own is not null and node is not null").distinct()
+    rule = fitting_rule(host_of(F.col("u")), path_of(F.col("u")), rules, "verdict")
+    said = ends.select(node(F.col("u")).alias("node"), rule.alias("own")).where("own is not null")
     part = F.coalesce("component", "node").alias("part")
+    if spellings:  # pages of one form can be judged by different rules, linked or not
+        said = said.unionByName(judged.select("node", "own").where("own is not null and node is not null")).distinct()
     # min: allow comes before block
     parted = said.join(parts, "node", "left").select("own", part).groupBy("part").agg(F.min("own").alias("said"))
-    of_node = judged.select("node").where("node is not null and own is null").distinct()
-    of_node = of_node.join(parts, "node", "left").select("node", part).join(parted, "part").select("node", "said")
+    if spellings:
+        of_node = judged.select("node").where("node is not null and own is null").distinct()
+        of_node = of_node.join(parts, "node", "left").select("node", part)
+    else:  # a url's rule is its own, so only ends of links can get another's verdict
+        of_node = parts.select("node", F.col("component").alias("part"))
+    of_node = of_node.join(parted, "part").select("node", "said")
+    # rows without a node, or with a rule, have nothing to look for: they get keys that nothing has, each another
+    none = F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string"))
+    judged = judged.withColumn("node", F.when(F.col("own").isNull() & F.col("node").isNotNull(), F.col("node")).otherwise(none))
     judged = judged.join(of_node, "node", "left")
     return unpacked_row(judged, pages, _host="host", _path="path", _rule="rule", _verdict=F.coalesce("own", "said", F.lit("allow")))
