@@ -236,7 +236,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     # file names are numbers of ranges, in order of keys; one row for each file
     files = found.mapInArrow(indexes, "path string, length long, ids long")
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    # a number of more digits than the others is the longer name
+    before = Window.orderBy(F.length("path"), "path").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("path", "length", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
     # as many partitions as there are files: a number of its own, which is not folded into fewer
     return files.repartitionByRange(max(1, found.count()), "path").mapInArrow(chunks, out)
