@@ -690,3 +690,46 @@ def test_sparse_dot_by_tiles(spark, block, keys):
     got = Y.sparse_dot(spark.createDataFrame(rows, "seq_id string, kmer string, w double").repartition(3), block=block, keys=keys).collect()
     assert len(got) == len(want) and {(r.i, r.j): round(r.w, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
     assert Y.sparse_dot(spark.createDataFrame([], "seq_id string, kmer string, w double")).count() == 0
+
+
+def brute_likelihood(model, species, columns):
+    """By summing over all states of all nodes."""
+    steps, states = {}, range(len(model.alphabet))
+    def below(node, state):
+        if not node.children:
+            c = key[species.index(node.label)]
+            return 1.0 if c == "*" else float(model.alphabet[state] == c)
+        out = 1.0
+        for child in node.children:
+            p = steps.setdefault(child.length, P.expm(np.array(model.matrix) * child.length))
+            out *= sum(p[state, s] * below(child, s) for s in states)
+        return out
+
+    total = 0.0
+    for key, n in columns:
+        total += n * math.log(sum(model.background[s] * below(model.tree, s) for s in states))
+    return total
+
+
+def test_a_planted_model_is_found_again(spark):
+    from itertools import product
+
+    tree, species = P.parse_newick("((a:0.1,b:0.3):0.2,c:0.4);"), ["a", "b", "c"]
+    pi = [0.3, 0.2, 0.25, 0.15, 0.1]
+    true = P.TreeModel("ACGT-", pi, P.gap_rates(pi, 3.5, 0.4), P.scaled(tree, 1.7))
+    assert P.TreeModel.parse(true.text()) == true
+    assert -sum(p * r[i] for i, (p, r) in enumerate(zip(pi, true.matrix))) == pytest.approx(1) and np.abs(np.array(true.matrix).sum(axis=1)).max() < 1e-12
+    keys = ["".join(k) for k in product("ACGT-", repeat=3)]
+    share = [math.exp(brute_likelihood(true, species, [(k, 1)])) for k in keys]
+    assert sum(share) == pytest.approx(1)
+    columns = [(k, round(p * 10**7)) for k, p in zip(keys, share)]
+    df = spark.createDataFrame(columns + [("A#C", 10**6), ("***", 10**6)], "key string, count long").where("count > 0").repartition(3)
+    some = [true, P.TreeModel("ACGT-", pi, P.gap_rates(pi, 1.0, 1.0), tree)]
+    assert P.log_likelihoods(df, some, species) == pytest.approx([brute_likelihood(m, species, columns) for m in some])
+    fit = P.fit_model(df.where("key not like '%#%' and key <> '***'"), tree, species, tolerance=0.004)
+    rises = [t[1] for t in fit.trace]
+    assert rises == sorted(rises) and len(rises) > 3
+    assert fit.trace[-1][2:] == pytest.approx((1.7, 3.5, 0.4), rel=0.01)
+    assert fit.model.background == pytest.approx(pi, abs=1e-3)
+    none = P.fit_model(df.where("count < 0"), tree, species)
+    assert none.trace == [] and none.model.tree == tree

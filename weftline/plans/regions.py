@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as W
 from ..operators import blocks as B
+from ..operators import phylogeny as P
 from ..operators import scoring as G
 from ..operators import tiling as L
 from ..sources import saved
@@ -184,3 +185,11 @@ def window_scores(spark: SparkSession, d: str) -> DataFrame:
     starts = X.blocks(spark, d).select("block_id", W.chrom_of(c0["src"]).alias("chrom"), c0["start"].alias("at"))
     rows = places.join(starts, "block_id").select("chrom", (F.col("at") + F.col("pos")).alias("pos"), "score")
     return G.window_scores(rows, 100, 1, most_missing=60).withColumn("score", F.round("score", 8))
+
+
+@query()
+def model_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The steps by which a substitution model is fitted to the columns of all blocks."""
+    columns = saved(_statistics(spark, d).select("key", "count"))
+    fit = P.fit_model(columns, P.parse_newick("((hg17:0.1,panTro1:0.3):0.2,mm5:0.4);"), X.SPECIES)
+    return spark.createDataFrame(fit.trace, "step int, log_likelihood double, scale double, kappa double, gap double")
