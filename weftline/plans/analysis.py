@@ -83,9 +83,9 @@ def transition_cdf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similarity(spark: SparkSession, d: str) -> DataFrame:
-    counts = K.kmer_counts(X.sequences(spark, d), 3)
-    cohorts = counts.groupBy((F.col("seq_id") % 40).cast("int").alias("seq_id"), "kmer").agg(F.sum("count").cast("double").alias("w"))
-    return Y.mirrored(Y.complete(Y.sparse_dot(cohorts), _cohort_labels(spark, d), "row_idx"))
+    """All pairs of sequences, numbered from 0, with their zeros."""
+    items = saved(_items(spark, d))
+    return Y.mirrored(Y.complete(_pairs(items), items))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -154,19 +154,18 @@ def affinity_normalize(spark: SparkSession, d: str) -> DataFrame:
     return Y.affinity_normalize(_similarity(spark, d)).select("i", "j", F.round("w", 9).alias("w"))
 
 
-def _cohort_labels(spark: SparkSession, d: str) -> DataFrame:
-    g = (F.col("user_id") % 40).cast("int")
-    return X.table(spark, d, "events").select(g.alias("row_idx"), F.concat(F.lit("c"), (g % 3).cast("string")).alias("label")).distinct()
+def _item_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select(F.col("seq_id").alias("row_idx"), F.concat(F.lit("c"), (F.col("seq_id") % 3).cast("string")).alias("label"))
 
 
 @query(f"""WITH {X.SIM_SQL} SELECT unnest(CASE WHEN i % 3 = j % 3 THEN ['IN_c' || (i % 3)] ELSE ['OUT_c' || (i % 3), 'OUT_c' || (j % 3), 'OUT'] END) AS name, w FROM sim WHERE i < j""")
 def edge_weights_by_partition(spark: SparkSession, d: str) -> DataFrame:
-    return Y.edge_weights(_similarity(spark, d), _cohort_labels(spark, d))
+    return Y.edge_weights(_similarity(spark, d), _item_labels(spark, d))
 
 
 @query(f"WITH {X.SIM_SQL} SELECT i % 3 = j % 3 AS same, round(avg(w), 6) AS mean, count(*) AS n FROM sim WHERE i < j GROUP BY 1")
 def edge_weights_avg(spark: SparkSession, d: str) -> DataFrame:
-    return Y.edge_means(_similarity(spark, d), _cohort_labels(spark, d)).withColumn("mean", F.round("mean", 6))
+    return Y.edge_means(_similarity(spark, d), _item_labels(spark, d)).withColumn("mean", F.round("mean", 6))
 
 
 @query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), p AS (SELECT n / sum(n) OVER () AS p FROM c)
@@ -285,19 +284,21 @@ _RATE = [[-1.0 if i == j else 0.25 for j in range(5)] for i in range(5)]  # all
 
 
 def _star() -> P.TreeModel:
-    return P.TreeModel("ACGT-", [0.2] * 5, _RATE, P.parse_newick("(hg17:0.1,panTro1:0.3);"))
+    return P.TreeModel("ACGT-", [0.2] * 5, _RATE, P.parse_newick("(hg17:0.1,panTro1:0.3,mm5:0.4);"))
 
 
 @query(f"""WITH {X.BLOCKS_SQL}, c AS (
-  SELECT upper(string_agg(substr(text, x.i, 1), '' ORDER BY ci)) AS key FROM comp, range(1, 33) x(i) WHERE ci < 2 GROUP BY block_id, x.i
-), n AS (SELECT key, count(*) AS count FROM c WHERE key NOT LIKE '%#%' AND key NOT LIKE '%=%' AND key <> '**' GROUP BY key), s(c) AS (VALUES ('A'), ('C'), ('G'), ('T'), ('-')), l AS (
+  SELECT rpad(upper(col), 3, '*') AS key FROM cols
+), n AS (SELECT key, count(*) AS count FROM c WHERE key NOT LIKE '%#%' AND key NOT LIKE '%=%' AND key <> '***' GROUP BY key), s(c) AS (VALUES ('A'), ('C'), ('G'), ('T'), ('-')), l AS (
   SELECT key, count, s.c, CASE substr(key, 1, 1) WHEN '*' THEN 1.0 WHEN s.c THEN 0.2 + 0.8 * exp(-0.125) ELSE 0.2 - 0.2 * exp(-0.125) END
-    * CASE substr(key, 2, 1) WHEN '*' THEN 1.0 WHEN s.c THEN 0.2 + 0.8 * exp(-0.375) ELSE 0.2 - 0.2 * exp(-0.375) END AS lik FROM n, s
+    * CASE substr(key, 2, 1) WHEN '*' THEN 1.0 WHEN s.c THEN 0.2 + 0.8 * exp(-0.375) ELSE 0.2 - 0.2 * exp(-0.375) END
+    * CASE substr(key, 3, 1) WHEN '*' THEN 1.0 WHEN s.c THEN 0.2 + 0.8 * exp(-0.5) ELSE 0.2 - 0.2 * exp(-0.5) END AS lik FROM n, s
 )
 SELECT key, count, c AS state, round(lik / sum(lik) OVER (PARTITION BY key), 9) AS p FROM l""")
 def ancestral_dists(spark: SparkSession, d: str) -> DataFrame:
-    blocks = X.blocks(spark, d).withColumn("components", F.slice("components", 1, 2))
-    found = P.ancestral_distributions(C.column_counts(blocks), _star(), ["hg17", "panTro1"]).where("p is not null")
+    """Columns of all species and the states where their three branches meet."""
+    columns = C.sufficient_statistics(X.blocks(spark, d), X.SPECIES).select("key", "count")
+    found = P.ancestral_distributions(columns, _star(), X.SPECIES).where("p is not null")
     states = F.array(*map(F.lit, "ACGT-"))
     return found.select("key", "count", F.explode(F.arrays_zip(states.alias("state"), F.col("p"))).alias("z")).select("key", "count", F.col("z.state").alias("state"), F.round("z.p", 9).alias("p"))
 

@@ -142,17 +142,15 @@ KMERS_SQL = SEQ_SQL + """, kmers AS (
   SELECT a.seq_id, a.code || ' ' || b.code || ' ' || c.code AS kmer, count(*) AS count
   FROM ev a JOIN ev b ON a.seq_id = b.seq_id AND b.n = a.n + 1 JOIN ev c ON a.seq_id = c.seq_id AND c.n = a.n + 2 GROUP BY ALL
 )"""
-SIM_SQL = KMERS_SQL + """, cohort AS (
-  SELECT (seq_id % 40)::INTEGER AS g, kmer, sum(count)::DOUBLE AS w FROM kmers GROUP BY ALL
-), sim AS (
-  SELECT a.g AS i, b.g AS j, sum(a.w * b.w) AS w FROM cohort a JOIN cohort b ON a.kmer = b.kmer GROUP BY ALL
-)"""
 PAIRS_SQL = KMERS_SQL + """, pairs AS (
   SELECT a.seq_id AS i, b.seq_id AS j, sum(a.count * b.count)::DOUBLE AS w FROM kmers a JOIN kmers b ON a.kmer = b.kmer GROUP BY ALL
 )"""
 MATRIX_SQL = PAIRS_SQL + """, ids AS (SELECT DISTINCT user_id AS id FROM events), matrix AS (
   SELECT a.id AS i, b.id AS j, coalesce(w, 0) AS w FROM ids a CROSS JOIN ids b LEFT JOIN pairs ON i = a.id AND j = b.id
 )"""
+SIM_SQL = MATRIX_SQL + """, places AS (SELECT id, (row_number() OVER (ORDER BY id) - 1)::INTEGER AS place FROM ids), sim AS (
+  SELECT a.place AS i, b.place AS j, w FROM matrix JOIN places a ON a.id = i JOIN places b ON b.id = j
+)"""
 FEATURES_SQL = """feat AS (
   SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice, nullif(l_discount, 0.05::DOUBLE) AS l_discount, nullif(l_tax, 0.02::DOUBLE) AS l_tax FROM lineitem
 )"""

@@ -164,14 +164,16 @@ def last_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH a(c, n) AS (VALUES ('A', 0), ('C', 1), ('G', 2), ('T', 3)), u AS (SELECT DISTINCT upper(translate(substr(md5(o_orderkey || '-hg17'), 1, 1), '0123456789abcdef', 'ACGTACGTACGT-*#=')) AS c FROM orders)
-SELECT x.c || y.c AS key, (SELECT count(*) FROM u WHERE u.c = x.c) AS seen FROM a x, a y""")
+SELECT x.c || y.c AS key, s.c AS state, (SELECT count(*) FROM u WHERE u.c = x.c) AS seen, round(lik / sum(lik) OVER (PARTITION BY x.c, y.c), 9) AS p
+FROM a x, a y, a s, LATERAL (SELECT (0.25 + CASE WHEN x.c = s.c THEN 0.75 ELSE -0.25 END * exp(-0.4 / 3)) * (0.25 + CASE WHEN y.c = s.c THEN 0.75 ELSE -0.25 END * exp(-0.8 / 3)) AS lik) l""")
 def all_tree_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Every column that a tree of two leaves can have, and whether a block's first column begins so."""
-    model = P.TreeModel.parse("ALPHABET: A C G T\nBACKGROUND: 0.25 0.25 0.25 0.25\nRATE_MAT:\n" + "\n".join(" ".join("-1" if i == j else "0.3333" for j in range(4)) for i in range(4)) + "\nTREE: (hg17:0.1,mm5:0.2);")
+    """Every column that a tree of two leaves can have, its root's states, and whether a block's first column begins so."""
+    model = P.TreeModel.parse("ALPHABET: A C G T\nBACKGROUND: 0.25 0.25 0.25 0.25\nRATE_MAT:\n" + "\n".join(" ".join("-1" if i == j else repr(1 / 3) for j in range(4)) for i in range(4)) + "\nTREE: (hg17:0.1,mm5:0.2);")
     first = X.blocks(spark, d).select(F.upper(F.substring(F.get("components", F.lit(0))["text"], 1, 1)).alias("c")).distinct().withColumn("_s", F.lit(1))
-    keys = P.all_columns(spark, model, ["hg17", "mm5"]).select("key")
+    states = F.arrays_zip(F.array(*map(F.lit, "ACGT")).alias("state"), F.col("p"))
+    keys = P.all_columns(spark, model, ["hg17", "mm5"]).select("key", F.explode(states).alias("z")).select("key", "z.state", F.round("z.p", 9).alias("p"))
     keys = keys.join(F.broadcast(first), F.substring("key", 1, 1) == F.col("c"), "left")  # a few characters
-    return keys.select("key", F.coalesce(F.col("_s"), F.lit(0)).cast("long").alias("seen"))
+    return keys.select("key", "state", F.coalesce(F.col("_s"), F.lit(0)).cast("long").alias("seen"), "p")
 
 
 _TILES = "tiles AS (SELECT 'chr' || ((p_partkey - 1) % 22 + 1) AS chrom, (p_partkey - 1) // 22 AS tile_no, translate(md5('p' || p_partkey), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM part)"
