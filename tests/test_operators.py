@@ -101,7 +101,6 @@ def test_merge_is_cover(spark):
 def test_stretches_of_an_order(spark, monkeypatch):
     """Runs and covers that go on over stretches; sparse, negative and repeated keys."""
     monkeypatch.setattr(B, "STRETCH", 4)
-    monkeypatch.setattr(I, "STRETCH", 4)
     rng = np.random.default_rng(8)
     keys = [int(k) for k in rng.integers(-(10**15), 10**15, 300)]
     got = B.dense_order(spark.createDataFrame([(k,) for k in keys + keys[:9]], "k long"), "k").collect()
@@ -116,11 +115,12 @@ def test_stretches_of_an_order(spark, monkeypatch):
     got = B.fuse_adjacent(blocks_of(spark, *rows)).orderBy("block_id").collect()
     assert [[r.block_id, r.components[0].text] for r in got] == want
     spans = [("c", int(s), int(s + n)) for s, n in zip(rng.integers(0, 900, 90), rng.integers(0, 40, 90), strict=True)] + [("d", 0, 500), ("d", 10, 20), ("d", 490, 501), ("e", 5, 6)]
-    cover = I.merge_overlaps(spark.createDataFrame(spans, "chrom string, start long, end long")).collect()
-    for c in "cde":
-        assert {p for r in cover if r.chrom == c for p in range(r.start, r.end)} == {p for x, s, e in spans if x == c for p in range(s, e)}
-        own = sorted((r.start, r.end) for r in cover if r.chrom == c)
-        assert all(a[1] < b[0] for a, b in zip(own, own[1:], strict=False))
+    for cell in (4, 65_536):
+        cover = I.merge_overlaps(spark.createDataFrame(spans, "chrom string, start long, end long"), cell=cell).collect()
+        for c in "cde":
+            assert {p for r in cover if r.chrom == c for p in range(r.start, r.end)} == {p for x, s, e in spans if x == c for p in range(s, e)}
+            own = sorted((r.start, r.end) for r in cover if r.chrom == c)
+            assert all(a[1] < b[0] for a, b in zip(own, own[1:], strict=False))
 
 
 def test_fusing(spark):

@@ -103,8 +103,10 @@ def fuse_adjacent(blocks: DataFrame, order: str = "block_id", exempt_fakes: bool
     neither a source nor the whole table is a task's work; a run that is fused is one row.
     """
     heads = F.transform("components", lambda c: F.struct(c["src"].alias("src"), c["strand"].alias("strand"), c["start"].alias("start"), (c["start"] + c["size"]).alias("end")))
-    blocks = saved(blocks)  # as it is read to find the ranges, and again to deal it to them
-    placed = numbered_rows(blocks.withColumnRenamed(order, "_order").withColumn("_h", heads), ["_order"])
+    # written once; what is put in order are heads with their rows' places in the files, by which texts are joined again
+    blocks = saved(blocks.select(F.col(order).alias("_order"), "components"))
+    spot = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    placed = numbered_rows(blocks.select(F.col("_metadata.file_name").alias("_at0"), F.col("_metadata.row_index").alias("_at1"), "_order", heads.alias("_h")), ["_order", "_at0", "_at1"])
 
     def goes_on(a: Column, b: Column) -> Column:
         touch = (a["strand"] == b["strand"]) & (a["end"] == b["start"])
@@ -126,7 +128,8 @@ def fuse_adjacent(blocks: DataFrame, order: str = "block_id", exempt_fakes: bool
     last = started(placed.select("_place", "_h")).groupBy("_s").agg(F.max("_start").alias("_last"))
     earlier = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     last = last.select("_s", F.max("_last").over(earlier).alias("_open"))  # a row for each stretch
-    rows = started(placed.select("_place", "_order", "_h", "components")).join(last, "_s").withColumn("_run", F.coalesce("_run", "_open"))
+    rows = started(placed).join(last, "_s").select(F.col("_at0").alias("_file"), F.col("_at1").alias("_row"), "_place", F.coalesce("_run", "_open").alias("_run"))
+    rows = blocks.select(*spot, "_order", "components").join(rows, ["_file", "_row"])
     runs = rows.groupBy("_run").agg(F.sort_array(F.collect_list(F.struct("_place", "_order", "components"))).alias("_b"))
     first = F.get("_b", F.lit(0))
     text = lambda of, i: F.array_join(F.transform(of, lambda b: F.get(b["components"], i)["text"]), "")
@@ -206,7 +209,7 @@ def mask_blocks(blocks: DataFrame, mask: DataFrame, char: str = "X", literal: bo
     text = c0["text"]
     # the columns of the first component's bases
     at = F.filter(F.transform(W.chars(text), lambda ch, i: F.when(ch != "-", i)), lambda i: i.isNotNull())
-    rows = rows.withColumns({"_at": at, "_width": F.length(text)})
+    rows = rows.withColumns({"_at": at if literal else F.when(F.size("_cuts") > 0, at), "_width": F.length(text)})
     n = F.size("_at")
 
     def stretch(m: Column) -> Column:

@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import numbered_rows, saved
-from .blocks import STRETCH
+from ..sources import saved
 
 BIN = 65_536
 
@@ -28,26 +27,24 @@ def genome_windows(chroms: DataFrame, build: str, size: int, literal: bool = Fal
     return rows.select("chrom", (F.col("k") * size).alias("start"), (end if literal else F.least(end, F.col("size"))).alias("end"))
 
 
-def merge_overlaps(intervals: DataFrame, by: list[str] | None = None) -> DataFrame:
+def merge_overlaps(intervals: DataFrame, by: list[str] | None = None, cell: int = BIN) -> DataFrame:
     """The covered bases as intervals that neither overlap nor touch, for each chromosome (and for
-    each value of ``by``). Empty intervals cover nothing."""
+    each value of ``by``). Empty intervals cover nothing.
+
+    Equal starts meet first, so a cell of positions has one row for each at most. Each cell is a task's work; how far the cells before it reach, and where the
+    cover that is open at its start began, comes from one row for each of them."""
     keys = [*(by or []), "chrom"]
-    rows = intervals.where("start < end").select(*keys, "start", "end")
-    # equal starts meet first, which bounds what is sorted; then each stretch of the order is a task's work
-    rows = rows.groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    rows = numbered_rows(rows, [*keys, "start"]).withColumn("_s", F.floor(F.col("_place") / STRETCH))
-    of_stretch = rows.groupBy("_s", *keys).agg(F.max("end").alias("_to"))
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    of_stretch = of_stretch.withColumn("_reach", F.max("_to").over(before)).drop("_to")  # a row for each key and stretch
-    here = Window.partitionBy("_s", *keys).orderBy("_place")
-    rows = rows.join(of_stretch, ["_s", *keys])
+    rows = intervals.where("start < end").select(*keys, "start", "end").withColumn("_cell", F.floor(F.col("start") / cell))
+    rows = saved(rows.groupBy(*keys, "_cell", "start").agg(F.max("end").alias("end")))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda df, c, name: df.groupBy(*keys, "_cell").agg(F.max(c).alias(name)).withColumn(name, F.max(name).over(earlier))
+    here = Window.partitionBy(*keys, "_cell").orderBy("start")
     reach = F.greatest("_reach", F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = saved(rows.withColumn("_start", F.when(F.coalesce(F.col("start") <= reach, F.lit(False)), None).otherwise(F.col("start"))))
-    starts = rows.groupBy("_s", *keys).agg(F.max("_start").alias("_last"))
-    starts = starts.withColumn("_open", F.max("_last").over(before)).drop("_last")
-    rows = rows.withColumn("_run", F.max("_start").over(here)).join(starts, ["_s", *keys])
-    rows = rows.groupBy(*keys, F.coalesce("_run", "_open").alias("start")).agg(F.max("end").alias("end"))
-    return rows.select(*keys, "start", "end")
+    marked = rows.join(carried(rows, "end", "_reach"), [*keys, "_cell"])
+    marked = marked.withColumn("_new", F.when(F.coalesce(F.col("start") <= reach, F.lit(False)), None).otherwise(F.col("start"))).drop("_reach")
+    marked = saved(marked.withColumn("_run", F.max("_new").over(here)))
+    rows = marked.join(carried(marked, "_new", "_open"), [*keys, "_cell"])
+    return rows.groupBy(*keys, F.coalesce("_run", "_open").alias("start")).agg(F.max("end").alias("end")).select(*keys, "start", "end")
 
 
 def _bins(start: Column, end: Column, size: int) -> Column:
