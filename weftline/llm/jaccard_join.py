@@ -217,8 +217,8 @@ def frequent_elements(texts: DataFrame, n: int, total: int, sample: int = 20_000
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a text in a task are one text; bounded: sample
         for few in parts:
-            for at in range(0, few.num_rows, 1_000):
-                some = few.slice(at, 1_000)
+            for at in range(0, few.num_rows, 200):
+                some = few.slice(at, 200)
                 new = {th: k for k, th in enumerate(some.column(0).to_pylist()) if th not in seen}
                 seen.update(new)
                 found = shingle_sets(as_bytes(some.column(1).take(pa.array(list(new.values()), pa.int64()))), n)
@@ -398,7 +398,7 @@ def _gathered(percent: int) -> Callable:
     return settle
 
 
-def text_sets(texts: DataFrame, chars: int, total: int, n: int = 5, percent: int = 75, bucket_chars: int = 16_000_000) -> DataFrame:
+def text_sets(texts: DataFrame, chars: int, total: int, n: int = 5, percent: int = 75, bucket_chars: int = 8_000_000) -> DataFrame:
     """``(th, size, shared, elements, codes, odd)`` for the texts ``(th, text)`` that have words; texts with
     one ``th`` are one text. ``chars`` and ``total``: about how many characters and texts there are, for the number of buckets and a sample."""
     frequent = frequent_elements(texts, n, total)
