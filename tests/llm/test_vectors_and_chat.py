@@ -264,3 +264,26 @@ def test_conversations(spark, part_chars):
 
 def test_no_conversations(spark):
     assert chat.conversation_digests(chat.format_conversations(conversations(spark, []))).count() == 0
+
+
+# near-duplicate vectors over many lists
+
+
+def test_near_duplicates_over_many_lists_are_all_found(spark):
+    from weftline.llm import embeddings
+
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(500, 32))
+    rows = []
+    for k in range(2_500):
+        x = base[k % 500] + 0.13 * rng.normal(size=32) * (k >= 500)
+        rows.append((k, [float(v) for v in x], k % 500 % 3))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine, label = x @ x.T, np.array([r[2] for r in rows])
+    near = (cosine >= 0.98) & (label[:, None] == label[None, :])
+    want = near.sum(axis=1) - 1
+    margin = np.abs(cosine - 0.98).min()
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {r.vec_id: r._n_links for r in embeddings.near_duplicates(df, list_rows=60).collect()}  # 41 lists
+    assert margin > 1e-9 and want.sum() > 1_000 and [got[k] for k in range(len(rows))] == want.tolist()

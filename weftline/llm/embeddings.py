@@ -174,9 +174,10 @@ def near_duplicates(
 
     def place(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, apart = shipped.value, gaps_sent.value
+        step = max(1, min(2048, 4_000_000 // lists))  # rows at a time, so that distances to all lists stay within some 32 MB
         for whole in batches_:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 x = _unit(_matrix(b.column("_v")), ix.dim)
                 d2 = (x**2).sum(1)[:, None] - 2 * (x @ ix.centres.T) + (ix.centres**2).sum(1)
                 own = np.argmin(d2, axis=1)
