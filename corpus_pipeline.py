@@ -40,7 +40,8 @@ def _apart(stage: Callable) -> Callable:
 @_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts; it learns from the labelled ones that the query of
-    the classifier learns from, too."""
+    the classifier learns from, too. Null and empty texts are scored as texts without words; repeated rows are judged
+    each, and alike; a score at the threshold is accepted. An empty table gives no rows."""
     model = fit_quality(docs, read(spark, sf_dir, "labels"), crc_text("doc_id") % 5 != 0)
     return score_quality(docs, model).where("_predicted = 1").select(*docs.columns)
 
@@ -65,12 +66,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as its source's target asks for."""
+    """The documents, each as often as its source's target asks for. A null text counts no words; a null source is one
+    source, the last; rows that repeat a key are drawn each, ties in the order going by hash and key. An empty table gives no rows."""
     return mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. A null text is an empty document, one token; rows that repeat a key are packed each, and
+    a null key stays null; equally long pieces are packed in the order of a hash. An empty table gives no rows."""
     return pack_documents(docs)
 
 
