@@ -733,3 +733,28 @@ def test_a_planted_model_is_found_again(spark):
     assert fit.model.background == pytest.approx(pi, abs=1e-3)
     none = P.fit_model(df.where("count < 0"), tree, species)
     assert none.trace == [] and none.model.tree == tree
+
+
+def t_tail(t, df, steps=20_000):
+    """Both tails of the t distribution, by Simpson's rule over its density."""
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    h = abs(t) / steps
+    f = [c * (1 + (k * h) ** 2 / df) ** (-(df + 1) / 2) for k in range(steps + 1)]
+    return 1 - 2 * h / 3 * (f[0] + f[-1] + 4 * sum(f[1:-1:2]) + 2 * sum(f[2:-1:2]))
+
+
+def test_summary_of_four_regressors(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 4))
+    y = x @ [1.0, -0.5, 0.0, 0.1] + 2 + rng.normal(size=60)
+    rows = [(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)] + [(None, 1.0, 1.0, 1.0, 5.0), (1.0, 1.0, 1.0, 1.0, None)]
+    got = {r.term: r for r in T.ols_summary(spark.createDataFrame(rows, "a double, b double, c double, d double, y double"), "y", ["a", "b", "c", "d"]).collect()}
+    full = np.column_stack([x, np.ones(60)])
+    inverse = np.linalg.inv(full.T @ full)
+    beta = inverse @ full.T @ y
+    rest = y - full @ beta
+    error = np.sqrt(np.diag(inverse) * (rest @ rest) / 55)
+    for k, term in enumerate(["a", "b", "c", "d", "(Intercept)"]):
+        r = got[term]
+        assert (r.estimate, r.std_error, r.t) == pytest.approx((beta[k], error[k], beta[k] / error[k]))
+        assert r.p == pytest.approx(t_tail(beta[k] / error[k], 55), abs=1e-8) and r.r2 == pytest.approx(1 - rest @ rest / ((y - y.mean()) ** 2).sum())

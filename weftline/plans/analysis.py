@@ -206,6 +206,36 @@ def ols_summary(spark: SparkSession, d: str) -> DataFrame:
     return T.ols_summary(X.features(spark, d), "l_extendedprice", ["l_quantity", "l_discount"]).select("term", F.round("estimate", 4).alias("estimate"), F.round("r2", 6).alias("r2"))
 
 
+_FOUR = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _sweep_sql() -> str:
+    """SQL: a fit of four regressors with its errors, by sweeping the matrix of their covariances (0: what is explained)."""
+    names = ["l_extendedprice", *_FOUR]
+    cells = [(i, j, f"covar_pop({a}, {b})") for i, a in enumerate(names) for j, b in enumerate(names)]
+    column = lambda k: ", ".join(str(c[k]) for c in cells)
+    means = ", ".join(f"avg({c})" for c in names)
+    out = f"""WITH {X.FEATURES_SQL}, f AS (SELECT l_extendedprice, {", ".join(f"{c}::DOUBLE AS {c}" for c in _FOUR)} FROM feat WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL),
+one AS (SELECT count(*)::DOUBLE AS n, [{means}] AS m, [{column(2)}] AS vs FROM f), s0 AS (SELECT unnest([{column(0)}]) AS i, unnest([{column(1)}]) AS j, unnest(vs) AS v FROM one)"""
+    for k in range(1, 5):
+        out += f""", s{k} AS (SELECT a.i, a.j, CASE WHEN a.i = {k} AND a.j = {k} THEN -1 / p.v WHEN a.i = {k} OR a.j = {k} THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v
+  FROM s{k - 1} a JOIN s{k - 1} p ON p.i = {k} AND p.j = {k} JOIN s{k - 1} r ON r.i = a.i AND r.j = {k} JOIN s{k - 1} c ON c.i = {k} AND c.j = a.j)"""
+    return out + f""", left_ AS (SELECT v * n / (n - 5) AS s2, 1 - v / (SELECT v FROM s0 WHERE i = 0 AND j = 0) AS r2 FROM s4, one WHERE i = 0 AND j = 0), b AS (
+  SELECT i, v AS b FROM s4 WHERE i > 0 AND j = 0
+), r AS (
+  SELECT [{", ".join(f"'{c}'" for c in _FOUR)}][b.i] AS term, b, sqrt(s2 * -d.v / n) AS se FROM b JOIN s4 d ON d.i = b.i AND d.j = b.i, left_, one
+  UNION ALL SELECT '(Intercept)', m[1] - (SELECT sum(b * m[i + 1]) FROM b), sqrt(s2 / n * (1 - (SELECT sum(v * m[i + 1] * m[j + 1]) FROM s4 WHERE i > 0 AND j > 0))) FROM one, left_
+)
+SELECT term, round(b, 3) AS estimate, round(se, 4) AS std_error, round(b / se, 4) AS t, round(r2, 8) AS r2 FROM r, left_"""
+
+
+@query(_sweep_sql())
+def ols_summary_of_four(spark: SparkSession, d: str) -> DataFrame:
+    """Four regressors, their errors and t values."""
+    fit = T.ols_summary(X.features(spark, d), "l_extendedprice", _FOUR)
+    return fit.select("term", *(F.round(c, n).alias(c) for c, n in (("estimate", 3), ("std_error", 4), ("t", 4), ("r2", 8))))
+
+
 @query(f"WITH {X.FEATURES_SQL} SELECT l_orderkey, l_linenumber, round(l_extendedprice / 1000 - (-0.34866::DOUBLE + 0.17174::DOUBLE * l_discount + 0.63263::DOUBLE * l_tax), 9) AS residual FROM feat")
 def fixed_residuals(spark: SparkSession, d: str) -> DataFrame:
     rows = X.features(spark, d)
