@@ -758,3 +758,21 @@ def test_summary_of_four_regressors(spark):
         r = got[term]
         assert (r.estimate, r.std_error, r.t) == pytest.approx((beta[k], error[k], beta[k] / error[k]))
         assert r.p == pytest.approx(t_tail(beta[k] / error[k], 55), abs=1e-8) and r.r2 == pytest.approx(1 - rest @ rest / ((y - y.mean()) ** 2).sum())
+
+
+@pytest.mark.parametrize(("block", "keys"), [(512, 4096), (3, 2), (1, 1)])
+def test_sparse_dot_with_zeros_sends_no_matrix(spark, block, keys):
+    rng = random.Random(block)
+    rows = [(i, f"k{k}", rng.choice([-1.0, 0.5, 2.0])) for i in range(11) for k in range(9) if rng.random() < 0.3]
+    df, items = spark.createDataFrame(rows, "seq_id int, kmer string, w double"), spark.createDataFrame([(i,) for i in range(14)], "seq_id int")
+    plain = Y.complete(Y.sparse_dot(df, block=block, keys=keys), items, block=block)
+    want = {(r.i, r.j): round(r.w, 9) for r in plain.collect()}
+    assert len(want) == 14 * 15 // 2
+    rows_of = lambda df: [(r.i, r.j, round(r.w, 9)) for r in df.collect()]
+    assert sorted(rows_of(Y.sparse_dot(df, block=block, keys=keys, items=items))) == sorted((*k, v) for k, v in want.items())
+    both = rows_of(Y.sparse_dot(df, block=block, keys=keys, items=items, both=True))
+    assert sorted(both) == sorted((*k, v) for k, v in (want | {(j, i): v for (i, j), v in want.items()}).items())
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(14)], "row_idx int, label string")
+    # a matrix is sent to no task, however small its estimate: what is sent are labels
+    for matrix, sent in ((plain, 0), (S.matrix_text(Y.mirrored(plain)), 0), (Y.edge_weights(plain, labels), 2)):
+        assert matrix._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == sent
