@@ -279,3 +279,12 @@ def test_ranges_covered_by_enough_species(spark):
         got = L.covered_ranges(blocks_of(spark, *blocks), ["hg", "mm", "rn"], least).collect()
         assert sorted(p for r in got for p in range(r.start, r.end)) == sorted(p for p, s in at.items() if len(s) >= least)
         assert not {r.end for r in got} & {r.start for r in got}
+
+
+def test_ranges_are_cut_after_the_join(spark):
+    """What is asked of the cut components is not worked out in the join's condition, for each pair in a bin."""
+    from oracle import DATA
+    from weftline.plans import QUERIES
+
+    for name in ("extract_ranges", "extract_ranges_by_strand"):
+        assert "Join" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()

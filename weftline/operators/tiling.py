@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as W
+from ..sources import saved
 from .intervals import merge_overlaps, overlap_join
 
 #: How many positions of a chromosome are one task's work.
 CELL = 65_536
 
+#: The bins in which ranges and blocks meet: about as long as these, so that many of either on a short stretch are many bins' work.
+RANGE_BIN = 2_048
+
 #: The bases and what pairs with each, as two texts.
 COMPLEMENT = ("ACGTacgt", "TGCAtgca")
 
@@ -57,19 +61,20 @@ def extract_ranges(intervals: DataFrame, blocks: DataFrame, chop: bool = True, b
     strand the first component is; the other components' starts move by the bases before the cut. A component without a base in the cut stays, with size 0.
     ``by_strand``: intervals have a ``strand``, and the blocks of one on ``-`` are turned to it, so that the first component runs as the interval does."""
     c0 = F.get("components", F.lit(0))
-    placed = blocks.select(W.chrom_of(c0["src"]).alias("chrom"), W.forward_start(c0).alias("start"), W.forward_end(c0).alias("end"), "block_id", "components")
+    # the column of each base of the first component, where the texts before it end: once for each block, not for each pair
+    columns = F.filter(F.transform(W.chars(c0["text"]), lambda ch, i: F.when(ch != "-", i)), lambda i: i.isNotNull())
+    placed = blocks.select(W.chrom_of(c0["src"]).alias("chrom"), W.forward_start(c0).alias("start"), W.forward_end(c0).alias("end"), "block_id", "components", *([columns.alias("columns")] if chop else []))
     side = ["strand"] if by_strand else []
-    hits = overlap_join(intervals.select(key, "chrom", "start", "end", *side), placed)
+    # saved, so that what is asked of the cut components is not worked out for each pair of the join and each block before it
+    hits = saved(overlap_join(intervals.select(key, "chrom", "start", "end", *side), placed, RANGE_BIN))
     c0 = F.get("r_components", F.lit(0))
     if chop:
         # which bases of the first component, in the order in which it is written
         low, high = F.greatest("start", "r_start"), F.least("end", "r_end")
         first = F.when(c0["strand"] == "-", F.col("r_end") - high).otherwise(low - F.col("r_start")).cast("int")
         n = (high - low).cast("int")
-        # the column of each base: where the texts before it end
-        columns = F.filter(F.transform(W.chars(c0["text"]), lambda ch, i: F.when(ch != "-", i)), lambda i: i.isNotNull())
-        hits = hits.withColumns({"_columns": columns, "_first": first, "_n": n})
-        start, last = F.get("_columns", F.col("_first")), F.get("_columns", F.col("_first") + F.col("_n") - 1)
+        hits = hits.withColumns({"_first": first, "_n": n})
+        start, last = F.get("r_columns", F.col("_first")), F.get("r_columns", F.col("_first") + F.col("_n") - 1)
         hits = hits.withColumns({"_at": start, "_wide": last - start + 1}).where("_wide > 0")
         components = cut_columns(F.col("r_components"), F.col("_at"), F.col("_wide"))
     else:
