@@ -776,3 +776,12 @@ def test_sparse_dot_with_zeros_sends_no_matrix(spark, block, keys):
     # a matrix is sent to no task, however small its estimate: what is sent are labels
     for matrix, sent in ((plain, 0), (S.matrix_text(Y.mirrored(plain)), 0), (Y.edge_weights(plain, labels), 2)):
         assert matrix._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == sent
+
+
+def test_shares_are_rounded_as_doubles(spark):
+    from weftline.operators import intervals as I
+
+    asked = spark.createDataFrame([(0, "chr1", 0, 160), (1, "chr1", 1000, 1064), (2, "chr1", 5000, 5060)], "row_idx int, chrom string, start long, end long")
+    parts = spark.createDataFrame([(0, "a", "0", "chr1", 0, 3), (0, "a", "0", "chr1", 1000, 1002)], "ord int, name string, score string, chrom string, start long, end long")
+    # 0.01875 is a double below the tie, 0.03125 is one
+    assert {r.row_idx: r.frac_overlap for r in I.first_partition(asked, parts).collect()} == {0: "0.0187", 1: "0.0312", 2: "1.0000"}

@@ -63,7 +63,7 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = BIN) -> Data
 
 def first_partition(intervals: DataFrame, partitions: DataFrame, key: str = "row_idx") -> DataFrame:
     """Each interval with the ``name`` and ``score`` of the first partition (by ``ord``) that it shares a
-    base with, and ``frac_overlap``, the share of its bases there; without one ``OTHER``, -1 and 1.
+    base with, and ``frac_overlap``, the share of its bases there (the double rounded to four decimals, ties to even); without one ``OTHER``, -1 and 1.
 
     ``partitions`` is ``(ord, name, score, chrom, start, end)``; overlapping intervals of a partition
     count once. An empty interval is of no partition."""
@@ -75,7 +75,7 @@ def first_partition(intervals: DataFrame, partitions: DataFrame, key: str = "row
     best = best.join(names, "ord").drop("ord")
     out = intervals.join(best, key, "left")
     frac = F.when(F.col("bases").isNull(), F.lit(1.0)).otherwise(F.col("bases") / (F.col("end") - F.col("start")))
-    return out.select(*intervals.columns, F.coalesce("name", F.lit("OTHER")).alias("name"), F.coalesce("score", F.lit("-1")).alias("score"), F.format_string("%.4f", frac).alias("frac_overlap"))
+    return out.select(*intervals.columns, F.coalesce("name", F.lit("OTHER")).alias("name"), F.coalesce("score", F.lit("-1")).alias("score"), F.format_number(frac, 4).alias("frac_overlap"))
 
 
 def fuse_for_intervals(intervals: DataFrame, pieces: DataFrame, spacer: int = 10, key: str = "row_idx") -> DataFrame:
