@@ -785,3 +785,24 @@ def test_shares_are_rounded_as_doubles(spark):
     parts = spark.createDataFrame([(0, "a", "0", "chr1", 0, 3), (0, "a", "0", "chr1", 1000, 1002)], "ord int, name string, score string, chrom string, start long, end long")
     # 0.01875 is a double below the tie, 0.03125 is one
     assert {r.row_idx: r.frac_overlap for r in I.first_partition(asked, parts).collect()} == {0: "0.0187", 1: "0.0312", 2: "1.0000"}
+
+
+@pytest.mark.parametrize("n", [1, 3, 64])
+def test_closest_is_that_of_differences(n):
+    """Ties, equal points, other points too far to be squared or not there: all as by differences."""
+    draw = np.random.default_rng(n)
+    xs, ys = (np.round(draw.normal(size=(k, n)), 1 if n < 4 else 9) for k in (60, 90))
+    ys[40:60] = ys[:20]
+    rank = np.arange(90)[::-1]
+    for odd in (False, True):
+        if odd:
+            xs[3, 0], ys[5, 0], ys[7, 0] = np.inf, np.nan, 1e200
+        want = []
+        with np.errstate(over="ignore"):
+            for k, x in enumerate(xs):
+                far = ((x - ys) ** 2).sum(-1)
+                there = np.flatnonzero(far == far).tolist()
+                if there:
+                    want.append((k, *min(((far[j], ys[j].tolist(), rank[j], j) for j in there))))
+            got = list(zip(*(v.tolist() for v in N._closest(xs, ys, rank)), strict=True))
+        assert got == [(w[0], w[4], w[1]) for w in want]

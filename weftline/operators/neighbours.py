@@ -28,6 +28,44 @@ def _lengths(column: pa.ChunkedArray) -> np.ndarray:
     return pc.list_value_length(column).to_numpy()
 
 
+def _closest(xs: np.ndarray, ys: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, best, d2)``: of ``xs`` the rows with a distance to any of ``ys``, for each the nearest of these (of equally near ones the smallest point, then that of
+    the lowest ``rank``) and the square of its distance.
+
+    One product of matrices gives all squares but for rounding; what it leaves within twice a bound of the rounding error of the least is worked out by
+    differences. So the result is that of differences alone. Equal points are one. Rows that are not finite, or too large to be squared, are compared by differences."""
+    order = np.lexsort((rank, *ys.T[::-1]))
+    ys = ys[order]
+    first = np.ones(len(ys), bool)
+    first[1:] = (ys[1:] != ys[:-1]).any(1)
+    order, ys = order[first], ys[first]
+    n = ys.shape[1]
+    xx, yy = (np.minimum((v**2).sum(1), np.inf) for v in (xs, ys))
+    plain = bool(np.isfinite(xx).all() and np.isfinite(yy).all() and max(xx.max(initial=0), yy.max(initial=0)) < 1e290)
+    room = 8 * (n + 4) * np.finfo(float).eps * (np.sqrt(xx) + np.sqrt(yy.max(initial=0))) ** 2
+    to = np.concatenate([-2 * ys, yy[:, None]], axis=1).T if plain else None
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (524_288 if plain else 2_000_000 // max(1, n)) // max(1, len(ys)))
+    for at in range(0, len(xs), step):
+        some = xs[at : at + step]
+        if plain:
+            about = np.concatenate([some, np.ones((len(some), 1))], axis=1) @ to
+            who, which = np.divmod(np.flatnonzero(about <= (about.min(1) + 2 * room[at : at + step])[:, None]), len(ys))
+        else:
+            who, which = (v.ravel() for v in np.indices((len(some), len(ys))))
+        size = max(1, 2_000_000 // max(1, n))
+        far = np.concatenate([((some[who[k : k + size]] - ys[which[k : k + size]]) ** 2).sum(-1) for k in range(0, len(who), size)])
+        there = far == far
+        who, which, far = who[there], which[there], far[there]
+        if len(who):
+            begin = np.flatnonzero(np.diff(who, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(far, begin), np.diff(begin, append=len(who)))
+            who, which, far = (v[far == least] for v in (who, which, far))
+            begin = np.flatnonzero(np.diff(who, prepend=-1))  # ys are in order: the first is the smallest
+            out.append((who[begin] + at, order[which[begin]], far[begin]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 def _compared(asks: DataFrame, held: DataFrame, kinds: dict[str, str], block: int) -> DataFrame:
     """``(q, d2, p, l)``: of queries ``(q, g, p, cell)`` and points ``(l, g, p, cell)`` the best point of each query among those in its
     cell and group. A cell of many rows is cut, on both sides, to blocks of about ``block``; each pair of blocks is a tile that compares all at once."""
@@ -38,27 +76,21 @@ def _compared(asks: DataFrame, held: DataFrame, kinds: dict[str, str], block: in
     other = held.join(sides, "cell").select(F.lit(None).cast(kinds["q"]).alias("q"), "l", "g", "p", "cell", every("na").alias("a"), F.pmod(F.xxhash64("l", "p"), F.col("nb")).cast("int").alias("b"), F.lit(False).alias("asks"))
 
     def tile(table: pa.Table) -> pa.Table:
-        known = ~table.column("asks").to_numpy()
-        some, known = table.filter(pa.array(~known)), table.filter(pa.array(known))
-        rows = []
-        groups = {g: k for k, g in enumerate(set(some.column("g").to_pylist()))}
+        known = table.column("asks").to_numpy()
+        some, known = (t.sort_by("g").combine_chunks() for t in (table.filter(pa.array(known)), table.filter(pa.array(~known))))
+        names, kind = ["q", "d2", "p", "l"], lambda c: table.schema.field(c).type
+        found = [pa.table([pa.array([], t) for t in (kind("q"), pa.float64(), kind("p"), kind("l"))], names=names)]
         for n in sorted(set(_lengths(some.column("p")).tolist()) & set(_lengths(known.column("p")).tolist())):
-            x, y = (t.filter(pa.array(_lengths(t.column("p")) == n)) for t in (some, known))
-            xs, ys, labels = _rows(x.column("p"), n), _rows(y.column("p"), n), y.column("l").to_pylist()
-            gx, gy = (np.array([groups.get(g, -1) for g in t.column("g").to_pylist()]) for t in (x, y))
-            step = max(1, 2_000_000 // max(1, ys.size))
-            for at in range(0, len(xs), step):
-                far = ((xs[at : at + step, None] - ys[None]) ** 2).sum(-1)
-                far[gx[at : at + step, None] != gy[None]] = np.nan
-                for k, row in enumerate(far, at):
-                    there = np.flatnonzero(row == row)
-                    if len(there):
-                        near = row[there].min()
-                        best = min(there[row[there] == near].tolist(), key=lambda j: (ys[j].tolist(), labels[j]))
-                        rows.append((x.column("q")[k].as_py(), float(near), ys[best].tolist(), labels[best]))
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        types = [table.schema.field("q").type, pa.float64(), pa.list_(pa.float64()), table.schema.field("l").type]
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["q", "d2", "p", "l"])
+            x, y = (t.filter(pa.array(_lengths(t.column("p")) == n)).combine_chunks() for t in (some, known))
+            gx, gy = (t.column("g").combine_chunks().dictionary_encode() for t in (x, y))
+            runs = [dict(zip(g.dictionary.to_pylist(), zip(*(np.searchsorted(g.indices.to_numpy(), np.arange(len(g.dictionary)), side) for side in ("left", "right")), strict=True), strict=True)) for g in (gx, gy)]
+            for g in runs[0].keys() & runs[1].keys():
+                (a, b), (c, d) = runs[0][g], runs[1][g]
+                own, its = x.slice(a, b - a), y.slice(c, d - c)
+                who, best, near = _closest(_rows(own.column("p"), n), _rows(its.column("p"), n), pc.rank(its.column("l").combine_chunks()).to_numpy())
+                its = its.take(pa.array(best))
+                found.append(pa.table([own.column("q").take(pa.array(who)), pa.array(near), its.column("p"), its.column("l")], names=names))
+        return pa.concat_tables(found).combine_chunks()
 
     tiles = one.unionByName(other).groupBy("cell", "a", "b").applyInArrow(tile, f"q {kinds['q']}, d2 double, p array<double>, l {kinds['l']}")
     return tiles.groupBy("q").agg(F.min(F.struct("d2", "p", "l")).alias("m")).select("q", "m.d2", "m.p", "m.l")
@@ -114,7 +146,7 @@ def _dealt(rows: DataFrame, cells: Cells, columns: list[str], kinds: str, bounds
     return rows.mapInArrow(run, f"{kinds}, cell int, r double")
 
 
-def nearest(queries: DataFrame, points: DataFrame, query: str = "label", by: str | None = None, cell_rows: int = 4_096, most_cells: int = 1_024, reported: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, query: str = "label", by: str | None = None, cell_rows: int = 16_384, most_cells: int = 1_024, reported: bool = False) -> DataFrame:
     """Each query with ``nearest`` (the label of the closest point, of equally close ones the smallest
     point) and ``d2``; with ``by``, among the points with the same value of that column. Queries without such a point are left out.
 
@@ -138,15 +170,15 @@ def nearest(queries: DataFrame, points: DataFrame, query: str = "label", by: str
         cells = Cells(pivots, *ends)
         shape = f"q {kinds['q']}, g string, p array<double>"
         ask = saved(_dealt(ask, cells, ["q", "g", "p"], shape))
-        first = saved(_compared(ask, held, kinds, cell_rows))
+        first = saved(_compared(ask, held, kinds, 2 * cell_rows))
         ask = ask.join(first.select(F.col("q").alias("_q"), "d2"), F.col("q") == F.col("_q"), "left").select("q", "g", "p", "cell", F.coalesce("d2", F.lit(float("nan"))).alias("d2"))
         more = saved(_dealt(ask, cells, ["q", "g", "p"], shape, bounds=True))
-        best = first.unionByName(_compared(more, held, kinds, cell_rows)).groupBy("q").agg(F.min(F.struct("d2", "p", "l")).alias("m")).select("q", "m.d2", "m.l")
+        best = first.unionByName(_compared(more, held, kinds, 2 * cell_rows)).groupBy("q").agg(F.min(F.struct("d2", "p", "l")).alias("m")).select("q", "m.d2", "m.l")
         seen = more.groupBy("q").agg((F.count(F.lit(1)) + 1).alias("cells"))
     else:
         told = {0: None}
         one = F.lit(0).alias("cell")
-        best = _compared(ask.select("*", one), held.select("*", one), kinds, cell_rows)
+        best = _compared(ask.select("*", one), held.select("*", one), kinds, 2 * cell_rows)
     out = queries.join(best.select(F.col("q").alias(query), F.col("l").alias("nearest"), "d2"), query)
     if not reported:
         return out
