@@ -806,3 +806,12 @@ def test_closest_is_that_of_differences(n):
                     want.append((k, *min(((far[j], ys[j].tolist(), rank[j], j) for j in there))))
             got = list(zip(*(v.tolist() for v in N._closest(xs, ys, rank)), strict=True))
         assert got == [(w[0], w[4], w[1]) for w in want]
+
+
+def test_distances_in_tiles(spark):
+    """All pairs, in blocks of two: those with a null or another length are null, one label is no pair; tasks add up arrays, no expression does it pair by pair."""
+    points = [(1, [0.0, 3.0]), (2, [4.0, 0.0]), (5, [1.0]), (7, [1.0, None]), (9, None), (11, [0.0, 3.0])]
+    rows = Y.distances(spark.createDataFrame(points, "label long, p array<double>"), block=2)
+    got = {(r.i, r.j): r.w for r in rows.collect()}
+    assert got == {(i, j): (5.0 if (i, j) in ((1, 2), (2, 11)) else 0.0 if (i, j) == (1, 11) else None) for i, _ in points for j, _ in points if i < j}
+    assert "FlatMapGroupsInArrow" in rows._jdf.queryExecution().executedPlan().toString()
