@@ -815,3 +815,12 @@ def test_distances_in_tiles(spark):
     got = {(r.i, r.j): r.w for r in rows.collect()}
     assert got == {(i, j): (5.0 if (i, j) in ((1, 2), (2, 11)) else 0.0 if (i, j) == (1, 11) else None) for i, _ in points for j, _ in points if i < j}
     assert "FlatMapGroupsInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hierarchical_ends_in_a_task_as_it_goes_on_in_joins(spark):
+    """Ties, pairs that are not given, two problems: rounds on few clusters in a task give the merges that rounds of joins give."""
+    draw = random.Random(5)
+    rows = [(p, i, j, float(draw.randint(0, 4))) for p, n in (("x", 30), ("y", 9)) for i in range(n) for j in range(i) if draw.random() < 0.7]
+    table = spark.createDataFrame(rows, "problem string, i int, j int, w double")
+    every = [sorted(tuple(r[:5]) + (round(r.sim, 9),) for r in CL.hierarchical(table, held=held).collect()) for held in (0, 12, 2_048)]
+    assert every[0] == every[1] == every[2]

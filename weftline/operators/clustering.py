@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import numbered_rows, saved
+from ..sources import numbered_rows, saved, shared_folder
+from .similarity import MOST_SENT
 
 
 def _plogp(x: float | np.ndarray) -> float | np.ndarray:
@@ -84,7 +86,7 @@ def entropy_agglomeration(rows: DataFrame, stop: int = 5, report: int = 100, by:
     return rows.select(by, "row_idx", "count", "p").groupBy(by).applyInPandas(run, f"{by} string, n_clusters int, h_norm double, assign array<int>")
 
 
-def hierarchical(matrix: DataFrame, by: str = "problem") -> DataFrame:
+def hierarchical(matrix: DataFrame, by: str = "problem", held: int = 2_048) -> DataFrame:
     """``(problem, stage, n_clusters, left, right, sim)``: average linkage on similarities ``(problem, i, j, w)``
     in long form, items counted from 0, each pair in either order or both; pairs that are not given are not
     joined before all given ones (``complete`` gives zeros). Leaves are -1, -2 and so on, clusters the
@@ -93,15 +95,22 @@ def hierarchical(matrix: DataFrame, by: str = "problem") -> DataFrame:
     In a round each cluster picks the most similar other one (of equal ones by a hash of the pair), and
     pairs that pick each other merge; similarities to a merged one are means by the numbers of items. No
     similarity to a merged cluster exceeds those to both parts, so merges by decreasing similarity are
-    the stages. A round leaves a fraction of the clusters, so rounds grow with the log of their number.
+    the stages. A round leaves a fraction of the clusters, so rounds grow with the log of their number (where a few are the most
+    similar ones of all others, only some pairs merge in a round). When no problem has more than ``held`` clusters left, a task for each goes on with the same rounds
+    on a matrix of that size at most.
     """
     pair = matrix.where("i <> j").select(by, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("w").cast("double").alias("w"))
     pair = pair.withColumn("w", F.when(F.col("w") < 0, F.raise_error(F.lit("similarities are not negative")).cast("double")).otherwise(F.col("w")))
     pair = saved(pair.groupBy(by, "a", "b").agg(F.max("w").alias("w")))
     items = pair.select(by, F.col("a").alias("c")).union(pair.select(by, "b")).distinct()
     whole = saved(items.select(by, "c", F.lit(1).alias("n"), F.lit(0).alias("born"), F.lit(float("inf")).alias("h")))
-    merges, round_ = None, 0
+    merges, round_, folder = [], 0, shared_folder(matrix.sparkSession)
     while not pair.isEmpty():
+        left = whole.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("every")).first()
+        if left.most <= held:
+            break
+        # a row for each cluster is sent to all tasks, as pairs are many more however small the planner takes them to be
+        sent = "broadcast" if left.every <= MOST_SENT else "merge"
         round_ += 1
         near = F.struct("w", F.xxhash64("a", "b").alias("tie"), F.col("a").alias("x"), F.col("b").alias("y"))
         ends = pair.select(by, F.col("a").alias("c"), near.alias("p")).union(pair.select(by, F.col("b").alias("c"), near.alias("p")))
@@ -109,20 +118,25 @@ def hierarchical(matrix: DataFrame, by: str = "problem") -> DataFrame:
         both = best.groupBy(by, "a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("sim").alias("sim")).where("_n = 2").drop("_n")
         side = lambda x: whole.select(by, F.col("c").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", "born", "h")))  # noqa: B023, E731
         done = both.join(side("a"), [by, "a"]).join(side("b"), [by, "b"])
-        done = saved(done.select(by, F.lit(round_).alias("round"), "a", "b", "born_a", "born_b", "n_a", "n_b", "sim", F.least("sim", "h_a", "h_b").alias("h")))
-        merges = done if merges is None else merges.union(done)
+        done = done.select(by, F.lit(round_).alias("round"), "a", "b", "born_a", "born_b", "n_a", "n_b", "sim", F.least("sim", "h_a", "h_b").alias("h"))
+        merges.append(f"{folder}/{round_}")
+        done.coalesce(1 if left.every <= MOST_SENT else 1_024).write.parquet(merges[-1])
+        done = matrix.sparkSession.read.schema(done.schema).parquet(merges[-1])
         # each cluster's new name, number of items and share in it
         joint = done.select(by, "a", (F.col("n_a") + F.col("n_b")).alias("n"), "round", "h")
         to = done.select(by, F.col("b").alias("c"), F.col("a").alias("to"))
         kept = whole.join(done.select(by, F.col("a").alias("c")).union(done.select(by, "b")), [by, "c"], "left_anti")
         named = whole.select(by, "c", "n").join(to, [by, "c"], "left").select(by, "c", "n", F.coalesce("to", "c").alias("to"))
+        named = saved(named)
         whole = saved(kept.union(joint.select(by, "a", F.col("n").cast("int"), "round", "h")))
         move = lambda x: named.select(by, F.col("c").alias(x), F.col("to").alias(f"to_{x}"), F.col("n").alias(f"n_{x}"))  # noqa: B023, E731
-        moved = pair.join(move("a"), [by, "a"]).join(move("b"), [by, "b"]).where("to_a <> to_b")
+        moved = pair.join(move("a").hint(sent), [by, "a"]).join(move("b").hint(sent), [by, "b"]).where("to_a <> to_b")
         moved = moved.select(by, F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"), (F.col("n_a") * F.col("n_b")).alias("m"), "w")
         pair = saved(moved.groupBy(by, "a", "b").agg((F.sum(F.col("m") * F.col("w")) / F.sum("m")).alias("w")))
-    if merges is None:
-        return matrix.sparkSession.createDataFrame([], f"{by} string, stage int, n_clusters int, left int, right int, sim double")
+    rest = _finished(pair, whole, by, round_)
+    merges.append(f"{folder}/rest")
+    rest.write.parquet(merges[-1])
+    merges = matrix.sparkSession.read.schema(rest.schema).parquet(*merges)
     placed = numbered_rows(merges.withColumn("_low", -F.col("h")), [by, "_low", "round", "a"])
     first = placed.groupBy(by).agg((F.min("_place") - 1).alias("_first"), F.count(F.lit(1)).alias("_merges"))
     placed = saved(placed.join(first, by).withColumn("stage", (F.col("_place") - F.col("_first")).cast("int")))
@@ -132,6 +146,56 @@ def hierarchical(matrix: DataFrame, by: str = "problem") -> DataFrame:
     return out.select(by, "stage", (F.col("_merges") + 1 - F.col("stage")).cast("int").alias("n_clusters"), name("a").alias("left"), name("b").alias("right"), "sim")
 
 
+def _finished(pair: DataFrame, whole: DataFrame, by: str, round_: int) -> DataFrame:
+    """The merges of what is left of ``hierarchical``, in rounds after ``round_``: each problem's clusters, of which few are left, are a task's work."""
+    x, y = whole.select(by, F.col("c").alias("a"), "n", "born", "h"), whole.select(by, F.col("c").alias("b"))
+    # a row for each pair, given or not (as pairs of merged clusters may be), with its hash, and for each cluster itself
+    rows = x.join(y.hint("merge"), by).where("a <= b").join(pair.hint("merge"), [by, "a", "b"], "left").withColumn("tie", F.xxhash64("a", "b"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, w, tie = (table.column(c).to_numpy() for c in ("a", "b", "w", "tie"))
+        own = np.flatnonzero(a == b)
+        own = own[np.argsort(a[own])]
+        c, n, born, high = (table.column(k).to_numpy()[own] for k in ("a", "n", "born", "h"))
+        p, q, n, last, out = np.searchsorted(c, a), np.searchsorted(c, b), n.astype(float), np.iinfo(np.int64).min, []
+        sim, ties = np.full((len(c), len(c)), -np.inf), np.zeros((len(c), len(c)), np.int64)
+        sim[p, q] = sim[q, p] = np.where(np.isnan(w), -np.inf, w)
+        ties[p, q] = ties[q, p] = tie
+        np.fill_diagonal(sim, -np.inf)
+        no = round_
+        while (there := sim > -np.inf).any():
+            no += 1
+            top = sim.max(axis=1)
+            tied = np.where(there & (sim == top[:, None]), ties, last)
+            best = len(c) - 1 - (tied == tied.max(axis=1)[:, None])[:, ::-1].argmax(axis=1)
+            i = np.flatnonzero((top > -np.inf) & (np.arange(len(c)) < best) & (best[best] == np.arange(len(c))))
+            j = best[i]
+            h = np.minimum(top[i], np.minimum(high[i], high[j]))
+            out.append((np.full(len(i), no), c[i], c[j], born[i], born[j], n[i], n[j], top[i], h))
+            mass = np.where(there, n[:, None] * n, 0)
+            sums = np.where(there, sim, 0) * mass
+            kept = np.ones(len(c), bool)
+            kept[j] = False
+            for m in (mass, sums):
+                m[i] += m[j]
+                m[:, i] += m[:, j]
+            n[i] += n[j]
+            born[i], high[i] = no, h
+            mass, sums, ties = (m[np.ix_(kept, kept)] for m in (mass, sums, ties))
+            np.fill_diagonal(mass, 0)
+            sim = np.divide(sums, mass, out=np.full(mass.shape, -np.inf), where=mass > 0)
+            c, n, born, high = (v[kept] for v in (c, n, born, high))
+        names = ["round", "a", "b", "born_a", "born_b", "n_a", "n_b", "sim", "h"]
+        columns = [np.concatenate(v) for v in zip(*out, strict=True)] or [np.zeros(0)] * len(names)
+        kind = [table.schema.field(k).type for k in ("born", "a", "b", "born", "born", "n", "n", "w", "h")]
+        made = pa.table([pa.array(v).cast(k) for v, k in zip(columns, kind, strict=True)], names=names)
+        return made.add_column(0, by, table.column(by).combine_chunks().take(pa.array(np.zeros(len(made), np.int64))))
+
+    shape = f"{by} {kinds[by]}, round int, a {kinds['a']}, b {kinds['b']}, born_a int, born_b int, n_a int, n_b int, sim double, h double"
+    return rows.groupBy(by).applyInArrow(run, shape)
+
+
 def _ways(merges: DataFrame, level: float) -> DataFrame:
     """``(leaf, way, deep)``: the way from the top to each leaf, 0 for left and 1 for right, and how far
     over the leaf its topmost node over ``level`` is. Each round joins the ways with themselves, so
