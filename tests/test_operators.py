@@ -824,3 +824,14 @@ def test_hierarchical_ends_in_a_task_as_it_goes_on_in_joins(spark):
     table = spark.createDataFrame(rows, "problem string, i int, j int, w double")
     every = [sorted(tuple(r[:5]) + (round(r.sim, 9),) for r in CL.hierarchical(table, held=held).collect()) for held in (0, 12, 2_048)]
     assert every[0] == every[1] == every[2]
+
+
+def test_row_sums_are_those_of_the_pairs(spark):
+    """Sums of rows without the pairs: the matrix is gone through once."""
+    rows = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "a", 3.0), (3, "b", 4.0), (3, "b", 1.0), (4, "c", 1.0), (5, None, 1.0)], "seq_id int, kmer string, w double")
+    pairs = Y.sparse_dot(rows, both=True)
+    want = {r.i: r.d for r in pairs.where("i <> j").groupBy("i").agg(F.sum("w").alias("d")).collect()}
+    sums = Y.row_sums(rows)
+    assert {r.i: r.d for r in sums.collect() if r.d} == want
+    flat = [sorted(tuple(r) for r in Y.affinity_normalize(pairs, *known).collect()) for known in ((), (sums,))]
+    assert flat[0] == flat[1] and flat[0]
