@@ -288,3 +288,29 @@ def test_ranges_are_cut_after_the_join(spark):
 
     for name in ("extract_ranges", "extract_ranges_by_strand"):
         assert "Join" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_runs_are_those_of_places(spark):
+    """Places are added up in their rows, and windows made of runs; histories and symbols that no table has, gaps, rows without places and repeated places, too."""
+    draw = random.Random(3)
+    sequences = [(k, [draw.choice([-1, 0, 1, 2, 7]) for _ in range(draw.randint(0, 30))]) for k in range(40)]
+    rows = spark.createDataFrame(sequences, "seq_id long, ints array<int>")
+    table = spark.createDataFrame([(0, "", 0, 0.5), (0, "", 1, 0.25), (1, "0", 1, -1.0), (2, "1 0", 1, 3.0), (1, "7", 2, 9.0)], "depth int, context string, symbol int, score double")
+    known = {(c, s): x for _, c, s, x in [tuple(r) for r in table.collect()]}
+    want = {}
+    for k, ints in sequences:
+        for i, x in enumerate(ints):
+            before = []
+            for y in ints[max(0, i - 2) : i]:
+                before = [] if y < 0 else [*before, str(y)]
+            found = [known.get((" ".join(before[d:]), x)) for d in range(len(before) + 1)] if x >= 0 else []
+            want[k, i] = next((f for f in found if f is not None), None)
+    runs = G.scored(rows, table, 2)
+    assert {(r.seq_id, i): x for r in runs.collect() for i, x in enumerate(r.scores)} == want
+    places = G.position_scores(rows, table, 2)
+    means = [{r.seq_id: (r.n, r.score and round(r.score, 9)) for r in m.collect()} for m in (G.sequence_scores(places, most_missing=9), G.run_scores(runs, most_missing=9))]
+    assert means[0] == means[1]
+    laid = runs.select(F.lit("c").alias("chrom"), (F.col("seq_id") * 11).alias("at"), "scores")
+    flat = laid.select("chrom", "at", F.posexplode("scores").alias("pos", "score")).select("chrom", (F.col("at") + F.col("pos")).alias("pos"), "score")
+    every = [sorted(map(tuple, w.collect())) for w in (G.run_windows(laid, 5, 2, most_missing=3), G.window_scores(flat, 5, 2, most_missing=3))]
+    assert every[0] == every[1] and every[0]

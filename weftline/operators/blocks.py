@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as W
 from ..sources import numbered_rows, saved
+from .columns import distinct_columns
 
 #: How many places in an order are one task's work.
 STRETCH = 65_536
@@ -164,14 +165,14 @@ def to_symbols(blocks: DataFrame, mapping: DataFrame, missing: str = "-1", sent_
         sent = blocks.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in known.columns), strict=True)))  # bounded: sent_keys
 
         @F.arrow_udf("string")
-        def coded(columns: pa.Array) -> pa.Array:
-            flat = pc.utf8_upper(columns.flatten()).dictionary_encode()
-            symbols = pa.array([sent.value.get(k, missing) for k in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
-            ends = np.concatenate([[0], np.cumsum(columns.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+        def coded(texts: pa.Array) -> pa.Array:
+            keys, which, n = distinct_columns(texts, shortest=True)
+            symbols = pa.array([sent.value.get(k, missing) for k in keys], pa.string()).take(pa.array(which))
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), symbols), " ")
 
         some = blocks.where(F.array_min(F.transform("components", lambda c: F.length(c["text"]))) > 0)
-        return some.select("block_id", coded(W.text_columns(F.col("components"))).alias("symbols"))
+        return some.select("block_id", coded(F.transform("components", lambda c: c["text"])).alias("symbols"))
     columns = blocks.select("block_id", F.posexplode(W.text_columns(F.col("components"))).alias("pos", "key")).withColumn("key", F.upper("key"))
     coded = columns.join(mapping, "key", "left").withColumn("symbol", F.coalesce("symbol", F.lit(missing)))
     lists = coded.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("_s"))

@@ -167,8 +167,8 @@ _PLACES = _TABLE + """, look AS (
 def block_scores(spark: SparkSession, d: str) -> DataFrame:
     """Each block's mean score, if it has enough symbols."""
     symbols = saved(_symbols(spark, d))
-    places = G.position_scores(symbols, _table(symbols), _ORDER, ("block_id",))
-    return G.sequence_scores(places, "block_id", most_missing=20).withColumn("score", F.round("score", 8))
+    scores = G.scored(symbols, _table(symbols), _ORDER, ("block_id",))
+    return G.run_scores(scores, "block_id", most_missing=20).withColumn("score", F.round("score", 8))
 
 
 @query(_PLACES + """, spot AS (
@@ -180,11 +180,10 @@ SELECT chrom, start, n, round(CASE WHEN 100 - n <= 60 THEN score END, 8) AS scor
 def window_scores(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 100 places, at each place, along the first species."""
     symbols = saved(_symbols(spark, d))
-    places = G.position_scores(symbols, _table(symbols), _ORDER, ("block_id",))
+    scores = G.scored(symbols, _table(symbols), _ORDER, ("block_id",))
     c0 = F.get("components", F.lit(0))
     starts = X.blocks(spark, d).select("block_id", W.chrom_of(c0["src"]).alias("chrom"), c0["start"].alias("at"))
-    rows = places.join(starts, "block_id").select("chrom", (F.col("at") + F.col("pos")).alias("pos"), "score")
-    return G.window_scores(rows, 100, 1, most_missing=60).withColumn("score", F.round("score", 8))
+    return G.run_windows(scores.join(starts, "block_id"), 100, 1, most_missing=60).withColumn("score", F.round("score", 8))
 
 
 @query()
