@@ -835,3 +835,12 @@ def test_row_sums_are_those_of_the_pairs(spark):
     assert {r.i: r.d for r in sums.collect() if r.d} == want
     flat = [sorted(tuple(r) for r in Y.affinity_normalize(pairs, *known).collect()) for known in ((), (sums,))]
     assert flat[0] == flat[1] and flat[0]
+
+
+def test_short_tiles_are_few_tasks(spark, tmp_path):
+    """Tasks are as many as the bases ask for, not as the tiles."""
+    text = "".join(random.Random(1).choice("ACGTN") for _ in range(5_001))
+    packed.write_packed(spark.createDataFrame([("c", 0, text)], "chrom string, tile_no long, seq string"), str(tmp_path))
+    reader = packed.PackedReader(str(tmp_path), 3, 4)
+    assert len(reader.partitions()) == 1
+    assert {(r.tile_no, r.seq) for r in packed.read_packed(spark, str(tmp_path), 3, 4).collect()} == {(k, text[3 * k : 3 * k + 3]) for k in range(1_667)}

@@ -17,6 +17,9 @@ from .files import file_system, write_whole
 # fixed values: the magic number, the bases by code and the bit of a masked (lower-case) base
 MAGIC, LETTERS, MASKED = 0x6BE93D3A, b"TCAGN", 8
 
+#: How many bases a reader holds at once, and how many at least are a task's work.
+BATCH, LEAST = 1_048_576, 4_194_304
+
 
 def packed_bytes(text: bytes) -> bytes:
     """Bases as half bytes; of an odd number the last half is 0. What is no base is N."""
@@ -107,28 +110,34 @@ class PackedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """``run`` tiles at a time; only heads are read."""
+        """``run`` tiles at a time, or as many as have ``LEAST`` bases: tasks don't grow in number with tiles that are short; only heads are read."""
         from pyarrow import fs
 
         store = Store(self.folder)
         found = store.store.get_file_info(fs.FileSelector(store.top, allow_not_found=True))
         names = sorted(f.base_name.removesuffix(".nib") for f in found if f.base_name.endswith(".nib") and not f.base_name.startswith("."))
-        out = []
+        out, run = [], max(self.run, LEAST // self.tile)
         for chrom in names if self.chroms is None else [c for c in names if c in self.chroms]:
             last = -(-store.length(chrom) // self.tile)
             last = last if self.high is None else min(last, self.high)
-            out += [Tiles(chrom, at, min(at + self.run, last)) for at in range(self.low, last, self.run)]
+            out += [Tiles(chrom, at, min(at + run, last)) for at in range(self.low, last, run)]
         return out or [Tiles("", 0, 0)]
 
-    def read(self, partition: Tiles) -> Iterator[tuple]:
-        store = Store(self.folder)
-        for k in range(partition.first, partition.last):
-            yield partition.chrom, k, store.bases(partition.chrom, k * self.tile, (k + 1) * self.tile)
+    def read(self, partition: Tiles) -> Iterator[pa.RecordBatch]:
+        """About ``BATCH`` bases are read at a time and cut into tiles."""
+        store, many = Store(self.folder), max(1, BATCH // self.tile)
+        names = ["chrom", "tile_no", "seq"]
+        for first in range(partition.first, partition.last, many):
+            last = min(first + many, partition.last)
+            text = store.bases(partition.chrom, first * self.tile, last * self.tile)
+            ends = np.minimum(np.arange(last - first + 1, dtype=np.int64) * self.tile, len(text)).astype(np.int32)
+            seqs = pa.StringArray.from_buffers(last - first, pa.py_buffer(ends), pa.py_buffer(text.encode()))
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(partition.chrom), last - first), pa.array(np.arange(first, last, dtype=np.int64)), seqs], names=names)
 
 
 class Packed(DataSource):
     """``packed_sequences``: ``(chrom, tile_no, seq)`` of the packed sequence files of the folder that ``path`` names, in tiles of ``tile`` bases, ``run`` of which
-    are a task's work."""
+    are a task's work (more, if they are short)."""
 
     @classmethod
     def name(cls) -> str:
