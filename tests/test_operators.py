@@ -844,3 +844,24 @@ def test_short_tiles_are_few_tasks(spark, tmp_path):
     reader = packed.PackedReader(str(tmp_path), 3, 4)
     assert len(reader.partitions()) == 1
     assert {(r.tile_no, r.seq) for r in packed.read_packed(spark, str(tmp_path), 3, 4).collect()} == {(k, text[3 * k : 3 * k + 3]) for k in range(1_667)}
+
+
+def test_lines_are_not_shuffled_to_be_numbered(spark, tmp_path):
+    """Of what numbers lines, and of what curves are laid on, only a row for each split or source is sent, whatever the planner takes it for."""
+    folder = str(tmp_path / "lines")
+    spark.range(100).selectExpr("concat('R ', id) AS value").write.text(folder)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        rows = S.read_labelled_scores(spark, folder)
+        places = S.numbered_rows(rows, ["score"])
+        plans = [r._jdf.queryExecution().executedPlan().toString() for r in (rows, places)]
+        assert not any("SortMergeJoin" in p for p in plans)
+        assert sorted(r.row_idx for r in rows.collect()) == list(range(100))
+        curves = T.roc_curves(rows.withColumn("source", F.lit("s")), "source", "score", F.col("label") == "R", 4)
+        assert curves._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1  # of the grid and its counts
+        assert curves.count() == 4
+    finally:
+        for n in names:
+            spark.conf.unset(n)

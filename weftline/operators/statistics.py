@@ -91,7 +91,7 @@ def roc_curves(rows: DataFrame, by: str, score: str, positive: Column, breaks: i
     scored = scored.select(F.col(by).alias("g"), F.col(score).cast("double").alias("s"), positive.cast("int").alias("y"))
     ends = scored.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))  # a row for each source
     at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (breaks - 1))).otherwise(F.lit(breaks - 1))
-    counts = scored.join(ends, "g").groupBy("g", at.cast("int").alias("k")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    counts = scored.join(F.broadcast(ends), "g").groupBy("g", at.cast("int").alias("k")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(breaks - 1)))).join(counts, ["g", "k"], "left").na.fill(0, ["p", "n"])
     up = Window.partitionBy("g").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy("g")

@@ -47,7 +47,7 @@ def numbered_rows(rows: DataFrame, order: list[str], place: str = "_place") -> D
     number = F.regexp_extract("_file", "^part-([0-9]+)", 1).cast("long")
     before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return read.join(counts, "_file").withColumn(place, F.col("_first") + F.col("_row") + 1).drop("_file", "_row", "_first")
+    return read.join(F.broadcast(counts), "_file").withColumn(place, F.col("_first") + F.col("_row") + 1).drop("_file", "_row", "_first")
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str], line_sep: str | None = None) -> DataFrame:
@@ -60,7 +60,8 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], line_sep: str |
     counts = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return raw.join(counts, ["_f", "_b"]).select((F.col("_i") - F.col("_first") + F.col("_before")).alias("row_idx"), "value")
+    # sent, being a row for each split: else each line would be shuffled with its file's name, those of a split to one task
+    return raw.join(F.broadcast(counts), ["_f", "_b"]).select((F.col("_i") - F.col("_first") + F.col("_before")).alias("row_idx"), "value")
 
 
 def fields(column: str = "value") -> F.Column:
