@@ -151,6 +151,24 @@ def test_best_cover(spark, cell):
     assert not {(c, e, k) for c, _, e, k in ends} & {(c, s, k) for c, s, _, k in ends}  # stretches are maximal
 
 
+def test_cells_are_laid_together(spark, monkeypatch):
+    """Cells are many and have few pieces each: a task paints all that it has at hand at once, not one after the other; batches that end within a cell, too."""
+    calls, paint = spark.sparkContext.accumulator(0), L._painted
+
+    def counted(*args):
+        calls.add(1)
+        return paint(*args)
+
+    monkeypatch.setattr(L, "_painted", counted)
+    rows = [(f"c{k % 2}", k * 10, k * 10 + 25, float(k % 3), k) for k in range(3000)]
+    got = [[tuple(r) for r in L.best_cover(pieces_of(spark, rows), cell=50).collect()]]
+    assert 0 < calls.value < 200
+    monkeypatch.setattr(L, "_painted", paint)
+    monkeypatch.setattr(L, "ROWS", 7)
+    got += [[tuple(r) for r in L.best_cover(pieces_of(spark, rows), cell=c).collect()] for c in (50, 65_536)]
+    assert sorted(got[0]) == sorted(got[1]) == sorted(got[2]) and len(got[0]) > 2000
+
+
 @pytest.mark.parametrize("cell", [5, 65_536])
 def test_cover_depth(spark, cell):
     rng = random.Random(cell)

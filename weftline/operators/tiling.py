@@ -7,9 +7,11 @@ source after its first dot. What programs of these names do elsewhere is not giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from .intervals import merge_overlaps, overlap_join
 #: How many positions of a chromosome are one task's work.
 CELL = 65_536
 
+#: How many pieces a task lays over each other at once.
+ROWS = 200_000
+
 #: The bins in which ranges and blocks meet: about as long as these, so that many of either on a short stretch are many bins' work.
 RANGE_BIN = 2_048
 
@@ -115,49 +120,68 @@ def best_cover(pieces: DataFrame, cell: int = CELL, fan_in: int = 16) -> DataFra
     The best has the highest score (a null one is the lowest), then the smallest start, then the smallest id.
 
     Pieces are cut at cells of positions. What is best of some is known without the rest, so tasks first put together what they
-    have, batch by batch: of any number of pieces in a cell at most one stretch for each position is left. These meet by cells, first in ``fan_in`` groups, then at once."""
+    have, ``ROWS`` at a time: of any number of pieces in a cell at most one stretch for each position is left. These meet by cells, first in ``fan_in`` groups, then at once.
+    All cells that a task has at hand are painted together, as cells may be many and have few pieces each."""
     kind = pieces.schema["id"].dataType.simpleString()
-    rows = pieces.where("start < end").select("chrom", "start", "end", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score"), F.col("start").alias("first"), "id")
+    # empty pieces go in the tasks below: a condition here would work out anew, for each place that it reads, what pieces are made of
+    rows = pieces.select("chrom", "start", "end", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score"), F.col("start").alias("first"), "id")
     rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell))))
     rows = rows.withColumns({"start": F.greatest("start", F.col("cell") * cell), "end": F.least("end", (F.col("cell") + 1) * cell)})
     columns = ["chrom", "cell", "start", "end", "score", "first", "id"]
     rows = rows.select(columns)
 
     def best(table: pa.Table) -> pa.Table:
-        """Of the pieces of one cell."""
+        """Of the pieces of any cells, in whose order the stretches come."""
+        table = table.filter(pc.less(table.column("start"), table.column("end")))
         # the first by priority is painted last: ids sort as Arrow sorts them
         table = table.sort_by([("score", "descending"), ("first", "ascending"), ("id", "ascending")]).combine_chunks()
-        start, end, which = _painted(table.column("start").to_numpy(), table.column("end").to_numpy(), np.arange(len(table)))
+        if not len(table):
+            return table
+        chrom = pc.dictionary_encode(table.column("chrom").combine_chunks(), null_encoding="encode").indices.to_numpy().astype(np.int64)
+        cells = table.column("cell").to_numpy()
+        _, place = np.unique(chrom * (cells.max() - cells.min() + 1) + (cells - cells.min()), return_inverse=True)
+        # cells are laid behind each other on one line; a piece lies in one of them, so no stretch goes on to the next
+        shift = (place - cells) * cell
+        start, end, which = _painted(table.column("start").to_numpy() + shift, table.column("end").to_numpy() + shift, np.arange(len(table)))
         kept = table.take(pa.array(which))
         for name, values in (("start", start), ("end", end)):
-            kept = kept.set_column(kept.schema.get_field_index(name), name, pa.array(values, pa.int64()))
+            kept = kept.set_column(kept.schema.get_field_index(name), name, pa.array(values - shift[which], pa.int64()))
         return kept.select(columns)
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            table = pa.Table.from_batches([b]).sort_by([("chrom", "ascending"), ("cell", "ascending")])
-            keys = list(zip(table.column("chrom").to_pylist(), table.column("cell").to_pylist(), strict=True))
-            ends = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + [len(keys)]
-            at, out = 0, []
-            for end in ends if keys else []:
-                out.append(best(table.slice(at, end - at)))
-                at = end
-            if out:
-                yield from pa.concat_tables(out).combine_chunks().to_batches()
+    def laid(batches: Iterator[pa.RecordBatch], by_cell: bool) -> Iterator[pa.RecordBatch]:
+        """Stretches of some rows at a time; where rows come ``by_cell`` the last cell waits for more of it."""
+        held: list[pa.RecordBatch] = []
+        n, some = 0, (b for b in batches if b.num_rows)
+        for b in chain(some, [None]):
+            if b is not None:
+                held.append(b)
+                n += b.num_rows
+                if n < ROWS:
+                    continue
+            if not held:
+                continue
+            chrom, at = held[-1].column("chrom")[-1], held[-1].column("cell")[-1]
+            table = best(pa.Table.from_batches(held)) if n else pa.Table.from_batches(held)
+            held, n = [], 0
+            if by_cell and b is not None:
+                of = table.column("chrom")
+                waits = pc.and_(pc.equal(of, chrom) if chrom.is_valid else pc.is_null(of), pc.equal(table.column("cell"), at))
+                held = table.filter(waits).combine_chunks().to_batches()
+                table = table.filter(pc.invert(waits))
+            yield from table.combine_chunks().to_batches()
 
     shape = f"chrom string, cell long, start long, end long, score double, first long, id {kind}"
-    rows = rows.mapInArrow(gathered, shape)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("start", "id"), F.lit(fan_in)))
-    rows = rows.groupBy("chrom", "cell", "salt").applyInArrow(lambda t: best(t.drop_columns(["salt"])), shape)
-    rows = rows.groupBy("chrom", "cell").applyInArrow(best, shape)
-    # stretches that go on from one cell to the next are one again; an id has one for each cell that it lies in, at most
+    rows = rows.mapInArrow(lambda batches: laid(batches, by_cell=False), shape)
+    for deal in (["chrom", "cell", F.pmod(F.xxhash64("start", "id"), F.lit(fan_in))], ["chrom", "cell"]):
+        rows = rows.repartition(*deal).sortWithinPartitions("chrom", "cell").mapInArrow(lambda batches: laid(batches, by_cell=True), shape)
+    # saved, as they are read twice; stretches that go on from one cell to the next are one again; an id has one for each cell that it lies in, at most
+    rows = saved(rows.select("chrom", "start", "end", "id"))
     order = Window.partitionBy("chrom", "id").orderBy("start")
     edge = (F.pmod("start", F.lit(cell)) == 0) | (F.pmod("end", F.lit(cell)) == 0)
     new = F.coalesce((F.lag("end").over(order) < F.col("start")).cast("int"), F.lit(1))
     runs = rows.where(edge).withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("chrom", "id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    columns = ["chrom", "start", "end", "id"]
-    return rows.where(~edge).select(columns).unionByName(runs.select(columns))
+    return rows.where(~edge).unionByName(runs.select(rows.columns))
 
 
 def tile_blocks(intervals: DataFrame, blocks: DataFrame, species: list[str], by_strand: bool = False, key: str = "row_idx") -> DataFrame:
