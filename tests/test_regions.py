@@ -286,6 +286,25 @@ def test_tiles(spark):
         assert (got[row][0].src, got[row][0].start, got[row][0].size, got[row][0].strand) == (f"hg.{chrom}", start, end - start, strand)
 
 
+def test_blocks_that_no_interval_meets_are_not_laid(spark, monkeypatch):
+    """Only blocks in bins of intervals are put over each other, each once; empty intervals ask for none and have empty texts."""
+    laid, cover = [], L.best_cover
+
+    def counted(pieces):
+        laid.append(sorted(r.id for r in pieces.select("id").collect()))
+        return cover(pieces)
+
+    monkeypatch.setattr(L, "best_cover", counted)
+    b = L.RANGE_BIN
+    starts = [b - 3, 10, 12 * b, 40 * b, 3 * b]  # the first lies in two bins
+    df = blocks_of(spark, *([comp("ACGTAC", "hg.chr1", s, 6, "+", 50 * b), comp("AAGGTT", "mm.chr2", 5, 6, "+", 900)] for s in starts))
+    asks = [(0, "chr1", 8, b + 1), (1, "chr1", 3 * b + 2, 3 * b + 2), (2, "chr9", 12 * b, 12 * b + 9), (3, "chr1", 40 * b + 2, 40 * b + 4)]
+    got = {r.row_idx: [c.text for c in r.components] for r in L.tile_blocks(spark.createDataFrame(asks, "row_idx long, chrom string, start long, end long"), df, ["hg", "mm"]).collect()}
+    assert laid == [[0, 1, 3]]
+    gap = "*" * (b - 3 - 16)
+    assert got == {0: [f"**ACGTAC{gap}ACGT", f"**AAGGTT{gap}AAGG"], 1: ["", ""], 2: ["*" * 9] * 2, 3: ["GT", "GG"]}
+
+
 def test_ranges_covered_by_enough_species(spark):
     rng = random.Random(3)
     blocks = [random_block(rng, k) for k in range(12)]

@@ -194,23 +194,28 @@ def tile_blocks(intervals: DataFrame, blocks: DataFrame, species: list[str], by_
     An empty interval has empty texts."""
     c0 = F.get("components", F.lit(0))
     score = F.col("score") if "score" in blocks.columns else F.lit(None).cast("double")
-    pieces = blocks.select(W.chrom_of(c0["src"]).alias("chrom"), W.forward_start(c0).alias("start"), W.forward_end(c0).alias("end"), score.alias("score"), F.col("block_id").alias("id"))
-    cover = best_cover(pieces)
-    hits = overlap_join(intervals.select(key, "chrom", "start", "end"), cover)
-    parts = hits.select(key, "chrom", F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), F.col("r_id").alias("block_id"))
-    # each stretch is cut out of its own block alone
-    asked = parts.join(blocks.select("block_id", "components"), "block_id")
-    fs, fe = W.forward_start(c0), W.forward_end(c0)
-    first = F.when(c0["strand"] == "-", fe - F.col("end")).otherwise(F.col("start") - fs).cast("int")
+    # saved, as conditions on places would work out anew what blocks are made of
+    pieces = saved(blocks.select(W.chrom_of(c0["src"]).alias("chrom"), W.forward_start(c0).alias("start"), W.forward_end(c0).alias("end"), score.alias("score"), F.col("block_id").alias("id")))
+    # only blocks in bins that intervals meet can be over a base of one
+    bins = lambda df: df.where("start < end").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / RANGE_BIN), F.floor((F.col("end") - 1) / RANGE_BIN))))
+    met = saved(bins(intervals).select("chrom", "_bin").distinct())
+    cover = best_cover(bins(pieces).join(met, ["chrom", "_bin"], "left_semi").drop("_bin").distinct())
+    hits = overlap_join(intervals.where("start < end").select(key, "chrom", "start", "end"), cover, RANGE_BIN)
+    parts = saved(hits.select(key, F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), F.col("r_id").alias("block_id")))
+    # texts and the column of each base: once for each block that is the best somewhere, not for each stretch of each interval
+    best = blocks.join(saved(parts.select("block_id").distinct()), "block_id", "left_semi")
     columns = F.filter(F.transform(W.chars(c0["text"]), lambda ch, i: F.when(ch != "-", i)), lambda i: i.isNotNull())
-    asked = asked.withColumns({"_columns": columns, "_first": first, "_n": (F.col("end") - F.col("start")).cast("int")})
-    at, last = F.get("_columns", F.col("_first")), F.get("_columns", F.col("_first") + F.col("_n") - 1)
-    asked = asked.withColumn("_cut", cut_columns(F.col("components"), at, last - at + 1))
-    forward = F.when(F.get("_cut", F.lit(0))["strand"] == "-", reverse_complement(F.col("_cut"))).otherwise(F.col("_cut"))
-    asked = asked.withColumn("_cut", forward)
-    wide = F.length(F.get("_cut", F.lit(0))["text"])
-    texts = F.array(*(F.coalesce(W.component(F.col("_cut"), s)["text"], F.repeat(F.lit(W.WILDCARD), wide)) for s in species))
-    lists = asked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", texts.alias("t")))).alias("_p"))
+    texts = F.array(*(F.coalesce(W.component(F.col("components"), s)["text"], F.repeat(F.lit(W.WILDCARD), F.length(c0["text"]))) for s in species))
+    best = saved(best.select("block_id", (c0["strand"] == "-").alias("_back"), W.forward_start(c0).alias("_low"), W.forward_end(c0).alias("_high"), columns.alias("_columns"), texts.alias("_texts")))
+    asked = parts.join(best, "block_id")
+    # each stretch is cut out of its own block alone, and turned to the forward strand
+    first = F.when(F.col("_back"), F.col("_high") - F.col("end")).otherwise(F.col("start") - F.col("_low")).cast("int")
+    asked = asked.withColumn("_first", first)
+    at, last = F.get("_columns", F.col("_first")), F.get("_columns", F.col("_first") + (F.col("end") - F.col("start")).cast("int") - 1)
+    cut = F.transform("_texts", lambda t: F.substring(t, F.col("_at") + 1, F.col("_wide")))
+    turned = F.transform("_cut", lambda t: F.translate(F.reverse(t), *COMPLEMENT))
+    asked = asked.withColumns({"_at": at, "_wide": last - at + 1}).withColumn("_cut", cut).withColumn("_cut", F.when(F.col("_back"), turned).otherwise(F.col("_cut")))
+    lists = asked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("_cut").alias("t")))).alias("_p"))
     strand = [F.col("strand")] if by_strand else []
     rows = intervals.select(key, "chrom", "start", "end", *strand).join(lists, key, "left").withColumn("_p", F.coalesce("_p", F.array().cast(lists.schema["_p"].dataType)))
     gap = lambda n: F.repeat(F.lit(W.WILDCARD), n.cast("int"))
@@ -221,11 +226,12 @@ def tile_blocks(intervals: DataFrame, blocks: DataFrame, species: list[str], by_
         whole = F.aggregate("_p", F.struct(F.lit("").alias("t"), F.col("start").alias("at")), step, lambda x: F.concat(x["t"], gap(F.greatest(F.col("end") - x["at"], F.lit(0)))))
         return F.when(F.col("strand") == "-", F.translate(F.reverse(whole), *COMPLEMENT)).otherwise(whole) if by_strand else whole
 
+    rows = rows.withColumn("_t", F.array(*map(text, range(len(species)))))
     ref = F.concat(F.lit(f"{species[0]}."), "chrom")
     run = F.when(F.col("strand") == "-", "-").otherwise("+") if by_strand else F.lit("+")
-    first_ = F.struct(ref.alias("src"), F.col("start").alias("start"), F.greatest(F.col("end") - F.col("start"), F.lit(0)).alias("size"), run.alias("strand"), F.lit(None).cast("long").alias("src_size"), text(0).alias("text"))
+    first_ = F.struct(ref.alias("src"), F.col("start").alias("start"), F.greatest(F.col("end") - F.col("start"), F.lit(0)).alias("size"), run.alias("strand"), F.lit(None).cast("long").alias("src_size"), F.col("_t")[0].alias("text"))
     others = [
-        F.struct(F.lit(f"{s}.tiled").alias("src"), F.lit(0).cast("long").alias("start"), F.length(F.regexp_replace(text(i), "[-*]", "")).cast("long").alias("size"), F.lit("+").alias("strand"), F.lit(None).cast("long").alias("src_size"), text(i).alias("text"))
+        F.struct(F.lit(f"{s}.tiled").alias("src"), F.lit(0).cast("long").alias("start"), F.length(F.regexp_replace(F.col("_t")[i], "[-*]", "")).cast("long").alias("size"), F.lit("+").alias("strand"), F.lit(None).cast("long").alias("src_size"), F.col("_t")[i].alias("text"))
         for i, s in enumerate(species) if i
     ]
     return rows.select(key, F.array(first_, *others).alias("components"))
