@@ -318,6 +318,32 @@ def test_ranges_covered_by_enough_species(spark):
         assert not {r.end for r in got} & {r.start for r in got}
 
 
+@pytest.mark.parametrize("cell", [5, 65_536])
+def test_covered_ranges_over_ends_of_cells(spark, monkeypatch, cell):
+    """A block is a row where it starts and one where it ends, whatever its species: no row for each of them is written, and ranges go on over cells."""
+    rng = random.Random(cell)
+    wrote, save = [], L.saved
+    keep = lambda df: wrote.append((out := save(df)).count()) or out
+    monkeypatch.setattr(L, "saved", keep)
+    monkeypatch.setattr("weftline.operators.intervals.saved", keep)
+    blocks = []
+    for k in range(150):
+        n = rng.choice([0, 1, 4, 30])
+        names = ["hg", *rng.sample(["mm", "rn", "xx", "mm"], rng.randrange(1, 4))]
+        blocks.append([comp("A" * n, f"{s}.chr{1 + k % 2}", rng.randrange(900) if s == "hg" else 7, n, rng.choice("+-"), 1000) for s in names])
+    at: dict = {}
+    for b in blocks:
+        for p in bases(places(b[0])):
+            at.setdefault((b[0][0].split(".")[1], p), set()).update(c[0].split(".")[0] for c in b)
+    for least in (1, 2, 3, 4):
+        wrote.clear()
+        got = L.covered_ranges(blocks_of(spark, *blocks), ["hg", "mm", "rn", "mm"], least, cell=cell).collect()
+        want = {k for k, s in at.items() if len(s & {"hg", "mm", "rn"}) >= least}
+        assert sorted((r.chrom, p) for r in got for p in range(r.start, r.end)) == sorted(want) and bool(want) == (least < 4)
+        assert not {(r.chrom, r.end) for r in got} & {(r.chrom, r.start) for r in got}
+        assert wrote[0] <= 2 * len(blocks) and len(wrote) == 2 and wrote[1] == 2 * len(got)
+
+
 def test_ranges_are_cut_after_the_join(spark):
     """What is asked of the cut components is not worked out in the join's condition, for each pair in a bin."""
     from oracle import DATA

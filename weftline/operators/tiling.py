@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as W
 from ..sources import saved
-from .intervals import merge_overlaps, overlap_join
+from .intervals import overlap_join
 
 #: How many positions of a chromosome are one task's work.
 CELL = 65_536
@@ -254,11 +254,31 @@ def cover_depth(intervals: DataFrame, cell: int = CELL) -> DataFrame:
     return rows.where("depth > 0")
 
 
-def covered_ranges(blocks: DataFrame, species: list[str], least: int = 4) -> DataFrame:
+def covered_ranges(blocks: DataFrame, species: list[str], least: int = 4, cell: int = CELL) -> DataFrame:
     """``(chrom, start, end)``: maximal ranges of the first component's bases that blocks of at least ``least`` of the named species cover: at
-    each base those species count that any block over it has, each once."""
+    each base those species count that any block over it has, each once.
+
+    As in ``cover_depth`` a block is one more where it starts and one less where it ends, of each of its species in a column of its own, and positions are summed
+    before they meet in cells. So a block is two rows, whatever its species; then only positions where enough species begin or cease to be there go on."""
     c0 = F.get("components", F.lit(0))
-    named = F.filter(F.transform("components", lambda c: W.species_of(c["src"])), lambda s: s.isin(species))
-    rows = blocks.select(W.chrom_of(c0["src"]).alias("chrom"), W.forward_start(c0).alias("start"), W.forward_end(c0).alias("end"), F.explode(F.array_distinct(named)).alias("species"))
-    depth = cover_depth(merge_overlaps(rows, ["species"])).where(F.col("depth") >= least)
-    return merge_overlaps(depth).select("chrom", "start", "end")
+    names = [f"_n{i}" for i in range(len(set(species)))]
+    named = F.transform("components", lambda c: W.species_of(c["src"]))
+    has = [F.coalesce(F.array_contains(named, s), F.lit(False)).cast("int").alias(n) for s, n in zip(dict.fromkeys(species), names, strict=True)]
+    placed = blocks.select(W.chrom_of(c0["src"]).alias("chrom"), W.forward_start(c0).alias("start"), W.forward_end(c0).alias("end"), *has)
+    # an empty block has no events; as a condition that would work out anew, for each place that it reads, what blocks are made of
+    both = F.when(F.col("start") < F.col("end"), F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    events = placed.select("chrom", *names, F.explode(both).alias("e")).groupBy("chrom", F.col("e.pos").alias("pos")).agg(*(F.sum(F.col(n) * F.col("e.d")).alias(n) for n in names))
+    events = saved(events.where(" or ".join(f"{n} <> 0" for n in names)).withColumn("_cell", F.floor(F.col("pos") / cell)))
+    order, here = Window.partitionBy("chrom").orderBy("_cell"), Window.partitionBy("chrom", "_cell").orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    cells = events.groupBy("chrom", "_cell").agg(*(F.sum(n).alias(n) for n in names))
+    cells = cells.select("chrom", "_cell", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_open") for n in names))
+    enough = lambda counts: sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0)) >= max(least, 1)
+    rows = events.join(cells, ["chrom", "_cell"])
+    rows = rows.select("chrom", "_cell", "pos", enough([F.col(f"{n}_open") + F.sum(n).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for n in names]).alias("_on"), enough([F.col(f"{n}_open") for n in names]).alias("_open"))
+    rows = rows.withColumn("_was", F.coalesce(F.lag("_on").over(here), "_open")).where("_on <> _was")
+    # where a range ends: at the next of these positions, in this cell or the next that has one
+    edges = saved(rows.select("chrom", "_cell", "pos", "_on"))
+    following = edges.groupBy("chrom", "_cell").agg(F.min("pos").alias("_first")).select("chrom", "_cell", F.lead("_first").over(order).alias("_next"))
+    ranges = edges.join(following, ["chrom", "_cell"]).withColumn("end", F.coalesce(F.lead("pos").over(here), "_next"))
+    return ranges.where("_on").select("chrom", F.col("pos").alias("start"), "end")
