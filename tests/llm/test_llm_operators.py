@@ -709,6 +709,28 @@ def test_near_duplicate_vectors(spark):
     assert {r._n_links for r in embeddings.near_duplicates(vectors_of(spark, [(1, None, 1), (2, [0.0], 1)])).collect()} == {0}
 
 
+def test_top_k_sends_no_matrix(spark):
+    """Blocks and shards are fetched by the tasks, however small the planner takes them to be; vectors whose products ask for doubles or more are as exact as short ones."""
+    rows = [(k, [float((k * j) % 7) - 3 for j in range(1, 5)], 0) for k in range(60)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = embeddings.top_k(vectors_of(spark, rows), F.col("vec_id") % 10 == 0, shard_rows=16, query_rows=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Broadcast" not in plan
+        for by in (1.0, 1e3, 1e9):  # as two bytes, four bytes and doubles
+            some = vectors_of(spark, [(k, [x * by for x in v], c) for k, v, c in rows])
+            got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in embeddings.top_k(some, F.col("vec_id") % 10 == 0, shard_rows=16, query_rows=2).collect()]
+            whole = {k: [int(256 * x * by) for x in v] for k, v, _ in rows}
+            want = []
+            for q in range(0, 60, 10):
+                score = lambda k: max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[k], strict=True))))  # noqa: B023, E731
+                best = sorted((-score(k), k) for k in whole if k != q)[:5]
+                want += [(q, n, k, -s) for n, (s, k) in enumerate(best, 1)]
+            assert sorted(got) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_top_k(spark):
     rows = [*hard_vectors(), (350, [0.5] * 8, 1), (None, [1.0] * 8, 1)]
     good = {}

@@ -289,7 +289,7 @@ def top_k(
     key. All rows, if there are fewer.
 
     Rows are dealt to shards and queries to blocks, each held as one matrix; every block meets every
-    shard in a tile whose product is computed at once, a tile keeps each query's best ``k``, and the
+    shard, by a product of the two tables, in a tile whose product is computed at once, a tile keeps each query's best ``k``, and the
     lists are merged ``fan_in`` at a time. Products are exact: in doubles while they stay below 2^53,
     else in Python integers (a score beyond 64 bits is held at its limit).
 
@@ -304,7 +304,7 @@ def top_k(
     asked = rows.withColumnRenamed("id", key).where(queries).withColumnRenamed(key, "id")
     n, nq = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // query_rows))
-    held = pa.schema([("no", pa.int32()), ("ids", pa.binary()), ("m", pa.binary()), ("dim", pa.int32())])
+    held = pa.schema([("no", pa.int32()), ("ids", pa.binary()), ("m", pa.binary()), ("dim", pa.int32()), ("kind", pa.string())])
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
@@ -312,13 +312,17 @@ def top_k(
         raw = raw if isinstance(raw, pa.Array) else pa.concat_arrays(raw.chunks)
         m = np.floor(scale * _matrix(raw))
         ids = table.column("id").to_numpy().astype("<i8")
-        return pa.table([[table.column("no")[0].as_py()], [ids.tobytes()], [m.astype("<f8").tobytes()], [m.shape[1]]], schema=held)
+        # whole numbers, as short as they are
+        kind = next((t for t in ("<i2", "<i4") if np.abs(m).max(initial=0) <= np.iinfo(t).max), "<f8")
+        return pa.table([[table.column("no")[0].as_py()], [ids.tobytes()], [m.astype(kind).tobytes()], [m.shape[1]], [kind]], schema=held)
 
-    def blocked(df: DataFrame, parts: int) -> DataFrame:
-        return df.withColumn("no", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("no").applyInArrow(gather, "no int, ids binary, m binary, dim int")
+    def blocked(df: DataFrame, parts: int, most: int) -> DataFrame:
+        out = df.withColumn("no", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("no").applyInArrow(gather, "no int, ids binary, m binary, dim int, kind string")
+        return out.repartitionById(min(parts, most), F.col("no") % min(parts, most))
 
-    each = blocked(asked, blocks).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("no"))
-    pairs = blocked(rows, shards).join(each, "no")
+    each = blocked(asked, blocks, 32).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("dim").alias("q_dim"), F.col("kind").alias("q_kind"))
+    # tasks fetch the blocks and shards they compare: neither is sent to all through the driver, nor written once for each of the others
+    pairs = blocked(rows, shards, 256).crossJoin(each.hint("shuffle_replicate_nl"))
     best = pa.schema([("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -334,10 +338,11 @@ def top_k(
 
     def tile(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for r in part.to_pylist():
+            for k_ in range(len(part)):
+                r = part.slice(k_, 1).to_pylist()[0]  # one pair at a time, as they are large
                 ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                b = np.frombuffer(r["m"], "<f8").reshape(len(ids), r["dim"])
-                a = np.frombuffer(r["q_m"], "<f8").reshape(len(q_ids), r["q_dim"])
+                b = np.frombuffer(r["m"], r["kind"]).reshape(len(ids), r["dim"]).astype("<f8")
+                a = np.frombuffer(r["q_m"], r["q_kind"]).reshape(len(q_ids), r["q_dim"]).astype("<f8")
                 for at in range(0, len(a), 256):
                     mine = q_ids[at : at + 256]
                     score = product(a[at : at + 256], b)
