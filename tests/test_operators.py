@@ -865,3 +865,34 @@ def test_lines_are_not_shuffled_to_be_numbered(spark, tmp_path):
     finally:
         for n in names:
             spark.conf.unset(n)
+
+
+def test_linkage_of_vectors_is_that_of_their_products(spark):
+    """Without a pair: ties, items without a key, rounds of blocks and the task that ends them; one item is no merge; weights that are not whole go by the pairs."""
+    a, b = np.array([0, 1, 5, 2**31 - 1], np.int32), np.array([1, 9, 100_000, -(2**31)], np.int32)
+    pairs = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a int, b int")
+    assert [r.h for r in pairs.select(F.xxhash64("a", "b").alias("h")).collect()] == CL._pair_hash(a, b).tolist()
+    draw = random.Random(3)
+    rows_of = lambda df: sorted((r.stage, r.n_clusters, r.left, r.right, round(r.sim, 9)) for r in df.collect())
+    for n, part in ((1, 1.0), (40, 1.0), (12, 0.5)):
+        rows = [(i, f"k{k}", part * draw.randint(0, 2)) for i in range(n) for k in range(6) if draw.random() < 0.6 and i != 5]
+        df, items = spark.createDataFrame(rows, "seq_id int, kmer string, w double"), spark.createDataFrame([(i,) for i in range(n)], "seq_id int")
+        want = rows_of(CL.hierarchical(Y.sparse_dot(df, items=items).select(F.lit("all").alias("problem"), "i", "j", "w")))
+        assert len(want) == n - 1
+        for held in (5, 16_384):
+            assert rows_of(CL.hierarchical_of(df, items, held=held)) == want
+
+
+def test_dendrograms_are_walked_as_they_are_joined(spark):
+    draw, nodes, merges = random.Random(8), [-(k + 1) for k in range(50)], []
+    for stage in range(1, 50):
+        pair = [nodes.pop(draw.randrange(len(nodes))) for _ in "ab"]
+        merges.append((stage, *pair, draw.randint(0, 9) / 4))
+        nodes.append(stage)
+    table = spark.createDataFrame(merges, "stage int, left int, right int, sim double").repartition(3)
+    for level in (-1.0, 1.0, 3.0):
+        cuts = [CL.cut_dendrogram(table, level, held=held) for held in (0, 49)]
+        assert cuts[0].schema == cuts[1].schema or cuts[0].dtypes == cuts[1].dtypes
+        assert sorted(map(tuple, cuts[0].collect())) == sorted(map(tuple, cuts[1].collect()))
+    lines = [sorted(tuple(round(v, 9) for v in r) for r in CL.layout_dendrogram(table, held=held).collect()) for held in (0, 49)]
+    assert lines[0] == lines[1] and len(lines[0]) == 147

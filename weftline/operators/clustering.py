@@ -6,14 +6,17 @@ clusters at each step, so it is sequential by nature: each problem is a group (`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import numbered_rows, saved, shared_folder
-from .similarity import MOST_SENT
+from .similarity import MOST_SENT, shortest, sparse_dot
 
 
 def _plogp(x: float | np.ndarray) -> float | np.ndarray:
@@ -137,6 +140,11 @@ def hierarchical(matrix: DataFrame, by: str = "problem", held: int = 2_048) -> D
     merges.append(f"{folder}/rest")
     rest.write.parquet(merges[-1])
     merges = matrix.sparkSession.read.schema(rest.schema).parquet(*merges)
+    return _staged(merges, by)
+
+
+def _staged(merges: DataFrame, by: str) -> DataFrame:
+    """Merges ``(by, round, a, b, born_a, born_b, n_a, n_b, sim, h)`` as stages in order of ``h``."""
     placed = numbered_rows(merges.withColumn("_low", -F.col("h")), [by, "_low", "round", "a"])
     first = placed.groupBy(by).agg((F.min("_place") - 1).alias("_first"), F.count(F.lit(1)).alias("_merges"))
     placed = saved(placed.join(first, by).withColumn("stage", (F.col("_place") - F.col("_first")).cast("int")))
@@ -196,6 +204,181 @@ def _finished(pair: DataFrame, whole: DataFrame, by: str, round_: int) -> DataFr
     return rows.groupBy(by).applyInArrow(run, shape)
 
 
+#: Whole numbers with products of sums up to this are exact in doubles.
+_EXACT = 2**53
+
+
+def hierarchical_of(rows: DataFrame, items: DataFrame, item: str = "seq_id", key: str = "kmer", weight: str = "w", held: int = 16_384, keys: int = 4_096) -> DataFrame:
+    """``hierarchical`` of the products ``sparse_dot`` of all pairs of ``items`` (counted from 0), one problem, ``all``, without the pairs: the mean similarity of two clusters
+    is the product of their means. Weights are counts, so products of sums are exact, and equal similarities are equal.
+
+    In a round blocks of clusters are laid against each other, each cluster keeps its most similar one, and pairs that pick each other merge; when ``held`` clusters
+    are left a task goes on, in which only clusters whose nearest has merged look again. Of more than ``keys`` keys, of weights that are not whole, and of sums too large
+    to be exact, the pairs are made."""
+    entries = rows.groupBy(F.col(item).cast("int").alias("i"), F.col(key).alias("k")).agg(F.sum(F.col(weight).cast("double")).alias("w")).where("i is not null and k is not null and w is not null")
+    entries = saved(entries)
+    ids = saved(items.select(F.col(item).cast("int").alias("i")).where("i is not null").distinct())
+    told = entries.agg(F.coalesce(F.bool_and(F.expr("w = floor(w) and w >= 0")), F.lit(True)).alias("whole"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("sum")).first()
+    names = [r.k for r in entries.select("k").distinct().limit(keys + 1).collect()]  # bounded: keys
+    if len(names) > keys or not told.whole or told.sum**2 / 4 >= _EXACT:
+        return hierarchical(sparse_dot(entries, "i", "k", "w", items=ids).select(F.lit("all").alias("problem"), "i", "j", "w"))
+    width, known = max(1, len(names)), pa.array(sorted(names), entries.select("k").limit(0).toArrow().schema.field("k").type)
+
+    def dense(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sums, lists = np.zeros((len(part), width)), part.column("e")
+            who = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            cells = pc.list_flatten(lists)
+            sums[who, pc.index_in(cells.field("k"), known).to_numpy()] = cells.field("w").to_numpy()
+            yield pa.record_batch([part.column("c"), pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), width).cast(pa.list_(pa.float64()))], names=["c", "s"])
+
+    lists = ids.select(F.col("i").alias("c")).join(entries.groupBy(F.col("i").alias("c")).agg(F.collect_list(F.struct("k", "w")).alias("e")).hint("merge"), "c", "left")
+    whole = saved(lists.mapInArrow(dense, "c int, s array<double>").select("c", F.lit(1).alias("n"), F.lit(0).alias("born"), F.lit(float("inf")).alias("h"), "s"))
+    spark, folder, merges, round_, left = rows.sparkSession, shared_folder(rows.sparkSession), [], 0, whole.count()
+    shape = "problem string, round int, a int, b int, born_a int, born_b int, n_a int, n_b int, sim double, h double"
+    while left > held and left > 1:
+        round_ += 1
+        best = _most_similar(whole, left)
+        both = best.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("sim").alias("sim")).where("_n = 2").drop("_n")
+        # clusters are looked up by sorting: their sums are more than they look written
+        side = lambda x: whole.select(F.col("c").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", "born", "h"))).hint("merge")  # noqa: B023, E731
+        done = both.join(side("a"), "a").join(side("b"), "b").select(F.lit("all").alias("problem"), F.lit(round_).alias("round"), "a", "b", "born_a", "born_b", "n_a", "n_b", "sim", F.least("sim", "h_a", "h_b").alias("h"))
+        merges.append(f"{folder}/{round_}")
+        done.write.parquet(merges[-1])
+        done = spark.read.schema(shape).parquet(merges[-1])
+        sums = lambda x: whole.select(F.col("c").alias(x), F.col("s").alias(f"s_{x}")).hint("merge")  # noqa: B023, E731
+        joint = done.join(sums("a"), "a").join(sums("b"), "b").select(F.col("a").alias("c"), (F.col("n_a") + F.col("n_b")).alias("n"), F.col("round").alias("born"), "h", F.zip_with("s_a", "s_b", lambda x, y: x + y).alias("s"))
+        ends = done.select(F.col("a").alias("c")).union(done.select("b"))
+        whole = saved(whole.hint("merge").join(ends, "c", "left_anti").unionByName(joint))
+        left = whole.count()
+
+    def rest(table: pa.Table) -> pa.Table:
+        table = table.sort_by("c").combine_chunks()
+        c, n, born, high = (table.column(k).to_numpy().copy() for k in ("c", "n", "born", "h"))
+        sums, n, no, out = pc.list_flatten(table.column("s")).to_numpy().reshape(len(table), width).copy(), n.astype(float), round_, []
+        _, _, best = _best(sums, n, c, sums, n, c)
+        top = np.zeros(0)
+        while len(c) > 1:
+            no += 1
+            i = np.flatnonzero((np.arange(len(c)) < best) & (best[best] == np.arange(len(c))))
+            j = best[i]
+            top = np.einsum("ij,ij->i", sums[i], sums[j]) / (n[i] * n[j])
+            h = np.minimum(top, np.minimum(high[i], high[j]))
+            out.append((np.full(len(i), no), c[i], c[j], born[i], born[j], n[i], n[j], top, h))
+            touched, kept = np.zeros(len(c), bool), np.ones(len(c), bool)
+            touched[i] = touched[j] = True
+            kept[j] = False
+            sums[i] += sums[j]
+            n[i] += n[j]
+            born[i], high[i] = no, h
+            # no merged cluster is more similar than the more similar of its parts, and it is called as its smaller item's: the others keep their nearest
+            again = (touched | touched[best])[kept]
+            best = (np.cumsum(kept) - 1)[best][kept]
+            sums, n, c, born, high = (v[kept] for v in (sums, n, c, born, high))
+            if len(c) > 1:
+                _, _, best[again] = _best(sums[again], n[again], c[again], sums, n, c)
+        names_ = ["round", "a", "b", "born_a", "born_b", "n_a", "n_b", "sim", "h"]
+        columns = [np.concatenate(v) for v in zip(*out, strict=True)] or [np.zeros(0)] * len(names_)
+        made = [pa.array(v).cast(pa.float64() if k in ("sim", "h") else pa.int32()) for k, v in zip(names_, columns, strict=True)]
+        return pa.table([pa.array(["all"] * len(made[0]), pa.string()), *made], names=["problem", *names_])
+
+    merges.append(f"{folder}/rest")
+    whole.groupBy(F.lit(0).alias("_one")).applyInArrow(rest, shape).write.parquet(merges[-1])
+    return _staged(spark.read.schema(shape).parquet(*merges), "problem")
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of two columns of type int."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    out = np.full(len(a), 42, np.uint64)
+    with np.errstate(over="ignore"):
+        for v in (a, b):
+            out = out + p5 + np.uint64(4)
+            out ^= (v.astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)) * p1
+            out = turned(out, 23) * p2 + p3
+            out ^= out >> np.uint64(33)
+            out *= p2
+            out ^= out >> np.uint64(29)
+            out *= p3
+            out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def _best(sums: np.ndarray, n: np.ndarray, ids: np.ndarray, others: np.ndarray, n2: np.ndarray, ids2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each cluster the similarity of the most similar of ``others`` but itself (of equal ones that whose pair has the greatest hash), that hash, and its place; ``ids2`` ascend.
+    Without another one the similarity is less than any."""
+    top, tie, at = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    step = max(1, 2_000_000 // max(1, len(ids2)))
+    for k in range(0, len(ids), step):
+        some = slice(k, k + step)
+        sim = sums[some] @ others.T
+        sim /= n[some][:, None] * n2
+        own = np.minimum(np.searchsorted(ids2, ids[some]), len(ids2) - 1)
+        mine = np.flatnonzero(ids2[own] == ids[some])
+        sim[mine, own[mine]] = -np.inf
+        most = sim.max(axis=1)
+        who, which = np.divmod(np.flatnonzero(sim == np.where(most > -np.inf, most, np.inf)[:, None]), len(ids2))
+        x, y = np.minimum(ids[some][who], ids2[which]), np.maximum(ids[some][who], ids2[which])
+        hashes = _pair_hash(x, y)
+        order = np.lexsort((y, x, hashes, who))
+        last = order[np.flatnonzero(np.diff(who[order], append=-1))]
+        top[k + who[last]], tie[k + who[last]], at[k + who[last]] = most[who[last]], hashes[last], which[last]
+    return top, tie, at
+
+
+def _most_similar(whole: DataFrame, left: int, block: int = 8_192) -> DataFrame:
+    """``(c, a, b, sim)``: each of the clusters ``(c, n, s)`` with the pair of it and its most similar other one."""
+    blocks = max(2, -(-left // block))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("c").combine_chunks()
+        kind, sums = shortest(pc.list_flatten(table.column("s")).to_numpy())
+        return pa.table([table.column("x").combine_chunks().slice(0, 1), [table.column("c").to_numpy().tobytes()], [table.column("n").to_numpy().astype(float).tobytes()], [sums], [kind]], names=["x", "c", "n", "s", "kind"])
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(len(part)):
+                r = part.slice(k, 1).to_pylist()[0]
+                side = lambda p: (np.frombuffer(r[f"{p}s"], r[f"{p}kind"]).astype(float), np.frombuffer(r[f"{p}n"]), np.frombuffer(r[f"{p}c"], np.int32))  # noqa: B023, E731
+                (s1, n1, c1), (s2, n2, c2) = side(""), side("o_")
+                top, tie, at = _best(s1.reshape(len(c1), -1), n1, c1, s2.reshape(len(c2), -1), n2, c2)
+                there = top > -np.inf
+                one, other = c1[there], c2[at[there]]
+                yield pa.record_batch([one, np.minimum(one, other), np.maximum(one, other), top[there], tie[there]], names=["c", "a", "b", "sim", "tie"])
+
+    packed = whole.withColumn("x", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")).groupBy("x").applyInArrow(pack, "x int, c binary, n binary, s binary, kind string").repartitionById(min(blocks, 64), F.col("x") % min(blocks, 64))
+    pairs = packed.select("c", "n", "s", "kind").crossJoin(packed.select(*(F.col(k).alias(f"o_{k}") for k in ("c", "n", "s", "kind"))).hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(compare, "c int, a int, b int, sim double, tie long")
+    return found.groupBy("c").agg(F.max(F.struct("sim", "tie", "a", "b")).alias("m")).select("c", "m.a", "m.b", "m.sim")
+
+
+#: How many merges of a dendrogram, a few numbers each, are one task's work; more are joined.
+MOST_MERGES = 2_000_000
+
+
+def _walked(merges: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(left, right, sim, place, size)`` of merges in order of their stages: children's places (leaves behind all merges), how many leaves stand before
+    a node's, from left to right, and how many it has."""
+    merges = merges.sort_by("stage").combine_chunks()
+    stage, left, right = (merges.column(c).to_numpy().astype(np.int64) for c in ("stage", "left", "right"))
+    m = len(stage)
+    left, right = (np.where(v < 0, m - 1 - v, np.searchsorted(stage, v)) for v in (left, right))
+    size, place = [0] * m + [1] * int(max(left.max(initial=m - 1), right.max(initial=m - 1)) - m + 1), [0] * int(max(left.max(initial=m - 1), right.max(initial=m - 1)) + 1)
+    ways = list(zip(left.tolist(), right.tolist(), strict=True))
+    for k, (x, y) in enumerate(ways):
+        size[k] = size[x] + size[y]
+    under = np.zeros(len(place), bool)
+    under[left] = under[right] = True
+    at = 0
+    for k in np.flatnonzero(~under[:m]).tolist():
+        place[k], at = at, at + size[k]
+    for k in range(m - 1, -1, -1):
+        x, y = ways[k]
+        place[x], place[y] = place[k], place[k] + size[x]
+    return left, right, merges.column("sim").to_numpy(), np.array(place, np.int64), np.array(size, np.int64)
+
+
 def _ways(merges: DataFrame, level: float) -> DataFrame:
     """``(leaf, way, deep)``: the way from the top to each leaf, 0 for left and 1 for right, and how far
     over the leaf its topmost node over ``level`` is. Each round joins the ways with themselves, so
@@ -211,9 +394,27 @@ def _ways(merges: DataFrame, level: float) -> DataFrame:
         ways = saved(ways.join(over, "up", "left").select("node", F.coalesce("_up", "up").alias("up"), F.concat(F.coalesce("_way", F.lit("")), "way").alias("way"), deep))
 
 
-def cut_dendrogram(merges: DataFrame, level: float) -> DataFrame:
+def cut_dendrogram(merges: DataFrame, level: float, held: int = MOST_MERGES) -> DataFrame:
     """``(leaf, cluster)``: nodes with a similarity up to ``level`` are split, all below another is one
-    cluster; clusters are numbered from 0 in order from left to right."""
+    cluster; clusters are numbered from 0 in order from left to right. Up to ``held`` merges are walked, from the top, by a task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, sim, place, _ = _walked(table)
+        m = len(left)
+        over, top = sim > level, np.arange(len(place)).tolist()
+        whole = over.tolist()
+        for k in range(m - 1, -1, -1):
+            if whole[k]:
+                for c in (int(left[k]), int(right[k])):
+                    top[c] = top[k]
+                    if c < m:
+                        whole[c] = True
+        leaves = np.sort(np.concatenate([v[v >= m] for v in (left, right)]))
+        first = place[np.array(top)[leaves]]
+        return pa.table([pa.array((leaves - m + 1).astype(np.int32)), pa.array(np.unique(first, return_inverse=True)[1].astype(np.int32))], names=["leaf", "cluster"])
+
+    if merges.count() <= held:
+        return merges.select("stage", "left", "right", F.col("sim").cast("double").alias("sim")).groupBy(F.lit(0).alias("_one")).applyInArrow(run, "leaf int, cluster int")
     # the way from the top as far as the topmost node over the level names the cluster
     top = _ways(merges, level).withColumn("node", F.when(F.col("deep").isNull(), F.col("way")).otherwise(F.expr("substring(way, 1, length(way) - deep)")))
     top = saved(top.select("leaf", "node"))
@@ -225,14 +426,29 @@ def cut_dendrogram(merges: DataFrame, level: float) -> DataFrame:
 _DEEPEST = 64
 
 
-def layout_dendrogram(merges: DataFrame) -> DataFrame:
+def layout_dendrogram(merges: DataFrame, held: int = MOST_MERGES) -> DataFrame:
     """``(stage, x0, y0, x1, y1)``: the three lines of each node: leaves stand in order from left to right
-    at height 0, a node at the mean of its children, at 0.001 less its similarity.
+    at height 0, a node at the mean of its children, at 0.001 less its similarity. Up to ``held`` merges are walked by a task; more are joined.
 
     A mean of means weighs each leaf by a half for each step down to it. The steps are found by
     joining pairs of nodes and descendants with themselves, up to 64 at most, so there are no more than
     64 rows for each node."""
     merges = saved(merges.select("stage", "left", "right", "sim"))
+    kind = merges.schema["stage"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, sim, place, _ = _walked(table)
+        m = len(left)
+        x, ways = place.astype(float).tolist(), zip(left.tolist(), right.tolist(), strict=True)
+        for k, (a, b) in enumerate(ways):
+            x[k] = (x[a] + x[b]) / 2
+        x, y = np.array(x), np.concatenate([0.001 - sim, np.zeros(len(place) - m)])
+        stage = np.sort(table.column("stage").to_numpy())
+        lines = ((x[left], y[left], x[left], y[:m]), (x[right], y[right], x[right], y[:m]), (x[left], y[:m], x[right], y[:m]))
+        return pa.table([np.tile(stage, 3), *(np.concatenate(v) for v in zip(*lines, strict=True))], names=["stage", "x0", "y0", "x1", "y1"])
+
+    if merges.count() <= held:
+        return merges.withColumn("sim", F.col("sim").cast("double")).groupBy(F.lit(0).alias("_one")).applyInArrow(run, f"stage {kind}, x0 double, y0 double, x1 double, y1 double")
     leaves = numbered_rows(_ways(merges, float("inf")).select("leaf", "way"), ["way"])
     x_of = leaves.select((-F.col("leaf")).alias("node"), (F.col("_place") - 1).cast("double").alias("x"))
     below = saved(merges.select("stage", "left").union(merges.select("stage", "right")).toDF("stage", "node").withColumn("steps", F.lit(1)))
