@@ -896,3 +896,28 @@ def test_dendrograms_are_walked_as_they_are_joined(spark):
         assert sorted(map(tuple, cuts[0].collect())) == sorted(map(tuple, cuts[1].collect()))
     lines = [sorted(tuple(round(v, 9) for v in r) for r in CL.layout_dendrogram(table, held=held).collect()) for held in (0, 49)]
     assert lines[0] == lines[1] and len(lines[0]) == 147
+
+
+def _labelled_vectors(spark):
+    """Vectors of which some have no key, or none in common, a label for each, and their products."""
+    draw = random.Random(6)
+    rows = [(i, f"k{k}", draw.choice([0.5, 1.0, 2.0])) for i in range(13) for k in range(7) if draw.random() < 0.3 and i != 4]
+    df = spark.createDataFrame(rows, "seq_id int, kmer string, w double")
+    return df, spark.createDataFrame([(i, "abc"[i % 3]) for i in range(15)], "row_idx int, label string")
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_blocks_of_vectors_are_fetched(spark, block):
+    """A block is packed and written once, not once for each other one; zero weights and negative ones count as keys in common."""
+    df, labels = _labelled_vectors(spark)
+    df = df.unionByName(spark.createDataFrame([(20, "k1", 0.0), (21, "k1", -1.0), (21, "k2", 1.0)], df.schema))
+    vectors: dict = {}
+    for r in df.collect():
+        vectors.setdefault(r.seq_id, {})[r.kmer] = r.w
+    for both in (False, True):
+        out = Y.sparse_dot(df, block=block, both=both)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "Broadcast" not in plan
+        want = {(i, j): sum(a[k] * b[k] for k in a.keys() & b.keys()) for i, a in vectors.items() for j, b in vectors.items() if (both or i <= j) and a.keys() & b.keys()}
+        got = out.collect()
+        assert len(got) == len(want) and {(r.i, r.j): round(r.w, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
