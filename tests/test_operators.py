@@ -921,3 +921,20 @@ def test_blocks_of_vectors_are_fetched(spark, block):
         want = {(i, j): sum(a[k] * b[k] for k in a.keys() & b.keys()) for i, a in vectors.items() for j, b in vectors.items() if (both or i <= j) and a.keys() & b.keys()}
         got = out.collect()
         assert len(got) == len(want) and {(r.i, r.j): round(r.w, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_affinity_is_scaled_where_it_is_made(spark, block):
+    df, _ = _labelled_vectors(spark)
+    rows_of = lambda m: {(r.i, r.j): round(r.w, 9) for r in m.collect()}
+    want = rows_of(Y.affinity_normalize(Y.sparse_dot(df, both=True), Y.row_sums(df)))
+    out = Y.affinity(df, block=block)
+    assert want and rows_of(out) == want == rows_of(Y.affinity(df, block=block, keys=3))
+    assert out._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")[0].count("Join") == 0
+
+
+def test_rounded_as_spark_does(spark):
+    draw = np.random.default_rng(4)
+    x = [*(draw.normal(size=500) * 10.0 ** draw.integers(-12, 20, 500)).tolist(), 0.5e-9, 1.5e-9, -2.5e-9, 0.0, math.inf, -math.inf, 1e300, 2.0000000005, 0.1234567885, 1e-320]
+    want = [r.r for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9).alias("r")).collect()]
+    assert Y.rounded(np.array(x), 9).tolist() == want and math.isnan(Y.rounded(np.array([math.nan]), 9)[0])
