@@ -938,3 +938,14 @@ def test_rounded_as_spark_does(spark):
     x = [*(draw.normal(size=500) * 10.0 ** draw.integers(-12, 20, 500)).tolist(), 0.5e-9, 1.5e-9, -2.5e-9, 0.0, math.inf, -math.inf, 1e300, 2.0000000005, 0.1234567885, 1e-320]
     want = [r.r for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9).alias("r")).collect()]
     assert Y.rounded(np.array(x), 9).tolist() == want and math.isnan(Y.rounded(np.array([math.nan]), 9)[0])
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_edges_have_their_labels_where_they_are_made(spark, block):
+    df, labels = _labelled_vectors(spark)
+    items = labels.select(F.col("row_idx").alias("seq_id"))
+    rows_of = lambda m: sorted((r.name, round(r.w, 9)) for r in m.collect())
+    want = rows_of(Y.edge_weights(Y.complete(Y.sparse_dot(df), items), labels))
+    out = Y.edge_weights_of(df, labels, block=block)
+    assert want and rows_of(out) == want == rows_of(Y.edge_weights_of(df, labels, block=block, keys=3))
+    assert out._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")[0].count("Join") == 0
