@@ -949,3 +949,13 @@ def test_edges_have_their_labels_where_they_are_made(spark, block):
     out = Y.edge_weights_of(df, labels, block=block)
     assert want and rows_of(out) == want == rows_of(Y.edge_weights_of(df, labels, block=block, keys=3))
     assert out._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")[0].count("Join") == 0
+
+
+def test_means_of_edges_without_edges(spark):
+    df, labels = _labelled_vectors(spark)
+    for some in (labels, labels.where("row_idx < 2"), labels.where("label = 'a'"), labels.where("row_idx = 3")):
+        items = some.select(F.col("row_idx").alias("seq_id"))
+        want = sorted((r.same, round(r["mean"], 9), r.n) for r in Y.edge_means(Y.complete(Y.sparse_dot(df.join(items, "seq_id")), items), some).collect())
+        out = Y.edge_means_of(df, some)
+        assert sorted((r.same, round(r["mean"], 9), r.n) for r in out.collect()) == want
+    assert "InArrow" not in out._jdf.queryExecution().executedPlan().toString()
