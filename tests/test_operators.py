@@ -959,3 +959,14 @@ def test_means_of_edges_without_edges(spark):
         out = Y.edge_means_of(df, some)
         assert sorted((r.same, round(r["mean"], 9), r.n) for r in out.collect()) == want
     assert "InArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_points_are_fetched(spark):
+    """A block is written once, not once for each other one; labels that repeat are no pair, points without coordinates are at one place."""
+    points = [(1, [0.1, 3.0]), (2, [4.0, 0.0]), (5, []), (6, []), (2, [1.0, 1.0])]
+    want = sorted([(1, 2, 4.92036584), (1, 2, 2.19317122), (1, 5, None), (1, 6, None), (5, 6, 0.0)] + [(2, x, None) for x in (5, 6)] * 2, key=str)
+    for block in (1, 1_024):
+        out = Y.distances(spark.createDataFrame(points, "label long, p array<double>"), block=block, digits=8)
+        assert sorted(map(tuple, out.collect()), key=str) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "Broadcast" not in plan
