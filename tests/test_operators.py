@@ -970,3 +970,18 @@ def test_blocks_of_points_are_fetched(spark):
         assert sorted(map(tuple, out.collect()), key=str) == want
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Generate" not in plan and "Broadcast" not in plan
+
+
+def test_rows_of_text_are_made_whole(spark, tmp_path):
+    """Each row is written by the task that has made all of it: no pair is shuffled; items that are not there are rows of zeros, numbers have nine decimals."""
+    df, labels = _labelled_vectors(spark)
+    df = df.where("seq_id <> 7").unionByName(spark.createDataFrame([(16, "k1", -0.3), (16, "k2", 2e6)], df.schema))
+    items = labels.where("row_idx not in (7, 9)").select(F.col("row_idx").alias("seq_id"))
+    want = [r.value for r in S.matrix_text(Y.sparse_dot(df, items=items, both=True)).orderBy("i").collect()]
+    for cells, block in ((8_388_608, 8_192), (40, 3)):
+        out = Y.dot_text(df, items, cells=cells, block=block)
+        assert [r.value for r in out.collect()] == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "rangepartitioning" not in plan.lower() and "collect_list" not in plan
+    out.select("value").write.option("compression", "gzip").text(str(tmp_path / "m"))
+    assert {(r.i, r.j): r.w for r in S.read_matrix(spark, str(tmp_path / "m"), labelled=True).collect()} == {(i, j): float(c) for i, line in enumerate(want) for j, c in enumerate(line.split("\t")[1:])}
